@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hooktrace.functions.urls import base_domain, tld, url_host
+from hooktrace.operators.lookups import page_columns
+from hooktrace.operators.upsert import one_per_key
+from hooktrace.plans.enrichment import Snapshots
 from hooktrace.sources.tables import work_list
 
 AS_OF = "2024-02-05 00:00:00"
@@ -27,9 +30,10 @@ def _pick(number: Column, values: list, default=None) -> Column:
     return chosen
 
 
-def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One threat observation per event."""
-    events = table(spark, sf_dir, "events")
+def obs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """One threat observation per event; ``events`` may be a stream of the same table."""
+    if events is None:
+        events = table(spark, sf_dir, "events")
     pages = table(spark, sf_dir, "pages").withColumnRenamed("url", "page_url")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     page_count = pages.agg(F.count(F.lit(1))).scalar()
@@ -104,11 +108,13 @@ def enr(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Raw tables: each feed's observations in the columns of its raw table.
+# Raw tables: each feed's observations in the columns of its raw table. Two of the feeds
+# keep one row per URL, the third one row per id.
 
 
 def raw_line_feed(o: DataFrame) -> DataFrame:
-    return o.where(F.col("source_feed") == "openphish").select("id", "url", "domain")
+    rows = o.where(F.col("source_feed") == "openphish").select("id", "url", "domain")
+    return one_per_key(rows, "url", [F.asc("id")])
 
 
 def raw_phish_feed(o: DataFrame) -> DataFrame:
@@ -125,7 +131,9 @@ def raw_phish_feed(o: DataFrame) -> DataFrame:
 
 
 def raw_malware_feed(o: DataFrame) -> DataFrame:
-    return o.where(F.col("source_feed") == "urlhaus").select(
+    rows = o.where(F.col("source_feed") == "urlhaus")
+    rows = one_per_key(rows.select("id", "url", "online", "asn"), "url", [F.asc("id")])
+    return rows.select(
         F.col("id").alias("urlhaus_id"),
         "url",
         F.when(F.col("online") == "no", "malware_download").alias("threat"),
@@ -251,15 +259,26 @@ def dim_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dim_page_of_urls(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
     """The page behind every observed URL, already cut down to its short columns."""
-    from hooktrace.operators.lookups import page_columns
-    from hooktrace.operators.upsert import one_per_key
-
     short = page_columns(dim_page(spark, sf_dir)).withColumnRenamed("url", "page_url")
     order = [F.asc_nulls_last(c) for c in short.columns if c != "page_url"]
     links = o.groupBy("url").agg(F.min("page_url").alias("page_url"))
     return links.join(one_per_key(short, "page_url", order), "page_url").drop("page_url")
 
 
+def snapshots(spark: SparkSession, sf_dir: str, o: DataFrame) -> Snapshots:
+    return Snapshots(
+        dns=dim_dns(o),
+        city=dim_geo(spark, sf_dir),
+        country=dim_country(spark, sf_dir),
+        asn=dim_asn(spark, sf_dir),
+        rdap=dim_rdap(spark, sf_dir),
+        whois=dim_whois(o),
+        certs=dim_cert(o),
+        pages=dim_page_of_urls(spark, sf_dir, o),
+        probes=dim_probe(o),
+    )
+
+
 def dim_probe(o: DataFrame) -> DataFrame:
     """HEAD probes: the highest status seen for a URL, and why there was none."""
     return o.groupBy("url").agg(

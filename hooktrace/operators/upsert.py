@@ -81,11 +81,11 @@ def dedup_feeds(
 ) -> DataFrame:
     """One row per URL over all feeds.
 
-    The later feed wins (the earlier one with ``first_wins``); ``order`` decides
-    between rows of one feed.
+    The later feed wins (the earlier one with ``first_wins``). Between rows of one
+    feed ``order`` decides; by default the highest source id wins.
     """
     rank = F.asc("feed_rank") if first_wins else F.desc("feed_rank")
-    ties = list(order) or [F.desc_nulls_last("source_id")]
+    ties = list(order) or [F.desc_nulls_last(F.col("source_id").try_cast("bigint"))]
     return one_per_key(work.where(F.col("url").isNotNull()), "url", [rank, *ties])
 
 

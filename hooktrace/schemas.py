@@ -8,8 +8,19 @@ from pyspark.sql import types as T
 FEED_RANK = {"openphish": 0, "phishtank": 1, "urlhaus": 2}
 
 
+_TYPES = {
+    "STRING": T.StringType(),
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "TIMESTAMP_NTZ": T.TimestampNTZType(),
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Flat schema from text. Unlike ``StructType.fromDDL`` it needs no running session."""
+    pairs = [part.split() for part in spec.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 RAW_LINE_FEED = _struct("id BIGINT, url STRING, domain STRING, added_at TIMESTAMP_NTZ, note STRING")
@@ -53,19 +64,29 @@ WORK_LIST = _struct(
 # Read schema of the JSON array feed. Flags come as booleans or text and are read as text.
 PHISH_FEED_JSON = _struct(
     "phish_id STRING, url STRING, phish_detail_url STRING, submission_time STRING, "
-    "verified STRING, verification_time STRING, online STRING, target STRING, "
-    "details ARRAY<STRUCT<ip_address: STRING, cidr_block: STRING, "
-    "announcing_network: STRING, rir: STRING, detail_time: STRING>>"
+    "verified STRING, verification_time STRING, online STRING, target STRING"
+).add(
+    "details",
+    T.ArrayType(
+        _struct(
+            "ip_address STRING, cidr_block STRING, announcing_network STRING, rir STRING, "
+            "detail_time STRING"
+        )
+    ),
 )
 
-# Read schema of one entry of the malware feed. Tags come as a list or as text, comments
-# as text or as any JSON value; both are read as raw JSON text.
-MALWARE_FEED_JSON = _struct(
-    "query_status STRING, urls ARRAY<STRUCT<url: STRING, url_status: STRING, "
-    "date_added: STRING, url_dateadded: STRING, lastseen: STRING, url_lastseen: STRING, "
-    "reporter: STRING, reporter_handle: STRING, threat: STRING, tags: STRING, "
-    "file_md5: STRING, file_sha256: STRING, filename: STRING, file_name: STRING, "
-    "file_size: STRING, payload_type: STRING, distribution: STRING, asn: STRING, "
-    "country: STRING, reference: STRING, referrer: STRING, response_code: STRING, "
-    "cloaking: STRING, comments: STRING>>"
+# Read schema of the malware feed. Tags come as a list or as text, comments as text or as
+# any JSON value; both are read as raw JSON text.
+MALWARE_FEED_JSON = _struct("query_status STRING").add(
+    "urls",
+    T.ArrayType(
+        _struct(
+            "url STRING, url_status STRING, date_added STRING, url_dateadded STRING, "
+            "lastseen STRING, url_lastseen STRING, reporter STRING, reporter_handle STRING, "
+            "threat STRING, tags STRING, file_md5 STRING, file_sha256 STRING, filename STRING, "
+            "file_name STRING, file_size STRING, payload_type STRING, distribution STRING, "
+            "asn STRING, country STRING, reference STRING, referrer STRING, "
+            "response_code STRING, cloaking STRING, comments STRING"
+        )
+    ),
 )

@@ -9,6 +9,7 @@ from hooktrace.catalog.registry import AS_OF_SQL, query
 from hooktrace.operators import lookups
 from hooktrace.operators.upsert import dedup_feeds, skip_existing, with_exists_flag
 from hooktrace.plans.enrichment import enrich
+from hooktrace.sinks.shared import staged
 
 
 @query(
@@ -211,7 +212,8 @@ FROM f"""
 
 @query("enrich_full", _ENRICH_SQL)
 def enrich_full(spark, sf_dir):
-    rows = fx.hosted_obs(spark, sf_dir)
+    # Raw tables and snapshots are stored tables in practice; here all come from one.
+    rows = staged(fx.hosted_obs(spark, sf_dir).drop("html"), "observations")
     work = dedup_feeds(fx.raw_work(rows))
     enriched = enrich(work, fx.snapshots(spark, sf_dir, rows), fx.AS_OF)
     shown = enriched.withColumn("creation_date", F.date_format("creation_date", "yyyy-MM-dd"))

@@ -11,8 +11,10 @@ a /16, so one join key never holds more than 65,536 addresses.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from hooktrace.functions import fields
 from hooktrace.functions.ipaddr import cidr_high, cidr_low, cidr_prefix, ip_number
@@ -98,12 +100,15 @@ def cidr_ranges(snapshot: DataFrame, column: str = "cidr_block") -> DataFrame:
 
 
 def distinct_ips(*columns: DataFrame) -> DataFrame:
-    """Distinct readable IPv4 addresses as ``ip`` (BIGINT) of one-column frames of IP text."""
-    rows = columns[0]
-    for more in columns[1:]:
-        rows = rows.union(more)
-    number = ip_number(F.col(rows.columns[0]))
-    return rows.select(number.alias("ip")).where(F.col("ip").isNotNull()).distinct()
+    """Distinct addresses as ``ip`` (BIGINT) of one-column frames of IP text or number."""
+    numbers = []
+    for frame in columns:
+        (column,) = frame.columns
+        is_text = isinstance(frame.schema[column].dataType, StringType)
+        number = ip_number(F.col(column)) if is_text else F.col(column)
+        numbers.append(frame.select(number.alias("ip")))
+    rows = reduce(DataFrame.union, numbers)
+    return rows.where(F.col("ip").isNotNull()).distinct()
 
 
 def resolve_ips(
@@ -151,8 +156,9 @@ def _prefixed(rows: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
 
 
 def _with_all_columns(rows: DataFrame) -> DataFrame:
-    missing = {c: t for c, t in _IP_COLUMNS.items() if c not in rows.columns}
-    return rows.withColumns({c: F.lit(None).cast(t) for c, t in missing.items()}) if missing else rows
+    present = set(rows.columns)
+    missing = {c: F.lit(None).cast(t) for c, t in _IP_COLUMNS.items() if c not in present}
+    return rows.withColumns(missing) if missing else rows
 
 
 def _with_country_fallback(rows: DataFrame) -> DataFrame:

@@ -60,47 +60,58 @@ def enrich(
     address (resolved per distinct address). Heavy domains and addresses are cut
     up by URL.
 
-    With ``stage`` the work list is written to the shared folder first, since it
-    is read for its distinct domains, its distinct addresses and itself.
+    With ``stage`` the tables that are used more than once are written to the
+    shared folder: the work list, its domains with their DNS answer, and the
+    resolved addresses. Without it Spark may compute them again for each use.
     """
+    hold = staged if stage else lambda rows, purpose: rows
     hosted = with_hosts(work, strict_hosts).withColumn("ip", ip_number(F.col("ip_address")))
-    if stage:
-        hosted = staged(hosted, "worklist")
-
-    dns = _one_dns(snapshots.dns, work)
-    addresses = resolve_ips(
-        distinct_ips(hosted.select("ip_address"), dns.select("dns_ip")),
-        snapshots.city,
-        snapshots.country,
-        snapshots.asn,
-        snapshots.rdap,
+    hosted = hold(hosted, "worklist")
+    domains = hold(_domains(hosted, snapshots.dns), "domains")
+    addresses = hold(
+        resolve_ips(
+            distinct_ips(hosted.select("ip"), domains.select("ip")),
+            snapshots.city,
+            snapshots.country,
+            snapshots.asn,
+            snapshots.rdap,
+        ),
+        "addresses",
     )
-    domains = _domain_facts(hosted, dns, snapshots, addresses)
+    known = addresses.select(
+        "ip", F.struct(*[c for c in addresses.columns if c != "ip"]).alias("found")
+    )
+    facts = _domain_facts(domains, snapshots, known.withColumnRenamed("found", "dns_address"))
 
     rows = _join_url_facts(hosted, snapshots)
-    rows = balanced_left_join(rows, domains, "domain", F.col("url"), counted_facts=hosted)
-    own = addresses.select("ip", F.struct(*[c for c in addresses.columns if c != "ip"]).alias("own_ip"))
+    rows = balanced_left_join(rows, facts, "domain", F.col("url"), counted_facts=hosted)
+    own = known.withColumnRenamed("found", "own_ip")
     rows = balanced_left_join(rows, own, "ip", F.col("url"), counted_facts=hosted)
     return _merged(rows, as_of, guess_language, tld_form)
 
 
-def _one_dns(dns: DataFrame | None, work: DataFrame) -> DataFrame:
+def _domains(hosted: DataFrame, dns: DataFrame | None) -> DataFrame:
+    """Distinct domains of the work list with their address, as text and as number."""
+    domains = hosted.where(F.col("domain").isNotNull()).select("domain").distinct()
     if dns is None:
-        return work.sparkSession.createDataFrame([], "domain string, dns_ip string")
-    known = one_per_key(dns, "domain", [F.asc_nulls_last("ip_address")])
-    return known.select("domain", F.col("ip_address").alias("dns_ip"))
+        answered = domains.withColumn("dns_ip", F.lit(None).cast("string"))
+    else:
+        answer = one_per_key(dns, "domain", [F.asc_nulls_last("ip_address")]).select(
+            "domain", F.col("ip_address").alias("dns_ip")
+        )
+        answered = domains.join(answer, "domain", "left")
+    return answered.withColumn("ip", ip_number(F.col("dns_ip")))
 
 
 _WHOIS_COLUMNS = ("registrar", "creation_date", "expiry_date", "updated_date", "name_servers")
 _CERT_COLUMNS = ("cert_issuer", "cert_subject", "cert_valid_from", "cert_valid_to", "cert_serial")
 
 
-def _domain_facts(
-    hosted: DataFrame, dns: DataFrame, snapshots: Snapshots, addresses: DataFrame
-) -> DataFrame:
-    """One row per distinct domain of the work list with all that is known by domain."""
-    domains = hosted.where(F.col("domain").isNotNull()).select("domain").distinct()
-    facts = domains.join(dns, "domain", "left")
+def _domain_facts(domains: DataFrame, snapshots: Snapshots, addresses: DataFrame) -> DataFrame:
+    """All that is known by domain, one row per distinct domain of the work list."""
+    facts = balanced_left_join(
+        domains, addresses, "ip", F.col("domain"), counted_facts=domains
+    ).drop("ip")
     if snapshots.certs is not None:
         shaped = cert_columns(snapshots.certs)
         present = [c for c in _CERT_COLUMNS if c in shaped.columns]
@@ -113,26 +124,14 @@ def _domain_facts(
         shaped = whois_columns(snapshots.whois)
         present = [c for c in _WHOIS_COLUMNS if c in shaped.columns]
         whois = one_per_key(shaped, "base_domain", [F.asc_nulls_last(c) for c in present])
-        keyed = facts.withColumn("base_domain", base_domain(F.col("domain")))
         facts = balanced_left_join(
-            keyed,
+            facts.withColumn("base_domain", base_domain(F.col("domain"))),
             whois.select("base_domain", *present),
             "base_domain",
             F.col("domain"),
             counted_facts=domains.select(base_domain(F.col("domain")).alias("base_domain")),
         ).drop("base_domain")
-    by_dns = addresses.select(
-        F.col("ip").alias("dns_number"),
-        F.struct(*[c for c in addresses.columns if c != "ip"]).alias("dns_address"),
-    )
-    keyed = facts.withColumn("dns_number", ip_number(F.col("dns_ip")))
-    return balanced_left_join(
-        keyed,
-        by_dns,
-        "dns_number",
-        F.col("domain"),
-        counted_facts=dns.select(ip_number(F.col("dns_ip")).alias("dns_number")),
-    ).drop("dns_number")
+    return facts
 
 
 def _join_url_facts(rows: DataFrame, snapshots: Snapshots) -> DataFrame:
@@ -231,7 +230,8 @@ def _answers(rows: DataFrame) -> DataFrame:
         "expiry_date": "timestamp_ntz", "updated_date": "timestamp_ntz",
         "name_servers": "string", **dict.fromkeys(_CERT_COLUMNS, "string"),
     }
-    absent = {n: F.lit(None).cast(t) for n, t in optional.items() if n not in rows.columns}
+    present = set(rows.columns)
+    absent = {n: F.lit(None).cast(t) for n, t in optional.items() if n not in present}
     asked = rows.withColumns(
         {**absent, "own_text": own_text, "address": address, "ask_rdap": ask_rdap}
     )

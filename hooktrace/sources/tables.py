@@ -20,14 +20,14 @@ EXPLORER_COLUMNS = (
 
 def conform(rows: DataFrame, schema: StructType) -> DataFrame:
     """Project to a schema; a column that is not there yet becomes NULL."""
-    return rows.select(
-        *[
-            (F.col(f.name) if f.name in rows.columns else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in schema
-        ]
-    )
+    present = {f.name: f.dataType for f in rows.schema}
+
+    def column(name, kind):
+        if name not in present:
+            return F.lit(None).cast(kind).alias(name)
+        return F.col(name) if present[name] == kind else F.col(name).cast(kind).alias(name)
+
+    return rows.select(*[column(f.name, f.dataType) for f in schema])
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

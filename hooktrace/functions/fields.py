@@ -107,14 +107,10 @@ def page_language(html: Column) -> Column:
 def title_language(title: Column) -> Column:
     """Language guessed from well-known words in a page title."""
     lowered = F.lower(title)
-
-    def says(words: tuple[str, ...]) -> Column:
-        return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words])
-
-    languages = list(TITLE_WORDS.items())
-    guess = F.when(says(languages[0][1]), languages[0][0])
-    for language, words in languages[1:]:
-        guess = guess.when(says(words), language)
+    guess = F
+    for language, words in TITLE_WORDS.items():
+        hit = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words])
+        guess = guess.when(hit, language)
     return guess
 
 

@@ -39,7 +39,9 @@ LEVELS = ((85, "Critical"), (70, "High"), (50, "Medium"))
 AsOf = str | datetime | Column
 
 
-def _mentions(text: Column, words: tuple[str, ...]) -> Column:
+def _mentions(url: Column, words: tuple[str, ...], is_lower: bool) -> Column:
+    """Any of the words, in either case: plain substring tests, far faster than one pattern."""
+    text = url if is_lower else F.lower(url)
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
@@ -86,7 +88,9 @@ def domain_age_score(
     return _points_by_age(creation_date, as_of, AGE_POINTS, 8, 5, calendar, text, unreadable=8)
 
 
-def tld_platform_score(url: Column, tld: Column, *, tld_form: str = "as_stored") -> Column:
+def tld_platform_score(
+    url: Column, tld: Column, *, tld_form: str = "as_stored", url_is_lower: bool = False
+) -> Column:
     """Points for the TLD and for free hosting platforms.
 
     The pipeline stores a TLD with its dot while the lists have none, so with
@@ -98,16 +102,13 @@ def tld_platform_score(url: Column, tld: Column, *, tld_form: str = "as_stored")
     label = F.lower(tld)
     if tld_form == "bare":
         label = F.ltrim(label, F.lit("."))
-    on_platform = _mentions(F.lower(url), HOSTING_PLATFORMS)
-    return (
-        F.when(label.isin(*HIGH_RISK_TLDS), 10)
-        .when(label.isin(*COMMON_TLDS), F.when(on_platform, 8).otherwise(5))
-        .otherwise(F.when(on_platform, 10).otherwise(7))
-    )
+    by_tld = F.when(label.isin(*COMMON_TLDS), 5).otherwise(7)
+    by_platform = F.when(_mentions(url, HOSTING_PLATFORMS, url_is_lower), 3).otherwise(0)
+    return F.when(label.isin(*HIGH_RISK_TLDS), 10).otherwise(by_tld + by_platform)
 
 
-def keyword_score(url: Column) -> Column:
-    return F.when(_mentions(F.lower(url), KEYWORDS), 10).otherwise(0)
+def keyword_score(url: Column, *, url_is_lower: bool = False) -> Column:
+    return F.when(_mentions(url, KEYWORDS, url_is_lower), 10).otherwise(0)
 
 
 def risk_level(score: Column) -> Column:
@@ -119,12 +120,13 @@ def risk_level(score: Column) -> Column:
 
 def _parts(url, http_status_code, online, last_seen, creation_date, tld, as_of, options):
     dates = {k: options[k] for k in ("calendar", "text")}
+    lower = {"url_is_lower": options["url_is_lower"]}
     return {
         "liveness": liveness_score(http_status_code, online),
         "recency": recency_score(last_seen, as_of, **dates),
         "domain_age": domain_age_score(creation_date, as_of, **dates),
-        "tld_platform": tld_platform_score(url, tld, tld_form=options["tld_form"]),
-        "keywords": keyword_score(url),
+        "tld_platform": tld_platform_score(url, tld, tld_form=options["tld_form"], **lower),
+        "keywords": keyword_score(url, **lower),
     }
 
 
@@ -145,9 +147,16 @@ def risk_score(
     tld_form: str = "as_stored",
     calendar: bool = False,
     text: bool = False,
+    url_is_lower: bool = False,
 ) -> Column:
-    """Total score, 0 to 100."""
-    options = {"tld_form": tld_form, "calendar": calendar, "text": text}
+    """Total score, 0 to 100.
+
+    Over a whole table put ``lower(url)`` in a column first and say ``url_is_lower``:
+    twenty substring tests then share one lowered text.
+    """
+    options = {
+        "tld_form": tld_form, "calendar": calendar, "text": text, "url_is_lower": url_is_lower
+    }
     return _total(
         _parts(url, http_status_code, online, last_seen, creation_date, tld, as_of, options)
     )
@@ -165,9 +174,12 @@ def risk_breakdown(
     tld_form: str = "as_stored",
     calendar: bool = False,
     text: bool = False,
+    url_is_lower: bool = False,
 ) -> Column:
     """Struct of the five parts, their total and the level."""
-    options = {"tld_form": tld_form, "calendar": calendar, "text": text}
+    options = {
+        "tld_form": tld_form, "calendar": calendar, "text": text, "url_is_lower": url_is_lower
+    }
     parts = _parts(url, http_status_code, online, last_seen, creation_date, tld, as_of, options)
     total = _total(parts)
     return F.struct(

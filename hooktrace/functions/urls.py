@@ -21,15 +21,6 @@ TWO_LABEL_SUFFIXES = (
 
 _BLANKS = " \t\n\r\f\v"
 
-# The last label with its dot, and the registrable domain: one label before a known
-# suffix, else the last two labels, else the whole name.
-_LAST_LABEL = r"([.][^.]*)$"
-_REGISTRABLE = (
-    r"([^.]*(?:" + "|".join(s.replace(".", "[.]") for s in TWO_LABEL_SUFFIXES) + r")"
-    r"|[^.]*[.][^.]*|[^.]*)$"
-)
-
-
 def _capture(text: Column, pattern: str) -> Column:
     """First capture or NULL. The text is referenced once, so a long expression is not repeated."""
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(1))
@@ -59,13 +50,18 @@ def url_host(url: Column, strict: bool = False) -> Column:
 
 def tld(domain: Column) -> Column:
     """Last label with its leading dot; NULL for a name without a dot."""
-    return _capture(domain, _LAST_LABEL)
+    return F.when(
+        F.contains(domain, F.lit(".")),
+        F.concat(F.lit("."), F.substring_index(domain, ".", -1)),
+    )
 
 
 def base_domain(domain: Column) -> Column:
     """Registrable domain of a lower-case host.
 
     The label before a known two-label suffix, else the last two labels (an IPv4
-    host so gives its last two numbers).
+    host so gives its last two numbers). A name with fewer labels stays as it is.
     """
-    return _capture(domain, _REGISTRABLE)
+    last_two = F.substring_index(domain, ".", -2)
+    known = [suffix.removeprefix(".") for suffix in TWO_LABEL_SUFFIXES]
+    return F.when(last_two.isin(*known), F.substring_index(domain, ".", -3)).otherwise(last_two)

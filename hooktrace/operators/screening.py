@@ -12,8 +12,9 @@ LEVELS = ("url", "domain", "base_domain")
 
 
 def _with_keys(rows: DataFrame) -> DataFrame:
-    host = F.coalesce("domain", url_host(F.col("url"))) if "domain" in rows.columns else url_host(F.col("url"))
-    return rows.withColumn("domain", host).withColumn("base_domain", base_domain(F.col("domain")))
+    if "domain" not in rows.columns:
+        rows = rows.withColumn("domain", url_host(F.col("url")))
+    return rows.withColumn("base_domain", base_domain(F.col("domain")))
 
 
 def screen_urls(observed: DataFrame, threats: DataFrame, spread: Column | None = None) -> DataFrame:

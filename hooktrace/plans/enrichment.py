@@ -245,13 +245,13 @@ def _answers(rows: DataFrame) -> DataFrame:
 
 
 def with_score(threats: DataFrame, as_of, **options) -> DataFrame:
-    """Whole-table rescore: one projection, no shuffle."""
+    """Whole-table rescore: projections only, no shuffle."""
     c = F.col
     score = risk_score(
-        c("url"), c("http_status_code"), c("online"), c("last_seen"), c("creation_date"), c("tld"),
-        as_of=as_of, **options,
+        c("__url"), c("http_status_code"), c("online"), c("last_seen"), c("creation_date"), c("tld"),
+        as_of=as_of, url_is_lower=True, **options,
     )
-    return threats.withColumn("risk_score", score)
+    return threats.withColumn("__url", F.lower("url")).withColumn("risk_score", score).drop("__url")
 
 
 def rescore_batch(threats: DataFrame, batch: DataFrame, as_of, **options) -> DataFrame:

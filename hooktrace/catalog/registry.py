@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hooktrace.fixtures import ENR_SQL, OBS_SQL
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -21,50 +23,14 @@ AS_OF_SQL = "TIMESTAMP '2024-02-05 00:00:00'"
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]*)"
 
 _VIEWS = {
-    "obs": """
-SELECT e.event_id AS id,
- replace(p.url, 'example.com', CASE e.user_id % 8 WHEN 0 THEN 'example.zip' WHEN 1 THEN 'vercel.app'
-   WHEN 2 THEN 'example.co.uk' WHEN 3 THEN 'bank.xyz' WHEN 4 THEN 'pages.dev' ELSE 'example.com' END)
-  || '/' || CASE e.event_type WHEN 'signup' THEN 'login' WHEN 'purchase' THEN 'wallet'
-   WHEN 'error' THEN 'docs' ELSE e.event_type END || '/' || CAST(e.event_id % 3 AS VARCHAR) AS url,
- p.url AS page_url,
- p.html AS html,
- CASE e.event_type WHEN 'click' THEN 'yes' WHEN 'view' THEN 'yes' WHEN 'purchase' THEN 'yes'
-   WHEN 'error' THEN 'no' END AS online,
- CASE e.event_id % 13 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 302 WHEN 3 THEN 401 WHEN 4 THEN 403
-   WHEN 5 THEN 404 WHEN 6 THEN 410 WHEN 7 THEN 429 WHEN 8 THEN 500 WHEN 9 THEN 503 WHEN 10 THEN 418 END
-   AS http_status_code,
- CASE e.user_id % 3 WHEN 0 THEN 'openphish' WHEN 1 THEN 'phishtank' ELSE 'urlhaus' END AS source_feed,
- CASE WHEN e.user_id % 25 <> 7 THEN n.n_name END AS country_name,
- CASE WHEN e.user_id % 11 <> 0 THEN 64512 + e.user_id % 40 END AS asn,
- CASE WHEN e.event_id % 9 <> 0 THEN CAST(e.user_id % 200 + 11 AS VARCHAR) || '.' ||
-   CAST(e.event_id % 200 AS VARCHAR) || '.3.' || CAST(e.event_id % 250 AS VARCHAR) END AS ip_address,
- e.ts AS first_seen,
- e.ts + INTERVAL '1' HOUR * (e.event_id % 200) AS last_seen,
- CASE WHEN e.user_id % 7 <> 0 THEN e.ts - INTERVAL '1' DAY * (e.user_id * 3) END AS creation_date
-FROM events e CROSS JOIN (SELECT count(*) AS n_pages FROM pages) k
-JOIN pages p ON p.page_id = e.event_id % k.n_pages
-LEFT JOIN nation n ON n.n_nationkey = e.user_id % 25""",
+    "obs": OBS_SQL.format(events="events", pages="pages", nation="nation"),
     "hosted": f"""
 SELECT *, nullif(regexp_extract(domain, '([.][^.]*)$', 1), '') AS tld,
  CASE WHEN regexp_matches(domain, '[.](co|ac|gov|org)[.]uk$')
    THEN regexp_extract(domain, '([^.]*[.][^.]*[.][^.]*)$', 1)
    ELSE regexp_extract(domain, '([^.]*[.][^.]*)$', 1) END AS base_domain
 FROM (SELECT *, lower(nullif(regexp_extract(url, '{_HOST}', 2), '')) AS domain FROM obs)""",
-    "enr": """
-SELECT o.id, o.url, o.domain, o.tld, o.online, o.http_status_code, o.source_feed, o.country_name,
- o.asn, o.ip_address, o.first_seen, o.last_seen, o.creation_date,
- CASE o.source_feed WHEN 'urlhaus' THEN 'malware' ELSE 'phishing' END AS threat_type,
- CASE WHEN o.source_feed = 'phishtank' AND o.id % 4 <> 0
-   THEN 'Brand ' || CAST(o.id % 17 AS VARCHAR) END AS target_brand,
- CASE WHEN o.asn IS NOT NULL THEN 'AS-' || CAST(o.asn AS VARCHAR) END AS asn_name,
- CASE WHEN o.url LIKE 'https:%' THEN 'yes' WHEN o.id % 5 <> 0 THEN 'no' END AS ssl_enabled,
- CASE o.id % 6 WHEN 0 THEN 'US' WHEN 1 THEN 'DE' WHEN 2 THEN 'CN' WHEN 3 THEN 'ZZ' WHEN 4 THEN 'RU' END
-   AS country,
- CASE WHEN o.ip_address IS NOT NULL THEN CAST(o.id % 180 - 90 AS DOUBLE) END AS latitude,
- CASE WHEN o.ip_address IS NOT NULL THEN CAST(o.id % 360 - 180 AS DOUBLE) END AS longitude,
- CASE WHEN o.id % 3 = 0 THEN 'Registrar ' || CAST(o.id % 5 AS VARCHAR) END AS registrar
-FROM hosted o""",
+    "enr": ENR_SQL.format(hosted="hosted"),
     "scored": f"""
 SELECT *, live + recent + young + platform + words AS risk_score FROM (
 SELECT *,

@@ -30,57 +30,39 @@ def _pick(number: Column, values: list, default=None) -> Column:
     return chosen
 
 
+# One threat observation per event, as SQL that Spark and other engines read alike.
+OBS_SQL = """
+SELECT e.event_id AS id,
+ replace(p.url, 'example.com', CASE e.user_id % 8 WHEN 0 THEN 'example.zip' WHEN 1 THEN 'vercel.app'
+   WHEN 2 THEN 'example.co.uk' WHEN 3 THEN 'bank.xyz' WHEN 4 THEN 'pages.dev' ELSE 'example.com' END)
+  || '/' || CASE e.event_type WHEN 'signup' THEN 'login' WHEN 'purchase' THEN 'wallet'
+   WHEN 'error' THEN 'docs' ELSE e.event_type END || '/' || CAST(e.event_id % 3 AS STRING) AS url,
+ p.url AS page_url,
+ p.html AS html,
+ CASE e.event_type WHEN 'click' THEN 'yes' WHEN 'view' THEN 'yes' WHEN 'purchase' THEN 'yes'
+   WHEN 'error' THEN 'no' END AS online,
+ CASE e.event_id % 13 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 302 WHEN 3 THEN 401 WHEN 4 THEN 403
+   WHEN 5 THEN 404 WHEN 6 THEN 410 WHEN 7 THEN 429 WHEN 8 THEN 500 WHEN 9 THEN 503 WHEN 10 THEN 418 END
+   AS http_status_code,
+ CASE e.user_id % 3 WHEN 0 THEN 'openphish' WHEN 1 THEN 'phishtank' ELSE 'urlhaus' END AS source_feed,
+ CASE WHEN e.user_id % 25 <> 7 THEN n.n_name END AS country_name,
+ CASE WHEN e.user_id % 11 <> 0 THEN 64512 + e.user_id % 40 END AS asn,
+ CASE WHEN e.event_id % 9 <> 0 THEN CAST(e.user_id % 200 + 11 AS STRING) || '.' ||
+   CAST(e.event_id % 200 AS STRING) || '.3.' || CAST(e.event_id % 250 AS STRING) END AS ip_address,
+ e.ts AS first_seen,
+ e.ts + INTERVAL '1' HOUR * (e.event_id % 200) AS last_seen,
+ CASE WHEN e.user_id % 7 <> 0 THEN e.ts - INTERVAL '1' DAY * (e.user_id * 3) END AS creation_date
+FROM (SELECT *, event_id % (SELECT count(*) FROM {pages}) AS page_key FROM {events}) e
+JOIN {pages} p ON p.page_id = e.page_key
+LEFT JOIN {nation} n ON n.n_nationkey = e.user_id % 25"""
+
+
 def obs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """One threat observation per event; ``events`` may be a stream of the same table."""
-    if events is None:
-        events = table(spark, sf_dir, "events")
-    pages = table(spark, sf_dir, "pages").withColumnRenamed("url", "page_url")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    page_count = pages.agg(F.count(F.lit(1))).scalar()
-
-    seen = events.withColumn("page_id", F.col("event_id") % page_count).join(pages, "page_id")
-    seen = seen.join(nation, F.col("user_id") % 25 == F.col("n_nationkey"), "left")
-
-    event, user, ts, kind = F.col("event_id"), F.col("user_id"), F.col("ts"), F.col("event_type")
-    site = _pick(
-        user % 8,
-        ["example.zip", "vercel.app", "example.co.uk", "bank.xyz", "pages.dev"],
-        "example.com",
-    )
-    path = (
-        F.when(kind == "signup", "login")
-        .when(kind == "purchase", "wallet")
-        .when(kind == "error", "docs")
-        .otherwise(kind)
-    )
-    text = lambda number: number.cast("string")
-    return seen.select(
-        event.alias("id"),
-        F.concat(
-            F.replace(F.col("page_url"), F.lit("example.com"), site),
-            F.lit("/"), path, F.lit("/"), text(event % 3),
-        ).alias("url"),
-        "page_url",
-        "html",
-        F.when(kind.isin("click", "view", "purchase"), "yes").when(kind == "error", "no").alias("online"),
-        _pick(event % 13, [200, 301, 302, 401, 403, 404, 410, 429, 500, 503, 418]).alias(
-            "http_status_code"
-        ),
-        _pick(user % 3, ["openphish", "phishtank"], "urlhaus").alias("source_feed"),
-        F.when(user % 25 != 7, F.col("n_name")).alias("country_name"),
-        F.when(user % 11 != 0, user % 40 + 64512).alias("asn"),
-        F.when(
-            event % 9 != 0,
-            F.concat(
-                text(user % 200 + 11), F.lit("."), text(event % 200), F.lit(".3."), text(event % 250)
-            ),
-        ).alias("ip_address"),
-        ts.alias("first_seen"),
-        F.timestamp_add("HOUR", (event % 200).cast("int"), ts).alias("last_seen"),
-        F.when(
-            user % 7 != 0, F.timestamp_add("DAY", (-user * 3).cast("int"), ts)
-        ).alias("creation_date"),
-    )
+    tables = {name: table(spark, sf_dir, name) for name in ("events", "pages", "nation")}
+    if events is not None:
+        tables["events"] = events
+    return spark.sql(OBS_SQL, **tables)
 
 
 def hosted_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,24 +70,25 @@ def hosted_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("tld", tld(F.col("domain")))
 
 
+# Observations with the columns the analytics need.
+ENR_SQL = """
+SELECT o.id, o.url, o.domain, o.tld, o.online, o.http_status_code, o.source_feed, o.country_name,
+ o.asn, o.ip_address, o.first_seen, o.last_seen, o.creation_date,
+ CASE o.source_feed WHEN 'urlhaus' THEN 'malware' ELSE 'phishing' END AS threat_type,
+ CASE WHEN o.source_feed = 'phishtank' AND o.id % 4 <> 0
+   THEN 'Brand ' || CAST(o.id % 17 AS STRING) END AS target_brand,
+ CASE WHEN o.asn IS NOT NULL THEN 'AS-' || CAST(o.asn AS STRING) END AS asn_name,
+ CASE WHEN o.url LIKE 'https:%' THEN 'yes' WHEN o.id % 5 <> 0 THEN 'no' END AS ssl_enabled,
+ CASE o.id % 6 WHEN 0 THEN 'US' WHEN 1 THEN 'DE' WHEN 2 THEN 'CN' WHEN 3 THEN 'ZZ' WHEN 4 THEN 'RU' END
+   AS country,
+ CASE WHEN o.ip_address IS NOT NULL THEN CAST(o.id % 180 - 90 AS DOUBLE) END AS latitude,
+ CASE WHEN o.ip_address IS NOT NULL THEN CAST(o.id % 360 - 180 AS DOUBLE) END AS longitude,
+ CASE WHEN o.id % 3 = 0 THEN 'Registrar ' || CAST(o.id % 5 AS STRING) END AS registrar
+FROM {hosted} o"""
+
+
 def enr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations with the columns the analytics need."""
-    o = hosted_obs(spark, sf_dir)
-    key = F.col("id")
-    has_ip = F.col("ip_address").isNotNull()
-    brand = F.concat(F.lit("Brand "), (key % 17).cast("string"))
-    return o.select(
-        "id", "url", "domain", "tld", "online", "http_status_code", "source_feed", "country_name",
-        "asn", "ip_address", "first_seen", "last_seen", "creation_date",
-        F.when(F.col("source_feed") == "urlhaus", "malware").otherwise("phishing").alias("threat_type"),
-        F.when((F.col("source_feed") == "phishtank") & (key % 4 != 0), brand).alias("target_brand"),
-        F.concat(F.lit("AS-"), F.col("asn").cast("string")).alias("asn_name"),
-        F.when(F.col("url").startswith("https:"), "yes").when(key % 5 != 0, "no").alias("ssl_enabled"),
-        _pick(key % 6, ["US", "DE", "CN", "ZZ", "RU"]).alias("country"),
-        F.when(has_ip, (key % 180 - 90).cast("double")).alias("latitude"),
-        F.when(has_ip, (key % 360 - 180).cast("double")).alias("longitude"),
-        F.when(key % 3 == 0, F.concat(F.lit("Registrar "), (key % 5).cast("string"))).alias("registrar"),
-    )
+    return spark.sql(ENR_SQL, hosted=hosted_obs(spark, sf_dir))
 
 
 # Raw tables: each feed's observations in the columns of its raw table. Two of the feeds

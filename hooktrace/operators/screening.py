@@ -21,24 +21,36 @@ def screen_urls(observed: DataFrame, threats: DataFrame, spread: Column | None =
     """Observed URLs with the closest match level (NULL for none) and the highest score there.
 
     Threats are cut down to one score per key first, so a join never pairs many
-    threats with many observations of one hosting domain. ``spread`` is hashed to
-    cut up heavy keys: give it the row's own id (default: all its columns).
+    threats with many observations of one hosting domain. The domain and the
+    registrable domain are looked up once per distinct observed domain, so the
+    observations themselves are shuffled twice: by URL and by domain. ``spread``
+    is hashed to cut up heavy keys: give it the row's own id (default: all columns).
     """
     known = _with_keys(threats)
     if spread is None:
         spread = F.struct(*observed.columns)
-    result = _with_keys(observed)
-    for level in LEVELS:
-        best = (
-            known.where(F.col(level).isNotNull())
-            .groupBy(level)
-            .agg(F.max("risk_score").alias(f"__{level}"))
-        )
-        result = balanced_left_join(result, best, level, spread)
+    rows = _with_keys(observed)
+    best = {
+        level: known.where(F.col(level).isNotNull())
+        .groupBy(level)
+        .agg(F.max("risk_score").alias(f"__{level}"))
+        for level in LEVELS
+    }
+    domains = rows.where(F.col("domain").isNotNull()).select("domain", "base_domain").distinct()
+    by_domain = balanced_left_join(
+        domains.join(best["domain"], "domain", "left"),
+        best["base_domain"],
+        "base_domain",
+        F.col("domain"),
+        counted_facts=domains,
+    ).drop("base_domain")
+    result = balanced_left_join(rows, best["url"], "url", spread)
+    result = balanced_left_join(result, by_domain, "domain", spread, counted_facts=rows)
+
     found = [F.col(f"__{level}") for level in LEVELS]
     matched = F.lit(None).cast("string")
-    for level in reversed(LEVELS):
-        matched = F.when(F.col(f"__{level}").isNotNull(), level).otherwise(matched)
+    for level, score in reversed(list(zip(LEVELS, found))):
+        matched = F.when(score.isNotNull(), level).otherwise(matched)
     return result.withColumns({"match_level": matched, "match_score": F.coalesce(*found)}).drop(
         *[f"__{level}" for level in LEVELS]
     )

@@ -130,7 +130,8 @@ _STORED_SQL = "(SELECT url FROM obs WHERE first_seen < TIMESTAMP '2024-01-15 00:
 )
 def skip_known(spark, sf_dir):
     work = fx.raw_work(fx.hosted_obs(spark, sf_dir))
-    return skip_existing(work, _stored(spark, sf_dir)).select("url", "source_feed", "source_id")
+    fresh = skip_existing(work, _stored(spark, sf_dir), spread=F.struct(*work.columns))
+    return fresh.select("url", "source_feed", "source_id")
 
 
 @query(
@@ -139,7 +140,7 @@ def skip_known(spark, sf_dir):
 )
 def exists_flag(spark, sf_dir):
     work = fx.raw_work(fx.hosted_obs(spark, sf_dir))
-    marked = with_exists_flag(work, _stored(spark, sf_dir))
+    marked = with_exists_flag(work, _stored(spark, sf_dir), spread=F.struct(*work.columns))
     return marked.select("url", "source_feed", "source_id", "is_enriched")
 
 

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hooktrace.operators.skew import balanced_left_join
+
 _PLACE = "__place"
 
 
@@ -89,17 +91,34 @@ def dedup_feeds(
     return one_per_key(work.where(F.col("url").isNotNull()), "url", [rank, *ties])
 
 
-def skip_existing(work: DataFrame, enriched: DataFrame, key: str = "url") -> DataFrame:
-    """Rows whose key is not stored yet."""
-    return work.join(enriched.select(key), key, "left_anti")
+def skip_existing(
+    work: DataFrame, enriched: DataFrame, key: str = "url", spread: Column | None = None
+) -> DataFrame:
+    """Rows whose key is not stored yet.
+
+    For rows that are not unique by key give ``spread`` (a column that differs
+    between them): heavy keys are then cut up by it.
+    """
+    if spread is None:
+        return work.join(enriched.select(key), key, "left_anti")
+    marked = with_exists_flag(work, enriched, key, "__known", spread)
+    return marked.where(~F.col("__known")).drop("__known")
 
 
 def with_exists_flag(
-    work: DataFrame, enriched: DataFrame, key: str = "url", flag: str = "is_enriched"
+    work: DataFrame,
+    enriched: DataFrame,
+    key: str = "url",
+    flag: str = "is_enriched",
+    spread: Column | None = None,
 ) -> DataFrame:
-    """All rows, marked by whether their key is stored."""
+    """All rows, marked by whether their key is stored; ``spread`` as in ``skip_existing``."""
     known = enriched.select(key).distinct().withColumn(flag, F.lit(True))
-    return work.join(known, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    if spread is None:
+        joined = work.join(known, key, "left")
+    else:
+        joined = balanced_left_join(work, known, key, spread)
+    return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def load_stats(work: DataFrame, enriched: DataFrame) -> DataFrame:

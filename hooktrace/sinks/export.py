@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hooktrace.functions.dates import as_of_column
 from hooktrace.functions.fields import present_number, present_text
+from hooktrace.operators.paging import first_rows
 
 MAX_EXPORT_ROWS = 50_000
 
@@ -17,7 +18,7 @@ INDICATOR_TYPE = "malicious-activity"
 
 def export_rows(threats: DataFrame, limit: int | None = MAX_EXPORT_ROWS) -> DataFrame:
     """Rows to export, first by id; ``limit=None`` exports all of them, unsorted."""
-    return threats if limit is None else threats.orderBy("id").limit(limit)
+    return threats if limit is None else first_rows(threats, limit)
 
 
 def write_csv(threats: DataFrame, path: str, limit: int | None = MAX_EXPORT_ROWS) -> None:

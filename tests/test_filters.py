@@ -132,3 +132,22 @@ def test_kpis_read_the_table_once(spark, threats, tmp_path):
     plan = plan_of(analytics.kpis(spark.read.parquet(path), NOW))
     physical = plan[plan.index("== Physical Plan"):]
     assert physical.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("count", [1500, 2000, 4000])
+def test_first_rows_equal_a_plain_limit(spark, count):
+    """Evenly spread, clustered, equal and missing keys."""
+    keys = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id"))
+        .when(F.col("id") % 3 == 1, F.xxhash64("id"))
+        .when(F.col("id") % 2 == 0, F.lit(7))
+        .alias("id")
+    )
+    got = [r.id for r in paging.first_rows(keys, count).collect()]
+    want = [r.id for r in keys.orderBy("id").limit(count).collect()]
+    assert got == want
+
+
+def test_first_rows_of_nothing_and_of_one_key(spark):
+    assert paging.first_rows(spark.range(0), 5000).count() == 0
+    assert paging.first_rows(spark.createDataFrame([(3,)] * 10, "id long"), 5000).count() == 10

@@ -62,3 +62,13 @@ def domain_age_days(creation_date: Column, as_of: str | datetime | Column) -> Co
 def cert_days_left(cert_valid_to: Column, as_of: str | datetime | Column) -> Column:
     """Whole days until the certificate (text form) runs out, rounded down."""
     return F.floor(days_between(as_of_column(as_of), cert_timestamp(cert_valid_to)))
+
+
+def utc_instant(moment: Column) -> Column:
+    """UTC ``TIMESTAMP_NTZ`` to the instant it names, whatever the session time zone is."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), moment).cast("timestamp")
+
+
+def utc_wall_time(instant: Column) -> Column:
+    """An instant as UTC ``TIMESTAMP_NTZ``, whatever the session time zone is."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))

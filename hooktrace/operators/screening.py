@@ -30,21 +30,25 @@ def screen_urls(observed: DataFrame, threats: DataFrame, spread: Column | None =
     if spread is None:
         spread = F.struct(*observed.columns)
     rows = _with_keys(observed)
-    best = {
-        level: known.where(F.col(level).isNotNull())
-        .groupBy(level)
-        .agg(F.max("risk_score").alias(f"__{level}"))
-        for level in LEVELS
-    }
+    best_url = known.groupBy("url").agg(F.max("risk_score").alias("__url"))
+    best_domain = (
+        known.where(F.col("domain").isNotNull())
+        .groupBy("domain")
+        .agg(F.max("risk_score").alias("__domain"))
+    )
+    # The registrable domain follows from the domain, so its best score does too.
+    best_base = best_domain.groupBy(base_domain(F.col("domain")).alias("base_domain")).agg(
+        F.max("__domain").alias("__base_domain")
+    )
     domains = rows.where(F.col("domain").isNotNull()).select("domain", "base_domain").distinct()
     by_domain = balanced_left_join(
-        domains.join(best["domain"], "domain", "left"),
-        best["base_domain"],
+        domains.join(best_domain, "domain", "left"),
+        best_base,
         "base_domain",
         F.col("domain"),
         counted_facts=domains,
     ).drop("base_domain")
-    result = balanced_left_join(rows, best["url"], "url", spread)
+    result = balanced_left_join(rows, best_url, "url", spread)
     result = balanced_left_join(result, by_domain, "domain", spread, counted_facts=rows)
 
     found = [F.col(f"__{level}") for level in LEVELS]

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from hooktrace.plans.enrichment import Snapshots, enrich
+from hooktrace.functions.dates import utc_instant, utc_wall_time
 from hooktrace.operators.upsert import dedup_feeds, skip_existing
+from hooktrace.plans.enrichment import Snapshots, enrich
 from hooktrace.sinks import store
 
 
@@ -33,26 +34,26 @@ def dedup_stream(rows: DataFrame, time_column: str, delay: str, key: str = "url"
     State for a key is dropped once the watermark has passed it by ``delay``,
     so choose a delay at least as long as keys keep repeating.
     """
-    timed = rows.withColumn(time_column, F.col(time_column).cast("timestamp"))
+    timed = rows.withColumn(time_column, utc_instant(F.col(time_column)))
     return timed.withWatermark(time_column, delay).dropDuplicatesWithinWatermark([key])
 
 
 def daily_counts(
     rows: DataFrame, time_column: str, delay: str | None = None, source: str = "source_feed"
 ) -> DataFrame:
-    """Threats per day and feed.
+    """Threats per UTC day and feed; the time column is a ``TIMESTAMP_NTZ`` in UTC.
 
     With ``delay`` a watermark bounds the state and append mode is possible;
     without one use complete mode.
     """
-    timed = rows.withColumn(time_column, F.col(time_column).cast("timestamp"))
+    timed = rows.withColumn(time_column, utc_instant(F.col(time_column)))
     if delay:
         timed = timed.withWatermark(time_column, delay)
     counted = timed.groupBy(F.window(time_column, "1 day").alias("day"), F.col(source)).agg(
         F.count(F.lit(1)).alias("count")
     )
     return counted.select(
-        F.date_format("day.start", "yyyy-MM-dd").alias("date"), source, "count"
+        utc_wall_time(F.col("day.start")).cast("date").cast("string").alias("date"), source, "count"
     )
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from hooktrace import fixtures as fx
@@ -26,11 +27,16 @@ def test_dedup_over_batches_equals_distinct(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == {r.url for r in rows.select("url").distinct().collect()}
 
 
-def test_daily_counts_equal_batch(spark, tmp_path):
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_daily_counts_equal_batch(spark, tmp_path, zone):
     rows = fx.obs(spark, SF).select("first_seen", "source_feed")
     stream = _drop_folder(spark, tmp_path, rows, 3)
     out = str(tmp_path / "out")
-    feeds.run_available_complete(feeds.daily_counts(stream, "first_seen"), out, str(tmp_path / "state"))
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        feeds.run_available_complete(feeds.daily_counts(stream, "first_seen"), out, str(tmp_path / "state"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     got = {tuple(r) for r in spark.read.parquet(out).select("date", "source_feed", "count").collect()}
     want = rows.groupBy(F.date_format("first_seen", "yyyy-MM-dd"), "source_feed").count().collect()
     assert got == {tuple(r) for r in want}

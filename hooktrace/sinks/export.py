@@ -10,9 +10,7 @@ from hooktrace.operators.paging import first_rows
 
 MAX_EXPORT_ROWS = 50_000
 
-# Fixed values of the exported STIX objects.
-IDENTITY_ID = "identity--threat-intel-dashboard"
-IDENTITY_NAME = "Threat Intelligence Dashboard"
+# Fixed value of the exported indicators.
 INDICATOR_TYPE = "malicious-activity"
 
 
@@ -30,12 +28,12 @@ def _iso(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def _indicator_id(url: Column) -> Column:
-    """Stable UUID-shaped id from the URL (custom version 8, RFC variant)."""
-    digest = F.sha2(url, 256)
+def _stix_id(kind: str, text: Column) -> Column:
+    """Stable UUID-shaped id from a text (custom version 8, RFC variant)."""
+    digest = F.sha2(text, 256)
     part = lambda start, length: F.substring(digest, start, length)
     return F.concat(
-        F.lit("indicator--"),
+        F.lit(f"{kind}--"),
         F.concat_ws(
             "-",
             part(1, 8),
@@ -72,7 +70,7 @@ def stix_indicators(
     indicator = F.struct(
         F.lit("indicator").alias("type"),
         F.lit("2.1").alias("spec_version"),
-        _indicator_id(c("url")).alias("id"),
+        _stix_id("indicator", c("url")).alias("id"),
         seen.alias("created"),
         seen.alias("modified"),
         F.concat(F.lit("Phishing URL: "), F.coalesce(c("domain"), F.lit("Unknown"))).alias("name"),
@@ -101,8 +99,13 @@ def write_stix(
     stix_indicators(threats, as_of, limit).select("indicator").write.text(path)
 
 
-def stix_bundle(threats: DataFrame, as_of, limit: int = MAX_EXPORT_ROWS) -> DataFrame:
-    """One row with a whole bundle as JSON text.
+def stix_bundle(
+    threats: DataFrame,
+    as_of,
+    limit: int = MAX_EXPORT_ROWS,
+    identity_name: str = "Threat feed analytics",
+) -> DataFrame:
+    """One row with a whole bundle as JSON text: the identity of the sender, then the indicators.
 
     A bundle is one document and so one row. It is offered only up to the
     export limit; larger sets are written as JSON lines.
@@ -114,10 +117,10 @@ def stix_bundle(threats: DataFrame, as_of, limit: int = MAX_EXPORT_ROWS) -> Data
         F.struct(
             F.lit("identity").alias("type"),
             F.lit("2.1").alias("spec_version"),
-            F.lit(IDENTITY_ID).alias("id"),
+            _stix_id("identity", F.lit(identity_name)).alias("id"),
             now.alias("created"),
             now.alias("modified"),
-            F.lit(IDENTITY_NAME).alias("name"),
+            F.lit(identity_name).alias("name"),
             F.lit("system").alias("identity_class"),
         )
     )
@@ -126,6 +129,10 @@ def stix_bundle(threats: DataFrame, as_of, limit: int = MAX_EXPORT_ROWS) -> Data
         ",", F.array(identity), F.transform(members, lambda m: m["indicator"])
     )
     text = F.concat(
-        F.lit('{"type":"bundle","id":"bundle--'), now, F.lit('","objects":['), objects, F.lit("]}")
+        F.lit('{"type":"bundle","id":"'),
+        _stix_id("bundle", F.concat(F.lit(identity_name), now)),
+        F.lit('","objects":['),
+        objects,
+        F.lit("]}"),
     )
     return stix_indicators(threats, as_of, limit).agg(text.alias("bundle"))

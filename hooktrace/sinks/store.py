@@ -20,10 +20,23 @@ from hooktrace.sources.tables import conform, path_exists, with_default_score
 
 KEEP_ON_REPLACE = ("first_seen", "created_at")
 
+# Rows of a file are sorted by what filters ask for most, so that the row-group
+# statistics let a scan skip. The sort is local: it moves no rows between tasks.
+_FILE_ORDER = ("source_feed", "first_seen")
+
 
 def append_batch(rows: DataFrame, root: str, batch_id: int) -> None:
     """Write one load."""
-    conform(rows, ENRICHED).write.mode("overwrite").parquet(f"{root}/log/batch_id={batch_id}")
+    sorted_rows = conform(rows, ENRICHED).sortWithinPartitions(*_FILE_ORDER)
+    sorted_rows.write.mode("overwrite").parquet(f"{root}/log/batch_id={batch_id}")
+
+
+def stored_urls(spark: SparkSession, root: str, through: int | None = None) -> DataFrame:
+    """URLs of the table, possibly repeated: a scan of one column, for anti-joins."""
+    base_id = _newest_base(spark, root)
+    base = _base(spark, root, base_id).select("url")
+    log = _log(spark, root, base_id, through)
+    return base if log is None else base.union(log.select("url"))
 
 
 def current(
@@ -56,7 +69,7 @@ def compact(spark: SparkSession, root: str, reset_first_seen: bool = False) -> i
     newest = max(ids)
     if newest > _newest_base(spark, root):
         rows = current(spark, root, reset_first_seen, through=newest)
-        rows.write.parquet(f"{root}/base/through={newest}")
+        rows.sortWithinPartitions(*_FILE_ORDER).write.parquet(f"{root}/base/through={newest}")
     return newest
 
 

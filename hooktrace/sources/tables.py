@@ -37,6 +37,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def create_table(spark: SparkSession, path: str, schema: StructType) -> None:
+    """Write an empty table unless there is one already."""
+    if not path_exists(spark, path):
+        spark.createDataFrame([], schema).write.parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Parquet table in the given schema; an empty one when the path is not there yet."""
     if not path_exists(spark, path):

@@ -116,7 +116,7 @@ def enrich_stream(
         fresh = dedup_feeds(batch)
         if skip_stored:
             # Loads before this one only: a batch that runs again must see the same table.
-            fresh = skip_existing(fresh, store.current(spark, root, through=batch_id - 1))
+            fresh = skip_existing(fresh, store.stored_urls(spark, root, through=batch_id - 1))
         store.append_batch(enrich(fresh, snapshots, as_of, **options), root, batch_id)
 
     return run_batches(work, load, checkpoint)

@@ -103,3 +103,12 @@ def test_missing_table_is_empty_and_old_rows_get_score_zero(spark, tmp_path):
 def test_tags_text(spark):
     tags = spark.createDataFrame([('["x","y"]',), ("[]",), ("plain",), (None,)], "t string")
     assert [r[0] for r in tags.select(feeds.tags_text(F.col("t"))).collect()] == ["x,y", "", "plain", None]
+
+
+def test_create_table_leaves_a_table_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.create_table(spark, path, ENRICHED)
+    assert spark.read.parquet(path).schema == ENRICHED
+    spark.createDataFrame([("u",)], "url string").write.mode("overwrite").parquet(path)
+    tables.create_table(spark, path, ENRICHED)
+    assert tables.read_enriched(spark, path).count() == 1

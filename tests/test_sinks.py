@@ -66,7 +66,10 @@ def test_indicators(threats):
 def test_bundle_is_one_document(threats, tmp_path):
     bundle = json.loads(export.stix_bundle(threats, NOW).first()[0])
     assert [o["type"] for o in bundle["objects"]] == ["identity", "indicator", "indicator"]
-    assert bundle["type"] == "bundle"
+    assert bundle["type"] == "bundle" and len(bundle["id"]) == len("bundle--") + 36
+    assert bundle["objects"][0]["name"] == "Threat feed analytics"
+    again = json.loads(export.stix_bundle(threats, NOW).first()[0])
+    assert again == bundle
     with pytest.raises(ValueError):
         export.stix_bundle(threats, NOW, limit=export.MAX_EXPORT_ROWS + 1)
     export.write_stix(threats, str(tmp_path / "s"), NOW, limit=None)
@@ -102,6 +105,19 @@ def test_store_keeps_last_load_and_first_sighting(spark, tmp_path):
     assert show() == [("a", 3, "no", 1), ("b", 9, "no", 1), ("c", 4, "no", 5)]
 
 
+def test_stored_urls(spark, tmp_path):
+    root = str(tmp_path / "threats")
+    assert store.stored_urls(spark, root).count() == 0
+    store.append_batch(_load(spark, (1, "a", "yes", SEEN)), root, 0)
+    store.compact(spark, root)
+    store.append_batch(_load(spark, (2, "b", "yes", SEEN)), root, 1)
+    urls = lambda **o: sorted(r.url for r in store.stored_urls(spark, root, **o).collect())
+    assert urls() == ["a", "b"] and urls(through=0) == ["a"]
+    files = "FileScan"
+    plan = store.stored_urls(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert files in plan and "ReadSchema: struct<url:string>" in plan
+
+
 def test_unfinished_load_is_not_read(spark, tmp_path):
     root = str(tmp_path / "threats")
     store.append_batch(_load(spark, (1, "a", "yes", SEEN)), root, 0)

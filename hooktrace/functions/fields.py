@@ -109,7 +109,7 @@ def title_language(title: Column) -> Column:
     lowered = F.lower(title)
     guess = F
     for language, words in TITLE_WORDS.items():
-        hit = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words])
+        hit = reduce(lambda a, b: a | b, [lowered.contains(w) for w in words])
         guess = guess.when(hit, language)
     return guess
 

@@ -31,6 +31,13 @@ def heavy_keys(
     )
 
 
+def fits_broadcast(dim: DataFrame) -> bool:
+    """True when Spark's own size estimate puts a table under its broadcast limit."""
+    limit = dim.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def balanced_left_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -49,7 +56,12 @@ def balanced_left_join(
 
     ``counted_facts`` may name a cheaper frame with the same key counts, such
     as a stored table, when ``facts`` is costly to compute twice.
+
+    A table under Spark's broadcast limit is joined without any of this: the
+    facts then stay where they are, so no task gets more rows than it had.
     """
+    if fits_broadcast(dim):
+        return facts.join(dim, key, "left")
     heavy = heavy_keys(facts if counted_facts is None else counted_facts, key, rows_per_slice, limit)
     mixed = F.xxhash64(spread)
     slice_of = F.when(F.col(key).isNull(), F.pmod(mixed, F.lit(MAX_SLICES))).otherwise(

@@ -132,3 +132,14 @@ def test_whois_and_cert_shapes(spark):
     )
     got = {r.url: (r.ssl_enabled, r.cert_issuer, r.cert_subject) for r in lookups.join_cert(rows, certs).collect()}
     assert got == {"u1": ("no", None, None), "u2": ("yes", "Org", "b.com")}
+
+
+def test_small_stored_table_is_joined_without_slices(spark, tmp_path):
+    path = str(tmp_path / "dim")
+    spark.createDataFrame([("a", 1)], "key string, v int").write.parquet(path)
+    facts = spark.range(10).select("id", F.when(F.col("id") < 5, "a").alias("key"))
+    joined = skew.balanced_left_join(facts, spark.read.parquet(path), "key", F.col("id"))
+    plan = plan_of(joined)
+    physical = plan[plan.index("== Physical Plan"):]
+    assert "BroadcastHashJoin" in physical and "hashpartitioning" not in physical
+    assert joined.where("v = 1").count() == 5 and joined.count() == 10

@@ -2,7 +2,8 @@ import pytest
 from conftest import plan_of
 
 import check
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from hooktrace.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,13 +20,13 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     """Same rows as the SQL, by a plan without pairwise joins and without Python."""
-    frame = queries()[name](spark, SF)
+    frame = QUERIES[name](spark, SF)
     plan = plan_of(frame)
     physical = plan[plan.index("== Physical Plan"):]
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas"):

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hooktrace.llm import pii, topk, warc
+from hooktrace.llm import imatch, pieces, pii, topk, toxicity, trie, warc
 from hooktrace.sinks.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +117,51 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_digest(spans, pii.BASE_KINDS), 256).alias("base_sha256"),
         pii.span_digest(spans).alias("spans"),
     )
+
+
+@query("op4_imatch")
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    docs = table(spark, sf_dir, "documents")
+    return imatch.compare_edits(docs, imatch.build_lexicon(docs))
+
+
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and what they decode to, as digests."""
+    rows = pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query("op8_ngram_trie")
+def op8_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every text."""
+    scored = trie.score_texts(table(spark, sf_dir, "documents"))
+    return scored.select(
+        "doc_id",
+        (~trie.in_training(F.col("doc_id"))).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hooktrace.llm import imatch, pieces, pii, topk, toxicity, trie, warc
+from hooktrace.llm import html_text, imatch, pieces, pii, topk, toxicity, trie, warc
 from hooktrace.sinks.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +165,11 @@ def op8_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@query("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rows = html_text.extract(pages, html_text.fit(pages))
+    return rows.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -12,10 +12,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 _WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
-MAX_ROWS = 8_000
+MAX_ROWS = 6_000
 LEXICON_VOTERS = 8
 FEATURES = 4_096
 HELD_OUT = 5
+VOTER_G2 = 16.0
+FEATURE_G2 = 12.0
+# Natural logarithms of odds ratios: terms must matter, not just be told apart by many rows.
+VOTER_ODDS = 4.0
+FEATURE_ODDS = 1.5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -30,24 +35,26 @@ def terms(text: str) -> set[str]:
     return words | stems
 
 
-def log_odds(docs: list[set[str]], target: np.ndarray, least: float) -> dict[str, tuple[float, float]]:
-    """Per term the smoothed log odds ratio, and its distance from zero in standard errors."""
-    positive, negative = Counter(), Counter()
-    weight = float(target.sum())
-    for held, t in zip(docs, target):
-        if t > 0.5:
-            positive.update(held)
-        else:
-            negative.update(held)
-    n1, n0 = weight, len(docs) - weight
+def evidence(docs: list[set[str]], target: np.ndarray) -> dict[str, tuple[float, float]]:
+    """Per term the log odds ratio of class 1, and the log-likelihood ratio statistic G2.
+
+    ``target`` may be soft: it is the weight that a document has in class 1.
+    """
+    sums, counts = Counter(), Counter()
+    for held, t in zip(docs, target.tolist()):
+        counts.update(held)
+        for term in held:
+            sums[term] += t
+    n1 = float(target.sum())
+    n0 = len(docs) - n1
+    share = n1 / len(docs)
     out = {}
-    for term in positive.keys() | negative.keys():
-        a, b = positive[term] + 0.5, negative[term] + 0.5
-        if a + b < least + 1:
-            continue
-        ratio = np.log(a / max(n1 - a + 1.0, 0.5)) - np.log(b / max(n0 - b + 1.0, 0.5))
-        error = np.sqrt(1 / a + 1 / b)
-        out[term] = (float(ratio), float(ratio / error))
+    for term, n in counts.items():
+        a = min(max(sums[term], 0.0), n)
+        b = n - a
+        ratio = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
+        g2 = 2 * ((a * np.log(a / (n * share)) if a > 0 else 0.0) + (b * np.log(b / (n * (1 - share))) if b > 0 else 0.0))
+        out[term] = (float(ratio), float(g2))
     return out
 
 
@@ -172,15 +179,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> LinearM
     if not 0 < prior < 1:
         base = 1e-6 if prior == 0 else 1 - 1e-6
         return LinearModel({}, float(np.log(base / (1 - base))))
-    held = [terms(r[1]) for r in found]
-    odds = log_odds(held, target, least=5)
-    lexicon = {t: o for t, (o, z) in odds.items() if o > 3.0 and z > 2.5}
+    return fit_rows([r[1] for r in found], target)[0]
+
+
+def fit_rows(texts: list[str], target: np.ndarray) -> tuple[LinearModel, dict]:
+    """The model of labelled texts, and what was learned on the way."""
+    held = [terms(t) for t in texts]
+    mined = evidence(held, target)
+    lexicon = {t: o for t, (o, g) in mined.items() if o >= VOTER_ODDS and g >= VOTER_G2}
     voters = Voters(lexicon)
-    votes = np.array([voters.votes(r[1], h) for r, h in zip(found, held)])
-    posterior = label_model(votes, prior)
-    soft = log_odds(held, posterior, least=3)
-    chosen = sorted(soft, key=lambda t: (-abs(soft[t][1]), t))[:FEATURES]
-    return train_linear(held, posterior, chosen)
+    votes = np.array([voters.votes(t, h) for t, h in zip(texts, held)])
+    posterior = label_model(votes, float(target.mean()))
+    soft = evidence(held, posterior)
+    chosen = sorted((t for t in soft if abs(soft[t][0]) >= FEATURE_ODDS and soft[t][1] >= FEATURE_G2), key=lambda t: (-soft[t][1], t))[:FEATURES]
+    model = train_linear(held, posterior, chosen)
+    return model, {"lexicon": len(lexicon), "features": len(chosen), "agree": float(((posterior > 0.5) == (target > 0.5)).mean())}
 
 
 def score(docs: DataFrame, model: LinearModel, text: str = "text", out: str = "score") -> DataFrame:

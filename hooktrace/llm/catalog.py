@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hooktrace.llm import html_text, imatch, pieces, pii, topk, toxicity, trie, warc
+from hooktrace.llm import html_text, imatch, jaccard, pieces, pii, topk, toxicity, trie, warc
 from hooktrace.sinks.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +173,25 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     rows = html_text.extract(pages, html_text.fit(pages))
     return rows.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query(
+    "op10_jaccard",
+    r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM d),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM g),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS inter, any_value(a.n) + any_value(b.n) AS total
+ FROM t a JOIN t b ON a.token = b.token AND a.doc_id < b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY ALL),
+e AS (SELECT x, y FROM p WHERE 100 * inter >= 90 * (total - inter)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(node, reach) AS (SELECT doc_id, doc_id FROM g UNION SELECT r.node, u.y FROM r JOIN u ON r.reach = u.x)
+SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.component_id
+FROM g JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) m ON g.doc_id = m.node""",
+)
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are similar to 90 per cent."""
+    found = jaccard.similar_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))

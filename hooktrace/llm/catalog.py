@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hooktrace.llm import html_text, imatch, jaccard, pieces, pii, topk, toxicity, trie, warc
+from hooktrace.llm import html_text, imatch, jaccard, mixing, pieces, pii, topk, toxicity, trie, warc
 from hooktrace.sinks.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,3 +195,20 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles are similar to 90 per cent."""
     found = jaccard.similar_components(table(spark, sf_dir, "documents"), words=3, percent=90)
     return found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query(
+    "op3_poisson_mix",
+    """
+WITH c AS (SELECT source, count(*) AS n, CAST(count(*) AS DOUBLE) ** 0.5 AS w FROM documents GROUP BY source),
+r AS (SELECT source, (SELECT sum(n) FROM c) / (SELECT sum(w) FROM c) * w / n AS rate FROM c),
+p AS (SELECT source, k, sum(exp(k * ln(rate) - rate - CASE WHEN k > 0 THEN lgamma(k + 1) ELSE 0 END)) OVER (PARTITION BY source ORDER BY k) AS cdf
+ FROM r, range(0, 90) t(k)),
+d AS (SELECT doc_id, source, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':0:1'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
+n AS (SELECT d.doc_id, d.source, count(*) AS copies FROM d JOIN p ON d.source = p.source AND p.cdf < d.u GROUP BY ALL)
+SELECT doc_id, source, CAST(unnest(range(0, copies)) AS INTEGER) AS copy FROM n""",
+)
+def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken so that sources weigh as the square roots of their sizes."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, copy_column="copy").select("doc_id", "source", "copy")

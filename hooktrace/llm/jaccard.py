@@ -229,7 +229,8 @@ def similar_components(
 ) -> DataFrame:
     """Components of the documents linked by a Jaccard similarity of n-gram sets of ``percent`` per cent.
 
-    Returns the key, ``size`` (distinct n-grams) and ``component`` (smallest key reachable by links).
+    Returns the key, ``size`` (distinct n-grams), ``component`` (smallest key reachable by links),
+    ``root`` (number of the component, null for texts without words) and ``ref`` (of the row: key and text).
     The join is exact: equal sets become one member; every set is cut into parts of which a similar
     set must share one whole (see ``Sizes``); sets that share parts are put into groups of about
     ``group_rows``; two groups with a part in common meet in one task, which bounds the overlap of a
@@ -289,6 +290,28 @@ def similar_components(
     placed = sets.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("key").alias("component"))
     out = placed.join(smallest, "root", "left")
-    return out.select(
-        F.col("key").alias(key), "size", F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component")).alias("component")
-    )
+    component = F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component"))
+    return out.select(F.col("key").alias(key), "size", component.alias("component"), "root", "ref")
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the smallest key.
+
+    Rows that share the smallest key are equal texts or near copies as well, so the one with the
+    smallest hash of its text stays, and of equal rows one. A component of null keys alone keeps
+    one of its rows; texts without words all stay. Columns are those of ``docs``.
+    """
+    found = similar_components(docs, key=key, text=text, words=words, percent=percent)
+    return _one_of_each(docs, found, key, text)
+
+
+def _one_of_each(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    first = found.where("size > 0").groupBy("root").agg(F.min(F.struct(F.col(key), F.col("ref"))).alias("f")).select("f.ref")
+    kept = first.unionByName(found.where("size = 0").select("ref").distinct())
+    row = F.struct("*")
+    ref = F.concat_ws(":", F.xxhash64(text).cast("string"), F.col(key).cast("string"))
+    rows = docs.select(row.alias("row"), ref.alias("ref")).join(kept, "ref", "left_semi")
+    # The join has dealt rows by their reference, so numbering moves nothing.
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("ref").orderBy("ref")))
+    wordless = ~F.coalesce(F.col("row").getField(text), F.lit("")).rlike(r"[^ \t-\r]")
+    return numbered.where((F.col("n") == 1) | wordless).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -162,6 +162,17 @@ def _block_sums(steps: Column) -> Column:
     return F.when(F.size(steps) > 0, sums).otherwise(F.array().cast("array<bigint>"))
 
 
+def _fill(kind: str, hits: Column):
+    """Puts what a piece of text follows in front of it: a valid hit as its kind, another as it was."""
+
+    def run(piece: Column, i: Column) -> Column:
+        hit = F.element_at(hits, F.greatest(i, F.lit(1)))
+        before = F.when(valid(kind, hit), F.lit(f"[{kind.upper()}]")).otherwise(hit)
+        return F.when(i < 1, piece).otherwise(F.concat(before, piece))
+
+    return run
+
+
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace every valid span in the text column by its kind in brackets, such as ``[EMAIL]``.
 
@@ -174,18 +185,7 @@ def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
         rows = masked.select(F.struct("*").alias("row"), F.col(_quoted(text)).alias("text"))
         rows = rows.select("*", _hits(F.col("text"), kind).alias("h"))
         rows = rows.select("*", _pieces(F.col("text"), F.col("h"), kind).alias("p"))
-        label = F.lit(f"[{kind.upper()}]")
-        filled = F.transform(
-            F.col("p"),
-            lambda piece, i, k=kind, label=label: F.when(i < 1, piece).otherwise(
-                F.concat(
-                    F.when(valid(k, F.element_at(F.col("h"), F.greatest(i, F.lit(1)))), label).otherwise(
-                        F.element_at(F.col("h"), F.greatest(i, F.lit(1)))
-                    ),
-                    piece,
-                )
-            ),
-        )
+        filled = F.transform(F.col("p"), _fill(kind, F.col("h")))
         new = F.when(F.size("h") > 0, F.array_join(filled, "")).otherwise(F.col("text"))
         masked = rows.select(*[new.alias(text) if c == text else k for c, k in zip(docs.columns, kept)])
     return masked

@@ -43,7 +43,8 @@ class Lexicon:
 
     def fingerprint(self, text: str) -> str:
         """The subsets' hashes in a row, of fixed width; zeros for a subset without terms."""
-        held = sorted(filter(None.__ne__, map(self.rank.get, terms(text))))
+        rank = self.rank
+        held = sorted(rank[t] for t in terms(text) if t in rank)
         codes, members = self.code[held], self.member[:, held]
         return "".join(
             xxhash.xxh64_hexdigest(codes[mask].tobytes())[:WIDTH] if mask.any() else _EMPTY for mask in members

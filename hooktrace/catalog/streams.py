@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from hooktrace import fixtures as fx
 from hooktrace.catalog.registry import query
-from hooktrace.sinks.shared import shared_folder
+from hooktrace.plans.enrichment import Snapshots
+from hooktrace.sinks import store
+from hooktrace.sinks.shared import shared_folder, staged
 from hooktrace.streaming import feeds
 
 # Longer than any span of test events: each URL is kept for the whole stream.
@@ -36,4 +38,26 @@ def stream_daily(spark, sf_dir):
     rows = fx.obs(spark, sf_dir, _event_stream(spark, sf_dir)).select("first_seen", "source_feed")
     out = shared_folder(spark, "stream-daily")
     feeds.run_available_complete(feeds.daily_counts(rows, "first_seen"), f"{out}/rows", f"{out}/state")
-    return spark.read.parquet(f"{out}/rows").select("date", "source_feed", F.col("count"))
+    return feeds.read_newest(spark, f"{out}/rows").select("date", "source_feed", F.col("count"))
+
+
+@query(
+    "stream_enrich",
+    """
+SELECT DISTINCT h.url, h.domain, h.tld, g.country_name FROM hosted h JOIN (
+ SELECT url, max_by(source_feed, feed_rank) AS feed FROM raw_work GROUP BY url) w ON w.url = h.url
+LEFT JOIN (SELECT domain, dns_ip, CAST(split_part(dns_ip, '.', 1) AS BIGINT) * 16777216 AS ip FROM dim_dns) d
+ ON d.domain = h.domain LEFT JOIN dim_geo g ON d.ip BETWEEN g.lo AND g.hi""",
+)
+def stream_enrich(spark, sf_dir):
+    """A work list enriched batch by batch into the stored table; what is stored is skipped."""
+    rows = staged(fx.hosted_obs(spark, sf_dir).drop("html"), "observations")
+    # Without addresses of their own, URLs take that of their domain, whichever feed came first.
+    work = fx.raw_work(rows).withColumn("ip_address", F.lit(None).cast("string"))
+    out = shared_folder(spark, "stream-enrich")
+    work.repartition(3).write.parquet(f"{out}/drop")
+    stream = feeds.read_drop_folder(spark, f"{out}/drop", work.schema, files_per_batch=1)
+    snapshots = Snapshots(dns=fx.dim_dns(rows), city=fx.dim_geo(spark, sf_dir))
+    feeds.enrich_stream(stream, snapshots, f"{out}/threats", f"{out}/state", fx.AS_OF)
+    stored = store.current(spark, f"{out}/threats")
+    return stored.select("url", "domain", "tld", F.col("country_name"))

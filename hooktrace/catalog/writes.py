@@ -9,10 +9,12 @@ from hooktrace.catalog.joins import _STORED_SQL, _stored
 from hooktrace.catalog.registry import query
 from hooktrace.operators import paging, upsert
 from hooktrace.plans.enrichment import with_score
-from hooktrace.schemas import ENRICHED
+from hooktrace.schemas import ENRICHED, RAW_LINE_FEED
 from hooktrace.sinks import export, store
-from hooktrace.sinks.shared import shared_folder
-from hooktrace.sources.tables import conform
+from hooktrace.sinks.shared import shared_folder, staged
+from hooktrace.sources import feeds
+from hooktrace.sources.tables import conform, read_enriched, read_table
+from hooktrace.sources.tables import create_table as new_table
 
 
 def _early():
@@ -190,7 +192,7 @@ _CSV_COLUMNS = (
     "export_csv",
     """
 SELECT id, url, domain, online, http_status_code, source_feed, asn, country, target_brand, latitude,
- strftime(first_seen, '%Y-%m-%d %H:%M:%S.%f') AS first_seen FROM enr ORDER BY id LIMIT 50000""",
+ strftime(first_seen, '%Y-%m-%d %H:%M:%S.%f') AS first_seen FROM enr""",
 )
 def export_csv(spark, sf_dir):
     rows = fx.time_text(fx.enr(spark, sf_dir), "first_seen").select(*_CSV_COLUMNS)
@@ -199,6 +201,15 @@ def export_csv(spark, sf_dir):
     return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
 
 
+@query("export_capped", "SELECT id, url FROM enr ORDER BY id LIMIT 300")
+def export_capped(spark, sf_dir):
+    """A cap only where the caller asks for one: the first rows by id."""
+    rows = fx.enr(spark, sf_dir).select("id", "url")
+    path = shared_folder(spark, "csv-export")
+    export.write_csv(rows, path, limit=300)
+    return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
+
+
 @query(
     "export_stix",
     r"""
@@ -213,33 +224,155 @@ SELECT id, '{"type":"indicator","spec_version":"2.1","id":"indicator--' || subst
  || coalesce(',"x_asn":' || CAST(asn AS VARCHAR), '') || coalesce(',"x_asn_name":"' || asn_name || '"', '')
  || coalesce(',"x_ssl_enabled":"' || ssl_enabled || '"', '') || '}' AS indicator
 FROM (SELECT *, sha256(url) AS h, strftime(first_seen, '%Y-%m-%dT%H:%M:%S.') || substr(strftime(first_seen, '%f'), 1, 3)
-  || 'Z' AS seen FROM enr)
-ORDER BY id LIMIT 50000""",
+  || 'Z' AS seen FROM enr)""",
 )
 def export_stix(spark, sf_dir):
     return export.stix_indicators(fx.enr(spark, sf_dir), fx.AS_OF)
 
 
-@query(
-    "store_current",
-    """
-WITH loads AS (SELECT id, url, online, first_seen, last_seen,
- CASE WHEN first_seen < TIMESTAMP '2024-01-15 00:00:00' THEN 0 ELSE 1 END AS batch FROM obs),
-kept AS (SELECT batch, url, min(first_seen) AS earliest FROM loads GROUP BY batch, url),
-last AS (SELECT * FROM loads QUALIFY row_number() OVER (PARTITION BY batch, url ORDER BY last_seen DESC, id DESC) = 1)
-SELECT l.id, l.url, l.online, strftime(k.earliest, '%Y-%m-%d %H:%M:%S.%f') AS first_seen
-FROM last l JOIN (SELECT url, min(earliest) AS earliest FROM kept GROUP BY url) k USING (url)
-QUALIFY row_number() OVER (PARTITION BY l.url ORDER BY l.batch DESC) = 1""",
-)
-def store_current(spark, sf_dir):
-    """Two loads into the stored table with a compaction after the first."""
-    rows = conform(
-        with_score(fx.hosted_obs(spark, sf_dir).withColumn("source_id", F.col("id")), fx.AS_OF), ENRICHED
+_LOADS_SQL = """
+WITH loads AS (SELECT id, url, online, first_seen, last_seen, CASE WHEN first_seen < TIMESTAMP '2024-01-10 00:00:00' THEN 0
+ WHEN first_seen < TIMESTAMP '2024-01-20 00:00:00' THEN 1 ELSE 2 END AS batch FROM obs),
+last AS (SELECT * FROM loads QUALIFY row_number() OVER (PARTITION BY url ORDER BY batch DESC, last_seen DESC, id DESC) = 1),
+now AS (SELECT l.id, l.url, l.online, strftime(k.earliest, '%Y-%m-%d %H:%M:%S.%f') AS first_seen
+ FROM last l JOIN (SELECT url, min(first_seen) AS earliest FROM loads GROUP BY url) k USING (url))
+SELECT * FROM now"""
+
+
+def _three_loads(spark, sf_dir) -> str:
+    """A stored table: loads 0 and 2 and a compaction, then load 1 comes late."""
+    rows = staged(
+        conform(with_score(fx.hosted_obs(spark, sf_dir).withColumn("source_id", F.col("id")), fx.AS_OF), ENRICHED),
+        "loads",
     )
+    day = lambda text: F.lit(f"{text} 00:00:00").cast("timestamp_ntz")
+    number = F.when(F.col("first_seen") < day("2024-01-10"), 0).when(F.col("first_seen") < day("2024-01-20"), 1).otherwise(2)
     root = shared_folder(spark, "threats")
-    store.append_batch(rows.where(_early()), root, 0)
+    for n in (0, 2):
+        store.append_batch(rows.where(number == n), root, n)
     store.compact(spark, root)
-    store.append_batch(rows.where(~_early()), root, 1)
-    return fx.time_text(store.current(spark, root), "first_seen").select(
-        "id", "url", "online", "first_seen"
+    store.append_batch(rows.where(number == 1), root, 1)
+    return root
+
+
+@query("store_current", _LOADS_SQL)
+def store_current(spark, sf_dir):
+    root = _three_loads(spark, sf_dir)
+    return fx.time_text(store.current(spark, root), "first_seen").select("id", "url", "online", "first_seen")
+
+
+@query("store_lookup", f"{_LOADS_SQL} WHERE url = (SELECT min(url) FROM obs)")
+def store_lookup(spark, sf_dir):
+    """One row by its URL."""
+    root = _three_loads(spark, sf_dir)
+    url = fx.obs(spark, sf_dir).agg(F.min("url")).first()[0]
+    found = store.lookup(spark, root, url=url)
+    return fx.time_text(found, "first_seen").select("id", "url", "online", "first_seen")
+
+
+@query(
+    "schema_evolve",
+    """
+SELECT id, url, CASE WHEN first_seen < TIMESTAMP '2024-01-15 00:00:00' THEN 0 ELSE risk_score END AS risk_score,
+ CASE WHEN first_seen >= TIMESTAMP '2024-01-15 00:00:00' THEN domain END AS domain FROM scored""",
+)
+def schema_evolve(spark, sf_dir):
+    """Files from before a column was added, beside files that have it."""
+    rows = conform(with_score(fx.hosted_obs(spark, sf_dir), fx.AS_OF), ENRICHED)
+    path = shared_folder(spark, "evolved")
+    rows.where(_early()).drop("risk_score", "domain", "notes").write.parquet(path)
+    rows.where(~_early()).write.mode("append").parquet(path)
+    return read_enriched(spark, path).select("id", "url", "risk_score", "domain")
+
+
+@query("create_table", "SELECT id, url, domain FROM raw_work WHERE source_feed = 'openphish'")
+def create_table(spark, sf_dir):
+    """A table made once, made again without harm, and filled."""
+    path = shared_folder(spark, "raw-line-feed")
+    new_table(spark, path, RAW_LINE_FEED)
+    rows = conform(fx.raw_line_feed(fx.hosted_obs(spark, sf_dir)), RAW_LINE_FEED)
+    rows.write.mode("append").parquet(path)
+    new_table(spark, path, RAW_LINE_FEED)
+    return read_table(spark, path, RAW_LINE_FEED).select("id", "url", "domain")
+
+
+def _phish_records(spark, sf_dir):
+    rows = fx.obs(spark, sf_dir).where("source_feed = 'phishtank'")
+    detail = F.struct("ip_address", F.concat(F.lit("AS"), F.col("asn").cast("string")).alias("announcing_network"))
+    return rows.select(
+        F.col("id").cast("string").alias("phish_id"),
+        "url",
+        F.when(F.col("id") % 3 != 0, "yes").otherwise("no").alias("verified"),
+        F.col("online"),
+        F.when(F.col("id") % 4 != 0, F.concat(F.lit('Brand, "'), (F.col("id") % 17).cast("string"))).alias("target"),
+        F.array(detail).alias("details"),
     )
+
+
+_PHISH_SQL = """
+SELECT id AS phish_id, url, CASE WHEN id % 3 <> 0 THEN 'yes' ELSE 'no' END AS verified, coalesce(online, 'no') AS online,
+ {target} AS target, {ip} AS ip_address FROM obs WHERE source_feed = 'phishtank'"""
+_BRAND_SQL = "CASE WHEN id % 4 <> 0 THEN 'Brand, \"' || CAST(id % 17 AS VARCHAR) END"
+_PHISH_SHOWN = ("phish_id", "url", "verified", "online", "target", "ip_address")
+
+
+@query("scan_json_feed", _PHISH_SQL.format(target=_BRAND_SQL, ip="ip_address"))
+def scan_json_feed(spark, sf_dir):
+    """JSON array files, plain, gzip and bzip2, and a file with one record per line."""
+    rows = _phish_records(spark, sf_dir)
+    path = shared_folder(spark, "json-feed")
+    number = F.col("phish_id").cast("bigint")
+    for i, codec in enumerate(("none", "gzip", "bzip2")):
+        part = rows.where(number % 4 == i)
+        files = part.groupBy((number % 20).alias("file")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+        one_each = files.repartition(20, "file").select("value", "file")
+        one_each.write.option("compression", codec).option("maxRecordsPerFile", 1).partitionBy("file").text(f"{path}/array/{codec}")
+    rows.where(number % 4 == 3).write.json(f"{path}/lines")
+    arrays = feeds.read_phish_json(spark, [f"{path}/array/{c}/file=*" for c in ("none", "gzip", "bzip2")])
+    lines = feeds.read_phish_json(spark, f"{path}/lines", lines=True)
+    return feeds.map_phish_records(arrays.unionByName(lines)).select(*_PHISH_SHOWN)
+
+
+@query("scan_csv_feed", _PHISH_SQL.format(target=f"coalesce({_BRAND_SQL}, '')", ip="CAST(NULL AS VARCHAR)"))
+def scan_csv_feed(spark, sf_dir):
+    path = shared_folder(spark, "csv-feed")
+    _phish_records(spark, sf_dir).drop("details").write.option("header", True).option("escape", '"').csv(path)
+    return feeds.map_phish_records(feeds.read_phish_csv(spark, path)).select(*_PHISH_SHOWN)
+
+
+def _envelopes(spark, sf_dir) -> str:
+    """Envelope files; every fifth says that its query failed and is not read."""
+    rows = fx.obs(spark, sf_dir).where("source_feed = 'urlhaus'")
+    comments = F.when(F.col("id") % 2 == 0, F.concat(F.lit("seen "), F.col("id").cast("string")))
+    entry = F.struct(
+        "url", F.col("id").cast("string").alias("file_size"), F.array(F.lit("elf"), "online").alias("tags"),
+        F.col("asn").cast("string").alias("asn"), F.lit("x").alias("reporter"), comments.alias("comments"),
+    )
+    status = F.when(F.col("file") % 5 == 4, "no_results").otherwise("ok").alias("query_status")
+    files = rows.groupBy((F.col("id") % 10).alias("file")).agg(F.collect_list(entry).alias("urls"))
+    path = shared_folder(spark, "envelopes")
+    text = files.select(F.to_json(F.struct(status, "urls")).alias("value"), "file").repartition(10, "file")
+    text.write.option("maxRecordsPerFile", 1).partitionBy("file").text(path)
+    return path
+
+
+@query(
+    "scan_envelope",
+    """
+SELECT url, id AS file_size, 'elf' || coalesce(',' || online, '') AS tags, asn, 'x' AS reporter_handle FROM obs
+WHERE source_feed = 'urlhaus' AND id % 10 NOT IN (4, 9)""",
+)
+def scan_envelope(spark, sf_dir):
+    entries = feeds.read_malware_json(spark, f"{_envelopes(spark, sf_dir)}/file=*")
+    return feeds.map_malware_records(entries).select("url", "file_size", "tags", "asn", "reporter_handle")
+
+
+@query(
+    "comments_text",
+    """
+SELECT id AS file_size, CASE WHEN id % 2 = 0 THEN 'seen ' || CAST(id AS VARCHAR) END AS comments FROM obs
+WHERE source_feed = 'urlhaus' AND id % 10 NOT IN (4, 9)""",
+)
+def comments_text(spark, sf_dir):
+    entries = feeds.read_malware_json(spark, f"{_envelopes(spark, sf_dir)}/file=*")
+    return feeds.map_malware_records(entries).select("file_size", "comments")

@@ -8,18 +8,19 @@ from hooktrace.functions.dates import as_of_column
 from hooktrace.functions.fields import present_number, present_text
 from hooktrace.operators.paging import first_rows
 
-MAX_EXPORT_ROWS = 50_000
+# A bundle is one document, so it has a bound; no other export is cut unless the caller asks.
+MAX_BUNDLE_ROWS = 50_000
 
 # Fixed value of the exported indicators.
 INDICATOR_TYPE = "malicious-activity"
 
 
-def export_rows(threats: DataFrame, limit: int | None = MAX_EXPORT_ROWS) -> DataFrame:
-    """Rows to export, first by id; ``limit=None`` exports all of them, unsorted."""
+def export_rows(threats: DataFrame, limit: int | None = None) -> DataFrame:
+    """All rows, unsorted; with a ``limit`` the first by id."""
     return threats if limit is None else first_rows(threats, limit)
 
 
-def write_csv(threats: DataFrame, path: str, limit: int | None = MAX_EXPORT_ROWS) -> None:
+def write_csv(threats: DataFrame, path: str, limit: int | None = None) -> None:
     """Folder of CSV files with a header each."""
     export_rows(threats, limit).write.option("header", True).option("escape", '"').csv(path)
 
@@ -52,7 +53,7 @@ def _pattern_text(url: Column) -> Column:
 
 
 def stix_indicators(
-    threats: DataFrame, as_of, limit: int | None = MAX_EXPORT_ROWS
+    threats: DataFrame, as_of, limit: int | None = None
 ) -> DataFrame:
     """One indicator per threat with a URL: columns ``id`` and ``indicator`` (JSON text).
 
@@ -93,7 +94,7 @@ def stix_indicators(
 
 
 def write_stix(
-    threats: DataFrame, path: str, as_of, limit: int | None = MAX_EXPORT_ROWS
+    threats: DataFrame, path: str, as_of, limit: int | None = None
 ) -> None:
     """Folder of JSON-lines files, one indicator per line; works at any size."""
     stix_indicators(threats, as_of, limit).select("indicator").write.text(path)
@@ -102,16 +103,16 @@ def write_stix(
 def stix_bundle(
     threats: DataFrame,
     as_of,
-    limit: int = MAX_EXPORT_ROWS,
+    limit: int,
     identity_name: str = "Threat feed analytics",
 ) -> DataFrame:
-    """One row with a whole bundle as JSON text: the identity of the sender, then the indicators.
+    """One row with a bundle of the first ``limit`` threats by id, as JSON text.
 
-    A bundle is one document and so one row. It is offered only up to the
-    export limit; larger sets are written as JSON lines.
+    The identity of the sender comes first, then the indicators. A bundle is one document and so
+    one row, and the caller says how many threats it may have; ``write_stix`` writes any number.
     """
-    if limit is None or limit > MAX_EXPORT_ROWS:
-        raise ValueError(f"a bundle holds at most {MAX_EXPORT_ROWS} rows; use write_stix")
+    if limit is None or limit > MAX_BUNDLE_ROWS:
+        raise ValueError(f"a bundle holds at most {MAX_BUNDLE_ROWS} rows; use write_stix")
     now = _iso(as_of_column(as_of))
     identity = F.to_json(
         F.struct(

@@ -1,125 +1,175 @@
 """The threat table on plain Parquet: an append log, its current view, and compaction.
 
-    <root>/log/batch_id=<n>/       one folder per load
-    <root>/base/through=<n>/       current view of all loads up to n
-
-A load writes only its own rows, and writing a batch again replaces just its
-folder, so a retried load or stream batch counts once. Readers see the newest
-finished base plus the loads after it, the later load winning per URL.
+    <root>/log/writer=<w>/batch_id=<n>/bucket=<b>/   one folder per load
+    <root>/base/version=<v>/bucket=<b>/              merged rows
+    <root>/held/version=<v>/writer=<w>/batch_id=<n>/ the loads that a base holds
+
+A load is named by its writer and number and writes only its own rows. Readers see the newest
+finished base plus every finished load that it does not hold, whenever the load came: the load
+with the higher number wins per URL, so a load that comes late adds what it has and no more. Rows
+lie in buckets by a hash of the URL; a lookup by URL or id reads one bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from hooktrace.operators.upsert import upsert_replace
 from hooktrace.schemas import ENRICHED
-from hooktrace.sources.tables import conform, path_exists, with_default_score
+from hooktrace.sources.tables import conform, folder_names, path_exists, with_default_score
 
 KEEP_ON_REPLACE = ("first_seen", "created_at")
+BUCKETS = 32
 
 # Rows of a file are sorted by what filters ask for most, so that the row-group
 # statistics let a scan skip. The sort is local: it moves no rows between tasks.
 _FILE_ORDER = ("source_feed", "first_seen")
+_BUCKET = StructField("bucket", IntegerType())
+_LOAD = [StructField("writer", StringType()), StructField("batch_id", LongType())]
+# A base row names the load it is from, so that a late load cannot replace a newer row.
+_ROW_LOAD = ["__writer", "__batch"]
+_BASE = StructType([*ENRICHED, StructField("__writer", StringType()), StructField("__batch", LongType()), _BUCKET])
+_LOG = StructType([*ENRICHED, *_LOAD, _BUCKET])
+
+
+def bucket_of(url_hash: Column) -> Column:
+    """Bucket of a row by the hash of its URL, which is also its id."""
+    return F.pmod(url_hash, F.lit(BUCKETS)).cast("int")
+
+
+def append_batch(rows: DataFrame, root: str, batch_id: int, writer: str = "main", retry: bool = False) -> None:
+    """Write one load.
+
+    A load that is there already is an error, unless it is a ``retry`` of the same writer: that
+    replaces the load, or does nothing where a base holds it.
+    """
+    spark = rows.sparkSession
+    load = (writer, batch_id)
+    if load in _held(spark, root, _newest(spark, root)):
+        if retry:
+            return
+        raise FileExistsError(f"load {batch_id} of {writer} is part of the base")
+    if not retry and load in _loads(spark, root):
+        raise FileExistsError(f"load {batch_id} of {writer} is written already")
+    placed = conform(rows, ENRICHED).withColumn("bucket", bucket_of(F.xxhash64("url")))
+    _write(placed, f"{root}/log/writer={writer}/batch_id={batch_id}")
+
 
+def _write(placed: DataFrame, path: str) -> None:
+    # One pass deals rows by bucket; adaptive execution splits large buckets and joins small ones.
+    dealt = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", *_FILE_ORDER)
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
-def append_batch(rows: DataFrame, root: str, batch_id: int) -> None:
-    """Write one load."""
-    sorted_rows = conform(rows, ENRICHED).sortWithinPartitions(*_FILE_ORDER)
-    sorted_rows.write.mode("overwrite").parquet(f"{root}/log/batch_id={batch_id}")
 
+def stored_urls(spark: SparkSession, root: str, before: tuple[str, int] | None = None) -> DataFrame:
+    """URLs of the table with their bucket, possibly repeated: a scan of one column, for anti-joins.
 
-def stored_urls(spark: SparkSession, root: str, through: int | None = None) -> DataFrame:
-    """URLs of the table, possibly repeated: a scan of one column, for anti-joins."""
-    base_id = _newest_base(spark, root)
-    base = _base(spark, root, base_id).select("url")
-    log = _log(spark, root, base_id, through)
-    return base if log is None else base.union(log.select("url"))
+    ``before`` leaves out that load and later ones of the same writer, so that a load that runs
+    again sees the table it saw the first time.
+    """
+    version = _newest(spark, root)
+    wanted = [x for x in _open_loads(spark, root, version) if before is None or x[0] != before[0] or x[1] < before[1]]
+    base = _base(spark, root, version).select("url", "bucket")
+    log = _log(spark, root, wanted)
+    return base if log is None else base.union(log.select("url", "bucket"))
 
 
 def current(
-    spark: SparkSession,
-    root: str,
-    reset_first_seen: bool = False,
-    through: int | None = None,
+    spark: SparkSession, root: str, reset_first_seen: bool = False, through: int | None = None
 ) -> DataFrame:
     """The table as of the last load: one row per URL.
 
-    The time of first sighting survives later loads, unless ``reset_first_seen``.
+    The time of first sighting survives later loads, unless ``reset_first_seen``. ``through``
+    leaves out loads of a higher number, as long as they are not merged into the base.
+    """
+    merged = _merged(spark, root, _newest(spark, root), reset_first_seen, through)
+    return merged.select(*ENRICHED.names)
+
+
+def lookup(spark: SparkSession, root: str, *, url: str | None = None, row_id: int | None = None) -> DataFrame:
+    """The current row of a URL, or of an id that is the hash of its URL: one bucket is read."""
+    if (url is None) == (row_id is None):
+        raise ValueError("give a url or a row_id")
+    key = F.xxhash64(F.lit(url)) if row_id is None else F.lit(row_id).cast("bigint")
+    rows = _merged(spark, root, _newest(spark, root), False, None)
+    match = F.col("url") == url if row_id is None else F.col("id") == row_id
+    return rows.where((F.col("bucket") == bucket_of(key)) & match).select(*ENRICHED.names)
+
+
+def compact(spark: SparkSession, root: str, reset_first_seen: bool = False) -> int:
+    """Merge all finished loads into a new base; returns its version.
+
+    The list of loads it holds is written last and makes the base count. Loads that it holds, and
+    older bases, may then be removed.
     """
-    base_id = _newest_base(spark, root)
-    base = _base(spark, root, base_id)
-    log = _log(spark, root, base_id, through)
+    version = _newest(spark, root)
+    fresh = _open_loads(spark, root, version)
+    if not fresh:
+        if version < 0:
+            raise ValueError("no loads to compact")
+        return version
+    rows = _merged(spark, root, version, reset_first_seen, None)
+    _write(rows, f"{root}/base/version={version + 1}")
+    held = sorted({*_held(spark, root, version), *fresh})
+    marks = spark.createDataFrame([(w, n, 1) for w, n in held], "writer string, batch_id long, one int")
+    marks.coalesce(1).write.mode("overwrite").partitionBy("writer", "batch_id").parquet(f"{root}/held/version={version + 1}")
+    return version + 1
+
+
+def _merged(spark: SparkSession, root: str, version: int, reset_first_seen: bool, through: int | None) -> DataFrame:
+    """Rows of the base and the loads after it, one per URL, by one pass over both."""
+    if through is not None and any(n > through for _, n in _held(spark, root, version)):
+        raise ValueError("the base holds later loads")
+    wanted = [x for x in _open_loads(spark, root, version) if through is None or x[1] <= through]
+    base = _base(spark, root, version)
+    log = _log(spark, root, wanted)
     if log is None:
         return base
+    both = base.unionByName(log).where(F.col("url").isNotNull())
+    # By bucket and URL, so that a filter on the bucket goes down to the scans.
+    same = Window.partitionBy("bucket", "url")
+    latest = same.orderBy(
+        F.desc("__batch"), F.desc_nulls_last("last_seen"), F.desc_nulls_last("source_id"), F.asc("__writer"),
+        F.asc(F.xxhash64(*ENRICHED.names)), *[F.asc_nulls_first(c) for c in ENRICHED.names],
+    )
+    ranked = both.withColumn("__place", F.row_number().over(latest))
     if not reset_first_seen:
-        log = _with_earliest(log)
-    keep: Sequence[str] = () if reset_first_seen else KEEP_ON_REPLACE
-    latest = [F.desc("batch_id"), F.desc_nulls_last("last_seen"), F.desc_nulls_last("source_id")]
-    return conform(upsert_replace(base, log, "url", latest, keep), ENRICHED)
+        ranked = ranked.withColumns({c: F.min(c).over(same) for c in KEEP_ON_REPLACE})
+    return ranked.where("__place = 1").drop("__place")
 
 
-def compact(spark: SparkSession, root: str, reset_first_seen: bool = False) -> int:
-    """Write the current view as a new base; older bases and loads may then be removed."""
-    ids = _log_ids(spark, root)
-    if not ids:
-        raise ValueError("no loads to compact")
-    newest = max(ids)
-    if newest > _newest_base(spark, root):
-        rows = current(spark, root, reset_first_seen, through=newest)
-        rows.sortWithinPartitions(*_FILE_ORDER).write.parquet(f"{root}/base/through={newest}")
-    return newest
-
-
-def _with_earliest(log: DataFrame) -> DataFrame:
-    """First sighting over all loads since the base, by one pre-aggregated pass."""
-    earliest = log.groupBy("url").agg(*[F.min(c).alias(f"__{c}") for c in KEEP_ON_REPLACE])
-    joined = log.join(earliest, "url", "left")
-    return joined.withColumns({c: F.col(f"__{c}") for c in KEEP_ON_REPLACE}).drop(
-        *[f"__{c}" for c in KEEP_ON_REPLACE]
-    )
-
-
-def _folder_numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
-    """Numbers of finished sub-folders, by the ``_SUCCESS`` mark Spark leaves."""
-    if not path_exists(spark, folder):
-        return []
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    names = [status.getPath().getName() for status in listed]
-    return [
-        int(n[len(prefix):])
-        for n in names
-        if n.startswith(prefix) and path_exists(spark, f"{folder}/{n}/_SUCCESS")
-    ]
-
-
-def _newest_base(spark: SparkSession, root: str) -> int:
-    return max(_folder_numbers(spark, f"{root}/base", "through="), default=-1)
-
-
-def _log_ids(spark: SparkSession, root: str) -> list[int]:
-    return _folder_numbers(spark, f"{root}/log", "batch_id=")
-
-
-def _base(spark: SparkSession, root: str, base_id: int) -> DataFrame:
-    if base_id < 0:
-        return spark.createDataFrame([], ENRICHED)
-    rows = spark.read.option("mergeSchema", True).parquet(f"{root}/base/through={base_id}")
-    return conform(with_default_score(rows), ENRICHED)
-
-
-def _log(spark: SparkSession, root: str, after: int, through: int | None) -> DataFrame | None:
-    wanted = [
-        n for n in _log_ids(spark, root) if n > after and (through is None or n <= through)
-    ]
-    if not wanted:
+def _base(spark: SparkSession, root: str, version: int) -> DataFrame:
+    if version < 0:
+        return spark.createDataFrame([], _BASE)
+    # The schema is given, so no footer is read to plan; a column that a file lacks reads as NULL.
+    return with_default_score(spark.read.schema(_BASE).parquet(f"{root}/base/version={version}"))
+
+
+def _log(spark: SparkSession, root: str, loads: list[tuple[str, int]]) -> DataFrame | None:
+    if not loads:
         return None
-    paths = [f"{root}/log/batch_id={n}" for n in wanted]
-    rows = spark.read.option("basePath", f"{root}/log").option("mergeSchema", True).parquet(*paths)
-    ids = F.col("batch_id").cast("long")
-    table = with_default_score(rows).withColumn("batch_id", ids)
-    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in ENRICHED]
-    return table.select(*typed, "batch_id")
+    paths = [f"{root}/log/writer={w}/batch_id={n}" for w, n in loads]
+    rows = spark.read.schema(_LOG).option("basePath", f"{root}/log").parquet(*paths)
+    return with_default_score(rows).withColumnsRenamed({"writer": "__writer", "batch_id": "__batch"})
+
+
+def _newest(spark: SparkSession, root: str) -> int:
+    """Version of the newest finished base, -1 without any."""
+    done = [int(v) for v in folder_names(spark, f"{root}/held", "version=") if path_exists(spark, f"{root}/held/version={v}/_SUCCESS")]
+    return max(done, default=-1)
+
+
+def _held(spark: SparkSession, root: str, version: int) -> set[tuple[str, int]]:
+    folder = f"{root}/held/version={version}"
+    writers = folder_names(spark, folder, "writer=") if version >= 0 else []
+    return {(w, int(n)) for w in writers for n in folder_names(spark, f"{folder}/writer={w}", "batch_id=")}
+
+
+def _loads(spark: SparkSession, root: str) -> set[tuple[str, int]]:
+    """Finished loads, by the ``_SUCCESS`` mark Spark leaves."""
+    found = {(w, int(n)) for w in folder_names(spark, f"{root}/log", "writer=") for n in folder_names(spark, f"{root}/log/writer={w}", "batch_id=")}
+    return {(w, n) for w, n in found if path_exists(spark, f"{root}/log/writer={w}/batch_id={n}/_SUCCESS")}
+
+
+def _open_loads(spark: SparkSession, root: str, version: int) -> list[tuple[str, int]]:
+    return sorted(_loads(spark, root) - _held(spark, root, version))

@@ -33,16 +33,28 @@ def read_line_feed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def read_phish_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """JSON array feed, plain or compressed, as unmapped records."""
-    return spark.read.schema(PHISH_FEED_JSON).option("multiLine", True).json(path)
+def _json(spark: SparkSession, schema, path: str | list[str], lines: bool) -> DataFrame:
+    # A file that is cut off or not JSON ends the read with an error instead of losing its records.
+    reader = spark.read.schema(schema).option("mode", "FAILFAST")
+    return reader.option("multiLine", not lines).json(path)
 
 
-def read_phish_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """CSV form of the same feed: found by header, a missing target is an empty text."""
+def read_phish_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """JSON array feed, plain or compressed, as unmapped records.
+
+    With ``lines`` files have one record per line; plain and bzip2 files of any size are then split.
+    """
+    return _json(spark, PHISH_FEED_JSON, path, lines)
+
+
+def read_phish_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """CSV form of the same feed: found by header, a missing target is an empty text.
+
+    Without line breaks inside of values say ``multi_line=False``: large files are then split.
+    """
     rows = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("nullValue", "\u0000")
         .option("emptyValue", "")
@@ -79,9 +91,9 @@ def map_phish_records(records: DataFrame) -> DataFrame:
     )
 
 
-def read_malware_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Entries of all envelopes whose status is ``ok``."""
-    envelopes = spark.read.schema(MALWARE_FEED_JSON).option("multiLine", True).json(path)
+def read_malware_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """Entries of all envelopes whose status is ``ok``; with ``lines`` there is an envelope per line."""
+    envelopes = _json(spark, MALWARE_FEED_JSON, path, lines)
     return envelopes.where(F.col("query_status") == "ok").select(F.inline("urls"))
 
 

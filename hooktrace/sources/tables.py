@@ -19,13 +19,13 @@ EXPLORER_COLUMNS = (
 
 
 def conform(rows: DataFrame, schema: StructType) -> DataFrame:
-    """Project to a schema; a column that is not there yet becomes NULL."""
+    """Project to a schema; a column that is not there yet becomes NULL, as does a value that cannot be cast."""
     present = {f.name: f.dataType for f in rows.schema}
 
     def column(name, kind):
         if name not in present:
             return F.lit(None).cast(kind).alias(name)
-        return F.col(name) if present[name] == kind else F.col(name).cast(kind).alias(name)
+        return F.col(name) if present[name] == kind else F.col(name).try_cast(kind).alias(name)
 
     return rows.select(*[column(f.name, f.dataType) for f in schema])
 
@@ -37,6 +37,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def folder_names(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """What follows the prefix in the names of a folder's sub-folders; none where it is not there."""
+    if not path_exists(spark, folder):
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = (status.getPath().getName() for status in listed)
+    return [n.removeprefix(prefix) for n in names if n.startswith(prefix)]
+
+
 def create_table(spark: SparkSession, path: str, schema: StructType) -> None:
     """Write an empty table unless there is one already."""
     if not path_exists(spark, path):
@@ -47,7 +57,8 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Parquet table in the given schema; an empty one when the path is not there yet."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    rows = conform(spark.read.option("mergeSchema", True).parquet(path), schema)
+    # The schema is given, so no footer is read to plan; a column that a file lacks reads as NULL.
+    rows = spark.read.schema(schema).parquet(path)
     return with_default_score(rows) if "risk_score" in rows.columns else rows
 
 

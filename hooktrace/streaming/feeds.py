@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,6 +13,7 @@ from hooktrace.functions.dates import utc_instant, utc_wall_time
 from hooktrace.operators.upsert import dedup_feeds, skip_existing
 from hooktrace.plans.enrichment import Snapshots, enrich
 from hooktrace.sinks import store
+from hooktrace.sources.tables import folder_names, path_exists
 
 
 def read_drop_folder(
@@ -71,14 +73,23 @@ def run_available(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def run_available_complete(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Process what is there now; the whole result replaces the folder in each batch."""
+    """Process what is there now; each batch writes the whole result to ``<path>/version=<batch>``.
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    Folders that readers have open are never replaced; ``read_newest`` reads the last finished one.
+    """
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return run_batches(rows, replace, checkpoint, "complete")
 
 
+def read_newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest finished result of ``run_available_complete``."""
+    done = [int(v) for v in folder_names(spark, path, "version=") if path_exists(spark, f"{path}/version={v}/_SUCCESS")]
+    return spark.read.parquet(f"{path}/version={max(done)}")
+
+
 def run_batches(
     rows: DataFrame,
     handle: Callable[[DataFrame, int], None],
@@ -107,16 +118,21 @@ def enrich_stream(
 ) -> StreamingQuery:
     """Enrich each micro-batch of a work list and append it to the stored threat table.
 
-    The batch number names the folder written, so a batch that runs again after
-    a failure replaces its own rows.
+    A load is named by the checkpoint and the batch number: a batch that runs again after a
+    failure replaces its own rows, and a stream that starts anew with another checkpoint
+    writes loads of its own. Stored URLs are scanned in the buckets that the batch has.
     """
+    writer = "stream-" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = dedup_feeds(batch)
         if skip_stored:
             # Loads before this one only: a batch that runs again must see the same table.
-            fresh = skip_existing(fresh, store.stored_urls(spark, root, through=batch_id - 1))
-        store.append_batch(enrich(fresh, snapshots, as_of, **options), root, batch_id)
+            stored = store.stored_urls(spark, root, before=(writer, batch_id))
+            marked = fresh.withColumn("__bucket", store.bucket_of(F.xxhash64("url")))
+            buckets = [r[0] for r in marked.select("__bucket").distinct().collect()]  # at most BUCKETS
+            fresh = skip_existing(fresh, stored.where(F.col("bucket").isin(buckets)).select("url"))
+        store.append_batch(enrich(fresh, snapshots, as_of, **options), root, batch_id, writer, retry=True)
 
     return run_batches(work, load, checkpoint)

@@ -42,7 +42,7 @@ def test_csv_round_trip(spark, threats, tmp_path):
     export.write_csv(threats, str(path))
     lines = [row for file in sorted(path.glob("*.csv")) for row in csv.reader(file.open())]
     assert lines[0] == ENRICHED.names
-    assert [row[1] for row in lines if row != lines[0]] == ['http://b/,"x"', "http://a/'q'\\b", ""]
+    assert sorted(row[1] for row in lines if row != lines[0]) == ["", "http://a/'q'\\b", 'http://b/,"x"']
     export.write_csv(threats, str(tmp_path / "one"), limit=1)
     assert spark.read.option("header", True).csv(str(tmp_path / "one")).count() == 1
 
@@ -64,14 +64,14 @@ def test_indicators(threats):
 
 
 def test_bundle_is_one_document(threats, tmp_path):
-    bundle = json.loads(export.stix_bundle(threats, NOW).first()[0])
+    bundle = json.loads(export.stix_bundle(threats, NOW, limit=10).first()[0])
     assert [o["type"] for o in bundle["objects"]] == ["identity", "indicator", "indicator"]
     assert bundle["type"] == "bundle" and len(bundle["id"]) == len("bundle--") + 36
     assert bundle["objects"][0]["name"] == "Threat feed analytics"
-    again = json.loads(export.stix_bundle(threats, NOW).first()[0])
+    again = json.loads(export.stix_bundle(threats, NOW, limit=10).first()[0])
     assert again == bundle
     with pytest.raises(ValueError):
-        export.stix_bundle(threats, NOW, limit=export.MAX_EXPORT_ROWS + 1)
+        export.stix_bundle(threats, NOW, limit=export.MAX_BUNDLE_ROWS + 1)
     export.write_stix(threats, str(tmp_path / "s"), NOW, limit=None)
     lines = [line for f in Path(tmp_path / "s").glob("*.txt") for line in f.read_text().splitlines()]
     assert len(lines) == 2 and all(json.loads(line)["type"] == "indicator" for line in lines)
@@ -93,18 +93,58 @@ def test_store_keeps_last_load_and_first_sighting(spark, tmp_path):
     assert show(reset_first_seen=True) == [("a", 3, "no", 5), ("b", 2, "yes", 1), ("c", 4, "no", 5)]
     assert show(through=0) == [("a", 1, "yes", 1), ("b", 2, "yes", 1)]
 
-    # The same load again changes nothing.
-    store.append_batch(_load(spark, (3, "a", "no", day(5)), (4, "c", "no", day(5))), root, 1)
+    # The same load again is an error, and as a retry changes nothing.
+    again = _load(spark, (3, "a", "no", day(5)), (4, "c", "no", day(5)))
+    with pytest.raises(FileExistsError):
+        store.append_batch(again, root, 1)
+    store.append_batch(again, root, 1, retry=True)
     assert show() == want
-    assert store.compact(spark, root) == 1
+    assert store.compact(spark, root) == 0
     assert show() == want
+    with pytest.raises(FileExistsError):
+        store.append_batch(again, root, 1)
+    store.append_batch(again, root, 1, retry=True)
     store.append_batch(_load(spark, (9, "b", "no", day(9))), root, 2)
     assert show() == [("a", 3, "no", 1), ("b", 9, "no", 1), ("c", 4, "no", 5)]
-    assert store.compact(spark, root) == 2
-    assert store.compact(spark, root) == 2
+    assert store.compact(spark, root) == 1
+    assert store.compact(spark, root) == 1
     assert show() == [("a", 3, "no", 1), ("b", 9, "no", 1), ("c", 4, "no", 5)]
 
 
+def test_late_loads_and_other_writers_are_read(spark, tmp_path):
+    root = str(tmp_path / "threats")
+    day = lambda n: datetime(2024, 1, n)
+    store.append_batch(_load(spark, (1, "a", "yes", day(5))), root, 5)
+    store.compact(spark, root)
+    store.append_batch(_load(spark, (2, "a", "no", day(3)), (3, "b", "no", day(3))), root, 3)
+    store.append_batch(_load(spark, (4, "c", "no", day(3))), root, 5, writer="other")
+    show = lambda: sorted((r.url, r.id, r.first_seen.day) for r in store.current(spark, root).collect())
+    want = [("a", 1, 3), ("b", 3, 3), ("c", 4, 3)]
+    assert show() == want
+    store.compact(spark, root)
+    assert show() == want
+
+
+def test_plans_of_the_store(spark, tmp_path):
+    root = str(tmp_path / "threats")
+    store.append_batch(_load(spark, (1, "a", "yes", SEEN), (2, "b", "yes", SEEN)), root, 0)
+    store.compact(spark, root)
+    store.append_batch(_load(spark, (3, "a", "no", SEEN)), root, 1)
+    spark.sparkContext.setJobGroup("plan", "building")
+    rows = store.current(spark, root)
+    found = store.lookup(spark, root, url="a")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    spark.sparkContext.setJobGroup("rest", "")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(bucket") == 2
+    assert [r.id for r in found.collect()] == [3]
+    assert store.lookup(spark, root, url="zzz").count() == 0
+    with pytest.raises(ValueError):
+        store.lookup(spark, root)
+
+
 def test_stored_urls(spark, tmp_path):
     root = str(tmp_path / "threats")
     assert store.stored_urls(spark, root).count() == 0
@@ -112,7 +152,7 @@ def test_stored_urls(spark, tmp_path):
     store.compact(spark, root)
     store.append_batch(_load(spark, (2, "b", "yes", SEEN)), root, 1)
     urls = lambda **o: sorted(r.url for r in store.stored_urls(spark, root, **o).collect())
-    assert urls() == ["a", "b"] and urls(through=0) == ["a"]
+    assert urls() == ["a", "b"] and urls(before=("main", 1)) == ["a"] and urls(before=("x", 0)) == ["a", "b"]
     files = "FileScan"
     plan = store.stored_urls(spark, root)._jdf.queryExecution().executedPlan().toString()
     assert files in plan and "ReadSchema: struct<url:string>" in plan
@@ -122,12 +162,13 @@ def test_unfinished_load_is_not_read(spark, tmp_path):
     root = str(tmp_path / "threats")
     store.append_batch(_load(spark, (1, "a", "yes", SEEN)), root, 0)
     store.append_batch(_load(spark, (2, "b", "yes", SEEN)), root, 1)
-    (tmp_path / "threats/log/batch_id=1/_SUCCESS").unlink()
+    (tmp_path / "threats/log/writer=main/batch_id=1/_SUCCESS").unlink()
     assert [r.url for r in store.current(spark, root).collect()] == ["a"]
 
 
 def test_rows_without_a_score_column_read_as_zero(spark, tmp_path):
     root = str(tmp_path / "threats")
-    _load(spark, (1, "a", "yes", SEEN)).drop("risk_score").write.parquet(f"{root}/log/batch_id=0")
+    old = _load(spark, (1, "a", "yes", SEEN)).drop("risk_score").withColumn("bucket", F.lit(0))
+    old.write.partitionBy("bucket").parquet(f"{root}/log/writer=main/batch_id=0")
     store.append_batch(_load(spark, (2, "b", "yes", SEEN)).withColumn("risk_score", F.lit(7)), root, 1)
     assert {r.url: r.risk_score for r in store.current(spark, root).collect()} == {"a": 0, "b": 7}

@@ -37,7 +37,7 @@ def test_daily_counts_equal_batch(spark, tmp_path, zone):
         feeds.run_available_complete(feeds.daily_counts(stream, "first_seen"), out, str(tmp_path / "state"))
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    got = {tuple(r) for r in spark.read.parquet(out).select("date", "source_feed", "count").collect()}
+    got = {tuple(r) for r in feeds.read_newest(spark, out).select("date", "source_feed", "count").collect()}
     want = rows.groupBy(F.date_format("first_seen", "yyyy-MM-dd"), "source_feed").count().collect()
     assert got == {tuple(r) for r in want}
 
@@ -69,3 +69,19 @@ def test_enrich_stream_stores_each_url_once(spark, tmp_path):
     facts = ["url", "domain", "tld", "risk_score"]
     short = lambda frame: {tuple(r)[:3] for r in frame.select(*facts).collect()}
     assert short(stored) == short(batch)
+
+
+def test_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    root = str(tmp_path / "threats")
+    rows = fx.hosted_obs(spark, SF).drop("html")
+    work = fx.raw_work(rows).select("*")
+    urls = sorted(r.url for r in work.select("url").distinct().collect())
+    for i, compact in enumerate((True, False, False)):
+        part = work.where(F.col("url").isin(urls[i::3]))
+        path = tmp_path / f"run{i}"
+        path.mkdir()
+        stream = _drop_folder(spark, path, part, 1)
+        feeds.enrich_stream(stream, Snapshots(), root, str(path / "state"), fx.AS_OF)
+        if compact:
+            store.compact(spark, root)
+    assert sorted(r.url for r in store.current(spark, root).collect()) == urls

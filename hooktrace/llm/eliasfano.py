@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 _STEP = 50_000
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_ONES = _BITS.sum(axis=1).astype(np.uint8)  # ones in a byte
+_PLACE = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.int64)  # place of its k-th one
 
 
 class EliasFano:
@@ -59,12 +62,15 @@ class EliasFano:
         for at in range(0, len(index), _STEP):
             i = index[at : at + _STEP]
             word = np.searchsorted(counts, i, side="right") - 1
-            flags = np.unpackbits(self.high.reshape(-1, 8)[word], axis=1, bitorder="little")
+            octets = self.high.reshape(-1, 8)[word]
             if not ones:
-                flags = 1 - flags
-            seen = np.cumsum(flags, axis=1, dtype=np.uint8)
-            inside = (seen <= (i - counts[word])[:, None]).sum(axis=1)
-            out[at : at + _STEP] = word * 64 + inside
+                octets = ~octets
+            seen = np.cumsum(_ONES[octets], axis=1, dtype=np.int64)
+            rest = i - counts[word]
+            octet = (seen <= rest[:, None]).sum(axis=1)
+            row = np.arange(len(i))
+            rest = rest - np.where(octet > 0, seen[row, octet - 1], 0)
+            out[at : at + _STEP] = word * 64 + octet * 8 + _PLACE[octets[row, octet], rest]
         return out
 
     def _low(self, index: np.ndarray) -> np.ndarray:

@@ -3,31 +3,32 @@
 from __future__ import annotations
 
 import mmap
-import re
 import tempfile
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hooktrace.llm import blocks
 from hooktrace.llm.eliasfano import EliasFano
 from hooktrace.sinks.shared import staged
 
-END = "\n"  # also what stands before the first word; no word can hold it
-BLOCK_BYTES = 6_000_000
+END = b"\n"  # also what stands before the first word; no word can hold it
+BLOCK_BYTES = 10_000_000
 DISCOUNT = 0.75
 HOT_SHARE = 500
+HOT_SAMPLE = 4_000
+SPREAD_SCALE = 1e12  # stands for the count of a spread context, which no bucket knows
 _SCALE = 4096
-_WORDS = re.compile(r"[^ \t-\r]+")
-_LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
 
 
-def words(text: str) -> list[str]:
-    return _WORDS.findall(text.translate(_LOWER))
+def words(text: bytes) -> list[bytes]:
+    """Words of a text in UTF-8: lower-cased from A to Z, split at space and the bytes 9 to 13."""
+    return text.lower().split()
 
 
 def in_training(key: Column) -> Column:
@@ -73,10 +74,10 @@ class Trie:
         ask = np.flatnonzero(places >= 0)
         if not len(ask):
             return out
-        first = self.starts.access(places[ask])
-        end = self.starts.access(places[ask] + 1)
+        used, back = np.unique(places[ask], return_inverse=True)
+        first, end = self.starts.access(used), self.starts.access(used + 1)[back]
         base = np.where(first > 0, self.successors.access(np.maximum(first - 1, 0)) + 1, 0)
-        target = base + ids[ask]
+        target = base[back] + ids[ask]
         found = self.successors.successor(target)
         inside = np.flatnonzero(found < end)
         exact = inside[self.successors.access(found[inside]) == target[inside]]
@@ -94,36 +95,39 @@ def restored(codes: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """The tokens of a block of documents, numbered by the sorted distinct words, and its pairs."""
-
-    def __init__(self, frame: pd.DataFrame, buckets: int, hot: dict[str, tuple]):
-        texts = [words(blocks.unpacked_text(p)) for p in frame["packed"]]
-        self.lengths = np.array([len(t) + 1 for t in texts], np.int64)
-        known = {END}
-        known.update(*texts)
-        self.words = sorted(known)
-        number = {w: i for i, w in enumerate(self.words)}
-        end = number[END]
-        tokens: list[int] = []
+    """The tokens of a block of documents and its distinct pairs, in the order of word hashes."""
+
+    def __init__(self, frame: pd.DataFrame, buckets: int, hot: np.ndarray):
+        texts = [words(blocks.unpack_bytes(bytes(p))) for p in frame["packed"]]
         for t in texts:
-            tokens += map(number.__getitem__, t)
-            tokens.append(end)
-        self.tokens = np.array(tokens, np.int64)
+            t.append(END)
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        known = list(set().union(*texts))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        rank = np.empty(len(known), np.int64)
+        rank[order] = np.arange(len(known))
+        number = dict(zip(known, rank.tolist()))
+        count = int(self.lengths.sum())
+        self.tokens = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, count)
         self.before = np.empty_like(self.tokens)
         self.before[1:] = self.tokens[:-1]
-        self.before[0] = end
+        self.before[0] = number[END]
         taught = np.repeat(frame["k1"].to_numpy() == "true", self.lengths)
-        keys = (self.before << 32) | self.tokens
-        pairs, self.pair = np.unique(keys, return_inverse=True)
-        count = np.bincount(self.pair, taught, len(pairs)).astype(np.int64)
+        pairs, self.pair = np.unique((self.before << 32) | self.tokens, return_inverse=True)
+        times = np.bincount(self.pair, taught, len(pairs)).astype(np.int64)
         context, word = pairs >> 32, pairs & 0xFFFFFFFF
-        code = np.array([zlib.crc32(w.encode()) for w in self.words], np.int64)
-        is_hot = np.array([w in hot for w in self.words], bool)
+        self.hot = np.isin(self.hashes, hot)
         # A frequent context is spread over all buckets by its successors.
-        bucket = np.where(is_hot[context], code[context] + 31 * code[word], code[context]) % buckets
+        bucket = self.hashes[context]
+        spread = self.hot[context]
+        with np.errstate(over="ignore"):
+            bucket[spread] += np.uint64(31) * self.hashes[word[spread]]
+        bucket = (bucket % np.uint64(buckets)).astype(np.int64)
         self.order = np.argsort(bucket, kind="stable")
         self.bucket = bucket[self.order]
-        self.context, self.word, self.count = context[self.order], word[self.order], count[self.order]
+        self.context, self.word, self.count = context[self.order], word[self.order], times[self.order]
 
     def lists(self) -> Iterator[tuple[int, slice]]:
         """Buckets and the slices of the ordered pairs that belong to them."""
@@ -132,93 +136,106 @@ class _Block:
             yield b, slice(start, end)
 
 
-def _ask(buckets: int, hot: dict):
+def _ask(buckets: int, hot: np.ndarray):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         block, rows = _Block(frame, buckets, hot), []
         for bucket, part in block.lists():
-            context, word, count = block.context[part], block.word[part], block.count[part]
+            context, word = block.context[part], block.word[part]
             used, place = np.unique(np.concatenate([context, word]), return_inverse=True)
-            numbers = np.concatenate([place, count]).astype("<u4")
-            own = blocks.pack_strings([block.words[i] for i in used.tolist()])
-            rows.append((bucket, own, blocks.pack_bytes(numbers.tobytes())))
-        out = pd.DataFrame(rows, columns=["bucket", "words", "numbers"])
+            numbers = np.concatenate([place, block.count[part]]).astype("<u4")
+            data = len(used).to_bytes(8, "little") + block.hashes[used].tobytes() + numbers.tobytes()
+            rows.append((bucket, blocks.pack_bytes(data)))
+        out = pd.DataFrame(rows, columns=["bucket", "pairs"])
         out.insert(0, "block", frame["block"].iloc[0])
         return out.astype({"block": "int32", "bucket": "int32"})
 
     return run
 
 
-def _answer(hot: dict):
+def _answer(hot: np.ndarray):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        lists = [blocks.unpack_strings(bytes(w)) for w in frame["words"]]
-        vocabulary = sorted(set().union(*lists))
-        number = {w: i for i, w in enumerate(vocabulary)}
-        asked, counted = [], []
-        for own, packed in zip(lists, frame["numbers"]):
-            ids = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-            numbers = np.frombuffer(blocks.unpack_bytes(bytes(packed)), "<u4").astype(np.int64)
-            context, word, count = np.split(numbers, 3)
-            asked.append((ids[context], ids[word]))
-            counted.append(count)
-        keys = np.concatenate([(c << 32) | w for c, w in asked])
-        pairs, place = np.unique(keys, return_inverse=True)
-        total = np.bincount(place, np.concatenate(counted), len(pairs)).astype(np.int64)
-        pairs, total = pairs[total > 0], total[total > 0]
-        contexts, starts = np.unique(pairs >> 32, return_index=True)
-        starts = np.concatenate([starts, [len(pairs)]]).astype(np.int64)
-        sums = np.add.reduceat(total, starts[:-1]) if len(pairs) else np.zeros(0, np.int64)
+        used, numbers = [], []
+        for packed in frame["pairs"]:
+            data = blocks.unpack_bytes(bytes(packed))
+            n = int.from_bytes(data[:8], "little")
+            used.append(np.frombuffer(data, "<u8", n, 8))
+            numbers.append(np.frombuffer(data, "<u4", -1, 8 + 8 * n).astype(np.int64))
+        vocabulary, ids = np.unique(np.concatenate(used), return_inverse=True)
+        keys, counts, at = [], [], 0
+        for own, n in zip(used, numbers):
+            number = ids[at : at + len(own)]
+            at += len(own)
+            context, word, count = np.split(n, 3)
+            keys.append((number[context] << 32) | number[word])
+            counts.append(count)
+        asked = [len(k) for k in keys]
+        pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys, used, numbers, ids
+        total = np.bincount(place, np.concatenate(counts), len(pairs)).astype(np.int64)
+        # The model: pairs seen in training.
+        seen = total > 0
+        taught, times = pairs[seen], total[seen]
+        contexts, starts = np.unique(taught >> 32, return_index=True)
+        starts = np.concatenate([starts, [len(taught)]]).astype(np.int64)
+        sums = np.add.reduceat(times, starts[:-1]) if len(taught) else np.zeros(0, np.int64)
         kinds = np.diff(starts)
-        whole = sums.copy()
-        spread = []
-        for i, c in enumerate(contexts.tolist()):
-            if vocabulary[c] in hot:
-                whole[i] = hot[vocabulary[c]]
-                spread.append((vocabulary[c], int(kinds[i])))
-        codes = quantised((total - DISCOUNT) / np.repeat(whole, kinds)) if len(pairs) else total
-        trie = Trie(contexts, starts, pairs & 0xFFFFFFFF, codes)
-        answers = []
-        for context, word in asked:
-            at = trie.context(context)
-            distinct, first = np.unique(context, return_index=True)
-            seen = at[first]
-            known = np.where(seen >= 0, whole[seen] if len(whole) else 0, 0)
-            below = np.where(seen >= 0, kinds[seen] if len(kinds) else 0, 0)
+        spread = np.isin(vocabulary[contexts], hot)
+        whole = np.where(spread, SPREAD_SCALE, sums)
+        trie = Trie(contexts, starts, taught & 0xFFFFFFFF, quantised((times - DISCOUNT) / np.repeat(whole, kinds)))
+        # The answers: every distinct pair is looked up once.
+        first = np.flatnonzero(np.diff(pairs >> 32, prepend=-1))
+        places = np.repeat(trie.context(pairs[first] >> 32), np.diff(np.append(first, len(pairs))))
+        codes = trie.lookup(places, pairs & 0xFFFFFFFF).astype("<u2")
+        answers, at = [], 0
+        for n in asked:
+            rows = place[at : at + n]
+            at += n
+            context = places[rows[np.flatnonzero(np.diff(pairs[rows] >> 32, prepend=-1))]]
+            known = np.where(context >= 0, sums[context] if len(sums) else 0, 0)
+            below = np.where(context >= 0, kinds[context] if len(kinds) else 0, 0)
             levels = np.concatenate([known, below]).astype("<u8").tobytes()
-            found = trie.lookup(at, word).astype("<u2").tobytes()
-            answers.append(blocks.pack_bytes(len(distinct).to_bytes(8, "little") + levels + found))
+            answers.append(blocks.pack_bytes(len(context).to_bytes(8, "little") + levels + codes[rows].tobytes()))
         out = frame[["block", "bucket"]].copy()
         out["answer"] = answers
-        # What the bucket holds of the spread contexts, told once.
-        told = [spread] + [[] for _ in range(len(out) - 1)]
-        out["spread"] = [[{"word": w, "kinds": k} for w, k in s] for s in told]
+        # What the bucket holds, told once: tokens, contexts, and shares of the spread contexts.
+        out["tokens"] = [int(times.sum())] + [0] * (len(out) - 1)
+        out["contexts"] = [int((~spread).sum())] + [0] * (len(out) - 1)
+        told = zip(vocabulary[contexts[spread]].astype(np.int64).tolist(), sums[spread].tolist(), kinds[spread].tolist())
+        shares = [{"word": w, "n": n, "kinds": k} for w, n, k in told]
+        out["spread"] = [shares] + [[] for _ in range(len(out) - 1)]
         return out
 
     return run
 
 
-def _score(buckets: int, hot: dict, tokens: int, distinct: int):
-    """``hot``: count and number of successors of the spread contexts."""
+def _score(buckets: int, hot: dict[int, tuple[int, int]], tokens: int, distinct: int):
+    """``hot``: hash, count and number of successors of the spread contexts."""
+    names = np.array(sorted(hot), dtype=np.uint64)
+    hot_counts = np.array([hot[h][0] for h in sorted(hot)], dtype=np.int64)
+    hot_kinds = np.array([hot[h][1] for h in sorted(hot)], dtype=np.int64)
 
     def run(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(frame, buckets, hot)
+        block = _Block(frame, buckets, names)
         given = dict(zip(answers["bucket"], answers["answer"]))
-        count = np.zeros(len(block.words), np.int64)
-        kinds = np.zeros(len(block.words), np.int64)
+        count = np.zeros(len(block.hashes), np.int64)
+        kinds = np.zeros(len(block.hashes), np.int64)
         codes = np.zeros(len(block.order), np.int64)
         for bucket, part in block.lists():
             data = blocks.unpack_bytes(bytes(given[bucket]))
             n = int.from_bytes(data[:8], "little")
             levels = np.frombuffer(data, "<u8", 2 * n, 8).astype(np.int64)
-            own = np.unique(block.context[part])
+            context = block.context[part]
+            own = context[np.flatnonzero(np.diff(context, prepend=-1))]
             count[own], kinds[own] = levels[:n], levels[n:]
             codes[block.order[part]] = np.frombuffer(data, "<u2", -1, 8 + 16 * n)
-        for i, w in enumerate(block.words):
-            if w in hot:
-                count[i], kinds[i] = hot[w]
-        single = (count[block.tokens] + 1) / (tokens + 1 * (distinct + 1))
+        at = np.searchsorted(names, block.hashes[block.hot])
+        count[block.hot], kinds[block.hot] = hot_counts[at], hot_kinds[at]
+        joint = restored(codes)[block.pair]
+        spread = block.hot[block.before]
         above, below = count[block.before], kinds[block.before]
-        weight = np.where(above > 0, DISCOUNT * below / np.maximum(above, 1), 1.0)
-        joint = restored(codes)[block.pair] + weight * single
+        joint[spread] *= SPREAD_SCALE / np.maximum(above[spread], 1)
+        single = (count[block.tokens] + 1) / (tokens + 1 * (distinct + 1))
+        joint += np.where(above > 0, DISCOUNT * below / np.maximum(above, 1), 1.0) * single
         first = np.concatenate([[0], np.cumsum(block.lengths)[:-1]])
         out = frame[["k0"]].copy()
         out["n_tokens"] = block.lengths
@@ -234,24 +251,24 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
     for frame in batches:
         for text in frame["text"]:
-            counts.update(words(text))
+            counts.update(words(text.encode()))
             counts[END] += 1
-            if len(counts) > 400_000:
-                yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
-                counts = Counter()
-    yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
+    found = [(xxhash.xxh64_intdigest(w) - 2**63, n) for w, n in counts.items()]
+    yield pd.DataFrame(found, columns=["word", "n"]).astype("int64")
+
 
+def frequent_words(docs: DataFrame) -> np.ndarray:
+    """Hashes of at most 500 words that are over 1/500 of the tokens of some thousand documents.
 
-def _corpus(docs: DataFrame) -> tuple[int, int, dict[str, int]]:
-    """Training tokens, distinct ones, and the counts of contexts that hold over 1/500 of them."""
-    counts = docs.where("taught").select("text").mapInPandas(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # Words below a thousand occurrences are summed up together; the rest has few rows.
-    frequent = F.when(F.col("n") >= 1000, F.col("word"))
-    summary = staged(counts.groupBy(frequent.alias("word")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")), "lm-words")
-    total = summary.agg(F.sum("n"), F.sum("kinds")).first()
-    tokens, distinct = total[0] or 0, total[1] or 0
-    rows = summary.where(F.col("word").isNotNull() & (F.col("n") * HOT_SHARE >= tokens))
-    return tokens, distinct, {r["word"]: r["n"] for r in rows.collect()}
+    They only decide which contexts are spread over buckets. A frequent word that these documents
+    happen not to show makes one bucket larger, no result different.
+    """
+    step = max(1, docs.count() // HOT_SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("key", "text"), F.lit(step)) == 0).select("text")
+    counts = some.mapInPandas(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(HOT_SHARE).collect()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return np.array(sorted(r["word"] + 2**63 for r in top if r["n"] * HOT_SHARE >= total), dtype=np.uint64)
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -261,23 +278,25 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", *, blo
     those of ``in_training``. The model is interpolated absolute discounting,
     P(w | v) = max(c(v w) - D, 0) / c(v) + D * kinds(v) / c(v) * P(w), over P(w) = (c(w) + 1) / (N + V + 1);
     after an unseen context P(w). All counts are of the whole corpus: every block of documents
-    sends its distinct pairs of words to the buckets their contexts hash to; a bucket adds them
-    up, builds its trie and answers each block from it. Contexts with over 1/500 of all tokens,
-    at most 500, are spread over the buckets by the following word.
+    sends its distinct pairs of words, as 64-bit hashes, to the buckets their contexts hash to; a
+    bucket adds them up, builds its trie and answers each block from it. Contexts with over 1/500
+    of all tokens are spread over the buckets by the following word.
 
     A null text is empty (one end token). Null keys count as training documents. Repeated rows are
     documents of their own. Other columns are left out.
     """
     rows = docs.select(F.col(key).alias("key"), in_training(F.col(key)).alias("taught"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    tokens, distinct, hot = _corpus(rows)
+    hot = frequent_words(rows)
     count = blocks.text_bytes(rows, "text") // block_bytes + 1
     dealt = blocks.in_blocks(rows, ["key", "taught"], "text", count)
-    asked = dealt.groupBy("block").applyInPandas(_ask(count, hot), "block int, bucket int, words binary, numbers binary")
-    answer = "block int, bucket int, answer binary, spread array<struct<word:string,kinds:long>>"
+    asked = dealt.groupBy("block").applyInPandas(_ask(count, hot), "block int, bucket int, pairs binary")
+    answer = "block int, bucket int, answer binary, tokens long, contexts long, spread array<struct<word:long,n:long,kinds:long>>"
     answers = staged(asked.groupBy("bucket").applyInPandas(_answer(hot), answer), "lm-answers")
-    kinds = answers.select(F.explode("spread").alias("s")).groupBy("s.word").agg(F.sum("s.kinds").alias("kinds"))
-    below = {r["word"]: r["kinds"] for r in kinds.collect()}
-    known = {w: (n, below.get(w, 0)) for w, n in hot.items()}
+    shares = answers.select(F.explode("spread").alias("s")).groupBy("s.word").agg(F.sum("s.n").alias("n"), F.sum("s.kinds").alias("kinds"))
+    known = {h: (0, 0) for h in hot.tolist()} | {r["word"] % 2**64: (r["n"], r["kinds"]) for r in shares.collect()}
+    total = answers.agg(F.sum("tokens"), F.sum("contexts")).first()
+    tokens = total[0] or 0
+    distinct = (total[1] or 0) + sum(n > 0 for n, _ in known.values())
     schema = "k0 string, n_tokens long, n_known long, base_score double, score double"
     joined = dealt.groupBy("block").cogroup(answers.select("block", "bucket", "answer").groupBy("block"))
     scored = joined.applyInPandas(_score(count, known, tokens, distinct), schema)

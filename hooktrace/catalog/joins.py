@@ -77,6 +77,26 @@ def join_rdap_cidr(spark, sf_dir):
     return joined.select("id", *[F.col(f"rdap_{n}").alias(n) for n in ("cidr_block", "asn", "isp")])
 
 
+@query(
+    "join_ip6_range",
+    """
+SELECT event_id AS id, CASE WHEN event_id % 3 <> 0 AND event_id % 7 = 0 THEN NULL
+ WHEN g // 2 = (g // 256 * 256 + 7) // 2 THEN '2001:DB8:' || upper(printf('%x', g // 256 * 256 + 7)) || '::/47'
+ ELSE '2001:db8:' || printf('%x', g // 256) || '00::/40' END AS cidr_block,
+ CASE WHEN event_id % 3 <> 0 AND event_id % 7 = 0 THEN NULL
+ WHEN g // 2 = (g // 256 * 256 + 7) // 2 THEN g // 256 + 200 ELSE g // 256 + 100 END AS asn
+FROM (SELECT event_id, event_id % 4096 AS g FROM events)""",
+)
+def join_ip6_range(spark, sf_dir):
+    """Longest IPv6 prefix by address, blocks nested and repeated."""
+    facts = fx.obs_ip6(spark, sf_dir)
+    resolved = lookups.resolve_ips(
+        lookups.distinct_ips(facts.select("ip_address")), rdap=fx.dim_rdap6(spark, sf_dir)
+    )
+    joined = lookups.join_ip(facts, resolved, F.col("id"))
+    return joined.select("id", F.col("rdap_cidr_block").alias("cidr_block"), F.col("rdap_asn").alias("asn"))
+
+
 @query(
     "join_whois",
     """
@@ -106,7 +126,8 @@ def join_cert(spark, sf_dir):
 @query(
     "join_page",
     """
-SELECT o.id, p.page_status, CASE WHEN p.page_status < 400 THEN 'yes' ELSE 'no' END AS page_online, p.page_title,
+SELECT o.id, p.page_status, CASE WHEN p.page_status < 400 THEN 'yes' WHEN p.page_status IS NULL AND p.failure = 'timeout'
+ THEN 'unknown' ELSE 'no' END AS page_online, p.page_title,
  p.page_language FROM obs o LEFT JOIN dim_page p ON p.url = o.page_url""",
 )
 def join_page(spark, sf_dir):

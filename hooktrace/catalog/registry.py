@@ -77,7 +77,8 @@ FROM (SELECT unnest([a || '.0.0.0/8', a || '.64.0.0/10', a || '.' || b || '.0.0/
     "dim_whois": """
 SELECT base_domain, CASE length(base_domain) % 4 WHEN 0 THEN 'Alpha' WHEN 1 THEN 'Beta' WHEN 2 THEN 'Gamma'
    ELSE 'Delta' END AS registrar,
- TIMESTAMP '2024-01-01' - INTERVAL '1' DAY * length(base_domain) AS whois_created,
+ CASE WHEN length(base_domain) % 5 <> 0 THEN TIMESTAMP '2024-01-01' - INTERVAL '1' DAY * length(base_domain) END
+   AS whois_created,
  'ns1.' || base_domain || ',ns2.' || base_domain AS name_servers
 FROM (SELECT DISTINCT base_domain FROM hosted) WHERE base_domain NOT LIKE '%.net'""",
     "dim_cert": """
@@ -90,11 +91,25 @@ SELECT domain, 'CA ' || CAST(length(domain) AS VARCHAR) AS cert_issuer, domain A
    AS cert_valid_to
 FROM (SELECT DISTINCT domain FROM hosted WHERE url LIKE 'https:%')""",
     "dim_page": r"""
-SELECT url, min(status) AS page_status, min(page_title) AS page_title, min(page_language) AS page_language FROM (
-SELECT url, CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 404 ELSE 503 END AS status,
+SELECT url, min(status) AS page_status, min(page_title) AS page_title, min(page_language) AS page_language,
+ min(failure) AS failure FROM (
+SELECT url, CASE WHEN page_id % 11 IN (5, 6) THEN NULL WHEN page_id % 4 = 0 THEN 200 WHEN page_id % 4 = 1 THEN 301
+   WHEN page_id % 4 = 2 THEN 404 ELSE 503 END AS status,
+ CASE page_id % 11 WHEN 5 THEN 'connection' WHEN 6 THEN 'timeout' END AS failure,
  substr(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 1, 200) AS page_title,
  nullif(regexp_extract(html, '(?i)<html[^>]+lang=["'']([^"'']+)["'']', 1), '') AS page_language
 FROM pages) GROUP BY url""",
+    # Identity of a host: an address is itself, a name on a hosting platform keeps the label before it.
+    "sites": """
+SELECT *, CASE WHEN regexp_matches(domain, '^[0-9.]+$') THEN domain
+ WHEN regexp_matches(domain, '[.](vercel[.]app|web[.]app|github[.]io|cprapid[.]com|pages[.]dev|netlify[.]app|render[.]com|fly[.]dev)$')
+  THEN regexp_extract(domain, '([^.]*[.][^.]*[.][^.]*)$', 1)
+ WHEN regexp_matches(domain, '[.](co|ac|gov|org)[.]uk$') THEN regexp_extract(domain, '([^.]*[.][^.]*[.][^.]*)$', 1)
+ ELSE regexp_extract(domain, '([^.]*[.][^.]*)$', 1) END AS site FROM (
+ SELECT id, url, domain, first_seen FROM hosted UNION ALL
+ SELECT id, page_url, regexp_extract(page_url, '://([^/?#:]*)', 1), NULL FROM obs UNION ALL
+ SELECT id + 1000000000, 'http://' || ip_address || '/' || CAST(id % 2 AS VARCHAR), ip_address, first_seen FROM obs
+  WHERE ip_address IS NOT NULL)""",
     "obs_ip": """
 SELECT *, CASE WHEN ip_address IS NOT NULL THEN
   CAST(split_part(ip_address, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip_address, '.', 2) AS BIGINT) * 65536

@@ -179,23 +179,30 @@ def feed_counts(spark, sf_dir):
 @query(
     "screen_urls",
     """
-WITH threats AS (SELECT * FROM scored WHERE first_seen < TIMESTAMP '2024-01-15 00:00:00'),
+WITH threats AS (SELECT s.url, s.domain, s.site, coalesce(t.risk_score, 50) AS risk_score FROM sites s LEFT JOIN scored t ON t.id = s.id
+ WHERE s.first_seen < TIMESTAMP '2024-01-15 00:00:00'),
 u AS (SELECT url, max(risk_score) AS s FROM threats GROUP BY 1),
 d AS (SELECT domain, max(risk_score) AS s FROM threats GROUP BY 1),
-b AS (SELECT base_domain, max(risk_score) AS s FROM threats GROUP BY 1)
+b AS (SELECT site, max(risk_score) AS s FROM threats GROUP BY 1)
 SELECT o.id, CASE WHEN u.s IS NOT NULL THEN 'url' WHEN d.s IS NOT NULL THEN 'domain'
  WHEN b.s IS NOT NULL THEN 'base_domain' END AS match_level, coalesce(u.s, d.s, b.s) AS match_score
-FROM (SELECT id, page_url AS url, regexp_extract(page_url, '://([^/?#:]*)', 1) AS domain,
-  regexp_extract(regexp_extract(page_url, '://([^/?#:]*)', 1), '([^.]*[.][^.]*)$', 1) AS base_domain FROM obs
- UNION ALL SELECT id, url, domain, base_domain FROM hosted WHERE first_seen >= TIMESTAMP '2024-01-15 00:00:00') o
-LEFT JOIN u ON u.url = o.url LEFT JOIN d ON d.domain = o.domain LEFT JOIN b ON b.base_domain = o.base_domain""",
+FROM (SELECT * FROM sites WHERE first_seen IS NULL OR first_seen >= TIMESTAMP '2024-01-15 00:00:00') o
+LEFT JOIN u ON u.url = o.url LEFT JOIN d ON d.domain = o.domain LEFT JOIN b ON b.site = o.site""",
 )
 def screen_urls(spark, sf_dir):
     rows = fx.hosted_obs(spark, sf_dir)
     early = F.col("first_seen") < F.lit(fx.LOAD_DAY).cast("timestamp_ntz")
-    threats = with_score(rows.where(early), fx.AS_OF)
-    observed = rows.select("id", F.col("page_url").alias("url")).unionByName(
-        rows.where(~early).select("id", "url")
+    by_address = rows.where("ip_address is not null").select(
+        (F.col("id") + 1_000_000_000).alias("id"),
+        F.concat(F.lit("http://"), "ip_address", F.lit("/"), (F.col("id") % 2).cast("string")).alias("url"),
+        "first_seen",
+    )
+    threats = with_score(rows.where(early), fx.AS_OF).select("url", "risk_score")
+    threats = threats.unionByName(by_address.where(early).select("url", F.lit(50).alias("risk_score")))
+    observed = (
+        rows.select("id", F.col("page_url").alias("url"))
+        .unionByName(rows.where(~early).select("id", "url"))
+        .unionByName(by_address.where(~early).select("id", "url"))
     )
     return screened(observed, threats).select("id", "match_level", "match_score")
 
@@ -203,11 +210,11 @@ def screen_urls(spark, sf_dir):
 @query(
     "campaigns",
     """
-SELECT h.base_domain, count(*) AS sightings, count(DISTINCT h.url) AS urls, count(DISTINCT h.source_feed) AS feeds,
+SELECT s.site AS base_domain, count(*) AS sightings, count(DISTINCT h.url) AS urls, count(DISTINCT h.source_feed) AS feeds,
  count(DISTINCT e.target_brand) AS brands, count(DISTINCT h.ip_address) AS ips,
  strftime(min(h.first_seen), '%Y-%m-%d %H:%M:%S.%f') AS first_seen,
  strftime(max(h.last_seen), '%Y-%m-%d %H:%M:%S.%f') AS last_seen, max(h.risk_score) AS max_score
-FROM scored h JOIN enr e ON e.id = h.id GROUP BY h.base_domain""",
+FROM scored h JOIN enr e ON e.id = h.id JOIN (SELECT DISTINCT domain, site FROM sites) s ON s.domain = h.domain GROUP BY s.site""",
 )
 def campaigns(spark, sf_dir):
     threats = with_score(fx.enr(spark, sf_dir), fx.AS_OF)

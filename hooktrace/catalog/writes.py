@@ -310,13 +310,13 @@ def _phish_records(spark, sf_dir):
 
 
 _PHISH_SQL = """
-SELECT id AS phish_id, url, CASE WHEN id % 3 <> 0 THEN 'yes' ELSE 'no' END AS verified, coalesce(online, 'no') AS online,
+SELECT id AS phish_id, url, CASE WHEN id % 3 <> 0 THEN 'yes' ELSE 'no' END AS verified, {online} AS online,
  {target} AS target, {ip} AS ip_address FROM obs WHERE source_feed = 'phishtank'"""
 _BRAND_SQL = "CASE WHEN id % 4 <> 0 THEN 'Brand, \"' || CAST(id % 17 AS VARCHAR) END"
 _PHISH_SHOWN = ("phish_id", "url", "verified", "online", "target", "ip_address")
 
 
-@query("scan_json_feed", _PHISH_SQL.format(target=_BRAND_SQL, ip="ip_address"))
+@query("scan_json_feed", _PHISH_SQL.format(target=_BRAND_SQL, ip="ip_address", online="online"))
 def scan_json_feed(spark, sf_dir):
     """JSON array files, plain, gzip and bzip2, and a file with one record per line."""
     rows = _phish_records(spark, sf_dir)
@@ -333,7 +333,7 @@ def scan_json_feed(spark, sf_dir):
     return feeds.map_phish_records(arrays.unionByName(lines)).select(*_PHISH_SHOWN)
 
 
-@query("scan_csv_feed", _PHISH_SQL.format(target=f"coalesce({_BRAND_SQL}, '')", ip="CAST(NULL AS VARCHAR)"))
+@query("scan_csv_feed", _PHISH_SQL.format(target=f"coalesce({_BRAND_SQL}, '')", ip="CAST(NULL AS VARCHAR)", online="online"))
 def scan_csv_feed(spark, sf_dir):
     path = shared_folder(spark, "csv-feed")
     _phish_records(spark, sf_dir).drop("details").write.option("header", True).option("escape", '"').csv(path)

@@ -195,6 +195,30 @@ def dim_rdap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def obs_ip6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with IPv6 addresses in several spellings."""
+    group, last = F.lower(F.hex(F.col("event_id") % 4096)), F.hex(F.col("event_id") % 65536)
+    short = F.concat(F.lit("2001:db8:"), group, F.lit("::"), last)
+    full = F.concat(F.lit("2001:0DB8:"), group, F.lit(":0:0:0:0:"), last)
+    text = F.when(F.col("event_id") % 3 == 0, full).when(F.col("event_id") % 7 == 0, "fe80::1%eth0").otherwise(short)
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), text.alias("ip_address"))
+
+
+def dim_rdap6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested IPv6 blocks; the widest one is repeated for every nation."""
+    key = F.col("n_nationkey").cast("bigint")
+    narrow = F.when(key < 16, F.array(
+        F.struct(F.concat(F.lit("2001:db8:"), F.lower(F.hex(key)), F.lit("00::/40")).alias("b"), (key + 100).alias("a")),
+        F.struct(F.concat(F.lit("2001:DB8:"), F.hex(key * 256 + 7), F.lit("::/47")).alias("b"), (key + 200).alias("a")),
+    ))
+    wide = F.array(F.struct(F.lit("2001:db8::/32, 10.0.0.0/8").alias("b"), F.lit(1).cast("bigint").alias("a")))
+    rows = table(spark, sf_dir, "nation").select(F.explode(F.concat(wide, F.coalesce(narrow, F.slice(wide, 1, 0)))).alias("x"))
+    empty = F.lit(None).cast("string")
+    return rows.select(
+        F.col("x.b").alias("cidr_block"), F.col("x.a").alias("asn"), *[empty.alias(n) for n in ("asn_name", "isp", "country")]
+    )
+
+
 def dim_dns(o: DataFrame) -> DataFrame:
     return o.groupBy("domain").agg(F.min("ip_address").alias("ip_address"))
 
@@ -205,10 +229,15 @@ def dim_whois(o: DataFrame) -> DataFrame:
     length = F.length("base_domain")
     registrar = _pick(length % 4, ["Alpha", "Beta", "Gamma"], "Delta")
     created = F.timestamp_add("DAY", -length, F.lit("2024-01-01").cast("timestamp_ntz"))
-    return base.where(~F.col("base_domain").endswith(".net")).select(
+    # Two captures of each, the older one with other data. Dates are text, some of them unreadable.
+    capture = F.explode(F.array(F.lit("2024-01-01"), F.lit("2023-01-01"))).alias("captured_at")
+    old = F.col("captured_at") == "2023-01-01"
+    dates = F.when(length % 5 == 0, "before Aug-1996").otherwise(F.date_format(created, "yyyy-MM-dd HH:mm:ss"))
+    return base.where(~F.col("base_domain").endswith(".net")).select("base_domain", capture).select(
         "base_domain",
-        F.array(registrar, F.lit("Second")).alias("registrar"),
-        created.alias("creation_date"),
+        "captured_at",
+        F.array(F.when(old, "Aaa").otherwise(registrar), F.lit("Second")).alias("registrar"),
+        dates.alias("creation_date"),
         F.array(
             F.concat(F.lit("ns1."), "base_domain"), F.concat(F.lit("ns2."), "base_domain")
         ).alias("name_servers"),
@@ -234,10 +263,10 @@ def dim_cert(o: DataFrame) -> DataFrame:
 
 
 def dim_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetched pages with a status."""
-    return table(spark, sf_dir, "pages").select(
-        "url", "html", _pick(F.col("page_id") % 4, [200, 301, 404], 503).alias("status")
-    )
+    """Fetched pages with a status, or with the reason why there is none."""
+    failed = F.when(F.col("page_id") % 11 == 5, "connection").when(F.col("page_id") % 11 == 6, "timeout")
+    status = F.when(failed.isNull(), _pick(F.col("page_id") % 4, [200, 301, 404], 503))
+    return table(spark, sf_dir, "pages").select("url", "html", status.alias("status"), failed.alias("failure"))
 
 
 def dim_page_of_urls(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:

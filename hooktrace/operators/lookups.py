@@ -2,10 +2,11 @@
 
 Snapshots take the place of live DNS, WHOIS, certificate, RDAP, GeoIP and page
 requests. Range lookups are equi-joins: every range is cut into aligned blocks
-of a power-of-two size, an address lies in exactly one block per size, so the
-pair (size, block number) finds all ranges that hold an address and nothing
-else. No candidate pair is formed and then thrown away, and blocks are at most
-a /16, so one join key never holds more than 65,536 addresses.
+of a power-of-two size, and an address lies in exactly one block per size. Every
+range that has a block holds all addresses of it, so only the narrowest range of
+a block is kept before the join, and an address meets at most one row per size,
+however often a range is repeated. IPv4 blocks are at most a /16, so one join key
+never holds more than 65,536 addresses. IPv6 is looked up by CIDR prefix.
 """
 
 from __future__ import annotations
@@ -14,10 +15,19 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 from hooktrace.functions import fields
-from hooktrace.functions.ipaddr import cidr_high, cidr_low, cidr_prefix, ip_number
+from hooktrace.functions.dates import utc_timestamp
+from hooktrace.functions.ipaddr import (
+    IPV6_MARK,
+    cidr6_prefix,
+    cidr_high,
+    cidr_low,
+    cidr_prefix,
+    ip_key,
+    ipv6_hex,
+    ipv6_network,
+)
 from hooktrace.functions.urls import base_domain, url_host
 from hooktrace.operators.skew import balanced_left_join
 from hooktrace.operators.upsert import one_per_key
@@ -69,6 +79,9 @@ def range_lookup(
     pieces = ranges.where(F.col("lo") <= F.col("hi")).select(
         F.inline(blocks), "lo", "hi", *payload
     )
+    narrowest = [F.asc(F.col("hi") - F.col("lo")), F.asc("lo")]
+    narrowest += [F.asc_nulls_last(c) for c in payload]
+    pieces = one_per_key(pieces, ["bits", "block"], narrowest)
     # At most BLOCK_BITS + 1 sizes exist, so this set is tiny whatever the ranges are.
     sizes = (
         ranges.where(F.col("lo") <= F.col("hi"))
@@ -82,8 +95,6 @@ def range_lookup(
         .withColumn("block", _shift(F.col(ip), F.col("bits")))
     )
     found = probes.join(pieces, ["bits", "block"]).drop("bits", "block")
-    narrowest = [F.asc(F.col("hi") - F.col("lo")), F.asc("lo")]
-    narrowest += [F.asc_nulls_last(c) for c in payload]
     return one_per_key(found, ip, narrowest).drop("lo", "hi")
 
 
@@ -99,15 +110,50 @@ def cidr_ranges(snapshot: DataFrame, column: str = "cidr_block") -> DataFrame:
     )
 
 
+def cidr6_lookup(
+    addresses: DataFrame, snapshot: DataFrame, payload: Sequence[str], column: str = "cidr_block"
+) -> DataFrame:
+    """Payload of the longest IPv6 prefix that holds each address (32 digits in ``ip``)."""
+    text = F.col("__cidr")
+    blocks = snapshot.withColumn("__cidr", F.explode(F.split(column, r"\s*,\s*")))
+    blocks = blocks.select(
+        cidr6_prefix(text).alias("bits"), ipv6_hex(F.substring_index(text, "/", 1)).alias("digits"), *payload
+    ).where(F.col("bits").isNotNull() & F.col("digits").isNotNull())
+    blocks = blocks.withColumn("network", ipv6_network(F.col("digits"), F.col("bits"))).drop("digits")
+    blocks = one_per_key(blocks, ["bits", "network"], [F.asc_nulls_last(c) for c in payload])
+    # At most 129 lengths exist.
+    lengths = blocks.agg(F.collect_set("bits").alias("lengths")).scalar()
+    probes = addresses.select("ip").withColumn("bits", F.explode(lengths))
+    probes = probes.withColumn("network", ipv6_network(F.col("ip"), F.col("bits")))
+    found = probes.join(blocks, ["bits", "network"]).drop("network")
+    return one_per_key(found, "ip", [F.desc("bits")]).drop("bits")
+
+
+def address_lookup(
+    addresses: DataFrame, table: DataFrame, payload: Sequence[str], ip: str = "ip"
+) -> DataFrame:
+    """Payload by address key: IPv4 by range or CIDR block, IPv6 by CIDR block.
+
+    ``table`` has ``lo`` and ``hi`` as numbers, or ``cidr_block`` as text.
+    """
+    ranges = table if "lo" in table.columns else cidr_ranges(table)
+    is_six = F.col(ip).startswith(IPV6_MARK)
+    four = addresses.where(~is_six).select(F.col(ip).cast("bigint").alias(ip))
+    found = range_lookup(four, ranges, payload, ip).withColumn(ip, F.col(ip).cast("string"))
+    if "cidr_block" not in table.columns:
+        return found
+    six = addresses.where(is_six).select(F.substr(F.col(ip), F.lit(2)).alias("ip"))
+    longest = cidr6_lookup(six, table, payload).withColumn("ip", F.concat(F.lit(IPV6_MARK), "ip"))
+    return found.unionByName(longest.withColumnRenamed("ip", ip))
+
+
 def distinct_ips(*columns: DataFrame) -> DataFrame:
-    """Distinct addresses as ``ip`` (BIGINT) of one-column frames of IP text or number."""
-    numbers = []
+    """Distinct address keys as ``ip`` of one-column frames: of IP text, or of keys (called ``ip``)."""
+    keys = []
     for frame in columns:
         (column,) = frame.columns
-        is_text = isinstance(frame.schema[column].dataType, StringType)
-        number = ip_number(F.col(column)) if is_text else F.col(column)
-        numbers.append(frame.select(number.alias("ip")))
-    rows = reduce(DataFrame.union, numbers)
+        keys.append(frame.select((F.col(column) if column == "ip" else ip_key(F.col(column))).alias("ip")))
+    rows = reduce(DataFrame.union, keys)
     return rows.where(F.col("ip").isNotNull()).distinct()
 
 
@@ -126,17 +172,17 @@ def resolve_ips(
     resolved = addresses
     if city is not None:
         names = ["country", "country_name", "region", "city", "latitude", "longitude"]
-        found = range_lookup(addresses, city, names)
+        found = address_lookup(addresses, city, names)
         resolved = resolved.join(_prefixed(found, names, "geo_"), "ip", "left")
     if country is not None:
-        found = range_lookup(addresses, country, ["country", "country_name"])
+        found = address_lookup(addresses, country, ["country", "country_name"])
         resolved = resolved.join(_prefixed(found, ["country", "country_name"], "fallback_"), "ip", "left")
     if asn is not None:
-        found = range_lookup(addresses, asn, ["asn", "asn_name"])
+        found = address_lookup(addresses, asn, ["asn", "asn_name"])
         resolved = resolved.join(_prefixed(found, ["asn", "asn_name"], "geo_"), "ip", "left")
     if rdap is not None:
         names = ["cidr_block", "asn", "asn_name", "isp", "country"]
-        found = range_lookup(addresses, cidr_ranges(rdap), names)
+        found = address_lookup(addresses, rdap, names)
         resolved = resolved.join(_prefixed(found, names, "rdap_"), "ip", "left")
     return _with_country_fallback(_with_all_columns(resolved))
 
@@ -173,7 +219,7 @@ def _with_country_fallback(rows: DataFrame) -> DataFrame:
 
 def join_dns(rows: DataFrame, dns: DataFrame, spread: Column | None = None) -> DataFrame:
     """Fill a missing IP address from the DNS snapshot (domain, ip_address)."""
-    known = one_per_key(dns, "domain", [F.asc_nulls_last("ip_address")]).select(
+    known = one_per_key(dns, "domain", latest_first(dns, "domain")).select(
         "domain", F.col("ip_address").alias("dns_ip")
     )
     joined = balanced_left_join(rows, known, "domain", _spread(spread))
@@ -184,16 +230,25 @@ def join_dns(rows: DataFrame, dns: DataFrame, spread: Column | None = None) -> D
 
 def join_ip(rows: DataFrame, resolved: DataFrame, spread: Column | None = None) -> DataFrame:
     """Attach resolved addresses to rows by their IP text."""
-    keyed = rows.withColumn("ip", ip_number(F.col("ip_address")))
+    keyed = rows.withColumn("ip", ip_key(F.col("ip_address")))
     return balanced_left_join(keyed, resolved, "ip", _spread(spread)).drop("ip")
 
 
 def whois_columns(snapshot: DataFrame) -> DataFrame:
-    """Shape a WHOIS snapshot: list-or-scalar fields hold lists, the first entry counts."""
+    """Shape a WHOIS snapshot: list-or-scalar fields hold lists, the first entry counts.
+
+    Dates may be text; what is not ISO text (with or without a time and an offset) becomes NULL.
+    """
     shaped = {}
     for name in ("registrar", "creation_date", "expiry_date", "updated_date"):
-        if name in snapshot.columns and snapshot.schema[name].dataType.typeName() == "array":
-            shaped[name] = fields.first_item(F.col(name))
+        if name not in snapshot.columns:
+            continue
+        kind, value = snapshot.schema[name].dataType, F.col(name)
+        if kind.typeName() == "array":
+            kind, value = kind.elementType, fields.first_item(value)
+        if name != "registrar" and kind.typeName() == "string":
+            value = utc_timestamp(F.trim(value))
+        shaped[name] = value
     if (
         "name_servers" in snapshot.columns
         and snapshot.schema["name_servers"].dataType.typeName() == "array"
@@ -206,8 +261,7 @@ def whois_columns(snapshot: DataFrame) -> DataFrame:
 def join_whois(rows: DataFrame, whois: DataFrame, spread: Column | None = None) -> DataFrame:
     """Registration data by registrable domain; ``whois`` is keyed by ``base_domain``."""
     shaped = whois_columns(whois)
-    order = [F.asc_nulls_last(c) for c in shaped.columns if c != "base_domain"]
-    known = one_per_key(shaped, "base_domain", order)
+    known = one_per_key(shaped, "base_domain", latest_first(shaped, "base_domain")).drop(CAPTURED)
     keyed = rows.withColumn("base_domain", base_domain(F.col("domain")))
     return balanced_left_join(keyed, known, "base_domain", _spread(spread)).drop("base_domain")
 
@@ -225,12 +279,25 @@ def cert_columns(snapshot: DataFrame) -> DataFrame:
 def join_cert(rows: DataFrame, certs: DataFrame, spread: Column | None = None) -> DataFrame:
     """Certificate by domain; a domain without one has ``ssl_enabled`` = ``no``."""
     shaped = cert_columns(certs)
-    order = [F.asc_nulls_last(c) for c in shaped.columns if c != "domain"]
-    known = one_per_key(shaped, "domain", order).withColumn("ssl_enabled", F.lit("yes"))
+    known = one_per_key(shaped, "domain", latest_first(shaped, "domain")).drop(CAPTURED)
+    known = known.withColumn("ssl_enabled", F.lit("yes"))
     joined = balanced_left_join(rows, known, "domain", _spread(spread))
     return joined.withColumn("ssl_enabled", F.coalesce("ssl_enabled", F.lit("no")))
 
 
+CAPTURED = "captured_at"
+
+
+def _captured(snapshot: DataFrame) -> list[str]:
+    return [CAPTURED] if CAPTURED in snapshot.columns else []
+
+
+def latest_first(snapshot: DataFrame, key: str) -> list[Column]:
+    """Order of the rows of a key: the newest capture where there is a capture time, then by content."""
+    newest = [F.desc_nulls_last(c) for c in _captured(snapshot)]
+    return newest + [F.asc_nulls_last(c) for c in snapshot.columns if c not in (key, CAPTURED)]
+
+
 def page_columns(pages: DataFrame) -> DataFrame:
     """What is kept of a fetched page: status, online flag, title and language.
 
@@ -239,20 +306,24 @@ def page_columns(pages: DataFrame) -> DataFrame:
     """
     status = F.col("status")
     html = F.col("html")
+    # Why there was no answer: a refused connection says offline, a timeout says nothing.
+    failure = F.col("failure") if "failure" in pages.columns else None
     return pages.select(
         "url",
         status.cast("int").alias("page_status"),
-        fields.online_from_probe(F.lit("GET"), status).alias("page_online"),
+        fields.online_from_probe(F.lit("GET"), status, failure).alias("page_online"),
         fields.page_title(html).alias("page_title"),
         fields.page_language(html).alias("page_language"),
+        *_captured(pages),
     )
 
 
 def join_page(rows: DataFrame, pages: DataFrame, spread: Column | None = None) -> DataFrame:
     """Page facts by URL; ``pages`` has url, status, html or is already cut down."""
     short = page_columns(pages) if "html" in pages.columns else pages
-    order = [F.asc_nulls_last(c) for c in short.columns if c != "url"]
-    return balanced_left_join(rows, one_per_key(short, "url", order), "url", _spread(spread))
+    known = one_per_key(short, "url", latest_first(short, "url")).drop(CAPTURED)
+    # Rows of one URL share the join key, so they are told apart by all their columns.
+    return balanced_left_join(rows, known, "url", F.struct(*rows.columns) if spread is None else spread)
 
 
 def probe_columns(probes: DataFrame) -> DataFrame:

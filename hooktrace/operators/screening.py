@@ -4,67 +4,71 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hooktrace.functions.scoring import HOSTING_PLATFORMS
 from hooktrace.functions.urls import base_domain, url_host
-from hooktrace.operators.skew import balanced_left_join
 
 # Match levels from the closest to the widest.
 LEVELS = ("url", "domain", "base_domain")
 
 
+def site(domain: Column) -> Column:
+    """The widest name that still means one owner.
+
+    An IP address is itself. On a hosting platform every customer has a name of their own, so the
+    platform counts as a public suffix. Else the registrable domain.
+    """
+    is_address = domain.rlike(r"^[0-9.]+$") | F.contains(domain, F.lit(":"))
+    owner = F.when(is_address, domain)
+    for platform in HOSTING_PLATFORMS:
+        owner = owner.when(domain.endswith(platform), F.substring_index(domain, ".", -platform.count(".") - 1))
+    return owner.otherwise(base_domain(domain))
+
+
 def _with_keys(rows: DataFrame) -> DataFrame:
     if "domain" not in rows.columns:
         rows = rows.withColumn("domain", url_host(F.col("url")))
-    return rows.withColumn("base_domain", base_domain(F.col("domain")))
+    return rows.withColumn("base_domain", site(F.col("domain")))
 
 
-def screen_urls(observed: DataFrame, threats: DataFrame, spread: Column | None = None) -> DataFrame:
+def screen_urls(observed: DataFrame, threats: DataFrame) -> DataFrame:
     """Observed URLs with the closest match level (NULL for none) and the highest score there.
 
-    Threats are cut down to one score per key first, so a join never pairs many
-    threats with many observations of one hosting domain. The domain and the
-    registrable domain are looked up once per distinct observed domain, so the
-    observations themselves are shuffled twice: by URL and by domain. ``spread``
-    is hashed to cut up heavy keys: give it the row's own id (default: all columns).
+    Threats are cut down to one score per key first, so a join never pairs many threats with many
+    observations. Distinct observed URLs are matched, and the matches joined back once, so the
+    observations are read twice and moved once; adaptive execution splits a hot URL, as they are
+    the left side of a left join.
     """
     known = _with_keys(threats)
-    if spread is None:
-        spread = F.struct(*observed.columns)
-    rows = _with_keys(observed)
     best_url = known.groupBy("url").agg(F.max("risk_score").alias("__url"))
-    best_domain = (
-        known.where(F.col("domain").isNotNull())
-        .groupBy("domain")
-        .agg(F.max("risk_score").alias("__domain"))
-    )
-    # The registrable domain follows from the domain, so its best score does too.
-    best_base = best_domain.groupBy(base_domain(F.col("domain")).alias("base_domain")).agg(
+    named = known.where(F.col("domain").isNotNull())
+    best_domain = named.groupBy("domain").agg(F.max("risk_score").alias("__domain"))
+    # The site follows from the domain, so its best score does too.
+    best_base = best_domain.groupBy(site(F.col("domain")).alias("base_domain")).agg(
         F.max("__domain").alias("__base_domain")
     )
-    domains = rows.where(F.col("domain").isNotNull()).select("domain", "base_domain").distinct()
-    by_domain = balanced_left_join(
-        domains.join(best_domain, "domain", "left"),
-        best_base,
-        "base_domain",
-        F.col("domain"),
-        counted_facts=domains,
-    ).drop("base_domain")
-    result = balanced_left_join(rows, best_url, "url", spread)
-    result = balanced_left_join(result, by_domain, "domain", spread, counted_facts=rows)
-
+    has_domain = "domain" in observed.columns
+    keys = ["url", "domain"] if has_domain else ["url"]
+    urls = _with_keys(observed.select(*keys).distinct())
+    matched = urls.join(best_url, "url", "left").join(best_domain, "domain", "left").join(best_base, "base_domain", "left")
     found = [F.col(f"__{level}") for level in LEVELS]
-    matched = F.lit(None).cast("string")
-    for level, score in reversed(list(zip(LEVELS, found))):
-        matched = F.when(score.isNotNull(), level).otherwise(matched)
-    return result.withColumns({"match_level": matched, "match_score": F.coalesce(*found)}).drop(
-        *[f"__{level}" for level in LEVELS]
+    level = F.lit(None).cast("string")
+    for name, score in reversed(list(zip(LEVELS, found))):
+        level = F.when(score.isNotNull(), name).otherwise(level)
+    matched = matched.where(F.coalesce(*found).isNotNull()).select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], level.alias("match_level"), F.coalesce(*found).alias("match_score")
     )
+    same = F.col("url") == F.col("__k_url")
+    if has_domain:
+        same = same & F.col("domain").eqNullSafe(F.col("__k_domain"))
+    return observed.join(matched, same, "left").drop(*[f"__k_{k}" for k in keys])
 
 
 def campaigns(threats: DataFrame, by: str = "base_domain") -> DataFrame:
     """Threats that share infrastructure, as one summary row per shared key.
 
     ``by`` is ``base_domain``, ``ip_address`` or ``asn_brand`` (ASN and target
-    brand together). Members are counted, not collected: the exact distinct
+    brand together). An IP host is its own domain, and so is a customer's name on
+    a hosting platform. Members are counted, not collected: the exact distinct
     counts are formed per (group, value) first, so a group that holds a third
     of all threats is spread over the tasks.
     """
@@ -78,8 +82,16 @@ def campaigns(threats: DataFrame, by: str = "base_domain") -> DataFrame:
     else:
         raise ValueError(f"cannot group by {by!r}")
     known = keyed.where(F.col(keys[0]).isNotNull() & F.col(keys[-1]).isNotNull())
+    # Rows that repeat what is counted are summed up first; only what is left is counted four ways.
+    counted = [c for c in ("url", "source_feed", "target_brand", "ip_address") if c not in keys]
+    known = known.groupBy(*keys, *counted).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.max("risk_score").alias("risk_score"),
+    )
     return known.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sightings"),
+        F.sum("rows").alias("sightings"),
         F.countDistinct("url").alias("urls"),
         F.countDistinct("source_feed").alias("feeds"),
         F.countDistinct("target_brand").alias("brands"),

@@ -88,7 +88,9 @@ def dedup_feeds(
     """
     rank = F.asc("feed_rank") if first_wins else F.desc("feed_rank")
     ties = list(order) or [F.desc_nulls_last(F.col("source_id").try_cast("bigint"))]
-    return one_per_key(work.where(F.col("url").isNotNull()), "url", [rank, *ties])
+    # What is still equal is told apart by content, so the order of rows never decides.
+    rest = [F.asc_nulls_first(c) for c in work.columns if c != "url"]
+    return one_per_key(work.where(F.col("url").isNotNull()), "url", [rank, *ties, *rest])
 
 
 def skip_existing(

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from hooktrace.functions import fields
 from hooktrace.functions.dates import as_of_column
-from hooktrace.functions.ipaddr import ip_number
+from hooktrace.functions.ipaddr import ip_key
 from hooktrace.functions.scoring import risk_score
 from hooktrace.functions.urls import base_domain
 from hooktrace.operators.lookups import (
+    CAPTURED,
     cert_columns,
     distinct_ips,
+    latest_first,
     page_columns,
     probe_columns,
     resolve_ips,
@@ -65,7 +67,7 @@ def enrich(
     resolved addresses. Without it Spark may compute them again for each use.
     """
     hold = staged if stage else lambda rows, purpose: rows
-    hosted = with_hosts(work, strict_hosts).withColumn("ip", ip_number(F.col("ip_address")))
+    hosted = with_hosts(work, strict_hosts).withColumn("ip", ip_key(F.col("ip_address")))
     hosted = hold(hosted, "worklist")
     domains = hold(_domains(hosted, snapshots.dns), "domains")
     addresses = hold(
@@ -91,16 +93,16 @@ def enrich(
 
 
 def _domains(hosted: DataFrame, dns: DataFrame | None) -> DataFrame:
-    """Distinct domains of the work list with their address, as text and as number."""
+    """Distinct domains of the work list with their address, as text and as key."""
     domains = hosted.where(F.col("domain").isNotNull()).select("domain").distinct()
     if dns is None:
         answered = domains.withColumn("dns_ip", F.lit(None).cast("string"))
     else:
-        answer = one_per_key(dns, "domain", [F.asc_nulls_last("ip_address")]).select(
+        answer = one_per_key(dns, "domain", latest_first(dns, "domain")).select(
             "domain", F.col("ip_address").alias("dns_ip")
         )
         answered = domains.join(answer, "domain", "left")
-    return answered.withColumn("ip", ip_number(F.col("dns_ip")))
+    return answered.withColumn("ip", ip_key(F.col("dns_ip")))
 
 
 _WHOIS_COLUMNS = ("registrar", "creation_date", "expiry_date", "updated_date", "name_servers")
@@ -115,7 +117,7 @@ def _domain_facts(domains: DataFrame, snapshots: Snapshots, addresses: DataFrame
     if snapshots.certs is not None:
         shaped = cert_columns(snapshots.certs)
         present = [c for c in _CERT_COLUMNS if c in shaped.columns]
-        certs = one_per_key(shaped, "domain", [F.asc_nulls_last(c) for c in present])
+        certs = one_per_key(shaped, "domain", latest_first(shaped, "domain"))
         certs = certs.select("domain", *present).withColumn("ssl_enabled", F.lit("yes"))
         facts = facts.join(certs, "domain", "left").withColumn(
             "ssl_enabled", F.coalesce("ssl_enabled", F.lit("no"))
@@ -123,7 +125,7 @@ def _domain_facts(domains: DataFrame, snapshots: Snapshots, addresses: DataFrame
     if snapshots.whois is not None:
         shaped = whois_columns(snapshots.whois)
         present = [c for c in _WHOIS_COLUMNS if c in shaped.columns]
-        whois = one_per_key(shaped, "base_domain", [F.asc_nulls_last(c) for c in present])
+        whois = one_per_key(shaped, "base_domain", latest_first(shaped, "base_domain"))
         facts = balanced_left_join(
             facts.withColumn("base_domain", base_domain(F.col("domain"))),
             whois.select("base_domain", *present),
@@ -139,8 +141,8 @@ def _join_url_facts(rows: DataFrame, snapshots: Snapshots) -> DataFrame:
     if snapshots.pages is not None:
         pages = snapshots.pages
         pages = page_columns(pages) if "html" in pages.columns else pages
-        order = [F.asc_nulls_last(c) for c in pages.columns if c != "url"]
-        rows = rows.join(one_per_key(pages, "url", order), "url", "left")
+        known = one_per_key(pages, "url", latest_first(pages, "url")).drop(CAPTURED)
+        rows = rows.join(known, "url", "left")
     if snapshots.probes is not None:
         probes = probe_columns(snapshots.probes)
         order = [F.asc_nulls_last("probe_status"), F.asc_nulls_last("probe_online")]

@@ -67,6 +67,18 @@ def range_blocks(low: Column, high: Column) -> Column:
     return F.array_compact(F.concat(edges, whole))
 
 
+def _narrowest_first(payload: Sequence[str]) -> list[Column]:
+    return [F.asc(F.col("hi") - F.col("lo")), F.asc("lo"), *[F.asc_nulls_last(c) for c in payload]]
+
+
+def narrowest_pieces(ranges: DataFrame, payload: Sequence[str]) -> DataFrame:
+    """The narrowest range of every block (bits, block) that ranges are cut into."""
+    pieces = ranges.where(F.col("lo") <= F.col("hi")).select(
+        F.inline(range_blocks(F.col("lo"), F.col("hi"))), "lo", "hi", *payload
+    )
+    return one_per_key(pieces, ["bits", "block"], _narrowest_first(payload))
+
+
 def range_lookup(
     addresses: DataFrame, ranges: DataFrame, payload: Sequence[str], ip: str = "ip"
 ) -> DataFrame:
@@ -76,12 +88,7 @@ def range_lookup(
     inclusive ``lo`` and ``hi`` and may nest or overlap.
     """
     blocks = range_blocks(F.col("lo"), F.col("hi"))
-    pieces = ranges.where(F.col("lo") <= F.col("hi")).select(
-        F.inline(blocks), "lo", "hi", *payload
-    )
-    narrowest = [F.asc(F.col("hi") - F.col("lo")), F.asc("lo")]
-    narrowest += [F.asc_nulls_last(c) for c in payload]
-    pieces = one_per_key(pieces, ["bits", "block"], narrowest)
+    pieces = narrowest_pieces(ranges, payload)
     # At most BLOCK_BITS + 1 sizes exist, so this set is tiny whatever the ranges are.
     sizes = (
         ranges.where(F.col("lo") <= F.col("hi"))
@@ -95,7 +102,7 @@ def range_lookup(
         .withColumn("block", _shift(F.col(ip), F.col("bits")))
     )
     found = probes.join(pieces, ["bits", "block"]).drop("bits", "block")
-    return one_per_key(found, ip, narrowest).drop("lo", "hi")
+    return one_per_key(found, ip, _narrowest_first(payload)).drop("lo", "hi")
 
 
 def cidr_ranges(snapshot: DataFrame, column: str = "cidr_block") -> DataFrame:

@@ -112,3 +112,20 @@ def test_create_table_leaves_a_table_alone(spark, tmp_path):
     spark.createDataFrame([("u",)], "url string").write.mode("overwrite").parquet(path)
     tables.create_table(spark, path, ENRICHED)
     assert tables.read_enriched(spark, path).count() == 1
+
+
+@pytest.mark.parametrize("read", [feeds.read_phish_json, feeds.read_malware_json])
+@pytest.mark.parametrize("lines", [False, True])
+def test_a_bad_file_is_an_error(spark, tmp_path, read, lines):
+    path = tmp_path / "feed.json"
+    text = json.dumps(RECORDS if read is feeds.read_phish_json else {"query_status": "ok", "urls": RECORDS})
+    path.write_text(text[: len(text) // 2])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read(spark, str(path), lines=lines).collect()
+
+
+def test_json_lines(spark, tmp_path):
+    path = tmp_path / "feed.jsonl"
+    path.write_text("\n".join(json.dumps(r) for r in RECORDS))
+    rows = feeds.map_phish_records(feeds.read_phish_json(spark, str(path), lines=True)).collect()
+    assert sorted(r.url for r in rows) == sorted(r["url"] for r in RECORDS)

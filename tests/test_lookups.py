@@ -1,10 +1,13 @@
+import ipaddress
 import random
 
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
+from hooktrace.functions.ipaddr import ip_key, ipv6_hex
 from hooktrace.operators import lookups, skew
+from hooktrace.operators.screening import screen_urls
 
 
 def _narrowest(ip, ranges):
@@ -143,3 +146,78 @@ def test_small_stored_table_is_joined_without_slices(spark, tmp_path):
     physical = plan[plan.index("== Physical Plan"):]
     assert "BroadcastHashJoin" in physical and "hashpartitioning" not in physical
     assert joined.where("v = 1").count() == 5 and joined.count() == 10
+
+
+def test_repeated_ranges_make_no_pairs(spark):
+    """A block repeated for every address meets each address once."""
+    ranges = spark.range(300).selectExpr("0L AS lo", "65535L AS hi", "concat('r', id) AS name")
+    ips = spark.range(500).selectExpr("id AS ip")
+    found = lookups.range_lookup(ips, ranges.unionByName(ranges.selectExpr("lo", "255L AS hi", "'in' AS name")), ["name"])
+    assert {(r.ip, r.name) for r in found.collect()} == {(i, "in" if i < 256 else "r0") for i in range(500)}
+    pieces = lookups.narrowest_pieces(ranges, ["name"])
+    assert [(r.bits, r.block, r.name) for r in pieces.collect()] == [(16, 0, "r0")]
+
+
+def test_ipv6_keys(spark):
+    texts = [
+        "::", "::1", "1::", "2001:0DB8:0:0:0:0:0:1", "::ffff:1.2.3.4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1::2::3",
+        "12345::", "g::", "1.2.3.4", ":1:2", None, "", "[fe80::1]", "fe80::1%eth0", "1:2:3:4:5:6:7:8:9", ":::",
+    ]
+
+    def plain(text):
+        try:
+            return format(int(ipaddress.IPv6Address(text.strip("[]").split("%")[0])), "032x")
+        except (AttributeError, ValueError):
+            return None
+
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = frame.select("i", ipv6_hex(F.col("t")).alias("h"), ip_key(F.col("t")).alias("k")).orderBy("i").collect()
+    assert [r.h for r in rows] == [plain(t) for t in texts]
+    assert rows[10].k == str(0x01020304) and rows[1].k == "x" + "0" * 31 + "1"
+
+
+def test_longest_ipv6_prefix_wins(spark):
+    blocks = ["2001:db8::/32", "2001:db8:8000::/33", "2001:db8:8000::/46, 10.0.0.0/8", "bad/40", "::/129", None]
+    rdap = spark.createDataFrame([(b, i) for i, b in enumerate(blocks)], "cidr_block string, asn long").selectExpr(
+        "*", "'n' AS asn_name", "'i' AS isp", "'c' AS country"
+    )
+    texts = ["2001:db8:8003::9", "2001:db8:8004::9", "2001:db8:1::", "2001:db9::", "10.3.3.3"]
+    rows = spark.createDataFrame([(t, t) for t in texts], "url string, ip_address string")
+    resolved = lookups.resolve_ips(lookups.distinct_ips(rows.select("ip_address")), rdap=rdap)
+    got = {r.url: r.rdap_asn for r in lookups.join_ip(rows, resolved).collect()}
+    assert got == dict(zip(texts, [2, 1, 0, None, 2]))
+
+
+def test_failed_page_fetch(spark):
+    pages = spark.createDataFrame(
+        [("a", None, "connection", "x"), ("b", None, "timeout", "x"), ("c", 200, None, "x"), ("d", 404, None, "x")],
+        "url string, status int, failure string, html string",
+    )
+    got = {r.url: r.page_online for r in lookups.page_columns(pages).collect()}
+    assert got == {"a": "no", "b": "unknown", "c": "yes", "d": "no"}
+
+
+def test_whois_dates_and_captures(spark):
+    whois = spark.createDataFrame(
+        [("a.com", "2024-01-01", "New", "before Aug-1996"), ("a.com", "2023-01-01", "Aaa", "2020-01-01"),
+         ("b.com", None, "B", " 2020-05-06T07:08:09+02:00 ")],
+        "base_domain string, captured_at string, registrar string, creation_date string",
+    )
+    rows = spark.createDataFrame([("u", "x.a.com"), ("v", "b.com")], "url string, domain string")
+    got = {r.url: (r.registrar, r.creation_date and str(r.creation_date)) for r in lookups.join_whois(rows, whois).collect()}
+    assert got == {"u": ("New", None), "v": ("B", "2020-05-06 05:08:09")}
+
+
+def test_screening_keeps_owners_apart(spark):
+    threats = spark.createDataFrame(
+        [("http://1.2.3.4/y", 90), ("http://evil.vercel.app/", 80), ("http://a.bad.com/", 70), ("http://[2001:db8::1]/", 60)],
+        "url string, risk_score int",
+    )
+    urls = ["http://9.9.3.4/x", "http://1.2.3.4/z", "http://good.vercel.app/", "http://x.evil.vercel.app/", "http://b.bad.com/", "http://[2001:db8::2]/"]
+    observed = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(9, urls[1]), (10, None)], "id int, url string")
+    found = screen_urls(observed, threats)
+    got = {r.id: (r.match_level, r.match_score) for r in found.collect()}
+    assert got == {
+        0: (None, None), 1: ("domain", 90), 2: (None, None), 3: ("base_domain", 80), 4: ("base_domain", 70),
+        5: (None, None), 9: ("domain", 90), 10: (None, None),
+    }

@@ -1,6 +1,7 @@
 from conftest import plan_of
 from pyspark.sql import functions as F
 
+from hooktrace.operators.upsert import dedup_feeds
 from hooktrace.operators import paging, upsert
 from hooktrace.plans import feedload
 from hooktrace.schemas import RAW_LINE_FEED, RAW_MALWARE_FEED, RAW_PHISH_FEED
@@ -102,3 +103,10 @@ def test_line_and_malware_loads_are_idempotent(spark):
     entries = conform(spark.createDataFrame([("u", "2024-01-02"), ("u", "2024-01-01")], "url string, url_dateadded string"), RAW_MALWARE_FEED)
     loaded = feedload.load_malware_feed(spark.createDataFrame([], RAW_MALWARE_FEED), entries, LATE)
     assert _rows(loaded, "url", "url_dateadded") == [("u", "2024-01-01")]
+
+
+def test_equal_feed_rows_do_not_depend_on_order(spark):
+    rows = [("u", "openphish", None, 0, f"t{i}") for i in range(9)]
+    work = spark.createDataFrame(rows, "url string, source_feed string, source_id string, feed_rank int, target string")
+    picked = {dedup_feeds(work.repartition(n)).first().target for n in (1, 3, 7)}
+    assert picked == {"t0"}

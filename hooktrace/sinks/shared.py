@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
 
+@cache
+def _own_folder() -> str:
+    """A temporary folder of this process, for sessions without executors elsewhere."""
+    folder = tempfile.mkdtemp(prefix="hooktrace-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the folder the cluster shares.
 
-    The shared folder is the session's ``spark.checkpoint.dir``. Only a local
-    master may do without it and use a temporary folder.
+    The shared folder is the session's ``spark.checkpoint.dir``, or else the checkpoint folder
+    that was set on the context. Only a master of one process may do without: it uses a temporary
+    folder that goes away with the process.
     """
-    root = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
+    context = spark.sparkContext
+    root = spark.conf.get(_SETTING, None) or context.getConf().get(_SETTING) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError(f"set {_SETTING} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="hooktrace-")
+        root = _own_folder()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

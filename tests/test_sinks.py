@@ -172,3 +172,29 @@ def test_rows_without_a_score_column_read_as_zero(spark, tmp_path):
     old.write.partitionBy("bucket").parquet(f"{root}/log/writer=main/batch_id=0")
     store.append_batch(_load(spark, (2, "b", "yes", SEEN)).withColumn("risk_score", F.lit(7)), root, 1)
     assert {r.url: r.risk_score for r in store.current(spark, root).collect()} == {"a": 0, "b": 7}
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch, tmp_path):
+    from hooktrace.sinks.shared import shared_folder
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master, folder = "local-cluster[2,1,1024]", None
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return self.folder
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session(), "x")
+    Session.sparkContext.folder = str(tmp_path)
+    assert shared_folder(Session(), "x").startswith(f"{tmp_path}/x-")
+    assert shared_folder(spark, "x") != shared_folder(spark, "x")

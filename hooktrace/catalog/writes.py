@@ -158,26 +158,33 @@ def work_limit(spark, sf_dir):
 @query(
     "load_stats",
     f"""
+WITH work AS (SELECT source_feed, url, false AS bare FROM raw_work
+ UNION ALL SELECT source_feed, '?' || url, true FROM raw_work WHERE source_feed = 'openphish')
 SELECT source_feed, count(*) FILTER (NOT known) AS processed, count(*) FILTER (known) AS skipped,
- CAST(0 AS BIGINT) AS without_host, count(DISTINCT url) FILTER (NOT known) AS rows_added
-FROM (SELECT *, url IN {_STORED_SQL} AS known FROM raw_work) GROUP BY source_feed""",
+ count(*) FILTER (bare) AS without_host, count(DISTINCT url) FILTER (NOT known) AS rows_added
+FROM (SELECT *, url IN {_STORED_SQL} AS known FROM work) GROUP BY source_feed""",
 )
 def load_stats(spark, sf_dir):
+    """A load in which one feed also lists texts without a host."""
     work = fx.raw_work(fx.hosted_obs(spark, sf_dir))
-    return upsert.load_stats(work, _stored(spark, sf_dir))
+    bare = work.where("source_feed = 'openphish'").withColumn("url", F.concat(F.lit("?"), "url"))
+    return upsert.load_stats(work.unionByName(bare), _stored(spark, sf_dir))
 
 
 @query(
     "upsert_counts",
     """
-WITH stored AS (SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '2024-01-03 00:00:00'),
-late AS (SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-03 00:00:00')
-SELECT (SELECT count(*) FROM late WHERE user_id NOT IN (SELECT user_id FROM stored)) AS inserted,
- (SELECT count(*) FROM late WHERE user_id IN (SELECT user_id FROM stored)) AS updated,
- CAST(0 AS BIGINT) AS dropped_without_key""",
+WITH keyed AS (SELECT CASE WHEN user_id % 50 <> 3 THEN user_id END AS user_id, ts FROM events),
+stored AS (SELECT DISTINCT user_id FROM keyed WHERE ts < TIMESTAMP '2024-01-03 00:00:00' AND user_id IS NOT NULL),
+late AS (SELECT user_id FROM keyed WHERE ts >= TIMESTAMP '2024-01-03 00:00:00')
+SELECT (SELECT count(DISTINCT user_id) FROM late WHERE user_id NOT IN (SELECT user_id FROM stored)) AS inserted,
+ (SELECT count(DISTINCT user_id) FROM late WHERE user_id IN (SELECT user_id FROM stored)) AS updated,
+ (SELECT count(*) FROM late WHERE user_id IS NULL) AS dropped_without_key""",
 )
 def upsert_counts(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "events").select("user_id", "ts")
+    """Rows of some users come without their key."""
+    user = F.when(F.col("user_id") % 50 != 3, F.col("user_id")).alias("user_id")
+    rows = fx.table(spark, sf_dir, "events").select(user, "ts")
     early = F.col("ts") < F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
     return upsert.upsert_counts(rows.where(early), rows.where(~early), "user_id")
 

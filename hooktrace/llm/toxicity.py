@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hooktrace.sinks.shared import staged
+
 _WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
 MAX_ROWS = 6_000
@@ -35,27 +39,38 @@ def terms(text: str) -> set[str]:
     return words | stems
 
 
-def evidence(docs: list[set[str]], target: np.ndarray) -> dict[str, tuple[float, float]]:
-    """Per term the log odds ratio of class 1, and the log-likelihood ratio statistic G2.
+def evidence(rows: DataFrame, weight: dict[int, float], least_odds: float, least_g2: float) -> dict[str, float]:
+    """Terms that tell the classes apart, at most ``FEATURES``, with their log odds ratios.
 
-    ``target`` may be soft: it is the weight that a document has in class 1.
+    ``rows`` has a number and a text, ``weight`` says how far each number is in class 1. A term
+    must have an odds ratio and a log-likelihood ratio (G2) of some size; the largest G2 come
+    first. Terms are counted where the texts are.
     """
-    sums, counts = Counter(), Counter()
-    for held, t in zip(docs, target.tolist()):
-        counts.update(held)
-        for term in held:
-            sums[term] += t
-    n1 = float(target.sum())
-    n0 = len(docs) - n1
-    share = n1 / len(docs)
-    out = {}
-    for term, n in counts.items():
-        a = min(max(sums[term], 0.0), n)
-        b = n - a
-        ratio = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-        g2 = 2 * ((a * np.log(a / (n * share)) if a > 0 else 0.0) + (b * np.log(b / (n * (1 - share))) if b > 0 else 0.0))
-        out[term] = (float(ratio), float(g2))
-    return out
+    n1 = sum(weight.values())
+    n0 = len(weight) - n1
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, float] = {}
+        counts: Counter = Counter()
+        for frame in batches:
+            for number, text in zip(frame["number"], frame["text"]):
+                held = terms(text)
+                counts.update(held)
+                w = weight[number]
+                for t in held:
+                    sums[t] = sums.get(t, 0.0) + w
+        yield pd.DataFrame({"term": list(counts), "n": list(counts.values()), "a": [sums[t] for t in counts]})
+
+    c = F.col
+    counts = rows.select("number", "text").mapInPandas(count, "term string, n long, a double")
+    counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    counts = counts.select("term", "n", F.round("a", 6).alias("a")).withColumn("b", c("n") - c("a"))
+    odds = F.log((c("a") + 0.5) / (n1 - c("a") + 0.5)) - F.log((c("b") + 0.5) / (n0 - c("b") + 0.5))
+    part = lambda x, share: F.when(x > 1e-9, x * F.log(x / (c("n") * share))).otherwise(0.0)
+    g2 = 2 * (part(c("a"), n1 / len(weight)) + part(c("b"), n0 / len(weight)))
+    told = counts.select("term", odds.alias("odds"), g2.alias("g2"))
+    told = told.where((F.abs("odds") >= least_odds) & (c("g2") >= least_g2))
+    return {r["term"]: r["odds"] for r in told.orderBy(F.desc("g2"), "term").limit(FEATURES).collect()}
 
 
 # Voters on the form of a text. Each says 1, -1 or 0 (no opinion).
@@ -141,17 +156,18 @@ class LinearModel:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def train_linear(docs: list[set[str]], target: np.ndarray, chosen: list[str], steps: int = 300) -> LinearModel:
-    """Full-batch training on soft labels, both classes of equal weight, with a quadratic penalty."""
-    index = {t: i for i, t in enumerate(chosen)}
-    cells = [(r, index[t]) for r, held in enumerate(docs) for t in held if t in index]
-    row = np.array([c[0] for c in cells], dtype=np.int64)
-    col = np.array([c[1] for c in cells], dtype=np.int64)
+def train_linear(rows: list[list[int]], target: np.ndarray, chosen: list[str], steps: int = 300) -> LinearModel:
+    """Full-batch training on soft labels, both classes of equal weight, with a quadratic penalty.
+
+    ``rows`` has the places in ``chosen`` of each text's terms.
+    """
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = np.fromiter(chain.from_iterable(rows), np.int64, len(row))
     weights, bias = np.zeros(len(chosen)), 0.0
     share = np.where(target > 0.5, 0.5 / max(1, (target > 0.5).sum()), 0.5 / max(1, (target <= 0.5).sum()))
     speed, speed_bias = np.zeros_like(weights), 0.0
-    for step in range(steps):
-        total = bias + np.bincount(row, weights[col], minlength=len(docs))
+    for _ in range(steps):
+        total = bias + np.bincount(row, weights[col], minlength=len(rows))
         gap = (1 / (1 + np.exp(-np.clip(total, -30, 30))) - target) * share
         gradient = np.bincount(col, gap[row], minlength=len(chosen)) + 1e-4 * weights
         speed = 0.9 * speed + gradient
@@ -164,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> LinearM
     """Learn from labelled rows that are not held out.
 
     At most ``max_rows`` labelled rows take part, those with the smallest hash of their ids: the
-    sample is bounded so that its texts fit on the driver. Voters get their words from the labels
+    sample is bounded as votes and terms of its rows are trained on by the driver; texts stay where
+    they are. Voters get their words from the labels
     of the sample; the label model then weighs the voters by how they agree, and its posteriors,
     not the labels, are what the linear classifier learns. Without labels of both classes every
     text scores the share of class 1 (0 without any label).
@@ -173,27 +190,34 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> LinearM
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    found = sorted(tuple(r) for r in rows.select("doc_id", "text", "toxic").collect())
-    target = np.array([float(r[2] > 0) for r in found])
-    prior = float(target.mean()) if len(found) else 0.0
+    # Rows that repeat an id take part once.
+    rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = staged(rows.select(F.col("doc_id").cast("long").alias("number"), "text", "toxic"), "toxic-sample")
+    label = {r["number"]: float(r["toxic"] > 0) for r in rows.select("number", "toxic").collect()}
+    prior = sum(label.values()) / len(label) if label else 0.0
     if not 0 < prior < 1:
         base = 1e-6 if prior == 0 else 1 - 1e-6
         return LinearModel({}, float(np.log(base / (1 - base))))
-    return fit_rows([r[1] for r in found], target)[0]
-
-
-def fit_rows(texts: list[str], target: np.ndarray) -> tuple[LinearModel, dict]:
-    """The model of labelled texts, and what was learned on the way."""
-    held = [terms(t) for t in texts]
-    mined = evidence(held, target)
-    lexicon = {t: o for t, (o, g) in mined.items() if o >= VOTER_ODDS and g >= VOTER_G2}
-    voters = Voters(lexicon)
-    votes = np.array([voters.votes(t, h) for t, h in zip(texts, held)])
-    posterior = label_model(votes, float(target.mean()))
-    soft = evidence(held, posterior)
-    chosen = sorted((t for t in soft if abs(soft[t][0]) >= FEATURE_ODDS and soft[t][1] >= FEATURE_G2), key=lambda t: (-soft[t][1], t))[:FEATURES]
-    model = train_linear(held, posterior, chosen)
-    return model, {"lexicon": len(lexicon), "features": len(chosen), "agree": float(((posterior > 0.5) == (target > 0.5)).mean())}
+    mined = evidence(rows, label, VOTER_ODDS, VOTER_G2)
+    voters = Voters({t: o for t, o in mined.items() if o > 0})
+    votes = _each(rows, lambda text: voters.votes(text, terms(text)))
+    numbers = sorted(votes)
+    posterior = label_model(np.array([votes[n] for n in numbers]), prior)
+    chosen = list(evidence(rows, dict(zip(numbers, posterior.tolist())), FEATURE_ODDS, FEATURE_G2))
+    place = {t: i for i, t in enumerate(chosen)}
+    found = _each(rows, lambda text: sorted(place[t] for t in terms(text) if t in place))
+    return train_linear([found[n] for n in numbers], posterior, chosen)
+
+
+def _each(rows: DataFrame, worked_out) -> dict[int, list[int]]:
+    """A short list of numbers for each row of the sample, worked out where the texts are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield pd.DataFrame({"number": frame["number"], "made": [worked_out(t) for t in frame["text"]]})
+
+    made = rows.select("number", "text").mapInPandas(run, "number long, made array<int>")
+    return {r["number"]: r["made"] for r in made.collect()}
 
 
 def score(docs: DataFrame, model: LinearModel, text: str = "text", out: str = "score") -> DataFrame:

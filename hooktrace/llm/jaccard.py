@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,43 +56,54 @@ class Sizes:
     """Size classes and numbers of parts for a similarity of ``percent`` per cent.
 
     Sets with that similarity are in the same size class or in neighbouring ones, and differ in at
-    most (s + s')(100 - percent)/(100 + percent) elements. A scheme splits the hash space into one
-    part more than any pair of its sizes can differ in, so one part of a similar pair is equal.
-    Sets take part in the scheme of their class and in the next one.
+    most (s + s')(100 - percent)/(100 + percent) elements. A scheme splits the hash space into more
+    parts than any pair of its sizes can differ in, so a part of a similar pair is equal. Sets
+    take part in the scheme of their class and in the next one.
+
+    A part without elements says nothing, so a set leaves its empty parts out if it has so few of
+    them that an equal part with elements must be left. Sets with too many, which are rare, name
+    their empty parts as well, and so find each other. Some spare parts keep them rare.
     """
 
     def __init__(self, percent: int):
         self.percent = percent
         self.bounds = [1]
+        per_part = (100 + percent) / (2 * (100 - percent))
+        self.spare = 8 * math.exp(-per_part)
 
     def _until(self, size: int) -> None:
         while self.bounds[-1] <= size:
             self.bounds.append(self.bounds[-1] * 100 // self.percent + 1)
 
-    def schemes(self, size: int) -> list[tuple[int, int]]:
-        """(scheme, parts) of a set."""
+    def schemes(self, size: int) -> list[tuple[int, int, int]]:
+        """(scheme, parts, most elements that a similar pair differs in) of a set."""
         self._until(size)
         own = int(np.searchsorted(self.bounds, size, side="right")) - 1
         self._until(self.bounds[own + 1])
         out = []
         for scheme in (own, own + 1):
             largest = self.bounds[scheme + 1] - 1
-            out.append((scheme, 2 * largest * (100 - self.percent) // (100 + self.percent) + 1))
+            differ = 2 * largest * (100 - self.percent) // (100 + self.percent)
+            spare = math.ceil((differ + 1) * self.spare) + 2 * (self.spare > 0.01) if differ else 0
+            out.append((scheme, differ + 1 + spare, differ))
         return out
 
 
 def signatures(tokens: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """One 48-bit number for each part of the set's schemes, equal for equal parts."""
+    """One 48-bit number for each part of the set's schemes that it names, equal for equal parts."""
     out = []
     with np.errstate(over="ignore"):
-        for scheme, parts in sizes.schemes(len(tokens)):
+        for scheme, parts, differ in sizes.schemes(len(tokens)):
             # Tokens are sorted and evenly spread, so parts are ranges of the hash space.
             cuts = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64)
             starts = np.concatenate([[0], np.searchsorted(tokens, cuts)])
             sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(tokens ^ _STEP))])
             ends = np.concatenate([starts[1:], [len(tokens)]])
             part = sums[ends] - sums[starts] + np.arange(parts, dtype=np.uint64) * _STEP
-            out.append(_mixed(part ^ _mixed(np.full(parts, scheme + 1, np.uint64))) >> np.uint64(16))
+            held = ends > starts
+            if int(held.sum()) > differ:
+                part = part[held]
+            out.append(_mixed(part ^ _mixed(np.full(len(part), scheme + 1, np.uint64))) >> np.uint64(16))
     return np.concatenate(out).astype(np.int64)
 
 

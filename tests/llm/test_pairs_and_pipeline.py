@@ -3,6 +3,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from llm_cases import no_docs, odd_docs, prose  # noqa: F401 - fixtures
 from pyspark.sql import functions as F
@@ -80,8 +81,29 @@ def test_parts_cover_every_similar_pair():
         sizes = jaccard.Sizes(percent)
         for s in [*range(1, 130), 997, 5_000]:
             for t in range(s, s * 100 // percent + 1):
-                common = dict(sizes.schemes(s)).items() & dict(sizes.schemes(t)).items()
-                assert any(parts > (s + t) * (100 - percent) // (100 + percent) for _, parts in common), (s, t)
+                common = set(sizes.schemes(s)) & set(sizes.schemes(t))
+                most = (s + t) * (100 - percent) // (100 + percent)
+                assert any(parts > differ >= most for _, parts, differ in common), (s, t)
+
+
+def test_similar_sets_share_a_signature():
+    """Random pairs at the threshold, small sets with empty parts among them; unlike sets share none."""
+    rng = np.random.default_rng(8)
+    for percent in (80, 90):
+        sizes, unlike = jaccard.Sizes(percent), 0
+        for size in [*range(1, 60)] * 12 + [300, 900]:
+            one = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2))
+            drop = int(rng.integers(0, size + 1))
+            more = rng.integers(0, 2**63, int(rng.integers(0, size + 1)), dtype=np.uint64)
+            two = np.unique(np.concatenate([one[: len(one) - drop], more]))
+            both = len(np.intersect1d(one, two))
+            union = len(one) + len(two) - both
+            shared = len(two) and np.intersect1d(jaccard.signatures(one, sizes), jaccard.signatures(two, sizes))
+            if len(two) and 100 * both >= percent * union:
+                assert len(shared), (percent, size, len(two))
+            other = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            unlike += len(np.intersect1d(jaccard.signatures(one, sizes), jaccard.signatures(other, sizes))) > 0
+        assert unlike < 20
 
 
 def test_connected_components(spark):

@@ -28,6 +28,7 @@ PATTERNS = {
 
 # A text without this cannot hold a match, so the patterns need not run.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+_NEEDS_DIGITS = {"card": r"[0-9][\x20-]?[0-9]", "iban": "[0-9][0-9]"}
 
 # Words near a span that make it likelier to be personal data of that kind.
 CONTEXT = {
@@ -78,7 +79,7 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def _candidates(text: Column, kind: str) -> Column:
-    return F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9][0-9]")
+    return F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike(_NEEDS_DIGITS[kind])
 
 
 def _hits(text: Column, kind: str) -> Column:

@@ -79,6 +79,15 @@ def test_spans_equal_plain_search(spark):
     assert ibans == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
 
 
+def test_cards_without_adjacent_digits(spark):
+    cards = [" ".join("4111111111111111"), "-".join("4111111111111111"), "a 4-1 1-1 1-1 1-1 1-1 1-1 1-1 1-1 b", "4 1 1", "4.1.1"]
+    docs = spark.createDataFrame(list(enumerate(cards)), "i int, text string")
+    rows = pii.find_pii(docs).orderBy("i").collect()
+    assert [[(s.kind, s.start, s.end) for s in r.pii] for r in rows] == [brute(t) for t in cards]
+    assert [len(r.pii) for r in rows] == [1, 1, 1, 0, 0]
+    assert [r.text for r in pii.mask_pii(docs).orderBy("i").collect()] == ["[CARD]", "[CARD]", "a [CARD] b", "4 1 1", "4.1.1"]
+
+
 def test_context_moves_the_score(spark):
     docs = spark.createDataFrame([("phone: +49 30 12345678",), ("x +49 30 12345678",)], "text string")
     near, far = [r.pii[0].score for r in pii.find_pii(docs).collect()]

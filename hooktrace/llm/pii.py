@@ -163,33 +163,70 @@ def _block_sums(steps: Column) -> Column:
     return F.when(F.size(steps) > 0, sums).otherwise(F.array().cast("array<bigint>"))
 
 
-def _fill(kind: str, hits: Column):
-    """Puts what a piece of text follows in front of it: a valid hit as its kind, another as it was."""
+def _largest_before(ends: Column, blocks: Column, i: Column) -> Column:
+    """Largest of the first ``i`` ends, 0 for none. ``blocks``: the largest of each block of ends."""
+    block = (i / F.lit(_BLOCK)).cast("int")
+    whole = F.array_max(F.slice(blocks, F.lit(1), block))
+    rest = F.array_max(F.slice(ends, block * _BLOCK + 1, i - block * _BLOCK))
+    return F.coalesce(F.greatest(whole, rest), F.lit(0).cast("bigint"))
 
-    def run(piece: Column, i: Column) -> Column:
-        hit = F.element_at(hits, F.greatest(i, F.lit(1)))
-        before = F.when(valid(kind, hit), F.lit(f"[{kind.upper()}]")).otherwise(hit)
-        return F.when(i < 1, piece).otherwise(F.concat(before, piece))
 
-    return run
+def _block_numbers(items: Column) -> Column:
+    return F.sequence(F.lit(0), ((F.size(items) - 1) / F.lit(_BLOCK)).cast("int"))
+
+
+def _widest_kind(spans: Column, first: Column, after: Column) -> Column:
+    width = F.transform(
+        F.slice(spans, first + 1, after - first), lambda s: F.struct((s["end"] - s["start"]).alias("width"), s["kind"].alias("kind"))
+    )
+    return F.array_max(width)["kind"]
 
 
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace every valid span in the text column by its kind in brackets, such as ``[EMAIL]``.
+    """Replace every span of ``find_pii`` in the text column by its kind in brackets, such as ``[EMAIL]``.
 
-    Kinds are masked one after the other, IBANs before cards so that a card number inside an
-    IBAN goes with it. Nulls stay null; all other columns pass through in their order.
+    All spans are those of the text as it came in. Spans that overlap are cut out as one, under the
+    kind of the widest of them, so nothing of a span stays. Nulls stay null; all other columns pass
+    through in their order.
     """
-    masked = docs
-    for kind in ("email", "iban", "ip", "phone", "card"):
-        kept = [F.col(f"row.{_quoted(c)}").alias(c) for c in docs.columns]
-        rows = masked.select(F.struct("*").alias("row"), F.col(_quoted(text)).alias("text"))
-        rows = rows.select("*", _hits(F.col("text"), kind).alias("h"))
-        rows = rows.select("*", _pieces(F.col("text"), F.col("h"), kind).alias("p"))
-        filled = F.transform(F.col("p"), _fill(kind, F.col("h")))
-        new = F.when(F.size("h") > 0, F.array_join(filled, "")).otherwise(F.col("text"))
-        masked = rows.select(*[new.alias(text) if c == text else k for c, k in zip(docs.columns, kept)])
-    return masked
+    rows = docs.select(F.struct("*").alias("row"), F.col(_quoted(text)).alias("text"))
+    rows = find_pii(rows).withColumn(
+        "spans", F.sort_array(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    )
+    rows = rows.select("row", "text", "spans", F.col("spans.end").alias("ends"))
+    largest = F.transform(_block_numbers(F.col("ends")), lambda b: F.array_max(F.slice("ends", b * _BLOCK + 1, _BLOCK)))
+    rows = rows.withColumn("blocks", F.when(F.size("ends") > 0, largest).otherwise(F.array().cast("array<bigint>")))
+    # Where a merged span starts: no span before it reaches beyond. ``before`` is the end of the merged span before.
+    starts = F.transform(
+        "spans",
+        lambda s, i: F.struct(
+            i.alias("i"), s["start"].alias("start"), _largest_before(F.col("ends"), F.col("blocks"), i).alias("before")
+        ),
+    )
+    rows = rows.withColumn("starts", starts)
+    rows = rows.withColumn("heads", F.filter("starts", lambda s: s["start"] >= s["before"])).drop("starts")
+    heads = F.col("heads")
+
+    # Texts are cut in blocks of spans first, so that no cut has to count from the start of a long text.
+    def cut(b: Column) -> Column:
+        start = F.get(heads, b * _BLOCK)["before"]
+        stop = F.coalesce(F.get(heads, (b + 1) * _BLOCK)["before"], F.length("text").cast("bigint"))
+        return F.substr(F.col("text"), (start + 1).cast("int"), (stop - start).cast("int"))
+
+    some = F.size("heads") > 0
+    rows = rows.withColumn("cuts", F.when(some, F.transform(_block_numbers(heads), cut)).otherwise(F.array().cast("array<string>")))
+
+    def filled(head: Column, k: Column) -> Column:
+        block = (k / F.lit(_BLOCK)).cast("int")
+        at = head["before"] - F.get(heads, block * _BLOCK)["before"]
+        kept = F.substr(F.get("cuts", block), (at + 1).cast("int"), (head["start"] - head["before"]).cast("int"))
+        after = F.coalesce(F.get(heads, k + 1)["i"], F.size("spans"))
+        return F.concat(kept, F.lit("["), F.upper(_widest_kind(F.col("spans"), head["i"], after)), F.lit("]"))
+
+    rest = F.substr(F.col("text"), (F.array_max("ends") + 1).cast("int"))
+    new = F.when(some, F.concat(F.array_join(F.transform(heads, filled), ""), rest)).otherwise(F.col("text"))
+    kept = [F.col(f"row.{_quoted(c)}").alias(c) for c in docs.columns]
+    return rows.select(*[new.alias(text) if c == text else k for c, k in zip(docs.columns, kept)])
 
 
 def span_digest(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:

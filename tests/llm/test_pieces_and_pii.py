@@ -100,6 +100,34 @@ def test_masks_valid_spans_only(spark):
     assert got == ["é [EMAIL], [IP] 999.1.1.1 [PHONE], [CARD]", None, ""]
 
 
+def merged_mask(text, spans):
+    out, at, group = "", 0, []
+    for s in [*sorted(spans, key=lambda s: s.start), None]:
+        if group and (s is None or s.start >= max(g.end for g in group)):
+            widest = max(group, key=lambda g: (g.end - g.start, g.kind))
+            out += text[at : group[0].start] + f"[{widest.kind.upper()}]"
+            at, group = max(g.end for g in group), []
+        group.append(s)
+    return out + text[at:]
+
+
+def test_masks_what_is_found(spark):
+    """Overlapping ip and phone, iban and card, e-mail and ip go as one; long texts, many spans."""
+    overlapping = [
+        "ring +33.1.42.68.53.00 now",
+        "card 4111 1111 1111 1111 in GB70 4111 1111 1111 1111 ok",
+        "me@10.0.0.1 and 10.0.0.1@x.org",
+        "+49 30 12345678",
+        " ".join(f"é{i} +33.1.42.68.53.{i % 90 + 10} u{i}@x.org" for i in range(300)),
+    ]
+    texts = [t for t in TEXTS if t] + overlapping
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = [r.pii for r in pii.find_pii(docs).orderBy("i").collect()]
+    got = [r.text for r in pii.mask_pii(docs).orderBy("i").collect()]
+    assert got == [merged_mask(t, s) for t, s in zip(texts, found)]
+    assert got[len(texts) - 5] == "ring [PHONE] now" and "4111" not in got[len(texts) - 4]
+
+
 def test_odd_input_and_no_python(odd_docs, no_docs):
     found = pii.find_pii(odd_docs)
     assert found.count() == odd_docs.count() and set(found.columns) == set(odd_docs.columns)

@@ -155,7 +155,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_ngram_trie")
 def op8_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of every text."""
-    scored = trie.score_texts(table(spark, sf_dir, "documents"))
+    scored = trie.score_texts(table(spark, sf_dir, "documents"), order=3)
     return scored.select(
         "doc_id",
         (~trie.in_training(F.col("doc_id"))).alias("held_out"),

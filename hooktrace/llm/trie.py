@@ -1,4 +1,4 @@
-"""Scores of a bigram language model kept in Elias-Fano tries, one for each bucket of contexts."""
+"""Scores of a bigram or trigram language model kept in Elias-Fano tries, one for each bucket of contexts."""
 
 from __future__ import annotations
 
@@ -22,8 +22,10 @@ BLOCK_BYTES = 10_000_000
 DISCOUNT = 0.75
 HOT_SHARE = 500
 HOT_SAMPLE = 4_000
+TRIPLE_BUCKETS = 2  # for one bucket of pairs
 SPREAD_SCALE = 1e12  # stands for the count of a spread context, which no bucket knows
 _SCALE = 4096
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: bytes) -> list[bytes]:
@@ -94,28 +96,24 @@ def restored(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, 10.0 ** (-(codes - 1) / _SCALE), 0.0)
 
 
-class _Block:
-    """The tokens of a block of documents and its distinct pairs, in the order of word hashes."""
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of words, from the hashes of the words."""
+    with np.errstate(over="ignore"):
+        x = (first * _STEP) ^ (first >> np.uint64(29))
+        x = (x + second) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(30))
 
-    def __init__(self, frame: pd.DataFrame, buckets: int, hot: np.ndarray):
-        texts = [words(blocks.unpack_bytes(bytes(p))) for p in frame["packed"]]
-        for t in texts:
-            t.append(END)
-        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        known = list(set().union(*texts))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        rank = np.empty(len(known), np.int64)
-        rank[order] = np.arange(len(known))
-        number = dict(zip(known, rank.tolist()))
-        count = int(self.lengths.sum())
-        self.tokens = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, count)
-        self.before = np.empty_like(self.tokens)
-        self.before[1:] = self.tokens[:-1]
-        self.before[0] = number[END]
-        taught = np.repeat(frame["k1"].to_numpy() == "true", self.lengths)
-        pairs, self.pair = np.unique((self.before << 32) | self.tokens, return_inverse=True)
+
+class _Level:
+    """The distinct contexts with successors of a block, dealt to the buckets from ``offset`` on.
+
+    ``names`` are hashes; ``before`` and ``tokens`` number them, by position in the block.
+    """
+
+    def __init__(self, names, before, tokens, taught, offset: int, buckets: int, hot: np.ndarray):
+        self.hashes, self.before = names, before
+        pairs, self.pair = np.unique((before << 32) | tokens, return_inverse=True)
         times = np.bincount(self.pair, taught, len(pairs)).astype(np.int64)
         context, word = pairs >> 32, pairs & 0xFFFFFFFF
         self.hot = np.isin(self.hashes, hot)
@@ -124,7 +122,7 @@ class _Block:
         spread = self.hot[context]
         with np.errstate(over="ignore"):
             bucket[spread] += np.uint64(31) * self.hashes[word[spread]]
-        bucket = (bucket % np.uint64(buckets)).astype(np.int64)
+        bucket = (bucket % np.uint64(buckets)).astype(np.int64) + offset
         self.order = np.argsort(bucket, kind="stable")
         self.bucket = bucket[self.order]
         self.context, self.word, self.count = context[self.order], word[self.order], times[self.order]
@@ -135,16 +133,77 @@ class _Block:
         for b, start, end in zip(found.tolist(), starts.tolist(), [*starts.tolist()[1:], len(self.bucket)]):
             yield b, slice(start, end)
 
+    def read(self, given: dict[int, bytes], names: np.ndarray, hot_counts: np.ndarray, hot_kinds: np.ndarray):
+        """Counts by name and, by position, the discounted probabilities and what is left for the order below."""
+        count = np.zeros(len(self.hashes), np.int64)
+        kinds = np.zeros(len(self.hashes), np.int64)
+        codes = np.zeros(len(self.order), np.int64)
+        for bucket, part in self.lists():
+            data = blocks.unpack_bytes(bytes(given[bucket]))
+            n = int.from_bytes(data[:8], "little")
+            levels = np.frombuffer(data, "<u8", 2 * n, 8).astype(np.int64)
+            context = self.context[part]
+            own = context[np.flatnonzero(np.diff(context, prepend=-1))]
+            count[own], kinds[own] = levels[:n], levels[n:]
+            codes[self.order[part]] = np.frombuffer(data, "<u2", -1, 8 + 16 * n)
+        at = np.searchsorted(names, self.hashes[self.hot])
+        count[self.hot], kinds[self.hot] = hot_counts[at], hot_kinds[at]
+        joint = restored(codes)[self.pair]
+        spread = self.hot[self.before]
+        above, below = count[self.before], kinds[self.before]
+        joint[spread] *= SPREAD_SCALE / np.maximum(above[spread], 1)
+        return count, joint, np.where(above > 0, DISCOUNT * below / np.maximum(above, 1), 1.0)
+
+
+class _Block:
+    """The tokens of a block of documents and its levels: contexts of one word and, at order 3, of two."""
 
-def _ask(buckets: int, hot: np.ndarray):
+    def __init__(self, frame: pd.DataFrame, buckets: int, hot: np.ndarray, order: int):
+        texts = [words(blocks.unpack_bytes(bytes(p))) for p in frame["packed"]]
+        for t in texts:
+            t.append(END)
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        known = list(set().union(*texts))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+        by_hash = np.argsort(hashes)
+        hashes = hashes[by_hash]
+        rank = np.empty(len(known), np.int64)
+        rank[by_hash] = np.arange(len(known))
+        number = dict(zip(known, rank.tolist()))
+        count = int(self.lengths.sum())
+        self.tokens = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, count)
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[0] = number[END]
+        taught = np.repeat(frame["k1"].to_numpy() == "true", self.lengths)
+        end = number[END]
+        del texts, known, number
+        self.levels = self._levels(hashes, before, taught, end, buckets, hot, order)
+
+    def _levels(self, hashes, before, taught, end: int, buckets: int, hot: np.ndarray, order: int) -> Iterator[_Level]:
+        """One at a time, so that only one is held in memory."""
+        yield _Level(hashes, before, self.tokens, taught, 0, buckets, hot)
+        if order == 3:
+            earlier = np.empty_like(before)
+            earlier[1:] = before[:-1]
+            # Nothing of the document before: END stands twice before the first word.
+            earlier[np.concatenate([[0], np.cumsum(self.lengths)[:-1]])] = end
+            pairs, place = np.unique((earlier << 32) | before, return_inverse=True)
+            names = np.concatenate([hashes, pair_hash(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF])])
+            del pairs, earlier
+            yield _Level(names, place + len(hashes), self.tokens, taught, buckets, TRIPLE_BUCKETS * buckets, hot)
+
+
+def _ask(buckets: int, hot: np.ndarray, order: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        block, rows = _Block(frame, buckets, hot), []
-        for bucket, part in block.lists():
-            context, word = block.context[part], block.word[part]
-            used, place = np.unique(np.concatenate([context, word]), return_inverse=True)
-            numbers = np.concatenate([place, block.count[part]]).astype("<u4")
-            data = len(used).to_bytes(8, "little") + block.hashes[used].tobytes() + numbers.tobytes()
-            rows.append((bucket, blocks.pack_bytes(data)))
+        rows = []
+        for level in _Block(frame, buckets, hot, order).levels:
+            for bucket, part in level.lists():
+                context, word = level.context[part], level.word[part]
+                used, place = np.unique(np.concatenate([context, word]), return_inverse=True)
+                numbers = np.concatenate([place, level.count[part]]).astype("<u4")
+                data = len(used).to_bytes(8, "little") + level.hashes[used].tobytes() + numbers.tobytes()
+                rows.append((bucket, blocks.pack_bytes(data)))
         out = pd.DataFrame(rows, columns=["bucket", "pairs"])
         out.insert(0, "block", frame["block"].iloc[0])
         return out.astype({"block": "int32", "bucket": "int32"})
@@ -208,34 +267,21 @@ def _answer(hot: np.ndarray):
     return run
 
 
-def _score(buckets: int, hot: dict[int, tuple[int, int]], tokens: int, distinct: int):
+def _score(buckets: int, hot: dict[int, tuple[int, int]], tokens: int, distinct: int, order: int):
     """``hot``: hash, count and number of successors of the spread contexts."""
     names = np.array(sorted(hot), dtype=np.uint64)
     hot_counts = np.array([hot[h][0] for h in sorted(hot)], dtype=np.int64)
     hot_kinds = np.array([hot[h][1] for h in sorted(hot)], dtype=np.int64)
 
     def run(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(frame, buckets, names)
+        block = _Block(frame, buckets, names, order)
         given = dict(zip(answers["bucket"], answers["answer"]))
-        count = np.zeros(len(block.hashes), np.int64)
-        kinds = np.zeros(len(block.hashes), np.int64)
-        codes = np.zeros(len(block.order), np.int64)
-        for bucket, part in block.lists():
-            data = blocks.unpack_bytes(bytes(given[bucket]))
-            n = int.from_bytes(data[:8], "little")
-            levels = np.frombuffer(data, "<u8", 2 * n, 8).astype(np.int64)
-            context = block.context[part]
-            own = context[np.flatnonzero(np.diff(context, prepend=-1))]
-            count[own], kinds[own] = levels[:n], levels[n:]
-            codes[block.order[part]] = np.frombuffer(data, "<u2", -1, 8 + 16 * n)
-        at = np.searchsorted(names, block.hashes[block.hot])
-        count[block.hot], kinds[block.hot] = hot_counts[at], hot_kinds[at]
-        joint = restored(codes)[block.pair]
-        spread = block.hot[block.before]
-        above, below = count[block.before], kinds[block.before]
-        joint[spread] *= SPREAD_SCALE / np.maximum(above[spread], 1)
+        count, joint, left = next(block.levels).read(given, names, hot_counts, hot_kinds)
         single = (count[block.tokens] + 1) / (tokens + 1 * (distinct + 1))
-        joint += np.where(above > 0, DISCOUNT * below / np.maximum(above, 1), 1.0) * single
+        joint += left * single
+        for level in block.levels:
+            _, longer, left = level.read(given, names, hot_counts, hot_kinds)
+            joint = longer + left * joint
         first = np.concatenate([[0], np.cumsum(block.lengths)[:-1]])
         out = frame[["k0"]].copy()
         out["n_tokens"] = block.lengths
@@ -247,57 +293,71 @@ def _score(buckets: int, hot: dict[int, tuple[int, int]], tokens: int, distinct:
     return run
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter = Counter()
-    for frame in batches:
-        for text in frame["text"]:
-            counts.update(words(text.encode()))
-            counts[END] += 1
-    found = [(xxhash.xxh64_intdigest(w) - 2**63, n) for w, n in counts.items()]
-    yield pd.DataFrame(found, columns=["word", "n"]).astype("int64")
+def _count_contexts(order: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, pairs = Counter(), Counter()
+        for frame in batches:
+            for text in frame["text"]:
+                found = words(text.encode()) + [END]
+                counts.update(found)
+                if order == 3:
+                    pairs.update(zip([END, END, *found[:-2]], [END, *found[:-1]]))
+        hashes = {w: xxhash.xxh64_intdigest(w) for w in counts | {END: 0}}
+        yield pd.DataFrame([(1, hashes[w] - 2**63, n) for w, n in counts.items()], columns=["level", "word", "n"]).astype("int64")
+        often = [(u, v, n) for (u, v), n in pairs.items() if n > 1]
+        if often:
+            first, second = (np.array([hashes[t[k]] for t in often], dtype=np.uint64) for k in (0, 1))
+            shown = [h - 2**63 for h in pair_hash(first, second).tolist()]
+            yield pd.DataFrame({"level": 2, "word": shown, "n": [t[2] for t in often]}).astype("int64")
+
+    return run
 
 
-def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of at most 500 words that are over 1/500 of the tokens of some thousand documents.
+def frequent_contexts(docs: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of at most 500 words, and of pairs, that are over 1/500 of the tokens of some thousand documents.
 
-    They only decide which contexts are spread over buckets. A frequent word that these documents
+    They only decide which contexts are spread over buckets. A frequent context that these documents
     happen not to show makes one bucket larger, no result different.
     """
     step = max(1, docs.count() // HOT_SAMPLE)
     some = docs.where(F.pmod(F.xxhash64("key", "text"), F.lit(step)) == 0).select("text")
-    counts = some.mapInPandas(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(HOT_SHARE).collect()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return np.array(sorted(r["word"] + 2**63 for r in top if r["n"] * HOT_SHARE >= total), dtype=np.uint64)
+    counts = some.mapInPandas(_count_contexts(order), "level long, word long, n long")
+    counts = counts.groupBy("level", "word").agg(F.sum("n").alias("n"))
+    total = counts.where("level = 1").agg(F.sum("n")).first()[0] or 0
+    often = counts.where(F.col("n") * HOT_SHARE >= total).collect()  # at most 500 of each level
+    return tuple(np.array(sorted(r["word"] + 2**63 for r in often if r["level"] == k), dtype=np.uint64) for k in (1, 2))
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Score every whole text with a bigram model of the training documents.
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", *, order: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Score every whole text with a model of the training documents, of ``order`` 2 (pairs) or 3 (triples).
 
     Returns the key, n_tokens, n_known, train_tokens, base_score and score. Training documents are
     those of ``in_training``. The model is interpolated absolute discounting,
     P(w | v) = max(c(v w) - D, 0) / c(v) + D * kinds(v) / c(v) * P(w), over P(w) = (c(w) + 1) / (N + V + 1);
-    after an unseen context P(w). All counts are of the whole corpus: every block of documents
-    sends its distinct pairs of words, as 64-bit hashes, to the buckets their contexts hash to; a
+    after an unseen context P(w). At order 3 P(w | u v) stands on P(w | v) in the same way. All counts are of the whole corpus: every block of documents
+    sends its distinct pairs and triples of words, as 64-bit hashes, to the buckets their contexts hash to; a
     bucket adds them up, builds its trie and answers each block from it. Contexts with over 1/500
     of all tokens are spread over the buckets by the following word.
 
     A null text is empty (one end token). Null keys count as training documents. Repeated rows are
     documents of their own. Other columns are left out.
     """
+    if order not in (2, 3):
+        raise ValueError(f"order {order} is neither 2 nor 3")
     rows = docs.select(F.col(key).alias("key"), in_training(F.col(key)).alias("taught"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    hot = frequent_words(rows)
+    hot_words, hot_pairs = frequent_contexts(rows, order)
+    hot = np.union1d(hot_words, hot_pairs)
     count = blocks.text_bytes(rows, "text") // block_bytes + 1
     dealt = blocks.in_blocks(rows, ["key", "taught"], "text", count)
-    asked = dealt.groupBy("block").applyInPandas(_ask(count, hot), "block int, bucket int, pairs binary")
+    asked = dealt.groupBy("block").applyInPandas(_ask(count, hot, order), "block int, bucket int, pairs binary")
     answer = "block int, bucket int, answer binary, tokens long, contexts long, spread array<struct<word:long,n:long,kinds:long>>"
     answers = staged(asked.groupBy("bucket").applyInPandas(_answer(hot), answer), "lm-answers")
     shares = answers.select(F.explode("spread").alias("s")).groupBy("s.word").agg(F.sum("s.n").alias("n"), F.sum("s.kinds").alias("kinds"))
     known = {h: (0, 0) for h in hot.tolist()} | {r["word"] % 2**64: (r["n"], r["kinds"]) for r in shares.collect()}
-    total = answers.agg(F.sum("tokens"), F.sum("contexts")).first()
+    total = answers.where(F.col("bucket") < count).agg(F.sum("tokens"), F.sum("contexts")).first()
     tokens = total[0] or 0
-    distinct = (total[1] or 0) + sum(n > 0 for n, _ in known.values())
+    distinct = (total[1] or 0) + sum(known[h][0] > 0 for h in hot_words.tolist())
     schema = "k0 string, n_tokens long, n_known long, base_score double, score double"
     joined = dealt.groupBy("block").cogroup(answers.select("block", "bucket", "answer").groupBy("block"))
-    scored = joined.applyInPandas(_score(count, known, tokens, distinct), schema)
+    scored = joined.applyInPandas(_score(count, known, tokens, distinct, order), schema)
     return blocks.with_keys(scored, docs, [key]).withColumn("train_tokens", F.lit(tokens).cast("long"))

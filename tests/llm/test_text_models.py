@@ -64,6 +64,43 @@ def test_language_model_equals_brute_force(odd_docs):
         assert math.isclose(a[4], b[4], rel_tol=1e-9) and math.isclose(a[5], b[5], rel_tol=2e-3, abs_tol=1e-3)
 
 
+def test_trigram_model_equals_brute_force(odd_docs):
+    texts = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    docs = []
+    for key, text in texts:
+        lower = (text or "").translate({i: i + 32 for i in range(65, 91)})
+        docs.append((key, [*re.findall(r"[^ \t-\r]+", lower), "\n"]))
+    counts = [collections.Counter() for _ in range(4)]
+    kinds = collections.defaultdict(set)
+    for key, found in docs:
+        if zlib.crc32(str(key).encode() if key is not None else b"") % 7 != 2:
+            for u, v, w in zip(["\n", "\n", *found], ["\n", *found], found):
+                counts[1].update([w])
+                for gram in ((v, w), (u, v, w)):
+                    counts[len(gram)].update([gram])
+                    kinds[gram[:-1]].add(w)
+    sums = [collections.Counter() for _ in range(3)]
+    for n in (2, 3):
+        for gram, c in counts[n].items():
+            sums[n - 1][gram[:-1]] += c
+    total, distinct, want = sum(counts[1].values()), len(counts[1]), []
+    for key, found in docs:
+        score = 0.0
+        for u, v, w in zip(["\n", "\n", *found], ["\n", *found], found):
+            p = (counts[1][w] + 1) / (total + distinct + 1)
+            for gram in ((v, w), (u, v, w)):
+                above = sums[len(gram) - 1][gram[:-1]]
+                if above:
+                    p = max(counts[len(gram)][gram] - 0.75, 0) / above + 0.75 * len(kinds[gram[:-1]]) / above * p
+            score += math.log10(p)
+        want.append((key, len(found), total, score))
+    got = [(r.doc_id, r.n_tokens, r.train_tokens, r.score) for r in trie.score_texts(odd_docs, order=3, block_bytes=20_000).collect()]
+    for a, b in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True):
+        assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=2e-3, abs_tol=1e-3)
+    two = sum(r.score for r in trie.score_texts(odd_docs, block_bytes=20_000).collect())
+    assert not math.isclose(sum(r[3] for r in got), two, rel_tol=1e-2)
+
+
 def test_language_model_without_documents(no_docs):
     assert trie.score_texts(no_docs).collect() == []
 

@@ -187,16 +187,17 @@ def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def links_between(first: list[np.ndarray], second: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, int]]:
-    """Links that connect what is similar between two groups, or within one (``second`` is None).
+def similar_between(
+    first: list[np.ndarray], second: list[np.ndarray] | None, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """All similar pairs between two groups, or within one (``second`` is None).
 
     A query of the first group meets the union of the second group's tokens: at least ``percent``
     per cent of its tokens must be in there, else the group stays shut for it. For the queries left,
-    intersections with the members are counted exactly. Yields a spanning forest of the links:
+    intersections with the members are counted exactly. Returns every pair once, as two arrays of
     members numbered from 0, those of the second group after the first.
     """
     members = first if second is None else second
-    shift = 0 if second is None else len(first)
     if second is None:
         chosen = list(range(len(first)))
     else:
@@ -204,26 +205,35 @@ def links_between(first: list[np.ndarray], second: list[np.ndarray] | None, perc
         bound = [np.count_nonzero(union[np.minimum(np.searchsorted(union, s), len(union) - 1)] == s) for s in first]
         chosen = [i for i, s in enumerate(first) if 100 * bound[i] >= percent * len(s)]
     if not chosen:
-        return
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inter = overlaps([first[i] for i in chosen], members)
     total = np.array([len(first[i]) for i in chosen])[:, None] + np.array([len(m) for m in members])[None, :] - inter
-    forest = _Union(len(first) + (0 if second is None else len(second)))
-    for row, column in zip(*np.nonzero(100 * inter >= percent * total)):
-        i, j = chosen[row], int(column) + shift
-        if i != j and forest.join(i, j):
-            yield i, j
+    row, column = np.nonzero(100 * inter >= percent * total)
+    i, j = np.array(chosen)[row], column + (0 if second is None else len(first))
+    once = i < j
+    return i[once], j[once]
 
 
 def _compare(words: int, percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        """A spanning forest of the links (a, b), and rows (a, null, n): links of a set to rows of others here."""
         shingler = Shingler(words)
         frame = frame.drop_duplicates(["side", "set_id"]).sort_values(["side", "set_id"])
-        ids = frame["set_id"].tolist()
+        ids = frame["set_id"].to_numpy()
+        copies = frame["copies"].to_numpy()
         sets = [shingler(blocks.unpack_bytes(bytes(p))) for p in frame["packed"]]
         cut = int((frame["side"] == 0).sum())
-        one = cut == len(ids)
-        pairs = links_between(sets[:cut], None if one else sets[cut:], percent)
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in pairs], columns=["a", "b"]).astype("int64")
+        i, j = similar_between(sets[:cut], None if cut == len(ids) else sets[cut:], percent)
+        forest = _Union(len(ids))
+        kept = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())) if forest.join(x, y)]
+        linked = np.zeros(len(ids), np.int64)
+        np.add.at(linked, i, copies[j])
+        np.add.at(linked, j, copies[i])
+        some = np.flatnonzero(linked)
+        a, b = np.concatenate([ids[i[kept]], ids[some]]), np.concatenate([ids[j[kept]], np.zeros(len(some), np.int64)])
+        out = pd.DataFrame({"a": a, "b": pd.array(b, dtype="Int64"), "n": np.concatenate([np.zeros(len(kept), np.int64), linked[some]])})
+        out.loc[len(kept) :, "b"] = pd.NA
+        return out
 
     return run
 
@@ -240,13 +250,14 @@ def similar_components(
     """Components of the documents linked by a Jaccard similarity of n-gram sets of ``percent`` per cent.
 
     Returns the key, ``size`` (distinct n-grams), ``component`` (smallest key reachable by links),
-    ``root`` (number of the component, null for texts without words) and ``ref`` (of the row: key and text).
+    ``root`` (number of the component, null for texts without words), ``ref`` (of the row: key and text) and
+    ``n_links`` (all other rows with that similarity, equal sets among them).
     The join is exact: equal sets become one member; every set is cut into parts of which a similar
     set must share one whole (see ``Sizes``); sets that share parts are put into groups of about
     ``group_rows``; two groups with a part in common meet in one task, which bounds the overlap of a
     member with the other group by the group's token union and opens the group only for members
-    that pass. Rows stand for sets and groups, never for pairs of documents, and links come as a
-    spanning forest, so a family of thousands of near copies stays linear in rows but for the pairs of its groups.
+    that pass. Rows stand for sets and groups, never for pairs of documents: links are counted for each
+    set, by the number of rows of its partners, and leave a task as a spanning forest, so a family of thousands of near copies stays linear in rows but for the pairs of its groups.
 
     A text without words (or null) has size 0 and is its own component. Rows that repeat a key are
     documents of their own, with the same key. Null keys take part, but name a component only if
@@ -290,18 +301,23 @@ def similar_components(
     task = task.select("one", "two", "side", F.when(F.col("side") == 0, F.col("one")).otherwise(F.col("two")).alias("group"))
 
     # One text per member; only members' texts are kept after the first join.
-    chosen = sets.join(member, "set_id").groupBy("set_id", "group").agg(F.min("ref").alias("ref"))
+    chosen = sets.join(member, "set_id").groupBy("set_id", "group").agg(F.min("ref").alias("ref"), F.count(F.lit(1)).alias("copies"))
     texts = rows.select("ref", blocks.packed_text(F.col("text")).alias("packed")).join(chosen, "ref")
-    texts = staged(texts.select("set_id", "group", "packed"), "member-texts")
-    sent = task.join(texts, "group").select("one", "two", "side", "set_id", "packed")
-    links = sent.groupBy("one", "two").applyInPandas(_compare(words, percent), "a long, b long")
+    texts = staged(texts.select("set_id", "group", "copies", "packed"), "member-texts")
+    sent = task.join(texts, "group").select("one", "two", "side", "set_id", "copies", "packed")
+    found = staged(sent.groupBy("one", "two").applyInPandas(_compare(words, percent), "a long, b long, n long"), "links")
+    links = found.where("b is not null").select("a", "b")
+    linked = found.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("linked"))
 
     root = components(links).withColumnRenamed("node", "set_id")
-    placed = sets.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    classes = sets.where("set_id is not null").groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"))
+    classes = classes.join(root, "set_id", "left").join(linked, "set_id", "left")
+    count = F.coalesce("linked", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
+    placed = sets.join(classes, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")).withColumn("n_links", count)
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("key").alias("component"))
     out = placed.join(smallest, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component"))
-    return out.select(F.col("key").alias(key), "size", component.alias("component"), "root", "ref")
+    return out.select(F.col("key").alias(key), "size", component.alias("component"), "root", "ref", "n_links")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -63,6 +63,23 @@ def test_components_equal_brute_force(spark, words, percent, group):
     assert sorted(map(tuple, got.select("doc_id", "size", "component").collect()), key=repr) == brute(rows, words, percent)
 
 
+@pytest.mark.parametrize("group", [4, 64])
+def test_links_equal_brute_force(spark, group):
+    """Links to all similar rows are counted, copies and repeated rows among them, also between groups."""
+    rows = families(3)
+    near = prose(5, 60).split()
+    rows += [(1_000 + i, " ".join([*near[: 20 + i], f"x{i}", *near[21 + i :]])) for i in range(12)]
+    rows += rows[:5] + [(2_000, rows[0][1]), (2_001, ""), (2_002, "")]
+    sets = [shingles(t, 3) for _, t in rows]
+    want = [
+        (k, t, sum(i != j and bool(s & o) and 100 * len(s & o) >= 80 * len(s | o) for j, o in enumerate(sets)))
+        for i, ((k, t), s) in enumerate(zip(rows, sets))
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.similar_components(docs, words=3, percent=80, group_rows=group).select("doc_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted((k, n) for k, _, n in want) and max(n for _, _, n in want) > 5
+
+
 def test_odd_documents(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = jaccard.similar_components(odd_docs, words=3, percent=90).select("doc_id", "size", "component")

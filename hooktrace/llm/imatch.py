@@ -32,6 +32,7 @@ class Lexicon:
     """
 
     def __init__(self, words: list[str], rates: tuple[float, ...], seed: int = 0):
+        self.seed = seed
         ordered = sorted(words)
         self.rank = {w: i for i, w in enumerate(ordered)}
         self.code = np.array([xxhash.xxh64_intdigest(w, seed) for w in ordered], dtype=np.uint64)
@@ -42,10 +43,18 @@ class Lexicon:
             self.member[k] = (self.code * spread[k]) >> np.uint64(32) < limit[k]
 
     def fingerprint(self, text: str) -> str:
-        """The subsets' hashes in a row, of fixed width; zeros for a subset without terms."""
+        """The subsets' hashes in a row, of fixed width; zeros for a subset without terms.
+
+        Where no subset holds a term of the text, every subset has a hash of all its terms, so that only texts
+        without any terms have zeros throughout.
+        """
         rank = self.rank
-        held = sorted(rank[t] for t in terms(text) if t in rank)
+        found = terms(text)
+        held = sorted(rank[t] for t in found if t in rank)
         codes, members = self.code[held], self.member[:, held]
+        if found and not members.any():
+            whole = "\n".join(sorted(found))
+            return "".join(xxhash.xxh64_hexdigest(f"{k} {whole}", self.seed)[:WIDTH] for k in range(len(members)))
         return "".join(
             xxhash.xxh64_hexdigest(codes[mask].tobytes())[:WIDTH] if mask.any() else _EMPTY for mask in members
         )

@@ -133,6 +133,14 @@ def test_likeness_follows_edits():
     assert imatch.likeness(lexicon.fingerprint(""), one) == 0
 
 
+def test_texts_outside_the_band_are_told_apart():
+    for lexicon in (imatch.Lexicon(["river", "stone"], imatch.RATES), imatch.Lexicon(["river"], (0.0,) * 32), imatch.Lexicon([], imatch.RATES)):
+        this, re_, long, none = map(lexicon.fingerprint, ("This.", "Re.", "the of and " * 50, " ?! "))
+        assert len({this, re_, long, none}) == 4 and len({len(this), len(re_), len(long), len(none)}) == 1
+        assert imatch.likeness(this, re_) == imatch.likeness(this, long) == imatch.likeness(this, none) == 0
+        assert this == lexicon.fingerprint("this") and set(none) == {"0"} and none == lexicon.fingerprint("")
+
+
 def toxic_corpus(n):
     draw, rows = random.Random(4), []
     for i in range(n):

@@ -9,7 +9,8 @@ from hooktrace.catalog.registry import AS_OF_SQL, query
 from hooktrace.functions import fields, urls
 from hooktrace.functions.dates import cert_days_left as days_left
 from hooktrace.functions.dates import domain_age_days as age_days
-from hooktrace.operators.lookups import cert_columns, page_columns, whois_columns
+from hooktrace.operators.lookups import cert_columns, latest_first, page_columns, whois_columns
+from hooktrace.operators.upsert import one_per_key
 from hooktrace.sources.feeds import feed_lines, map_phish_records
 
 
@@ -302,8 +303,12 @@ SELECT base_domain, registrar, strftime(whois_created, '%Y-%m-%d') AS creation_d
 FROM dim_whois""",
 )
 def whois_shape(spark, sf_dir):
+    """The latest capture of every registrable domain, shaped; the older one must not show."""
     shaped = whois_columns(fx.dim_whois(fx.hosted_obs(spark, sf_dir)))
-    return shaped.withColumn("creation_date", F.date_format("creation_date", "yyyy-MM-dd"))
+    latest = one_per_key(shaped, "base_domain", latest_first(shaped, "base_domain"))
+    return latest.select(
+        "base_domain", "registrar", F.date_format("creation_date", "yyyy-MM-dd").alias("creation_date"), "name_servers"
+    )
 
 
 @query("cert_shape", "SELECT domain, cert_issuer, cert_subject, cert_valid_to FROM dim_cert")
@@ -339,10 +344,17 @@ def cert_days_left(spark, sf_dir):
 @query(
     "page_columns",
     """
-SELECT url, page_status, CASE WHEN page_status < 400 THEN 'yes' ELSE 'no' END AS page_online,
- page_title, page_language FROM dim_page""",
+WITH f AS (SELECT url, CASE WHEN page_id % 11 IN (5, 6) THEN NULL WHEN page_id % 4 = 0 THEN 200
+  WHEN page_id % 4 = 1 THEN 301 WHEN page_id % 4 = 2 THEN 404 ELSE 503 END AS page_status,
+ page_id % 11 = 6 AS timed_out,
+ substr(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 1, 200) AS page_title,
+ nullif(regexp_extract(html, '(?i)<html[^>]+lang=["'']([^"'']+)["'']', 1), '') AS page_language FROM pages),
+o AS (SELECT url, page_status, CASE WHEN page_status < 400 THEN 'yes' WHEN timed_out THEN 'unknown' ELSE 'no' END AS page_online,
+ page_title, page_language FROM f)
+SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_status NULLS LAST, page_online,
+ page_title NULLS LAST, page_language NULLS LAST) = 1""",
 )
 def page_facts(spark, sf_dir):
-    return page_columns(fx.dim_page(spark, sf_dir)).groupBy("url").agg(
-        *[F.min(c).alias(c) for c in ("page_status", "page_online", "page_title", "page_language")]
-    )
+    """What is kept of one page of each URL: all columns are those of the same page."""
+    short = page_columns(fx.dim_page(spark, sf_dir))
+    return one_per_key(short, "url", latest_first(short, "url"))

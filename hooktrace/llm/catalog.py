@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hooktrace.llm import html_text, imatch, jaccard, mixing, pieces, pii, topk, toxicity, trie, warc
+from hooktrace.llm import dialogue, html_text, imatch, jaccard, mixing, pieces, pii, rules, spelling, topk, toxicity, trie, warc
 from hooktrace.sinks.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,3 +212,131 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken so that sources weigh as the square roots of their sizes."""
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, copy_column="copy").select("doc_id", "source", "copy")
+
+
+@query("op11_rules")
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = rules.score(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+# crc32 by its table, over a list of bytes: crc_step folds the list, l is the table.
+_CRC = """
+t(i, k, c) AS (SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256)
+ UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS l FROM t WHERE k = 8)"""
+
+
+def _crc_of(bytes_list: str) -> str:
+    start = f"list_prepend(CAST(4294967295 AS BIGINT), {bytes_list})"
+    return f"xor(list_reduce({start}, lambda c, b: xor(c >> 8, l[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _ascii_bytes(text: str) -> str:
+    return f"list_transform(range(1, length({text}) + 1), lambda i: CAST(unicode(substr({text}, i, 1)) AS BIGINT))"
+
+
+def _latin_bytes(text: str) -> str:
+    """UTF-8 bytes of a text whose letters are ASCII or U+00C0 to U+00FF."""
+    return (
+        f"flatten(list_transform(range(1, length({text}) + 1), lambda i: CASE WHEN unicode(substr({text}, i, 1)) < 128 "
+        f"THEN [CAST(unicode(substr({text}, i, 1)) AS BIGINT)] ELSE [195, CAST(unicode(substr({text}, i, 1)) AS BIGINT) - 64] END))"
+    )
+
+
+@query(
+    "op12_spelling",
+    rf"""
+WITH RECURSIVE {_CRC},
+r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT run, n, {_crc_of("list_concat(" + _ascii_bytes("(coalesce(CAST(doc_id AS VARCHAR), '') || ':')") + ", " + _latin_bytes("run") + ")")} AS h FROM c, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, i, substr(word, 1, i) AS head, substr(word, i + 2) AS tail FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+e AS (SELECT a.word, b.word AS other, b.n AS m FROM x a JOIN x b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+ UNION SELECT a.word, v.word, v.n FROM x a JOIN v ON v.word = a.head || a.tail
+ UNION SELECT v.word, a.word, a.n FROM x a JOIN v ON v.word = a.head || a.tail),
+b AS (SELECT word, count(*) AS n_near, max(m) AS m FROM e GROUP BY word),
+g AS (SELECT b.word, b.n_near, b.m, min(e.other) AS other FROM b JOIN e ON b.word = e.word AND b.m = e.m GROUP BY ALL),
+f AS (SELECT v.word, v.n, CASE WHEN g.m >= 2 * v.n THEN g.other END AS form, coalesce(g.n_near, 0) AS n_near,
+  CASE WHEN g.m >= 2 * v.n THEN g.m END AS form_n FROM v LEFT JOIN g USING (word)),
+q(word, goal) AS (SELECT word, word FROM f UNION ALL SELECT q.word, f.form FROM q JOIN f ON q.goal = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.form, q.goal AS root, f.n_near, f.form_n FROM f JOIN q USING (word) JOIN f k ON q.goal = k.word WHERE k.form IS NULL""",
+)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words, some with a letter taken out, by their more frequent near words."""
+    words = spelling.count_words(table(spark, sf_dir, "documents"), damage=97, least_length=5, least_count=3)
+    return spelling.variants(words)
+
+
+def _best(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _way(state: str, cost: str, letters: str, lines: str, allowed: str = "true") -> str:
+    paid = f"CASE WHEN {allowed} THEN {state}.c + {cost} ELSE 1000000 END"
+    return f"{{'c': least({paid}, 1000000), 'a': {state}.a || '{letters}', 'o': {state}.o || {lines}}}"
+
+
+def _op13_sql() -> str:
+    keep, user, helper = "(chr(10) || role || ':' || text)", "(chr(10) || 'user:' || text)", "(chr(10) || 'assistant:' || text)"
+    new_user, new_helper = "(chr(10) || 'user:' || {})", "(chr(10) || 'assistant:' || {})"
+    gone = lambda s: _way(s, "4", "D", "''")
+    to_user, to_helper = [gone("u")], [gone("a")]
+    for s in "esa":
+        to_user += [_way(s, "stay", "K", keep, "free AND initial = 'u'"), _way(s, "stay + 3", "R", user, "free")]
+        line = "(chr(10) || 'user:')"
+        to_helper += [
+            _way(s, "stay + 3", "IK", f"{line} || {keep}", "free AND initial = 'a'"),
+            _way(s, "stay + 6", "IR", f"{line} || {helper}", "free"),
+        ]
+    to_helper += [_way("u", "stay", "K", keep, "free AND initial = 'a'"), _way("u", "stay + 3", "R", helper, "free")]
+    line = "(chr(10) || 'assistant:')"
+    to_user += [
+        _way("u", "stay + 3", "IK", f"{line} || {keep}", "free AND initial = 'u'"),
+        _way("u", "stay + 6", "IR", f"{line} || {user}", "free"),
+    ]
+    to_system = _best(gone("s"), _way("e", "stay", "K", keep, "free AND initial = 's'"))
+    end = _best("e", "a", _way("u", "3", "I", "(chr(10) || 'assistant:')"), _way("s", "6", "II", "(chr(10) || 'user:' || chr(10) || 'assistant:')"))
+    crc = _crc_of(_ascii_bytes("name"))
+    return rf"""
+WITH RECURSIVE {_CRC},
+p AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+ coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+k AS (SELECT *, {crc} % 20 AS kind FROM p, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+ CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+ unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+ row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM d),
+m AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+ WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' END AS fault,
+ lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+rows AS (SELECT *, coalesce(fault NOT IN ('blank', 'duplicate'), true) AS free, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS stay FROM m),
+z(conv_id, i, e, s, u, a) AS (
+ SELECT conv_id, CAST(0 AS BIGINT), {{'c': 0, 'a': '', 'o': ''}}, {{'c': 1000000, 'a': '', 'o': ''}}, {{'c': 1000000, 'a': '', 'o': ''}}, {{'c': 1000000, 'a': '', 'o': ''}}
+ FROM (SELECT DISTINCT conv_id FROM conversations)
+ UNION ALL SELECT z.conv_id, z.i + 1, {_best(gone("e"))}, {to_system}, {_best(*to_user)}, {_best(*to_helper)}
+ FROM z JOIN rows ON rows.conv_id IS NOT DISTINCT FROM z.conv_id AND rows.i = z.i + 1),
+g AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+ count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+ count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+ count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id),
+l AS (SELECT conv_id, i, {end} AS w FROM z)
+SELECT l.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+ coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(w.c AS BIGINT) AS cost, w.a AS audit, sha256(substr(w.o, 2)) AS repaired_sha256
+FROM l LEFT JOIN g ON l.conv_id IS NOT DISTINCT FROM g.conv_id WHERE l.i = coalesce(g.rows, 0)"""
+
+
+@query("op13_conversation", _op13_sql())
+def op13_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their faults and their cheapest repair."""
+    return dialogue.summarise(dialogue.damage(table(spark, sf_dir, "conversations")))

@@ -188,13 +188,14 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS inter, any_value(a.n) + a
 e AS (SELECT x, y FROM p WHERE 100 * inter >= 90 * (total - inter)),
 u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r(node, reach) AS (SELECT doc_id, doc_id FROM g UNION SELECT r.node, u.y FROM r JOIN u ON r.reach = u.x)
-SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.component_id
-FROM g JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) m ON g.doc_id = m.node""",
+SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.component_id, coalesce(l.n_links, 0) AS n_links
+FROM g JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) m ON g.doc_id = m.node
+LEFT JOIN (SELECT x, count(*) AS n_links FROM u GROUP BY x) l ON g.doc_id = l.x""",
 )
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles are similar to 90 per cent."""
     found = jaccard.similar_components(table(spark, sf_dir, "documents"), words=3, percent=90)
-    return found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+    return found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
 
 
 @query(
@@ -317,8 +318,10 @@ d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role
  unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM d),
-m AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
- WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' END AS fault,
+m AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+ WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' END AS fault,
  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
 rows AS (SELECT *, coalesce(fault NOT IN ('blank', 'duplicate'), true) AS free, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS stay FROM m),
 z(conv_id, i, e, s, u, a) AS (

@@ -14,7 +14,9 @@ from hooktrace.llm import blocks
 from hooktrace.llm.components import components
 from hooktrace.sinks.shared import staged
 
-GROUP_ROWS = 64
+# Distinct tokens, summed over the members of a group.
+GROUP_TOKENS = 200_000
+MOST_NEEDED = 200
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _COLUMNS = 4_096
 
@@ -56,13 +58,14 @@ class Sizes:
     """Size classes and numbers of parts for a similarity of ``percent`` per cent.
 
     Sets with that similarity are in the same size class or in neighbouring ones, and differ in at
-    most (s + s')(100 - percent)/(100 + percent) elements. A scheme splits the hash space into more
-    parts than any pair of its sizes can differ in, so a part of a similar pair is equal. Sets
-    take part in the scheme of their class and in the next one.
+    most (s + s')(100 - percent)/(100 + percent) elements, each of which spoils one part. A scheme
+    splits the hash space into ``need`` parts more than any pair of its sizes can differ in, so a
+    similar pair has at least ``need`` equal parts. Sets take part in the scheme of their class, and
+    in the next one if a similar set can be there.
 
     A part without elements says nothing, so a set leaves its empty parts out if it has so few of
-    them that an equal part with elements must be left. Sets with too many, which are rare, name
-    their empty parts as well, and so find each other. Some spare parts keep them rare.
+    them that ``need`` equal parts with elements must be left. Sets with too many, which are rare,
+    name their empty parts as well, and so find each other. Some spare parts keep them rare.
     """
 
     def __init__(self, percent: int):
@@ -73,37 +76,43 @@ class Sizes:
 
     def _until(self, size: int) -> None:
         while self.bounds[-1] <= size:
-            self.bounds.append(self.bounds[-1] * 100 // self.percent + 1)
+            self.bounds.append(self.bounds[-1] * 10_000 // self.percent**2 + 1)
 
-    def schemes(self, size: int) -> list[tuple[int, int, int]]:
-        """(scheme, parts, most elements that a similar pair differs in) of a set."""
-        self._until(size)
+    def schemes(self, size: int) -> list[tuple[int, int, int, int]]:
+        """(scheme, parts, equal parts of a similar pair, most elements this set can differ in) of a set."""
+        largest_partner = 100 * size // self.percent
+        self._until(largest_partner)
         own = int(np.searchsorted(self.bounds, size, side="right")) - 1
-        self._until(self.bounds[own + 1])
         out = []
         for scheme in (own, own + 1):
+            if scheme > own and largest_partner < self.bounds[scheme]:
+                break
+            self._until(self.bounds[scheme])
             largest = self.bounds[scheme + 1] - 1
             differ = 2 * largest * (100 - self.percent) // (100 + self.percent)
+            need = min(1 + differ // 8, MOST_NEEDED)
             spare = math.ceil((differ + 1) * self.spare) + 2 * (self.spare > 0.01) if differ else 0
-            out.append((scheme, differ + 1 + spare, differ))
+            own_differ = (size + min(largest, largest_partner)) * (100 - self.percent) // (100 + self.percent)
+            out.append((scheme, differ + need + spare, need, own_differ))
         return out
 
 
 def signatures(tokens: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """One 48-bit number for each part of the set's schemes that it names, equal for equal parts."""
+    """A number for each part of the set's schemes that it names, equal for equal parts: 48 bits and ``need``."""
     out = []
     with np.errstate(over="ignore"):
-        for scheme, parts, differ in sizes.schemes(len(tokens)):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(tokens ^ _STEP))])
+        for scheme, parts, need, differ in sizes.schemes(len(tokens)):
             # Tokens are sorted and evenly spread, so parts are ranges of the hash space.
             cuts = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64)
             starts = np.concatenate([[0], np.searchsorted(tokens, cuts)])
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(tokens ^ _STEP))])
             ends = np.concatenate([starts[1:], [len(tokens)]])
             part = sums[ends] - sums[starts] + np.arange(parts, dtype=np.uint64) * _STEP
             held = ends > starts
-            if int(held.sum()) > differ:
+            if int(held.sum()) >= differ + need:
                 part = part[held]
-            out.append(_mixed(part ^ _mixed(np.full(len(part), scheme + 1, np.uint64))) >> np.uint64(16))
+            mark = _mixed(np.full(len(part), scheme + 1, np.uint64))
+            out.append((_mixed(part ^ mark) >> np.uint64(16) << np.uint64(8)) | np.uint64(need))
     return np.concatenate(out).astype(np.int64)
 
 
@@ -172,19 +181,32 @@ class _Union:
 
 
 def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of two lists of sets, through a token matrix in slices of columns."""
+    """Sizes of the intersections of two lists of sets, through a token matrix in slices of columns.
+
+    Tokens of one set alone, or of one side alone, add nothing and stay out of the matrix.
+    """
     tokens = np.concatenate(rows + columns)
     names, at = np.unique(tokens, return_inverse=True)
     owner = np.repeat(np.arange(len(rows) + len(columns)), [len(s) for s in rows + columns])
+    first = owner < len(rows)
+    both = (np.bincount(at[first], minlength=len(names)) > 0) & (np.bincount(at[~first], minlength=len(names)) > 0)
+    if rows is columns:
+        both &= np.bincount(at, minlength=len(names)) > 2
+    held = both[at]
+    at, owner = (np.cumsum(both) - 1)[at[held]], owner[held]
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
+    count = int(both.sum())
     out = np.zeros((len(rows), len(columns)), np.float32)
-    for start in range(0, len(names), _COLUMNS):
+    for start in range(0, count, _COLUMNS):
         a, b = np.searchsorted(at, [start, start + _COLUMNS])
-        matrix = np.zeros((len(rows) + len(columns), min(_COLUMNS, len(names) - start)), np.float32)
+        matrix = np.zeros((len(rows) + len(columns), min(_COLUMNS, count - start)), np.float32)
         matrix[owner[a:b], at[a:b] - start] = 1
         out += matrix[: len(rows)] @ matrix[len(rows) :].T
-    return out.astype(np.int64)
+    out = out.astype(np.int64)
+    if rows is columns:
+        np.fill_diagonal(out, [len(s) for s in rows])
+    return out
 
 
 def similar_between(
@@ -206,7 +228,7 @@ def similar_between(
         chosen = [i for i, s in enumerate(first) if 100 * bound[i] >= percent * len(s)]
     if not chosen:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inter = overlaps([first[i] for i in chosen], members)
+    inter = overlaps(first if second is None else [first[i] for i in chosen], members)
     total = np.array([len(first[i]) for i in chosen])[:, None] + np.array([len(m) for m in members])[None, :] - inter
     row, column = np.nonzero(100 * inter >= percent * total)
     i, j = np.array(chosen)[row], column + (0 if second is None else len(first))
@@ -223,7 +245,13 @@ def _compare(words: int, percent: int):
         copies = frame["copies"].to_numpy()
         sets = [shingler(blocks.unpack_bytes(bytes(p))) for p in frame["packed"]]
         cut = int((frame["side"] == 0).sum())
-        i, j = similar_between(sets[:cut], None if cut == len(ids) else sets[cut:], percent)
+        if frame["one"].iloc[0] == frame["two"].iloc[0]:
+            i, j = similar_between(sets, None, percent)
+        elif 0 < cut < len(ids):
+            i, j = similar_between(sets[:cut], sets[cut:], percent)
+        else:
+            # Nobody of the other group came here.
+            i = j = np.zeros(0, np.int64)
         forest = _Union(len(ids))
         kept = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())) if forest.join(x, y)]
         linked = np.zeros(len(ids), np.int64)
@@ -245,7 +273,7 @@ def similar_components(
     text: str = "text",
     words: int = 5,
     percent: int = 80,
-    group_rows: int = GROUP_ROWS,
+    group_tokens: int = GROUP_TOKENS,
 ) -> DataFrame:
     """Components of the documents linked by a Jaccard similarity of n-gram sets of ``percent`` per cent.
 
@@ -253,11 +281,14 @@ def similar_components(
     ``root`` (number of the component, null for texts without words), ``ref`` (of the row: key and text) and
     ``n_links`` (all other rows with that similarity, equal sets among them).
     The join is exact: equal sets become one member; every set is cut into parts of which a similar
-    set must share one whole (see ``Sizes``); sets that share parts are put into groups of about
-    ``group_rows``; two groups with a part in common meet in one task, which bounds the overlap of a
-    member with the other group by the group's token union and opens the group only for members
-    that pass. Rows stand for sets and groups, never for pairs of documents: links are counted for each
-    set, by the number of rows of its partners, and leave a task as a spanning forest, so a family of thousands of near copies stays linear in rows but for the pairs of its groups.
+    set must share several whole (see ``Sizes``). A set without as many shared parts meets nobody;
+    of the others the most frequent parts are left out, half as many as must be shared, so the rest
+    of a similar pair still shares the other half. Sets that share parts are put into groups of
+    about ``group_tokens``; a member goes to another group only if it shares that many parts with it.
+    There the overlap of a member with the group is bounded by the group's token union, and the
+    group is opened for members that pass. Rows stand for sets, and for a set and a group, never for
+    pairs of documents: links are counted for each set, by the number of rows of its partners, and
+    leave a task as a spanning forest.
 
     A text without words (or null) has size 0 and is its own component. Rows that repeat a key are
     documents of their own, with the same key. Null keys take part, but name a component only if
@@ -271,40 +302,50 @@ def similar_components(
     sets = staged(sets.withColumn("key", F.col("key").cast(kind)), "sets")
     parts = rows.select("text").mapInPandas(_parts(words, percent), "signature long, set_id long")
     by = Window.partitionBy("signature")
-    spread = parts.withColumn("low", F.min("set_id").over(by)).withColumn("high", F.max("set_id").over(by))
-    shared = staged(spread.where("low <> high").select("signature", "set_id", "low").distinct(), "shared-parts")
+    spread = parts.withColumns({"low": F.min("set_id").over(by), "high": F.max("set_id").over(by), "n": F.count(F.lit(1)).over(by)})
+    shared = spread.where("low <> high").select("signature", "set_id", "low", "n")
+
+    # One shuffle by set: of its shared parts in a scheme the most frequent are left out.
+    need = F.col("signature").bitwiseAND(255)
+    own = Window.partitionBy("set_id", "need")
+    ranked = shared.repartition("set_id").dropDuplicates(["set_id", "signature"]).withColumn("need", need)
+    ranked = ranked.withColumns(
+        {"place": F.row_number().over(own.orderBy(F.desc("n"), "signature")), "own": F.count(F.lit(1)).over(own)}
+    )
+    kept = ranked.where((F.col("own") >= F.col("need")) & (F.col("place") > F.floor(F.col("need") / 2)))
+    kept = staged(kept.select("signature", "set_id", "low"), "shared-parts")
 
     # Groups: sets reached over shared parts go together, cut to size by a hash.
-    label = shared.groupBy("set_id").agg(F.min("low").alias("label"))
-    again = shared.select("signature", "set_id").join(label, "set_id").withColumn("low", F.min("label").over(by))
-    label = again.groupBy("set_id").agg(F.min("low").alias("label"))
-    label = staged(label, "labels")
-    counts = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("n"))
-    member = label.join(counts, "label").select(
-        "set_id", F.xxhash64("label", F.pmod(F.xxhash64("set_id"), F.col("n"))).alias("group")
+    label = kept.groupBy("set_id").agg(F.min("low").alias("label"))
+    again = kept.select("signature", "set_id").join(label, "set_id").groupBy("signature").agg(F.min("label").alias("low"))
+    label = kept.select("signature", "set_id").join(again, "signature").groupBy("set_id").agg(F.min("low").alias("label"))
+    known = sets.where("set_id is not null").groupBy("set_id").agg(
+        F.min("ref").alias("ref"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")
+    )
+    chosen = staged(label.join(known, "set_id"), "members")
+    counts = chosen.groupBy("label").agg(F.ceil(F.sum("size") / group_tokens).alias("n"))
+    member = chosen.join(counts, "label").select(
+        "set_id", "ref", "copies", F.xxhash64("label", F.pmod(F.xxhash64("set_id"), F.col("n"))).alias("group")
     )
     member = staged(member, "groups")
 
-    # Pairs of groups with a part in common, and each group with itself.
-    held = shared.select("signature", "set_id").join(member, "set_id").select("signature", "group").distinct()
-    several = held.withColumn("least", F.min("group").over(by)).withColumn("most", F.max("group").over(by))
-    several = staged(several.where("least <> most").select("signature", "group"), "group-parts")
-    left, right = several.alias("l"), several.alias("r")
-    pairs = left.join(right, (F.col("l.signature") == F.col("r.signature")) & (F.col("l.group") < F.col("r.group")))
-    pairs = pairs.select(F.col("l.group").alias("one"), F.col("r.group").alias("two")).distinct()
+    # Where members go: their own group, and other groups that they share enough parts with.
+    held = kept.select("signature", "set_id").join(member.select("set_id", "group"), "set_id")
+    at = held.groupBy("signature").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most")
+    several = staged(held.join(at.select("signature"), "signature"), "group-parts")
+    others = several.select("signature", F.col("group").alias("other")).distinct()
+    met = several.join(others, "signature").where("group <> other").groupBy("set_id", "group", "other", need.alias("need"))
+    met = met.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("need") - F.floor(F.col("need") / 2))
+    low, high = F.least("group", "other"), F.greatest("group", "other")
+    away = met.select("set_id", low.alias("one"), high.alias("two"), (F.col("group") > F.col("other")).cast("int").alias("side"))
     alone = member.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = pairs.unionByName(alone.select(F.col("group").alias("one"), F.col("group").alias("two")))
-    task = pairs.select(
-        "one", "two",
-        F.explode(F.when(F.col("one") == F.col("two"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"),
-    )
-    task = task.select("one", "two", "side", F.when(F.col("side") == 0, F.col("one")).otherwise(F.col("two")).alias("group"))
+    home = member.join(alone, "group", "left_semi").select("set_id", F.col("group").alias("one"), F.col("group").alias("two"), F.lit(0).alias("side"))
+    task = home.unionByName(away.distinct())
 
     # One text per member; only members' texts are kept after the first join.
-    chosen = sets.join(member, "set_id").groupBy("set_id", "group").agg(F.min("ref").alias("ref"), F.count(F.lit(1)).alias("copies"))
-    texts = rows.select("ref", blocks.packed_text(F.col("text")).alias("packed")).join(chosen, "ref")
-    texts = staged(texts.select("set_id", "group", "copies", "packed"), "member-texts")
-    sent = task.join(texts, "group").select("one", "two", "side", "set_id", "copies", "packed")
+    texts = rows.select("ref", blocks.packed_text(F.col("text")).alias("packed")).join(member.select("set_id", "ref", "copies"), "ref")
+    texts = staged(texts.select("set_id", "copies", "packed"), "member-texts")
+    sent = task.join(texts, "set_id").select("one", "two", "side", "set_id", "copies", "packed")
     found = staged(sent.groupBy("one", "two").applyInPandas(_compare(words, percent), "a long, b long, n long"), "links")
     links = found.where("b is not null").select("a", "b")
     linked = found.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("linked"))

@@ -55,15 +55,15 @@ def families(seed):
     return [(i * 3, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("words, percent, group", [(3, 90, 4), (5, 80, 64)])
+@pytest.mark.parametrize("words, percent, group", [(3, 90, 150), (5, 80, 1_000), (5, 80, 200_000)])
 def test_components_equal_brute_force(spark, words, percent, group):
     rows = families(words)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard.similar_components(docs, words=words, percent=percent, group_rows=group)
+    got = jaccard.similar_components(docs, words=words, percent=percent, group_tokens=group)
     assert sorted(map(tuple, got.select("doc_id", "size", "component").collect()), key=repr) == brute(rows, words, percent)
 
 
-@pytest.mark.parametrize("group", [4, 64])
+@pytest.mark.parametrize("group", [200, 200_000])
 def test_links_equal_brute_force(spark, group):
     """Links to all similar rows are counted, copies and repeated rows among them, also between groups."""
     rows = families(3)
@@ -76,10 +76,19 @@ def test_links_equal_brute_force(spark, group):
         for i, ((k, t), s) in enumerate(zip(rows, sets))
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard.similar_components(docs, words=3, percent=80, group_rows=group).select("doc_id", "n_links").collect()
+    got = jaccard.similar_components(docs, words=3, percent=80, group_tokens=group).select("doc_id", "n_links").collect()
     assert sorted(map(tuple, got)) == sorted((k, n) for k, _, n in want) and max(n for _, _, n in want) > 5
 
 
+def test_passages_that_many_share_make_no_links(spark):
+    """One line in most documents: its parts are shared by all, and no set is taken for another."""
+    line = prose(3, 60)
+    rows = [(i, prose(500 + i, 120) + " " + line) for i in range(80)] + [(900 + i, prose(500 + i, 119) + " " + line) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.similar_components(docs, words=5, percent=80, group_tokens=2_000).select("doc_id", "size", "component")
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 5, 80)
+
+
 def test_odd_documents(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = jaccard.similar_components(odd_docs, words=3, percent=90).select("doc_id", "size", "component")
@@ -93,36 +102,50 @@ def test_odd_documents(odd_docs, no_docs):
 
 
 def test_parts_cover_every_similar_pair():
-    """Any two sizes that can be similar share a scheme with more parts than they can differ in."""
+    """Any two sizes that can be similar share a scheme with as many parts more than they can differ in as must be equal."""
     for percent in (80, 90):
         sizes = jaccard.Sizes(percent)
-        for s in [*range(1, 130), 997, 5_000]:
-            for t in range(s, s * 100 // percent + 1):
-                common = set(sizes.schemes(s)) & set(sizes.schemes(t))
+        for s in [*range(1, 130), 997, 5_000, 40_000]:
+            for t in range(s, s * 100 // percent + 1, 1 + s // 1_000):
+                one, two = ({x[0]: x for x in sizes.schemes(n)} for n in (s, t))
                 most = (s + t) * (100 - percent) // (100 + percent)
-                assert any(parts > differ >= most for _, parts, differ in common), (s, t)
+                common = [(one[c], two[c]) for c in one.keys() & two.keys()]
+                assert any(a[1:3] == b[1:3] and a[1] >= most + a[2] and min(a[3], b[3]) >= most for a, b in common), (s, t)
+
 
+def enough(one, two):
+    """Whether two sets share as many parts of a scheme as their signatures ask for."""
+    shared = np.intersect1d(one, two)
+    return any((shared & 255 == need).sum() >= need for need in np.unique(shared & 255))
 
-def test_similar_sets_share_a_signature():
+
+def test_similar_sets_share_enough_signatures():
     """Random pairs at the threshold, small sets with empty parts among them; unlike sets share none."""
     rng = np.random.default_rng(8)
     for percent in (80, 90):
         sizes, unlike = jaccard.Sizes(percent), 0
-        for size in [*range(1, 60)] * 12 + [300, 900]:
+        for size in [*range(1, 60)] * 12 + [300, 900] * 5:
             one = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2))
-            drop = int(rng.integers(0, size + 1))
-            more = rng.integers(0, 2**63, int(rng.integers(0, size + 1)), dtype=np.uint64)
-            two = np.unique(np.concatenate([one[: len(one) - drop], more]))
+            drop = int(rng.integers(0, size * (100 - percent) // 80 + 2))
+            more = rng.integers(0, 2**63, int(rng.integers(0, size * (100 - percent) // 80 + 2)), dtype=np.uint64) * np.uint64(2)
+            two = np.unique(np.concatenate([one[: max(0, len(one) - drop)], more]))
             both = len(np.intersect1d(one, two))
             union = len(one) + len(two) - both
-            shared = len(two) and np.intersect1d(jaccard.signatures(one, sizes), jaccard.signatures(two, sizes))
             if len(two) and 100 * both >= percent * union:
-                assert len(shared), (percent, size, len(two))
-            other = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+                assert enough(jaccard.signatures(one, sizes), jaccard.signatures(two, sizes)), (percent, size, len(two))
+            other = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2))
             unlike += len(np.intersect1d(jaccard.signatures(one, sizes), jaccard.signatures(other, sizes))) > 0
         assert unlike < 20
 
 
+def test_overlaps_of_two_lists_and_of_one_with_itself():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 5, 20, 50, 50, 3)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert jaccard.overlaps(sets, sets).tolist() == want
+    assert jaccard.overlaps(sets[:3], sets[3:]).tolist() == [row[3:] for row in want[:3]]
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(40)]
     edges = chain + [(100, 90), (90, 100), (95, 90), (7, 7), (None, 3), (200, 201)]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -31,28 +33,64 @@ def processor(model_file: str) -> sentencepiece.SentencePieceProcessor:
     return model
 
 
-def chunks(text: str) -> list[str]:
-    """Marked words of a text: a run of markers and what follows up to the next marker.
+def words(text: str) -> list[str]:
+    """Marked words of a text, each without the marker in front.
 
-    Joined they are the text with a marker in front and for every space. No piece crosses from a
-    word to the next marker, so the segmentation of the text is that of its chunks in a row.
+    A marked word is a run of markers and what follows up to the next marker; joined they are the
+    text with a marker in front and for every space. No piece crosses from a word to the next
+    marker, so the segmentation of the text is that of its marked words in a row. Without runs of
+    spaces these are the parts between spaces.
     """
-    return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+    if not text:
+        return []
+    if "  " not in text and MARK not in text and text[0] != " ":
+        return text.split(" ")
+    return [w[1:] for w in _CHUNK.findall(MARK + text.replace(" ", MARK))]
 
 
-def segment(model: sentencepiece.SentencePieceProcessor, words: list[str]) -> list[list[int]]:
-    """Ids of each chunk. The model puts a marker in front, so a chunk goes in without its first."""
+def segment(model: sentencepiece.SentencePieceProcessor, found: list[str]) -> list[list[int]]:
+    """Ids of each marked word. The model puts a marker in front of each."""
     alone = [model.piece_to_id(MARK)]
-    encoded = model.encode([w[1:] for w in words], num_threads=1) if words else []
-    return [ids if len(w) > 1 else alone for w, ids in zip(words, encoded)]
+    encoded = model.encode(found, num_threads=1) if found else []
+    return [ids if w else alone for w, ids in zip(found, encoded)]
+
+
+class Decoder:
+    """What ids decode to, word by word. Words with unknown or byte pieces have no text of their own."""
+
+    def __init__(self, model: sentencepiece.SentencePieceProcessor):
+        self.model = model
+        self.pieces = [
+            None if model.is_unknown(i) or model.is_byte(i) or model.is_control(i) or model.is_unused(i) else model.id_to_piece(i)
+            for i in range(model.vocab_size())
+        ]
+
+    def inside(self, ids: list[int]) -> str | None:
+        """Text of a word that is not the first."""
+        own = [self.pieces[i] for i in ids]
+        return None if None in own else "".join(own).replace(MARK, " ")
+
+    def text(self, own: list[str | None], first: list[int], ids: np.ndarray) -> str:
+        """Text of all words: those inside as they are, the first (ids ``first``) as the model starts a text.
+
+        A text that holds a word without a text of its own is decoded by the model as a whole.
+        """
+        if None in own:
+            return self.model.decode(ids.tolist())
+        return self.model.decode(first) + "".join(own[1:])
+
+
+@lru_cache(maxsize=2)
+def decoder(model_file: str) -> Decoder:
+    return Decoder(processor(model_file))
 
 
 def _ask(buckets: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         found: set[str] = set()
         for data in frame["packed"]:
-            found.update(chunks(blocks.unpacked_text(data)))
-        rows = [(b, blocks.pack_strings(words)) for b, words in blocks.dealt(found, buckets)]
+            found.update(words(blocks.unpacked_text(data)))
+        rows = [(b, blocks.pack_strings(asked)) for b, asked in blocks.dealt(found, buckets)]
         out = pd.DataFrame(rows, columns=["bucket", "words"])
         out.insert(0, "block", frame["block"].iloc[0])
         return out.astype({"block": "int32", "bucket": "int32"})
@@ -64,8 +102,8 @@ def _answer(model_file: str):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         model = processor(model_file)
         lists = [blocks.unpack_strings(bytes(w)) for w in frame["words"]]
-        words = sorted(set(chain.from_iterable(lists)))
-        table = dict(zip(words, segment(model, words)))
+        distinct = sorted(set(chain.from_iterable(lists)))
+        table = dict(zip(distinct, segment(model, distinct)))
         answers = []
         for asked in lists:
             ids = [table[w] for w in asked]
@@ -78,30 +116,41 @@ def _answer(model_file: str):
 
 
 def _join_back(model_file: str, buckets: int, keys: int):
-    def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        model = processor(model_file)
-        texts = [blocks.unpacked_text(d) for d in docs["packed"]]
-        found = set(chain.from_iterable(map(chunks, texts)))
-        given = dict(zip(answers["bucket"], answers["ids"]))
-        table: dict[str, list[int]] = {}
-        for bucket, words in blocks.dealt(found, buckets):
-            numbers = np.frombuffer(blocks.unpack_bytes(bytes(given[bucket])), "<u4")
-            ends = np.cumsum(numbers[: len(words)], dtype=np.int64)
-            flat = numbers[len(words) :].tolist()
-            if len(flat) != (int(ends[-1]) if len(words) else 0):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        # Numbers of distinct words, given as they are met, and the words of each text by number.
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        held = []
+        for data in docs["packed"].to_pylist():
+            found = words(blocks.unpacked_text(data))
+            held.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+        given = dict(zip(answers["bucket"].to_pylist(), answers["ids"].to_pylist()))
+        counts, places, parts, taken = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [], 0
+        for bucket, asked in blocks.dealt(number, buckets):
+            numbers = np.frombuffer(blocks.unpack_bytes(given[bucket]), "<u4")
+            own = numbers[: len(asked)].astype(np.int64)
+            if len(numbers) != len(asked) + int(own.sum()):
                 raise RuntimeError("a block and its answers do not belong together")
-            start = 0
-            for word, end in zip(words, ends.tolist()):
-                table[word] = flat[start:end]
-                start = end
-        ids, decoded = [], []
-        for text in texts:
-            own = list(chain.from_iterable(map(table.__getitem__, chunks(text))))
-            ids.append(np.array(own, dtype=np.int32))
-            decoded.append(model.decode(own))
-        out = docs[[f"k{i}" for i in range(keys)]].copy()
-        out["ids"], out["decoded"] = ids, decoded
-        return out
+            at = np.fromiter(map(number.__getitem__, asked), np.int64, len(asked))
+            counts[at], places[at] = own, taken + np.cumsum(own) - own
+            parts.append(numbers[len(asked) :])
+            taken += int(own.sum())
+        flat = np.concatenate([*parts, np.zeros(0, "<u4")]).astype(np.int32)
+        decode = decoder(model_file)
+        ids_of = lambda w: flat[places[w] : places[w] + counts[w]].tolist()
+        inside = [decode.inside(ids_of(w)) for w in range(len(number))]
+        texts, ids, ends = [], [], [0]
+        for at in held:
+            own = counts[at]
+            stops = np.cumsum(own)
+            total = int(stops[-1]) if len(at) else 0
+            ids.append(flat[np.repeat(places[at] - stops + own, own) + np.arange(total)])
+            ends.append(ends[-1] + total)
+            order = at.tolist()
+            texts.append(decode.text([inside[w] for w in order], ids_of(order[0]), ids[-1]) if order else "")
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
+        names = [f"k{i}" for i in range(keys)]
+        return pa.table([*(docs[n] for n in names), lists, pa.array(texts, pa.string())], names=[*names, "ids", "decoded"])
 
     return run
 
@@ -133,5 +182,5 @@ def encode(
     answers = asked.groupBy("bucket").applyInPandas(_answer(model_file), "block int, bucket int, ids binary")
     schema = ", ".join([f"k{i} string" for i in range(len(keys))] + ["ids array<int>", "decoded string"])
     joined = dealt.groupBy("block").cogroup(answers.groupBy("block"))
-    rows = joined.applyInPandas(_join_back(model_file, count, len(keys)), schema)
+    rows = joined.applyInArrow(_join_back(model_file, count, len(keys)), schema)
     return blocks.with_keys(rows, docs, list(keys))

@@ -27,6 +27,25 @@ def test_encode_equals_the_library(odd_docs, size):
     )
 
 
+ODD_TEXTS = [
+    " ", "   ", "a", " a", "  a", "a ", "a  ", "a  b", "▁", "▁▁a", "a▁b c", "a ▁ b", "one", "é\u0301 ǆ ﬁ x\u00a0y", "\n", " \n", "a\n b",
+    "😀", "😀 a", "a 😀", " 😀", "\u4e00\u9fa5 \U0001f9ff\u200d", "a\x00b", "<s> </s> <unk>", "x" * 500, "the of and " * 50,
+]
+
+
+def test_odd_texts_equal_the_library(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in pieces.encode(docs, MODEL).collect()}
+    assert got == {i: (model.encode(t), model.decode(model.encode(t))) for i, t in enumerate(ODD_TEXTS)}
+
+
+def test_words_join_to_the_marked_text():
+    for text in [*ODD_TEXTS, "a b c", "a  b▁c "]:
+        assert "".join("▁" + w for w in pieces.words(text)) == "▁" + text.replace(" ", "▁")
+    assert pieces.words("") == []
+
+
 def test_encode_nothing(no_docs):
     assert pieces.encode(no_docs, MODEL).collect() == []
     with pytest.raises(ValueError):

@@ -14,11 +14,14 @@ from hooktrace.llm import blocks
 from hooktrace.llm.components import components
 from hooktrace.sinks.shared import staged
 
-# Distinct tokens, summed over the members of a group.
-GROUP_TOKENS = 200_000
+# Distinct tokens, summed over the members of a group: about 8 MB of them, and of texts.
+GROUP_TOKENS = 1_000_000
+# Words of 64 bits of the filter on members: at most so many rows of 16 bytes are broadcast.
+FILTER_WORDS = 2**18
 MOST_NEEDED = 200
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _COLUMNS = 4_096
+_FEW = 8
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -181,30 +184,46 @@ class _Union:
 
 
 def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of two lists of sets, through a token matrix in slices of columns.
+    """Sizes of the intersections of two lists of sets.
 
-    Tokens of one set alone, or of one side alone, add nothing and stay out of the matrix.
+    Tokens of one set alone, or of one side alone, add nothing. Of the others those of few sets
+    count as pairs of sets, those of many as columns of a token matrix, in slices.
     """
-    tokens = np.concatenate(rows + columns)
-    names, at = np.unique(tokens, return_inverse=True)
-    owner = np.repeat(np.arange(len(rows) + len(columns)), [len(s) for s in rows + columns])
-    first = owner < len(rows)
-    both = (np.bincount(at[first], minlength=len(names)) > 0) & (np.bincount(at[~first], minlength=len(names)) > 0)
-    if rows is columns:
-        both &= np.bincount(at, minlength=len(names)) > 2
-    held = both[at]
-    at, owner = (np.cumsum(both) - 1)[at[held]], owner[held]
+    own = rows is columns
+    sets = rows if own else rows + columns
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    # Entries by token and, for each token, by set: those of the first list come first.
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
-    count = int(both.sum())
-    out = np.zeros((len(rows), len(columns)), np.float32)
+    held = np.bincount(at, minlength=len(names))
+    ahead = held if own else np.bincount(at[owner < len(rows)], minlength=len(names))
+    pairs = held * (held - 1) // 2 if own else ahead * (held - ahead)
+    starts = np.cumsum(held) - held
+    out = np.zeros(len(rows) * len(columns), np.int64)
+    few = (pairs > 0) & (held <= _FEW)
+    for n in np.unique(held[few]):
+        places = starts[few & (held == n)]
+        for i in range(n):
+            for j in range(i + 1, n):
+                a, b = owner[places + i], owner[places + j]
+                if not own:
+                    across = (a < len(rows)) & (b >= len(rows))
+                    a, b = a[across], b[across] - len(rows)
+                np.add.at(out, a * len(columns) + b, 1)
+    out = out.reshape(len(rows), len(columns))
+    if own:
+        out += out.T
+    many = (pairs > 0) & (held > _FEW)
+    chosen = many[at]
+    at, owner = (np.cumsum(many) - 1)[at[chosen]], owner[chosen]
+    count = int(many.sum())
     for start in range(0, count, _COLUMNS):
         a, b = np.searchsorted(at, [start, start + _COLUMNS])
-        matrix = np.zeros((len(rows) + len(columns), min(_COLUMNS, count - start)), np.float32)
+        matrix = np.zeros((len(sets), min(_COLUMNS, count - start)), np.float32)
         matrix[owner[a:b], at[a:b] - start] = 1
-        out += matrix[: len(rows)] @ matrix[len(rows) :].T
-    out = out.astype(np.int64)
-    if rows is columns:
+        out += (matrix[: len(rows)] @ (matrix if own else matrix[len(rows) :]).T).astype(np.int64)
+    if own:
         np.fill_diagonal(out, [len(s) for s in rows])
     return out
 
@@ -266,6 +285,20 @@ def _compare(words: int, percent: int):
     return run
 
 
+def _maybe_in(rows: DataFrame, wanted: DataFrame, name: str, words: int = FILTER_WORDS) -> DataFrame:
+    """Rows whose ``name`` may be in ``wanted``: all that are, and few others while the filter is sparse.
+
+    The filter is a table of at most ``words`` words of 64 bits, whatever there is, so it can be
+    broadcast. It only saves a shuffle of rows that the join which follows would drop.
+    """
+    mixed = F.xxhash64(name, F.lit("filter"))
+    word = F.pmod(F.shiftright(mixed, 6), F.lit(words)).cast("int").alias("__word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(mixed, F.lit(64)).cast("int"))
+    bits = wanted.select(word, bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = rows.select("*", word, bit.alias("__bit")).join(F.broadcast(bits), "__word")
+    return marked.where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).select(*rows.columns)
+
+
 def similar_components(
     docs: DataFrame,
     *,
@@ -343,7 +376,8 @@ def similar_components(
     task = home.unionByName(away.distinct())
 
     # One text per member; only members' texts are kept after the first join.
-    texts = rows.select("ref", blocks.packed_text(F.col("text")).alias("packed")).join(member.select("set_id", "ref", "copies"), "ref")
+    likely = _maybe_in(rows, member.select("ref"), "ref")
+    texts = likely.select("ref", blocks.packed_text(F.col("text")).alias("packed")).join(member.select("set_id", "ref", "copies"), "ref")
     texts = staged(texts.select("set_id", "copies", "packed"), "member-texts")
     sent = task.join(texts, "set_id").select("one", "two", "side", "set_id", "copies", "packed")
     found = staged(sent.groupBy("one", "two").applyInPandas(_compare(words, percent), "a long, b long, n long"), "links")

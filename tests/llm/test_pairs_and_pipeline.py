@@ -80,6 +80,15 @@ def test_links_equal_brute_force(spark, group):
     assert sorted(map(tuple, got)) == sorted((k, n) for k, _, n in want) and max(n for _, _, n in want) > 5
 
 
+def test_filter_keeps_all_that_is_wanted(spark):
+    rows = spark.range(3_000).selectExpr("cast(id as string) as ref", "id as text")
+    kept = {r.text for r in jaccard._maybe_in(rows, rows.where("text % 50 = 0").select("ref"), "ref").collect()}
+    assert {*range(0, 3_000, 50)} <= kept and len(kept) < 80
+    tight = jaccard._maybe_in(rows, rows.where("text % 50 = 0").select("ref"), "ref", words=1)
+    assert {*range(0, 3_000, 50)} <= {r.text for r in tight.collect()}
+    assert jaccard._maybe_in(rows, rows.limit(0).select("ref"), "ref").count() == 0
+
+
 def test_passages_that_many_share_make_no_links(spark):
     """One line in most documents: its parts are shared by all, and no set is taken for another."""
     line = prose(3, 60)
@@ -140,7 +149,7 @@ def test_similar_sets_share_enough_signatures():
 
 def test_overlaps_of_two_lists_and_of_one_with_itself():
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 5, 20, 50, 50, 3)]
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 5, 20, 50, 50, 3, *[9] * 12)]
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     assert jaccard.overlaps(sets, sets).tolist() == want
     assert jaccard.overlaps(sets[:3], sets[3:]).tolist() == [row[3:] for row in want[:3]]

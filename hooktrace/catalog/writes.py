@@ -246,14 +246,20 @@ now AS (SELECT l.id, l.url, l.online, strftime(k.earliest, '%Y-%m-%d %H:%M:%S.%f
 SELECT * FROM now"""
 
 
-def _three_loads(spark, sf_dir) -> str:
-    """A stored table: loads 0 and 2 and a compaction, then load 1 comes late."""
+def _scored_loads(spark, sf_dir):
+    """Scored observations, and the load that each is part of."""
     rows = staged(
         conform(with_score(fx.hosted_obs(spark, sf_dir).withColumn("source_id", F.col("id")), fx.AS_OF), ENRICHED),
         "loads",
     )
     day = lambda text: F.lit(f"{text} 00:00:00").cast("timestamp_ntz")
     number = F.when(F.col("first_seen") < day("2024-01-10"), 0).when(F.col("first_seen") < day("2024-01-20"), 1).otherwise(2)
+    return rows, number
+
+
+def _three_loads(spark, sf_dir) -> str:
+    """A stored table: loads 0 and 2 and a compaction, then load 1 comes late."""
+    rows, number = _scored_loads(spark, sf_dir)
     root = shared_folder(spark, "threats")
     for n in (0, 2):
         store.append_batch(rows.where(number == n), root, n)
@@ -268,6 +274,27 @@ def store_current(spark, sf_dir):
     return fx.time_text(store.current(spark, root), "first_seen").select("id", "url", "online", "first_seen")
 
 
+@query(
+    "store_merge",
+    """
+WITH loads AS (SELECT id, url, online, first_seen, last_seen, CASE WHEN first_seen < TIMESTAMP '2024-01-10 00:00:00' THEN 0
+ WHEN first_seen < TIMESTAMP '2024-01-20 00:00:00' THEN 1 ELSE 2 END AS batch FROM obs),
+last AS (SELECT * FROM loads QUALIFY row_number() OVER (PARTITION BY url ORDER BY batch, last_seen DESC, id DESC) = 1)
+SELECT l.id, l.url, l.online, strftime(k.earliest, '%Y-%m-%d %H:%M:%S.%f') AS first_seen
+FROM last l JOIN (SELECT url, min(first_seen) AS earliest FROM loads GROUP BY url) k USING (url)""",
+)
+def store_merge(spark, sf_dir):
+    """Three streams, each with loads from 0 on: the last write wins, through merges of touched buckets only."""
+    rows, number = _scored_loads(spark, sf_dir)
+    root = shared_folder(spark, "threats")
+    # The newest rows are written first, so the oldest are what is written last.
+    for n in (2, 1, 0):
+        store.append_batch(rows.where(number == n), root, n * 40, writer=f"stream-{n}")
+        if n:
+            store.compact(spark, root)
+    return fx.time_text(store.current(spark, root), "first_seen").select("id", "url", "online", "first_seen")
+
+
 @query("store_lookup", f"{_LOADS_SQL} WHERE url = (SELECT min(url) FROM obs)")
 def store_lookup(spark, sf_dir):
     """One row by its URL."""

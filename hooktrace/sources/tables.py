@@ -47,6 +47,12 @@ def folder_names(spark: SparkSession, folder: str, prefix: str) -> list[str]:
     return [n.removeprefix(prefix) for n in names if n.startswith(prefix)]
 
 
+def make_folder(spark: SparkSession, folder: str) -> None:
+    """An empty folder, with those above it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def create_table(spark: SparkSession, path: str, schema: StructType) -> None:
     """Write an empty table unless there is one already."""
     if not path_exists(spark, path):

@@ -136,15 +136,59 @@ def test_plans_of_the_store(spark, tmp_path):
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
     spark.sparkContext.setJobGroup("rest", "")
     plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1
+    # The bucket of "a" is merged, that of "b" is read as it is: the shuffle is on one side of the union.
+    assert plan.count("FileScan") == 3 and plan.count("Exchange hashpartitioning") == 1
+    last = plan[plan.rindex(":-") if ":-" in plan else 0 :]
+    assert "Union" in plan and last.count("FileScan") >= 1
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("PartitionFilters: [isnotnull(bucket") == 2
+    assert plan.count("PartitionFilters: [isnotnull(bucket") == plan.count("FileScan") >= 2
     assert [r.id for r in found.collect()] == [3]
     assert store.lookup(spark, root, url="zzz").count() == 0
     with pytest.raises(ValueError):
         store.lookup(spark, root)
 
 
+def test_last_write_wins_whatever_wrote_it(spark, tmp_path):
+    """A high load number of one writer does not beat a later load of another, before and after merging."""
+    root = str(tmp_path / "threats")
+    day = lambda n: datetime(2024, 1, n)
+    show = lambda: sorted((r.url, r.id, r.online) for r in store.current(spark, root).collect())
+    store.append_batch(_load(spark, (1, "a", "yes", day(1)), (2, "b", "yes", day(9))), root, 57, writer="stream-a")
+    store.append_batch(_load(spark, (3, "a", "no", day(2)), (4, "b", "no", day(2))), root, 0, writer="stream-b")
+    want = [("a", 3, "no"), ("b", 4, "no")]
+    assert show() == want
+    # A late load of the first writer yields to its own later one, and so to what came after that.
+    store.append_batch(_load(spark, (6, "a", "late", day(4)), (7, "c", "late", day(4))), root, 56, writer="stream-a")
+    want.append(("c", 7, "late"))
+    assert show() == want
+    # A load that runs again keeps its place.
+    store.append_batch(_load(spark, (8, "b", "again", day(9))), root, 57, writer="stream-a", retry=True)
+    assert show() == want
+    store.compact(spark, root)
+    assert show() == want
+    store.append_batch(_load(spark, (5, "a", "yes", day(1))), root, 0, writer="stream-c")
+    store.append_batch(_load(spark, (9, "b", "yes", day(1))), root, 58, writer="stream-a")
+    assert show() == [("a", 5, "yes"), ("b", 9, "yes"), ("c", 7, "late")]
+
+
+def test_merging_leaves_other_buckets_as_they_are(spark, tmp_path):
+    root, day = tmp_path / "threats", datetime(2024, 1, 1)
+    urls = [f"u{i}" for i in range(200)]
+    store.append_batch(_load(spark, *[(i, u, "yes", day) for i, u in enumerate(urls)]), str(root), 0)
+    assert store.compact(spark, str(root)) == 0
+    bytes_of = lambda v: {p.relative_to(root): p.read_bytes() for p in (root / f"base/version={v}").rglob("*.parquet")}
+    before = bytes_of(0)
+    store.append_batch(_load(spark, (999, "u7", "no", datetime(2024, 1, 2))), str(root), 1)
+    want = sorted((u, 999 if u == "u7" else i) for i, u in enumerate(urls))
+    show = lambda: sorted((r.url, r.id) for r in store.current(spark, str(root)).collect())
+    assert show() == want
+    assert store.compact(spark, str(root)) == 1
+    assert bytes_of(0) == before and len({p.parent.name for p in before}) == store.BUCKETS
+    assert len({p.parent.name for p in bytes_of(1)}) == 1 and show() == want
+    assert [r.id for r in store.lookup(spark, str(root), url="u7").collect()] == [999]
+    assert store.stored_urls(spark, str(root)).count() == 200
+
+
 def test_stored_urls(spark, tmp_path):
     root = str(tmp_path / "threats")
     assert store.stored_urls(spark, root).count() == 0

@@ -151,7 +151,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         if sql is not None:
             views = _views_for(sql)
             body = sql.strip()
-            if views and body.startswith("WITH "):
+            if views and body.startswith("WITH RECURSIVE "):
+                ORACLES[name] = f"WITH RECURSIVE {views}, {body[15:]}"
+            elif views and body.startswith("WITH "):
                 ORACLES[name] = f"WITH {views}, {body[5:]}"
             else:
                 ORACLES[name] = f"WITH {views} {body}" if views else body

@@ -8,6 +8,7 @@ from hooktrace import fixtures as fx
 from hooktrace.catalog.registry import AS_OF_SQL, query
 from hooktrace.functions.fields import isp_name
 from hooktrace.operators import analytics
+from hooktrace.operators.screening import campaign_components as linked
 from hooktrace.operators.screening import campaigns as grouped
 from hooktrace.operators.screening import screen_urls as screened
 from hooktrace.plans.enrichment import with_score
@@ -248,3 +249,26 @@ GROUP BY e.asn, e.target_brand""",
 def campaigns_by_asn_brand(spark, sf_dir):
     threats = with_score(fx.enr(spark, sf_dir), fx.AS_OF)
     return fx.time_text(grouped(threats, by="asn_brand"), "first_seen", "last_seen")
+
+
+@query(
+    "campaign_components",
+    """
+WITH RECURSIVE h AS (SELECT h.*, s.site, 'i:' || h.ip_address AS address,
+  'b:' || CAST(e.asn AS VARCHAR) || ':' || e.target_brand AS aimed
+ FROM scored h JOIN enr e ON e.id = h.id JOIN (SELECT DISTINCT domain, site FROM sites) s ON s.domain = h.domain),
+k AS (SELECT site, address AS name FROM h WHERE address IS NOT NULL UNION SELECT site, aimed FROM h WHERE aimed IS NOT NULL
+ UNION SELECT site, 's:' || site FROM h),
+e AS (SELECT DISTINCT a.site AS x, b.site AS y FROM k a JOIN k b USING (name) WHERE a.site <> b.site),
+r(site, reach) AS (SELECT DISTINCT site, site FROM h UNION SELECT r.site, e.y FROM r JOIN e ON r.reach = e.x),
+c AS (SELECT site, min(reach) AS head FROM r GROUP BY site),
+n AS (SELECT c.head, min(k.name) AS campaign FROM k JOIN c USING (site) GROUP BY c.head)
+SELECT n.campaign, count(*) AS sightings, count(DISTINCT h.url) AS urls, count(DISTINCT h.site) AS sites,
+ count(DISTINCT h.ip_address) AS ips, strftime(min(h.first_seen), '%Y-%m-%d %H:%M:%S.%f') AS first_seen,
+ strftime(max(h.last_seen), '%Y-%m-%d %H:%M:%S.%f') AS last_seen, max(h.risk_score) AS max_score
+FROM h JOIN c USING (site) JOIN n ON n.head = c.head GROUP BY n.campaign""",
+)
+def campaign_components(spark, sf_dir):
+    """Campaigns by what sites, addresses, networks and brands have in common, over any number of steps."""
+    threats = with_score(fx.enr(spark, sf_dir), fx.AS_OF)
+    return fx.time_text(linked(threats), "first_seen", "last_seen")

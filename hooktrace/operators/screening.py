@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hooktrace.functions.scoring import HOSTING_PLATFORMS
 from hooktrace.functions.urls import base_domain, url_host
+from hooktrace.operators.graph import connected_components
+from hooktrace.operators.skew import balanced_left_join
+from hooktrace.sinks.shared import staged
 
 # Match levels from the closest to the widest.
 LEVELS = ("url", "domain", "base_domain")
@@ -100,3 +103,68 @@ def campaigns(threats: DataFrame, by: str = "base_domain") -> DataFrame:
         F.max("last_seen").alias("last_seen"),
         F.max("risk_score").alias("max_score"),
     )
+
+
+# What two threats can have in common, and the mark that keeps names of different kinds apart.
+_LINKS = {"base_domain": "s:", "ip_address": "i:", "asn_brand": "b:"}
+
+
+def _link_names(threats: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Threats with ``__links``, the names of what they share with others; the first one names the row.
+
+    A threat without a site stands under its URL, so all rows of a URL are in one campaign.
+    """
+    keyed = _with_keys(threats)
+    own = F.coalesce(F.concat(F.lit("s:"), "base_domain"), F.concat(F.lit("u:"), "url"))
+    names = {
+        "base_domain": own,
+        "ip_address": F.concat(F.lit("i:"), "ip_address"),
+        "asn_brand": F.concat_ws(":", F.lit("b"), F.col("asn").cast("string"), "target_brand"),
+    }
+    names["asn_brand"] = F.when(F.col("asn").isNotNull() & F.col("target_brand").isNotNull(), names["asn_brand"])
+    # Without sites as links a URL alone holds its rows together.
+    first = own if "base_domain" in by else F.concat(F.lit("u:"), "url")
+    rest = [names[k] for k in by if k != "base_domain"]
+    return keyed.where(first.isNotNull()).withColumn("__links", F.array_compact(F.array(first, *rest)))
+
+
+def campaign_members(threats: DataFrame, by: tuple[str, ...] = tuple(_LINKS), **options) -> DataFrame:
+    """(url, campaign) of every URL: threats linked over shared sites, addresses or ASN and brand, and on from there.
+
+    The campaign is the smallest name it holds (``s:`` site, ``i:`` address, ``b:`` ASN and brand,
+    ``u:`` URL). Rows without a URL are left out. Nodes are names, not rows: a third of all threats on one
+    address is one edge per site. ``options`` go to ``connected_components``.
+    """
+    if not by or set(by) - set(_LINKS):
+        raise ValueError(f"links are {', '.join(_LINKS)}")
+    linked = _link_names(threats.where(F.col("url").isNotNull()), tuple(by))
+    first = F.col("__links")[0]
+    # A row ties its first name to each of its names, itself among them, so every name is a node.
+    edges = linked.select(first.alias("a"), F.explode("__links").alias("b")).distinct()
+    root = connected_components(staged(edges, "links"), **options)
+    urls = linked.select("url", first.alias("node")).distinct()
+    return balanced_left_join(urls, root, "node", F.col("url")).select("url", F.col("root").alias("campaign")).distinct()
+
+
+def campaign_components(threats: DataFrame, by: tuple[str, ...] = tuple(_LINKS), **options) -> DataFrame:
+    """One summary row per campaign of ``campaign_members``: its size, span and highest score.
+
+    Rows are summed up by URL and address before they meet their campaign; members are counted,
+    never collected.
+    """
+    members = campaign_members(threats, by, **options)
+    keyed = _with_keys(threats.where(F.col("url").isNotNull())).groupBy("url", "base_domain", "ip_address").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.max("risk_score").alias("risk_score"),
+    )
+    return keyed.join(members, "url").groupBy("campaign").agg(
+        F.sum("rows").alias("sightings"),
+        F.countDistinct("url").alias("urls"),
+        F.countDistinct("base_domain").alias("sites"),
+        F.countDistinct("ip_address").alias("ips"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.max("risk_score").alias("max_score"),
+    )

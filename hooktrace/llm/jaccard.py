@@ -16,11 +16,13 @@ from hooktrace.sinks.shared import staged
 
 # Distinct tokens, summed over the members of a group: about 8 MB of them, and of texts.
 GROUP_TOKENS = 1_000_000
+# Most members of a group: two groups make a matrix of 64 MB.
+GROUP_ROWS = 4_096
 # Words of 64 bits of the filter on members: at most so many rows of 16 bytes are broadcast.
 FILTER_WORDS = 2**18
 MOST_NEEDED = 200
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_COLUMNS = 4_096
+_COLUMNS = 1_024
 _FEW = 8
 
 
@@ -200,7 +202,7 @@ def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
     ahead = held if own else np.bincount(at[owner < len(rows)], minlength=len(names))
     pairs = held * (held - 1) // 2 if own else ahead * (held - ahead)
     starts = np.cumsum(held) - held
-    out = np.zeros(len(rows) * len(columns), np.int64)
+    out = np.zeros(len(rows) * len(columns), np.int32)
     few = (pairs > 0) & (held <= _FEW)
     for n in np.unique(held[few]):
         places = starts[few & (held == n)]
@@ -213,7 +215,7 @@ def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
                 np.add.at(out, a * len(columns) + b, 1)
     out = out.reshape(len(rows), len(columns))
     if own:
-        out += out.T
+        out = out + out.T
     many = (pairs > 0) & (held > _FEW)
     chosen = many[at]
     at, owner = (np.cumsum(many) - 1)[at[chosen]], owner[chosen]
@@ -222,7 +224,9 @@ def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
         a, b = np.searchsorted(at, [start, start + _COLUMNS])
         matrix = np.zeros((len(sets), min(_COLUMNS, count - start)), np.float32)
         matrix[owner[a:b], at[a:b] - start] = 1
-        out += (matrix[: len(rows)] @ (matrix if own else matrix[len(rows) :]).T).astype(np.int64)
+        other = (matrix if own else matrix[len(rows) :]).T
+        for i in range(0, len(rows), _COLUMNS):
+            out[i : i + _COLUMNS] += (matrix[i : min(i + _COLUMNS, len(rows))] @ other).astype(np.int32)
     if own:
         np.fill_diagonal(out, [len(s) for s in rows])
     return out
@@ -248,8 +252,14 @@ def similar_between(
     if not chosen:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inter = overlaps(first if second is None else [first[i] for i in chosen], members)
-    total = np.array([len(first[i]) for i in chosen])[:, None] + np.array([len(m) for m in members])[None, :] - inter
-    row, column = np.nonzero(100 * inter >= percent * total)
+    own, other = np.array([len(first[i]) for i in chosen]), np.array([len(m) for m in members])
+    found = []
+    for start in range(0, len(own), 256):
+        part = inter[start : start + 256].astype(np.int64)
+        total = own[start : start + 256, None] + other[None, :] - part
+        row, column = np.nonzero(100 * part >= percent * total)
+        found.append((row + start, column))
+    row, column = (np.concatenate(x) for x in zip(*found))
     i, j = np.array(chosen)[row], column + (0 if second is None else len(first))
     once = i < j
     return i[once], j[once]
@@ -317,7 +327,7 @@ def similar_components(
     set must share several whole (see ``Sizes``). A set without as many shared parts meets nobody;
     of the others the most frequent parts are left out, half as many as must be shared, so the rest
     of a similar pair still shares the other half. Sets that share parts are put into groups of
-    about ``group_tokens``; a member goes to another group only if it shares that many parts with it.
+    about ``group_tokens``, and of no more than about ``GROUP_ROWS`` members; a member goes to another group only if it shares that many parts with it.
     There the overlap of a member with the group is bounded by the group's token union, and the
     group is opened for members that pass. Rows stand for sets, and for a set and a group, never for
     pairs of documents: links are counted for each set, by the number of rows of its partners, and
@@ -356,7 +366,8 @@ def similar_components(
         F.min("ref").alias("ref"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")
     )
     chosen = staged(label.join(known, "set_id"), "members")
-    counts = chosen.groupBy("label").agg(F.ceil(F.sum("size") / group_tokens).alias("n"))
+    enough = F.greatest(F.ceil(F.sum("size") / group_tokens), F.ceil(F.count(F.lit(1)) / GROUP_ROWS))
+    counts = chosen.groupBy("label").agg(enough.alias("n"))
     member = chosen.join(counts, "label").select(
         "set_id", "ref", "copies", F.xxhash64("label", F.pmod(F.xxhash64("set_id"), F.col("n"))).alias("group")
     )

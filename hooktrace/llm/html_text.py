@@ -6,6 +6,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,11 @@ _BATCH_BYTES = 4_000_000
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S
 )
+# Where no tag can end any more.
+_REST = re.compile(r"<!--.*\Z|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
+_TRUTH = re.compile('data-truth="([01])"')
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg")}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -59,17 +63,23 @@ class Node:
         self.own = self.linked = self.tags = 0
 
 
-def parse(page: str) -> list[Node]:
+def parse(page: str, marked: bool = False) -> list[Node]:
     """The block elements of a page in page order, inline elements folded into them.
 
-    Never fails: unknown, unclosed and stray tags are passed over as browsers do. A node's texts
-    are its runs of inline text, each with its place in the page's order of blocks.
+    Never fails: unknown and stray tags are passed over as browsers do, and what an unclosed script
+    or style begins goes on to the end of the page. A node's texts are its runs of inline text, each
+    with its place in the page's order of blocks. ``marked`` is for pages made to learn from: only
+    there does a ``data-truth`` attribute of 0 or 1 mark a node. Stray end tags and unclosed
+    elements cost no search: names of open elements are counted, and what has no end is remembered.
     """
     nodes = [Node("#root", frozenset(), -1, 0, None, 0)]
     stack: list[tuple[str, int]] = [("#root", 0)]
     run: list[str] = []
     links = order = at = 0
     size = len(page)
+    last_end = page.rfind(">")
+    open_tags: Counter = Counter()
+    endless: set[str] = set()
 
     def close_run() -> None:
         nonlocal order
@@ -83,9 +93,9 @@ def parse(page: str) -> list[Node]:
                 order += 1
 
     while at < size:
-        found = _TOKEN.match(page, at)
+        found = (_TOKEN if at < last_end else _REST).match(page, at)
+        tag = found[2] if at < last_end else None
         at = found.end()
-        tag = found[2]
         if tag is None:
             text = found[0]
             if text[0] == "<" and len(text) > 1:
@@ -97,9 +107,13 @@ def parse(page: str) -> list[Node]:
         tag = tag.lower()
         if not found[1]:
             if tag in _RAW:
-                end = _RAW[tag].search(page, at)
-                if tag in ("textarea", "iframe", "svg", "noscript", "template") or end:
-                    at = end.end() if end else size
+                end = None if tag in endless else _RAW[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag != "title":
+                    at = size
+                else:
+                    endless.add(tag)
                 continue
             if tag == "br":
                 run.append(" ")
@@ -107,53 +121,61 @@ def parse(page: str) -> list[Node]:
             if tag in _BLOCK:
                 close_run()
                 links = 0
-                _imply_ends(stack, tag)
+                _imply_ends(stack, tag, open_tags)
                 parent = stack[-1][1]
-                names, truth = _names(found[3])
+                names = _names(found[3])
+                truth = _truth(found[3]) if marked else None
                 nodes.append(Node(tag, names, parent, nodes[parent].depth + 1, truth, found.start()))
                 nodes[parent].kids.append(len(nodes) - 1)
                 if tag not in _VOID and not found[3].endswith("/"):
                     stack.append((tag, len(nodes) - 1))
+                    open_tags[tag] += 1
             elif tag not in _VOID:
                 nodes[stack[-1][1]].tags += 1
                 if tag == "a":
                     links += 1
         elif tag == "a":
             links = max(0, links - 1)
-        elif tag in _BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close_run()
-                    links = 0
-                    del stack[i:]
-                    break
+        elif tag in _BLOCK and open_tags[tag]:
+            close_run()
+            links = 0
+            while _pop(stack, open_tags) != tag:
+                pass
     close_run()
     return nodes
 
 
-def _imply_ends(stack: list[tuple[str, int]], tag: str) -> None:
+def _pop(stack: list[tuple[str, int]], open_tags: Counter) -> str:
+    tag, _ = stack.pop()
+    open_tags[tag] -= 1
+    return tag
+
+
+def _imply_ends(stack: list[tuple[str, int]], tag: str, open_tags: Counter) -> None:
     """Close what a new block element ends: an open paragraph, or an item of the same list or row."""
     if stack[-1][0] == "p" or (stack[-1][0] in _HEADINGS and tag in _HEADINGS):
-        stack.pop()
+        _pop(stack, open_tags)
     ends = _ENDS.get(tag)
-    if ends:
+    if ends and any(open_tags[e] for e in ends):
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in ends:
-                del stack[i:]
+                while len(stack) > i:
+                    _pop(stack, open_tags)
                 return
             if stack[i][0] in _SCOPES:
                 return
 
 
-def _names(attributes: str) -> tuple[frozenset, int | None]:
-    if not attributes:
-        return frozenset(), None
-    truth = attributes.find('data-truth="')
-    value = None if truth < 0 else int(attributes[truth + 12])
+def _names(attributes: str) -> frozenset:
     names: set[str] = set()
-    for m in _ATTRIBUTE.finditer(attributes):
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         names.update(_NAME.findall(_CAMEL.sub(r"\1 \2", m[1] or m[2] or m[3] or "").lower()))
-    return frozenset(names), value
+    return frozenset(names)
+
+
+def _truth(attributes: str) -> int | None:
+    found = _TRUTH.search(attributes)
+    return int(found[1]) if found else None
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -346,9 +368,10 @@ def train(pages: list[str], variants: int = 3, seed: int = 7) -> BoostedTrees:
             if draw.random() < 0.15:  # some articles are a few words long
                 texts = [" ".join(t.split()[: draw.randint(1, 5)]) for t in texts[:2]]
             made.append(teaching_page(draw, texts, pool))
-    made += [_FLAG.sub(r'<\1 data-truth="1"\2', p) for p, b in zip(pages, map(article_texts, pages)) if b]
+    # Marks that real pages bring along say nothing.
+    made += [_FLAG.sub(r'<\1 data-truth="1"\2', p.replace("data-truth", "data-other")) for p, b in zip(pages, map(article_texts, pages)) if b]
     for page in made:
-        nodes = parse(page)
+        nodes = parse(page, marked=True)
         # An unmarked node takes the mark above it; a node above marks counts by the share of its text.
         marks: list[float] = []
         for node in nodes:

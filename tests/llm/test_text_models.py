@@ -217,3 +217,31 @@ def test_decoding_never_contradicts_itself():
         assert text in {"\n\n".join(t) for t in ([], ["a"], ["b"], ["c"], ["a", "b"], ["a", "c"], ["b", "c"], ["a", "b", "c"])}
     low = np.array([0.6 if n.tag == "p" else 0.001 for n in nodes])
     assert html_text.decode(nodes, low) == ""  # leaves that are just likelier do not outweigh their frames
+
+
+def test_marks_of_real_pages_say_nothing(spark):
+    """A page may bring a data-truth attribute of its own, with any value."""
+    body = "<article><p>" + prose(1, 30) + "</p></article>"
+    pages = [(i, f"u{i}", f'<div data-truth="{t}">{body}</div><nav data-truth="1">menu</nav>') for i, t in enumerate(["no", "", "1", "0", "é"])]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = html_text.extract(frame, html_text.fit(frame)).collect()
+    assert len(got) == 5 and len({r.text for r in got}) == 1
+    assert all(n.truth is None for n in html_text.parse(pages[2][2]))
+    assert [n.truth for n in html_text.parse('<p data-truth="1">a</p><p data-truth="x">b</p>', marked=True)] == [None, 1, None]
+
+
+def test_unclosed_script_and_style_hold_the_rest():
+    texts = lambda page: [t for _, t in sorted(x for n in html_text.parse(page) for x in n.texts)]
+    assert texts("<p>hello</p><script>var a = 1; alert(a)") == ["hello"]
+    assert texts("<p>hello</p><STYLE>p { } <p>no") == ["hello"]
+    assert texts("<p>a</p><script>x</script><p>b</p><title>c") == ["a", "b", "c"]
+    assert texts("<p>a < b <!-- c") == ["a < b"] and texts("a </ul> b") == ["a b"]
+
+
+def test_odd_long_pages_take_linear_time():
+    import time
+
+    for part in ('<a href="x', "<a ", "<ul></ol>", "<script>", "<li>a", "</p>", "<title>"):
+        begin = time.perf_counter()
+        html_text.parse("<p>" + part * (1_000_000 // len(part)))
+        assert time.perf_counter() - begin < 12, part

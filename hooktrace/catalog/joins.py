@@ -97,6 +97,26 @@ def join_ip6_range(spark, sf_dir):
     return joined.select("id", F.col("rdap_cidr_block").alias("cidr_block"), F.col("rdap_asn").alias("asn"))
 
 
+@query(
+    "join_ip6_lo_hi",
+    """
+WITH place AS (SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 7 <> 0
+  THEN event_id % 4096 * 65536 + event_id % 65536 END AS ip FROM events),
+part AS (SELECT n_nationkey AS k, CAST(n_nationkey AS BIGINT) * 256 AS g FROM nation WHERE n_nationkey < 16),
+net AS (SELECT 'wide' || printf('%x', k) AS city, k, g * 65536 AS lo, (g + 255) * 65536 + 65535 AS hi FROM part
+ UNION ALL SELECT 'middle' || printf('%x', k), k, (g + 16) * 65536, (g + 80) * 65536 + 32767 FROM part
+ UNION ALL SELECT 'small' || printf('%x', k), k, (g + 64) * 65536 + 256, (g + 96) * 65536 FROM part)
+SELECT event_id AS id, city, CAST(k AS DOUBLE) AS latitude FROM place LEFT JOIN net ON ip BETWEEN lo AND hi
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY hi - lo) = 1""",
+)
+def join_ip6_lo_hi(spark, sf_dir):
+    """Narrowest range by address text, ranges nested, overlapping and not aligned."""
+    facts = fx.obs_ip6(spark, sf_dir)
+    resolved = lookups.resolve_ips(lookups.distinct_ips(facts.select("ip_address")), city=fx.dim_geo6(spark, sf_dir))
+    joined = lookups.join_ip(facts, resolved, F.col("id"))
+    return joined.select("id", F.col("geo_city").alias("city"), F.col("geo_latitude").alias("latitude"))
+
+
 @query(
     "join_whois",
     """
@@ -111,6 +131,23 @@ def join_whois(spark, sf_dir):
     )
 
 
+@query(
+    "join_whois_as_of",
+    """
+WITH history AS (SELECT base_domain, 'Registrar ' || CAST(n AS VARCHAR) AS registrar,
+  TIMESTAMP '2024-01-01' + INTERVAL '1' DAY * (length(base_domain) % 9 + 7 * n) AS captured_at
+ FROM (SELECT DISTINCT base_domain FROM hosted WHERE base_domain NOT LIKE '%.net'), (SELECT unnest([0, 1, 2, 3]) AS n))
+SELECT h.id, w.registrar FROM hosted h ASOF LEFT JOIN history w
+ ON h.base_domain = w.base_domain AND h.first_seen >= w.captured_at""",
+)
+def join_whois_as_of(spark, sf_dir):
+    """What WHOIS said when the URL was first seen, not what it says now."""
+    rows = fx.hosted_obs(spark, sf_dir)
+    facts = rows.select("id", "domain", "first_seen")
+    joined = lookups.join_whois(facts, fx.whois_history(rows), F.col("id"), at="first_seen")
+    return joined.select("id", "registrar")
+
+
 @query(
     "join_cert",
     """

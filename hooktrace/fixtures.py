@@ -219,6 +219,22 @@ def dim_rdap6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dim_geo6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges by address text: wide aligned ones, and two unaligned ones inside that overlap."""
+    key = F.lower(F.hex("n_nationkey"))
+    at = lambda end: F.concat(F.lit("2001:db8:"), key, F.lit(end))
+    kinds = [("wide", "00::", "ff:ffff:ffff:ffff:ffff:ffff"), ("middle", "10::", "50::7fff"), ("small", "40::100", "60::")]
+    ranges = [F.struct(at(lo).alias("lo"), at(hi).alias("hi"), F.concat(F.lit(n), key).alias("city")) for n, lo, hi in kinds]
+    four = F.struct(F.lit("10.0.0.0").alias("lo"), F.lit("10.0.0.9").alias("hi"), F.lit("four").alias("city"))
+    nations = table(spark, sf_dir, "nation").where("n_nationkey < 16")
+    rows = nations.select("n_nationkey", F.explode(F.array(*ranges, four)).alias("x"))
+    return rows.select(
+        "x.lo", "x.hi", F.lit(None).cast("string").alias("country"), F.lit(None).cast("string").alias("country_name"),
+        F.lit("six").alias("region"), "x.city", F.col("n_nationkey").cast("double").alias("latitude"),
+        F.lit(None).cast("double").alias("longitude"),
+    )
+
+
 def dim_dns(o: DataFrame) -> DataFrame:
     return o.groupBy("domain").agg(F.min("ip_address").alias("ip_address"))
 
@@ -244,6 +260,18 @@ def dim_whois(o: DataFrame) -> DataFrame:
     )
 
 
+def whois_history(o: DataFrame) -> DataFrame:
+    """Four captures of each registrable domain but those under .net, a week apart, some after every observation."""
+    base = o.select(base_domain(F.col("domain")).alias("base_domain")).distinct()
+    rows = base.where(~F.col("base_domain").endswith(".net")).withColumn("n", F.explode(F.array(*map(F.lit, range(4)))))
+    days = F.length("base_domain") % 9 + F.col("n") * 7
+    return rows.select(
+        "base_domain",
+        F.timestamp_add("DAY", days, F.lit("2024-01-01").cast("timestamp_ntz")).alias("captured_at"),
+        F.concat(F.lit("Registrar "), F.col("n").cast("string")).alias("registrar"),
+    )
+
+
 def dim_cert(o: DataFrame) -> DataFrame:
     """Certificates of the domains seen with https."""
     length = F.length("domain")

@@ -6,7 +6,8 @@ of a power-of-two size, and an address lies in exactly one block per size. Every
 range that has a block holds all addresses of it, so only the narrowest range of
 a block is kept before the join, and an address meets at most one row per size,
 however often a range is repeated. IPv4 blocks are at most a /16, so one join key
-never holds more than 65,536 addresses. IPv6 is looked up by CIDR prefix.
+never holds more than 65,536 addresses. IPv6 is looked up by CIDR prefix, and ranges whose ends
+are address text (of both families) by their sorted segments.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from hooktrace.functions.ipaddr import (
     ipv6_network,
 )
 from hooktrace.functions.urls import base_domain, url_host
+from hooktrace.operators.asof import join_as_of
+from hooktrace.operators.ranges import range_segments, segment_lookup
 from hooktrace.operators.skew import balanced_left_join
 from hooktrace.operators.upsert import one_per_key
 
@@ -139,10 +142,13 @@ def cidr6_lookup(
 def address_lookup(
     addresses: DataFrame, table: DataFrame, payload: Sequence[str], ip: str = "ip"
 ) -> DataFrame:
-    """Payload by address key: IPv4 by range or CIDR block, IPv6 by CIDR block.
+    """Payload by address key: by range or by CIDR block.
 
-    ``table`` has ``lo`` and ``hi`` as numbers, or ``cidr_block`` as text.
+    ``table`` has ``lo`` and ``hi`` as IPv4 numbers, or as address text of either family, or
+    ``cidr_block`` as text of either family.
     """
+    if "lo" in table.columns and table.schema["lo"].dataType.typeName() == "string":
+        return segment_lookup(addresses, range_segments(table, payload), ip)
     ranges = table if "lo" in table.columns else cidr_ranges(table)
     is_six = F.col(ip).startswith(IPV6_MARK)
     four = addresses.where(~is_six).select(F.col(ip).cast("bigint").alias(ip))
@@ -265,12 +271,12 @@ def whois_columns(snapshot: DataFrame) -> DataFrame:
     return snapshot.withColumns(shaped) if shaped else snapshot
 
 
-def join_whois(rows: DataFrame, whois: DataFrame, spread: Column | None = None) -> DataFrame:
+def join_whois(
+    rows: DataFrame, whois: DataFrame, spread: Column | None = None, at: str | None = None
+) -> DataFrame:
     """Registration data by registrable domain; ``whois`` is keyed by ``base_domain``."""
-    shaped = whois_columns(whois)
-    known = one_per_key(shaped, "base_domain", latest_first(shaped, "base_domain")).drop(CAPTURED)
     keyed = rows.withColumn("base_domain", base_domain(F.col("domain")))
-    return balanced_left_join(keyed, known, "base_domain", _spread(spread)).drop("base_domain")
+    return _join_captures(keyed, whois_columns(whois), "base_domain", _spread(spread), at).drop("base_domain")
 
 
 def cert_columns(snapshot: DataFrame) -> DataFrame:
@@ -283,12 +289,12 @@ def cert_columns(snapshot: DataFrame) -> DataFrame:
     return shaped
 
 
-def join_cert(rows: DataFrame, certs: DataFrame, spread: Column | None = None) -> DataFrame:
+def join_cert(
+    rows: DataFrame, certs: DataFrame, spread: Column | None = None, at: str | None = None
+) -> DataFrame:
     """Certificate by domain; a domain without one has ``ssl_enabled`` = ``no``."""
-    shaped = cert_columns(certs)
-    known = one_per_key(shaped, "domain", latest_first(shaped, "domain")).drop(CAPTURED)
-    known = known.withColumn("ssl_enabled", F.lit("yes"))
-    joined = balanced_left_join(rows, known, "domain", _spread(spread))
+    shaped = cert_columns(certs).withColumn("ssl_enabled", F.lit("yes"))
+    joined = _join_captures(rows, shaped, "domain", _spread(spread), at)
     return joined.withColumn("ssl_enabled", F.coalesce("ssl_enabled", F.lit("no")))
 
 
@@ -299,6 +305,14 @@ def _captured(snapshot: DataFrame) -> list[str]:
     return [CAPTURED] if CAPTURED in snapshot.columns else []
 
 
+def _join_captures(rows: DataFrame, captures: DataFrame, key: str, spread: Column, at: str | None) -> DataFrame:
+    """Rows with the newest capture of their key or, given a column ``at``, the newest one not after it."""
+    order = latest_first(captures, key)
+    if at is None or CAPTURED not in captures.columns:
+        return balanced_left_join(rows, one_per_key(captures, key, order).drop(CAPTURED), key, spread)
+    return join_as_of(rows, captures, key, at, CAPTURED, spread, order)
+
+
 def latest_first(snapshot: DataFrame, key: str) -> list[Column]:
     """Order of the rows of a key: the newest capture where there is a capture time, then by content."""
     newest = [F.desc_nulls_last(c) for c in _captured(snapshot)]
@@ -325,12 +339,13 @@ def page_columns(pages: DataFrame) -> DataFrame:
     )
 
 
-def join_page(rows: DataFrame, pages: DataFrame, spread: Column | None = None) -> DataFrame:
+def join_page(
+    rows: DataFrame, pages: DataFrame, spread: Column | None = None, at: str | None = None
+) -> DataFrame:
     """Page facts by URL; ``pages`` has url, status, html or is already cut down."""
     short = page_columns(pages) if "html" in pages.columns else pages
-    known = one_per_key(short, "url", latest_first(short, "url")).drop(CAPTURED)
     # Rows of one URL share the join key, so they are told apart by all their columns.
-    return balanced_left_join(rows, known, "url", F.struct(*rows.columns) if spread is None else spread)
+    return _join_captures(rows, short, "url", F.struct(*rows.columns) if spread is None else spread, at)
 
 
 def probe_columns(probes: DataFrame) -> DataFrame:

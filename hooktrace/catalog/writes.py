@@ -350,6 +350,11 @@ _BRAND_SQL = "CASE WHEN id % 4 <> 0 THEN 'Brand, \"' || CAST(id % 17 AS VARCHAR)
 _PHISH_SHOWN = ("phish_id", "url", "verified", "online", "target", "ip_address")
 
 
+def _file_number(number, cycle: int):
+    """File of a record: ``cycle`` files for every ``cycle`` times 10,000 numbers, so files stay short as tables grow."""
+    return (F.floor(number / (cycle * 10_000)) * cycle + number % cycle).cast("bigint").alias("file")
+
+
 @query("scan_json_feed", _PHISH_SQL.format(target=_BRAND_SQL, ip="ip_address", online="online"))
 def scan_json_feed(spark, sf_dir):
     """JSON array files, plain, gzip and bzip2, and a file with one record per line."""
@@ -358,9 +363,8 @@ def scan_json_feed(spark, sf_dir):
     number = F.col("phish_id").cast("bigint")
     for i, codec in enumerate(("none", "gzip", "bzip2")):
         part = rows.where(number % 4 == i)
-        files = part.groupBy((number % 20).alias("file")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
-        one_each = files.repartition(20, "file").select("value", "file")
-        one_each.write.option("compression", codec).option("maxRecordsPerFile", 1).partitionBy("file").text(f"{path}/array/{codec}")
+        files = part.groupBy(_file_number(number, 20)).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+        files.select("value", "file").write.option("compression", codec).option("maxRecordsPerFile", 1).partitionBy("file").text(f"{path}/array/{codec}")
     rows.where(number % 4 == 3).write.json(f"{path}/lines")
     arrays = feeds.read_phish_json(spark, [f"{path}/array/{c}/file=*" for c in ("none", "gzip", "bzip2")])
     lines = feeds.read_phish_json(spark, f"{path}/lines", lines=True)
@@ -383,9 +387,9 @@ def _envelopes(spark, sf_dir) -> str:
         F.col("asn").cast("string").alias("asn"), F.lit("x").alias("reporter"), comments.alias("comments"),
     )
     status = F.when(F.col("file") % 5 == 4, "no_results").otherwise("ok").alias("query_status")
-    files = rows.groupBy((F.col("id") % 10).alias("file")).agg(F.collect_list(entry).alias("urls"))
+    files = rows.groupBy(_file_number(F.col("id"), 10)).agg(F.collect_list(entry).alias("urls"))
     path = shared_folder(spark, "envelopes")
-    text = files.select(F.to_json(F.struct(status, "urls")).alias("value"), "file").repartition(10, "file")
+    text = files.select(F.to_json(F.struct(status, "urls")).alias("value"), "file")
     text.write.option("maxRecordsPerFile", 1).partitionBy("file").text(path)
     return path
 

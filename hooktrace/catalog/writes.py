@@ -10,7 +10,7 @@ from hooktrace.catalog.registry import query
 from hooktrace.operators import paging, upsert
 from hooktrace.plans.enrichment import with_score
 from hooktrace.schemas import ENRICHED, RAW_LINE_FEED
-from hooktrace.sinks import export, store
+from hooktrace.sinks import export, store, textindex
 from hooktrace.sinks.shared import shared_folder, staged
 from hooktrace.sources import feeds
 from hooktrace.sources.tables import conform, read_enriched, read_table
@@ -304,6 +304,39 @@ def store_lookup(spark, sf_dir):
     return fx.time_text(found, "first_seen").select("id", "url", "online", "first_seen")
 
 
+@query(
+    "search_indexed",
+    """
+WITH loads AS (SELECT *, CASE WHEN first_seen < TIMESTAMP '2024-01-10 00:00:00' THEN 0
+ WHEN first_seen < TIMESTAMP '2024-01-20 00:00:00' THEN 1 ELSE 2 END AS batch FROM hosted),
+now AS (SELECT id, url, domain, ip_address FROM loads
+ QUALIFY row_number() OVER (PARTITION BY url ORDER BY batch DESC, last_seen DESC, id DESC) = 1)
+SELECT * FROM (SELECT 'url' AS kind, id, url FROM now WHERE url ILIKE '%BANK%' ORDER BY id LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'url with gaps', id, url FROM now WHERE url ILIKE '%log_n%/9%' ORDER BY id LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'domain', id, url FROM now WHERE domain ILIKE '%pages%' ORDER BY id LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'ip', id, url FROM now WHERE ip_address ILIKE '%.3.7%' ORDER BY id LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'two letters', id, url FROM now WHERE url ILIKE '%xy%' ORDER BY id LIMIT 10)
+UNION ALL SELECT 'any', id, url FROM now WHERE url ILIKE '%secure%' OR domain ILIKE '%secure%' OR ip_address ILIKE '%secure%'""",
+)
+def search_indexed(spark, sf_dir):
+    """Substrings of a stored table of three loads, two of which are indexed."""
+    rows, number = _scored_loads(spark, sf_dir)
+    root = shared_folder(spark, "threats")
+    for n in (0, 1):
+        store.append_batch(rows.where(number == n), root, n)
+    textindex.index_loads(spark, root)
+    store.compact(spark, root)
+    store.append_batch(rows.where(number == 2), root, 2)
+    found = textindex.matching(spark, root, "secure").select(F.lit("any").alias("kind"), "id", "url")
+    for kind, field, term in (
+        ("url", "url", "BANK"), ("url with gaps", "url", "log_n%/9"), ("domain", "domain", "pages"),
+        ("ip", "ip", ".3.7"), ("two letters", "url", "xy"),
+    ):
+        hits = textindex.search(spark, root, field, term)
+        found = found.unionByName(hits.select(F.lit(kind).alias("kind"), "id", "url"))
+    return found
+
+
 @query(
     "schema_evolve",
     """

@@ -17,7 +17,7 @@ from hooktrace.functions.dates import as_of_column, cert_timestamp, days_before
 
 TEXT_COLUMNS = ("url", "domain", "ip_address")
 SEARCH_ROWS = 10
-_SEARCH_FIELDS = {"url": "url", "domain": "domain", "ip": "ip_address"}
+SEARCH_FIELDS = {"url": "url", "domain": "domain", "ip": "ip_address"}
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def search(threats: DataFrame, kind: str, term: str) -> DataFrame:
     """Lookup by ``url``, ``domain`` or ``ip`` substring (first rows by id), or by exact ``id``."""
     if kind == "id":
         return threats.where(F.col("id") == int(term))
-    matched = threats.where(text_matches(term, [_SEARCH_FIELDS[kind]]))
+    matched = threats.where(text_matches(term, [SEARCH_FIELDS[kind]]))
     return matched.orderBy("id").limit(SEARCH_ROWS)
 
 

@@ -16,6 +16,8 @@ bucket, and merging touches only buckets with open loads.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -56,7 +58,7 @@ def append_batch(rows: DataFrame, root: str, batch_id: int, writer: str = "main"
     if not retry and load in _loads(spark, root):
         raise FileExistsError(f"load {batch_id} of {writer} is written already")
     placed = conform(rows, ENRICHED).withColumn("__seq", F.lit(_sequence(spark, root, load)).cast("long"))
-    _write(placed.withColumn("bucket", bucket_of(F.xxhash64("url"))), _load_folder(root, writer, batch_id))
+    _write(placed.withColumn("bucket", bucket_of(F.xxhash64("url"))), load_folder(root, writer, batch_id))
 
 
 def _sequence(spark: SparkSession, root: str, load: tuple[str, int]) -> int:
@@ -99,17 +101,40 @@ def stored_urls(spark: SparkSession, root: str, before: tuple[str, int] | None =
 
 
 def current(
-    spark: SparkSession, root: str, reset_first_seen: bool = False, through: int | None = None
+    spark: SparkSession,
+    root: str,
+    reset_first_seen: bool = False,
+    through: int | None = None,
+    buckets: Sequence[int] | None = None,
 ) -> DataFrame:
     """The table as of the last load: one row per URL, the one written last.
 
     Buckets without open loads are read as they are, without a shuffle. The time of first sighting survives later loads, unless ``reset_first_seen``. ``through``
-    leaves out loads of a higher number, as long as they are not merged into the base.
+    leaves out loads of a higher number, as long as they are not merged into the base. With ``buckets`` only
+    these are read.
     """
     merged = _merged(spark, root, _newest(spark, root), reset_first_seen, through)
+    if buckets is not None:
+        merged = merged.where(F.col("bucket").isin(list(buckets)))
     return merged.select(*ENRICHED.names)
 
 
+def finished_loads(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """Writer and number of the loads whose rows are there, merged or not."""
+    return sorted(_loads(spark, root))
+
+
+def merged_loads(spark: SparkSession, root: str) -> set[tuple[str, int]]:
+    """Loads that the newest base holds."""
+    return _held(spark, root, _newest(spark, root))
+
+
+def load_rows(spark: SparkSession, root: str, loads: list[tuple[str, int]]) -> DataFrame:
+    """All rows of some loads, as written, with their bucket."""
+    rows = _log(spark, root, loads)
+    return (spark.createDataFrame([], _LOG) if rows is None else rows).select(*ENRICHED.names, "bucket")
+
+
 def lookup(spark: SparkSession, root: str, *, url: str | None = None, row_id: int | None = None) -> DataFrame:
     """The current row of a URL, or of an id that is the hash of its URL: one bucket is read."""
     if (url is None) == (row_id is None):
@@ -160,7 +185,7 @@ def _merge(
     log = _log(spark, root, loads)
     if log is None:
         return None, placed
-    touched = {int(b) for w, n in loads for b in folder_names(spark, _load_folder(root, w, n), "bucket=")}
+    touched = {int(b) for w, n in loads for b in folder_names(spark, load_folder(root, w, n), "bucket=")}
     base = _base(spark, root, {b: v for b, v in placed.items() if b in touched})
     both = base.unionByName(log).where(F.col("url").isNotNull())
     # By bucket and URL, so that a filter on the bucket goes down to the scans.
@@ -192,14 +217,14 @@ def _base(spark: SparkSession, root: str, placed: dict[int, int]) -> DataFrame:
     return with_default_score(rows.select(*_BASE.names))
 
 
-def _load_folder(root: str, writer: str, batch_id: int) -> str:
+def load_folder(root: str, writer: str, batch_id: int) -> str:
     return f"{root}/log/writer={writer}/batch_id={batch_id}"
 
 
 def _log(spark: SparkSession, root: str, loads: list[tuple[str, int]]) -> DataFrame | None:
     if not loads:
         return None
-    paths = [_load_folder(root, w, n) for w, n in loads]
+    paths = [load_folder(root, w, n) for w, n in loads]
     rows = spark.read.schema(_LOG).option("basePath", f"{root}/log").parquet(*paths)
     return with_default_score(rows).withColumnsRenamed({"writer": "__writer", "batch_id": "__batch"})
 

@@ -47,6 +47,12 @@ def folder_names(spark: SparkSession, folder: str, prefix: str) -> list[str]:
     return [n.removeprefix(prefix) for n in names if n.startswith(prefix)]
 
 
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file was last written, in milliseconds."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path).getModificationTime()
+
+
 def make_folder(spark: SparkSession, folder: str) -> None:
     """An empty folder, with those above it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hooktrace import fixtures as fx
 from hooktrace.catalog.joins import _STORED_SQL, _stored
 from hooktrace.catalog.registry import query
-from hooktrace.operators import paging, upsert
+from hooktrace.operators import numbering, paging, upsert
 from hooktrace.plans.enrichment import with_score
 from hooktrace.schemas import ENRICHED, RAW_LINE_FEED
 from hooktrace.sinks import export, store, textindex
@@ -217,9 +217,7 @@ def export_capped(spark, sf_dir):
     return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
 
 
-@query(
-    "export_stix",
-    r"""
+_INDICATORS_SQL = r"""
 SELECT id, '{"type":"indicator","spec_version":"2.1","id":"indicator--' || substr(h, 1, 8) || '-' || substr(h, 9, 4)
  || '-8' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12)
  || '","created":"' || seen || '","modified":"' || seen || '","name":"Phishing URL: ' || domain
@@ -231,12 +229,53 @@ SELECT id, '{"type":"indicator","spec_version":"2.1","id":"indicator--' || subst
  || coalesce(',"x_asn":' || CAST(asn AS VARCHAR), '') || coalesce(',"x_asn_name":"' || asn_name || '"', '')
  || coalesce(',"x_ssl_enabled":"' || ssl_enabled || '"', '') || '}' AS indicator
 FROM (SELECT *, sha256(url) AS h, strftime(first_seen, '%Y-%m-%dT%H:%M:%S.') || substr(strftime(first_seen, '%f'), 1, 3)
-  || 'Z' AS seen FROM enr)""",
-)
+  || 'Z' AS seen FROM enr)"""
+
+
+@query("export_stix", _INDICATORS_SQL)
 def export_stix(spark, sf_dir):
     return export.stix_indicators(fx.enr(spark, sf_dir), fx.AS_OF)
 
 
+def _uuid_sql(digest: str) -> str:
+    return (
+        f"substr({digest}, 1, 8) || '-' || substr({digest}, 9, 4) || '-8' || substr({digest}, 14, 3) || '-a'"
+        f" || substr({digest}, 18, 3) || '-' || substr({digest}, 21, 12)"
+    )
+
+
+@query(
+    "export_stix_bundles",
+    f"""
+WITH placed AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 300 AS bundle_no FROM ({_INDICATORS_SQL})),
+cut AS (SELECT bundle_no, count(*) AS indicators, string_agg(indicator, ',' ORDER BY id) AS objects FROM placed GROUP BY bundle_no),
+named AS (SELECT *, sha256('Threat feed analytics') AS i,
+ sha256('Threat feed analytics2024-02-05T00:00:00.000Z/' || CAST(bundle_no AS VARCHAR)) AS b FROM cut)
+SELECT bundle_no, indicators, sha256('{{"type":"bundle","id":"bundle--' || {_uuid_sql("b")}
+ || '","objects":[{{"type":"identity","spec_version":"2.1","id":"identity--' || {_uuid_sql("i")}
+ || '","created":"2024-02-05T00:00:00.000Z","modified":"2024-02-05T00:00:00.000Z","name":"Threat feed analytics"'
+ || ',"identity_class":"system"}},' || objects || ']}}') AS bundle_sha256 FROM named""",
+)
+def export_stix_bundles(spark, sf_dir):
+    """All indicators in bundles of 300, by a hash of the whole document."""
+    made = export.stix_bundles(fx.enr(spark, sf_dir), fx.AS_OF, size=300)
+    return made.select("bundle_no", "indicators", F.sha2("bundle", 256).alias("bundle_sha256"))
+
+
+@query(
+    "work_limit_half",
+    """
+SELECT url, source_feed, source_id FROM raw_work
+ORDER BY feed_rank, url NULLS FIRST, source_id NULLS FIRST LIMIT (SELECT count(*) // 2 FROM raw_work)""",
+)
+def work_limit_half(spark, sf_dir):
+    """Half of the work list, by two passes over ranges of its order."""
+    work = staged(fx.raw_work(fx.hosted_obs(spark, sf_dir)), "work")
+    half = work.count() // 2
+    order = [numbering.By(c) for c in ("feed_rank", "url", "source_id")]
+    return numbering.first_in_order(work, order, half).select("url", "source_feed", "source_id")
+
+
 _LOADS_SQL = """
 WITH loads AS (SELECT id, url, online, first_seen, last_seen, CASE WHEN first_seen < TIMESTAMP '2024-01-10 00:00:00' THEN 0
  WHEN first_seen < TIMESTAMP '2024-01-20 00:00:00' THEN 1 ELSE 2 END AS batch FROM obs),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from hooktrace.operators.numbering import By, first_in_order
 from hooktrace.sources.tables import EXPLORER_COLUMNS
 
 PAGE_ROWS = 50
@@ -13,7 +14,6 @@ MAP_POINTS = 2000
 
 # Up to this many rows a plain sort with a limit is fine: each task hands that many rows on.
 PLAIN_LIMIT = 1000
-_STEPS = 4096
 
 
 def newest_first() -> list[Column]:
@@ -56,26 +56,15 @@ def page_after(
 
 
 def first_rows(rows: DataFrame, count: int, key: str = "id") -> DataFrame:
-    """``rows.orderBy(key).limit(count)`` for a numeric key, also for large counts on many tasks.
+    """``rows.orderBy(key).limit(count)``, also for large counts on many tasks."""
+    return _first(rows, [By(key)], count)
 
-    A sort with a limit has every task send ``count`` rows to one. For a large
-    count the key range is therefore cut into steps and counted first; the step
-    in which the count is reached bounds the rows that have to be sorted. Steps
-    grow with the key, so the rows are exactly the same.
-    """
+
+def _first(rows: DataFrame, order: Sequence[By], count: int) -> DataFrame:
+    """The first rows of an order. A sort with a limit has every task send ``count`` rows to one, so that is for few rows."""
     if count <= PLAIN_LIMIT:
-        return rows.orderBy(key).limit(count)
-    low, high = (rows.agg(f(key).cast("double")).scalar() for f in (F.min, F.max))
-    span = F.when(high > low, high - low).otherwise(1.0)
-    step = F.floor((F.col(key).cast("double") - low) / span * _STEPS)
-    per_step = rows.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows"))
-    # At most _STEPS + 1 rows, so this window over all of them is small.
-    running = F.sum("rows").over(Window.orderBy(F.asc_nulls_first("step")))
-    last_step = (
-        per_step.withColumn("so_far", running).where(F.col("so_far") >= count).agg(F.min("step")).scalar()
-    )
-    enough = step.isNull() | (step <= F.coalesce(last_step, F.lit(_STEPS)))
-    return rows.where(enough).orderBy(key).limit(count)
+        return rows.orderBy(*[b.column() for b in order]).limit(count)
+    return first_in_order(rows, order, count)
 
 
 def map_points(threats: DataFrame, rows: int = MAP_POINTS) -> DataFrame:
@@ -99,9 +88,9 @@ def limit_work(work: DataFrame, rows: int, enriched: DataFrame | None = None, sk
     """
     from hooktrace.operators.upsert import skip_existing
 
-    order = [F.asc("feed_rank"), F.asc_nulls_first("url"), F.asc_nulls_first("source_id")]
+    order = [By("feed_rank"), By("url"), By("source_id")]
     every_column = F.struct(*work.columns)
     if enriched is not None and skip_first:
-        return skip_existing(work, enriched, spread=every_column).orderBy(*order).limit(rows)
-    capped = work.orderBy(*order).limit(rows)
+        return _first(skip_existing(work, enriched, spread=every_column), order, rows)
+    capped = _first(work, order, rows)
     return capped if enriched is None else skip_existing(capped, enriched)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hooktrace.functions.dates import as_of_column
 from hooktrace.functions.fields import present_number, present_text
+from hooktrace.operators.numbering import By, numbered
 from hooktrace.operators.paging import first_rows
 
 # A bundle is one document, so it has a bound; no other export is cut unless the caller asks.
@@ -113,7 +114,43 @@ def stix_bundle(
     """
     if limit is None or limit > MAX_BUNDLE_ROWS:
         raise ValueError(f"a bundle holds at most {MAX_BUNDLE_ROWS} rows; use write_stix")
+    members = F.sort_array(F.collect_list(F.struct("id", "indicator")))
+    chosen = stix_indicators(threats, as_of, limit)
+    return chosen.agg(_bundle_text(members, as_of, identity_name).alias("bundle"))
+
+
+def stix_bundles(
+    threats: DataFrame,
+    as_of,
+    size: int = MAX_BUNDLE_ROWS,
+    identity_name: str = "Threat feed analytics",
+) -> DataFrame:
+    """All threats as bundles of ``size`` indicators by id: ``bundle_no`` from 0, ``indicators`` and ``bundle``.
+
+    Every indicator is in one bundle, the last may be shorter, and each has the identity. Rows are
+    numbered by ranges, so a task only ever gathers the rows of a bundle. Without threats there is none.
+    """
+    if not 0 < size <= MAX_BUNDLE_ROWS:
+        raise ValueError(f"a bundle holds 1 to {MAX_BUNDLE_ROWS} rows")
+    placed = numbered(stix_indicators(threats, as_of), [By("id")])
+    members = F.sort_array(F.collect_list(F.struct("row_no", "indicator")))
+    cut = placed.groupBy(F.floor(F.col("row_no") / size).alias("bundle_no")).agg(members.alias("members"))
+    return cut.select(
+        "bundle_no",
+        F.size("members").alias("indicators"),
+        _bundle_text(F.col("members"), as_of, identity_name, F.col("bundle_no")).alias("bundle"),
+    )
+
+
+def write_stix_bundles(threats: DataFrame, path: str, as_of, size: int = MAX_BUNDLE_ROWS, **options) -> None:
+    """Folder of text files with one bundle per line."""
+    stix_bundles(threats, as_of, size, **options).select("bundle").write.text(path)
+
+
+def _bundle_text(members: Column, as_of, identity_name: str, number: Column | None = None) -> Column:
+    """A bundle of the ``indicator`` texts of an array, the identity first."""
     now = _iso(as_of_column(as_of))
+    name = [F.lit(identity_name), now] + ([] if number is None else [F.lit("/"), number.cast("string")])
     identity = F.to_json(
         F.struct(
             F.lit("identity").alias("type"),
@@ -125,15 +162,7 @@ def stix_bundle(
             F.lit("system").alias("identity_class"),
         )
     )
-    members = F.sort_array(F.collect_list(F.struct("id", "indicator")))
-    objects = F.concat_ws(
-        ",", F.array(identity), F.transform(members, lambda m: m["indicator"])
-    )
-    text = F.concat(
-        F.lit('{"type":"bundle","id":"'),
-        _stix_id("bundle", F.concat(F.lit(identity_name), now)),
-        F.lit('","objects":['),
-        objects,
-        F.lit("]}"),
+    objects = F.concat_ws(",", F.array(identity), F.transform(members, lambda m: m["indicator"]))
+    return F.concat(
+        F.lit('{"type":"bundle","id":"'), _stix_id("bundle", F.concat(*name)), F.lit('","objects":['), objects, F.lit("]}")
     )
-    return stix_indicators(threats, as_of, limit).agg(text.alias("bundle"))

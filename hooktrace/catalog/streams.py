@@ -9,7 +9,7 @@ from hooktrace.catalog.registry import query
 from hooktrace.plans.enrichment import Snapshots
 from hooktrace.sinks import store
 from hooktrace.sinks.shared import shared_folder, staged
-from hooktrace.streaming import feeds
+from hooktrace.streaming import dedup, feeds
 
 # Longer than any span of test events: each URL is kept for the whole stream.
 _DELAY = "400 days"
@@ -29,6 +29,18 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").select("url")
 
 
+@query("stream_dedup_store", "SELECT DISTINCT url FROM obs")
+def stream_dedup_store(spark, sf_dir):
+    """Two streams, one after the other, into one table of first rows; the second brings every row again."""
+    rows = fx.obs(spark, sf_dir, fx.table(spark, sf_dir, "events")).select("url", "first_seen", "source_feed")
+    out = shared_folder(spark, "stream-dedup")
+    for name, part in (("early", rows.where("first_seen < '2024-01-12'")), ("all", rows)):
+        part.repartition(2).write.parquet(f"{out}/{name}")
+        stream = feeds.read_drop_folder(spark, f"{out}/{name}", rows.schema, files_per_batch=1)
+        dedup.dedup_into(stream.select(*rows.columns), f"{out}/table", f"{out}/state-{name}", "first_seen")
+    return dedup.read_rows(spark, f"{out}/table", rows.schema).select("url")
+
+
 @query(
     "stream_daily",
     """

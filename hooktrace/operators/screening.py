@@ -7,12 +7,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hooktrace.functions.scoring import HOSTING_PLATFORMS
 from hooktrace.functions.urls import base_domain, url_host
 from hooktrace.operators.graph import connected_components
+from hooktrace.operators.presence import key_bits, may_hold, word_of
 from hooktrace.operators.skew import balanced_left_join
 from hooktrace.sinks.shared import staged
 
 # Match levels from the closest to the widest.
 LEVELS = ("url", "domain", "base_domain")
 
+# The size of a key filter, and so the bound of what is broadcast: this many words for each level.
+FILTER_WORDS = 1 << 18
+
 
 def site(domain: Column) -> Column:
     """The widest name that still means one owner.
@@ -37,22 +41,21 @@ def screen_urls(observed: DataFrame, threats: DataFrame) -> DataFrame:
     """Observed URLs with the closest match level (NULL for none) and the highest score there.
 
     Threats are cut down to one score per key first, so a join never pairs many threats with many
-    observations. Distinct observed URLs are matched, and the matches joined back once, so the
-    observations are read twice and moved once; adaptive execution splits a hot URL, as they are
-    the left side of a left join.
+    observations. A filter of the keys of each level tells most observations without any match where
+    they are read; only the others are shuffled: distinct URLs are matched, and the matches joined
+    back once. Adaptive execution splits a hot URL, as they are the left side of a left join.
     """
-    known = _with_keys(threats)
-    best_url = known.groupBy("url").agg(F.max("risk_score").alias("__url"))
-    named = known.where(F.col("domain").isNotNull())
-    best_domain = named.groupBy("domain").agg(F.max("risk_score").alias("__domain"))
-    # The site follows from the domain, so its best score does too.
-    best_base = best_domain.groupBy(site(F.col("domain")).alias("base_domain")).agg(
-        F.max("__domain").alias("__base_domain")
+    best = best_scores(threats)
+    best_of = lambda level: best.where(F.col("__level") == level).select(
+        F.col("__named").alias(level), F.col("__best").alias(f"__{level}")
     )
+    passed = may_match(observed, best)
+    hit = passed.where("__may_match").drop("__may_match")
     has_domain = "domain" in observed.columns
     keys = ["url", "domain"] if has_domain else ["url"]
-    urls = _with_keys(observed.select(*keys).distinct())
-    matched = urls.join(best_url, "url", "left").join(best_domain, "domain", "left").join(best_base, "base_domain", "left")
+    matched = _with_keys(hit.select(*keys).distinct())
+    for level in LEVELS:
+        matched = matched.join(best_of(level), level, "left")
     found = [F.col(f"__{level}") for level in LEVELS]
     level = F.lit(None).cast("string")
     for name, score in reversed(list(zip(LEVELS, found))):
@@ -63,7 +66,42 @@ def screen_urls(observed: DataFrame, threats: DataFrame) -> DataFrame:
     same = F.col("url") == F.col("__k_url")
     if has_domain:
         same = same & F.col("domain").eqNullSafe(F.col("__k_domain"))
-    return observed.join(matched, same, "left").drop(*[f"__k_{k}" for k in keys])
+    screened = hit.join(matched, same, "left").drop(*[f"__k_{k}" for k in keys])
+    return screened.unionByName(passed.where(~F.col("__may_match")).drop("__may_match"), allowMissingColumns=True)
+
+
+def best_scores(threats: DataFrame) -> DataFrame:
+    """The highest score of every URL, domain and site of the threats: ``__level``, ``__named``, ``__best``."""
+    known = _with_keys(threats)
+    row = lambda level, score: (F.lit(level).alias("__level"), F.col(level).alias("__named"), F.col(score).alias("__best"))
+    best_url = known.groupBy("url").agg(F.max("risk_score").alias("score"))
+    named = known.where(F.col("domain").isNotNull())
+    best_domain = named.groupBy("domain").agg(F.max("risk_score").alias("score"))
+    # The site follows from the domain, so its best score does too.
+    best_base = best_domain.groupBy(site(F.col("domain")).alias("base_domain")).agg(F.max("score").alias("score"))
+    parts = [t.select(*row(n, "score")) for n, t in zip(LEVELS, (best_url, best_domain, best_base))]
+    # Used by the filters and by the joins.
+    return staged(parts[0].union(parts[1]).union(parts[2]).where("__named IS NOT NULL"), "threat-keys")
+
+
+def may_match(observed: DataFrame, best: DataFrame) -> DataFrame:
+    """Observations with ``__may_match``: false where no level has their key, without a shuffle of them.
+
+    The filter of a level has at most ``FILTER_WORDS`` rows of 12 bytes, however many threats there are, so
+    it is sent to every task. It knows few other keys by chance up to some 2 million threats; with
+    many more, more observations pass and are matched as they would be without it.
+    """
+    domain = F.col("domain") if "domain" in observed.columns else url_host(F.col("url"))
+    rows = observed.withColumn("__url", F.col("url")).withColumn("__domain", domain)
+    rows = rows.withColumn("__base_domain", site(F.col("__domain")))
+    passes = F.lit(False)
+    for level in LEVELS:
+        bits = key_bits(best.where(F.col("__level") == level), "__named", words=FILTER_WORDS)
+        bits = bits.select(F.col("word").alias(f"__word_{level}"), F.col("bits").alias(f"__bits_{level}"))
+        key = F.col(f"__{level}")
+        rows = rows.join(F.broadcast(bits), word_of(key, words=FILTER_WORDS) == F.col(f"__word_{level}"), "left")
+        passes = passes | (key.isNotNull() & may_hold(F.col(f"__bits_{level}"), key))
+    return rows.select(*observed.columns, passes.alias("__may_match"))
 
 
 def campaigns(threats: DataFrame, by: str = "base_domain") -> DataFrame:

@@ -8,7 +8,9 @@ from hooktrace import fixtures as fx
 from hooktrace.catalog.registry import query
 from hooktrace.functions import scoring
 from hooktrace.operators.analytics import counts, risk_summary
+from hooktrace.plans import rescore
 from hooktrace.plans.enrichment import rescore_batch, with_score
+from hooktrace.sinks.shared import shared_folder
 
 _SCORE_COLUMNS = ("url", "http_status_code", "online", "last_seen", "creation_date", "tld")
 
@@ -120,6 +122,17 @@ def risk_score_batch(spark, sf_dir):
     return rescore_batch(rows, batch, fx.AS_OF).select("id", "risk_score")
 
 
+@query("risk_score_due", "SELECT id, risk_score FROM scored")
+def risk_score_due(spark, sf_dir):
+    """Scores of two days before, brought up to date by the rows that came due; some rows are added between."""
+    rows = fx.hosted_obs(spark, sf_dir)
+    root = shared_folder(spark, "scores")
+    rescore.write_scores(rows.where("id % 10 <> 3"), root, "2024-02-03 00:00:00")
+    rescore.add_scores(rows.where("id % 10 = 3"), root, "2024-02-03 12:00:00")
+    rescore.rescore_due(spark, root, fx.AS_OF)
+    return rescore.current_scores(spark, root).select("id", "risk_score")
+
+
 @query(
     "risk_summary",
     """

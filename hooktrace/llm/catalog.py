@@ -83,26 +83,53 @@ m AS (
  UNION ALL SELECT doc_id, 'phone', 4, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'),
   string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
  UNION ALL SELECT doc_id, 'iban', 5, regexp_extract_all(text, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b'),
-  string_split_regex(text, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b') FROM d),
-h AS (SELECT doc_id, kind, rank, unnest(hits) AS hit, unnest(pieces[1:len(hits)]) AS piece, unnest(range(1, len(hits) + 1)) AS i FROM m),
+  string_split_regex(text, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b') FROM d
+ UNION ALL SELECT doc_id, 'dni', 6, regexp_extract_all(text, '\b[0-9]{8}-?[A-Z]\b'),
+  string_split_regex(text, '\b[0-9]{8}-?[A-Z]\b') FROM d
+ UNION ALL SELECT doc_id, 'ssn', 7, regexp_extract_all(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b'),
+  string_split_regex(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b') FROM d
+ UNION ALL SELECT doc_id, 'routing', 8, regexp_extract_all(text, '\b[0-9]{9}\b'),
+  string_split_regex(text, '\b[0-9]{9}\b') FROM d
+ UNION ALL SELECT doc_id, 'secret', 9, regexp_extract_all(text, '(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)["'']?\x20{0,3}[:=]\x20{0,3}["'']?[A-Za-z0-9+/_.~-]{16,}={0,2}'),
+  string_split_regex(text, '(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)["'']?\x20{0,3}[:=]\x20{0,3}["'']?[A-Za-z0-9+/_.~-]{16,}={0,2}') FROM d),
+h AS (SELECT doc_id, kind, rank, unnest(hits) AS hit, unnest(pieces[1:len(hits)]) AS piece,
+  unnest(pieces[2:len(hits) + 1]) AS after, unnest(range(1, len(hits) + 1)) AS i FROM m),
 s AS (SELECT *, sum(length(piece) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop,
-  regexp_replace(hit, '[^0-9]', '', 'g') AS digits, replace(hit, ' ', '') AS plain FROM h),
-v AS (SELECT *, stop - length(hit) AS start FROM s WHERE CASE kind
+  regexp_replace(hit, '[^0-9]', '', 'g') AS digits, replace(hit, ' ', '') AS plain,
+  lower(right(piece, 40) || ' ' || left(after, 40)) AS near,
+  regexp_extract(hit, '[A-Za-z0-9+/_.~-]{16,}={0,2}$') AS value FROM h),
+v AS (SELECT *, stop - length(hit) AS start,
+  CASE kind WHEN 'email' THEN 80 WHEN 'ip' THEN 50 WHEN 'card' THEN 75 WHEN 'phone' THEN 60 WHEN 'iban' THEN 85
+   WHEN 'dni' THEN 60 WHEN 'ssn' THEN 40 WHEN 'routing' THEN 40 ELSE 70 END
+  + CASE WHEN regexp_matches(near, CASE kind WHEN 'email' THEN 'mail|contact|write|reach|correo|courriel|kontakt'
+   WHEN 'ip' THEN 'address|host|server|client|login|logged|visitor' WHEN 'card' THEN 'card|visa|credit|payment|charge|karte|carte|tarjeta'
+   WHEN 'phone' THEN 'phone|call|mobile|tel|fax|contact|ruf|appel|llam' WHEN 'iban' THEN 'iban|bank|account|transfer|konto|compte|cuenta'
+   WHEN 'dni' THEN 'dni|nif|identi|documento' WHEN 'ssn' THEN 'ssn|social|security|taxpayer'
+   WHEN 'routing' THEN 'routing|aba|bank|transfer|wire' ELSE 'auth|login|header|curl|export|config|env' END) THEN 15 ELSE 0 END AS score
+ FROM s WHERE CASE kind
  WHEN 'email' THEN true
  WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0
  WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND (list_sum(list_transform(range(1, length(digits) + 1),
    lambda j: CASE WHEN j % 2 = 1 THEN CAST(digits[-j] AS INTEGER) WHEN CAST(digits[-j] AS INTEGER) > 4
      THEN CAST(digits[-j] AS INTEGER) * 2 - 9 ELSE CAST(digits[-j] AS INTEGER) * 2 END))) % 10 = 0
  WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+ WHEN 'dni' THEN substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(left(hit, 8) AS INTEGER) % 23 + 1, 1) = right(hit, 1)
+ WHEN 'ssn' THEN NOT regexp_matches(hit, '^(?:000|666|9)|-00-|-0000$')
+ WHEN 'routing' THEN regexp_matches(hit, '^(?:0[0-9]|1[0-2]|2[1-9]|3[0-2]|6[1-9]|7[0-2]|80)') AND list_sum(list_transform(range(1, 10),
+   lambda j: CAST(hit[j] AS INTEGER) * CASE j % 3 WHEN 1 THEN 3 WHEN 2 THEN 7 ELSE 1 END)) % 10 = 0
+ WHEN 'secret' THEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+   AND len(list_distinct(string_split(value, ''))) >= 8
  ELSE length(plain) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(substr(plain, 5) || substr(plain, 1, 4), ''),
    lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(ascii(c) - 48 AS BIGINT) ELSE CAST(ascii(c) - 55 AS BIGINT) END),
    lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97, CAST(0 AS BIGINT)) = 1 END),
 g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
   count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
   string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY rank, start) FILTER (WHERE rank < 5) AS base,
-  string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY rank, start) AS spans FROM v GROUP BY doc_id)
+  string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY rank, start) AS spans,
+  string_agg(CAST(score AS VARCHAR), ',' ORDER BY rank, start) AS scores FROM v WHERE score >= 50 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
- coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+ coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+ coalesce(scores, '') AS scores
 FROM d LEFT JOIN g USING (doc_id)"""
 
 
@@ -116,6 +143,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[pii.count_kind(spans, k).alias(f"n_{k}") for k in pii.BASE_KINDS],
         F.sha2(pii.span_digest(spans, pii.BASE_KINDS), 256).alias("base_sha256"),
         pii.span_digest(spans).alias("spans"),
+        pii.score_digest(spans).alias("scores"),
     )
 
 

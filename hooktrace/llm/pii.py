@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "dni", "ssn", "routing", "secret")
 BASE_KINDS = KINDS[:4]
 
 # Each pattern finds the leftmost non-overlapping matches of the plain form in the comment. The anchor
@@ -24,11 +24,25 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # country, two check digits, groups of four, a rest of up to three
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    # Spanish identity number: eight digits and a check letter
+    "dni": r"(?<![A-Za-z0-9_])[0-9]{8}-?[A-Z](?![A-Za-z0-9_])",
+    # US social security number
+    "ssn": r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
+    # US bank routing number
+    "routing": r"(?<![A-Za-z0-9_])[0-9]{9}(?![A-Za-z0-9_])",
+    # a credential that is given to its name
+    "secret": r"""(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)["']?\x20{0,3}[:=]\x20{0,3}["']?[A-Za-z0-9+/_.~-]{16,}={0,2}""",
 }
 
 # A text without this cannot hold a match, so the patterns need not run.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-_NEEDS_DIGITS = {"card": r"[0-9][\x20-]?[0-9]", "iban": "[0-9][0-9]"}
+_NEEDS_FORM = {
+    "card": r"[0-9][\x20-]?[0-9]", "iban": "[0-9][0-9]", "dni": "[0-9]{8}-?[A-Z]", "ssn": "[0-9]-[0-9]{2}-[0-9]",
+    "routing": "[0-9]{9}", "secret": "[:=]",
+}
+
+# The check letters of Spanish identity numbers by the number modulo 23.
+_DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 
 # Words near a span that make it likelier to be personal data of that kind.
 CONTEXT = {
@@ -37,9 +51,17 @@ CONTEXT = {
     "card": "card|visa|credit|payment|charge|karte|carte|tarjeta",
     "phone": "phone|call|mobile|tel|fax|contact|ruf|appel|llam",
     "iban": "iban|bank|account|transfer|konto|compte|cuenta",
+    "dni": "dni|nif|identi|documento",
+    "ssn": "ssn|social|security|taxpayer",
+    "routing": "routing|aba|bank|transfer|wire",
+    "secret": "auth|login|header|curl|export|config|env",
 }
-_PRIOR = {"email": 0.8, "ip": 0.5, "card": 0.75, "phone": 0.6, "iban": 0.85}
+_PRIOR = {
+    "email": 0.8, "ip": 0.5, "card": 0.75, "phone": 0.6, "iban": 0.85, "dni": 0.6, "ssn": 0.4, "routing": 0.4, "secret": 0.7
+}
 _LIFT = 0.15
+# Spans below this are not personal data: kinds that numbers of other meanings often pass need a context word.
+KEEP_SCORE = 0.5
 _NEAR = 40
 _BLOCK = 64
 
@@ -75,11 +97,25 @@ def valid(kind: str, match: Column) -> Column:
         return F.length(_digits(match)).between(8, 15)
     if kind == "iban":
         return F.length(F.regexp_replace(match, " ", "")).between(15, 34) & (_mod97(match) == 1)
+    if kind == "dni":
+        digits = F.left(match, F.lit(8)).cast("int")
+        return F.substr(F.lit(_DNI_LETTERS), digits % 23 + 1, F.lit(1)) == F.right(match, F.lit(1))
+    if kind == "ssn":
+        # Areas, groups and serial numbers that are never given out.
+        return ~match.rlike("^(?:000|666|9)|-00-|-0000$")
+    if kind == "routing":
+        digit = lambda i: F.substr(match, F.lit(i), F.lit(1)).cast("int")
+        weighed = sum((digit(i) * (3, 7, 1)[(i - 1) % 3] for i in range(2, 10)), digit(1) * 3)
+        return match.rlike("^(?:0[0-9]|1[0-2]|2[1-9]|3[0-2]|6[1-9]|7[0-2]|80)") & (weighed % 10 == 0)
+    if kind == "secret":
+        value = F.regexp_extract(match, "[A-Za-z0-9+/_.~-]{16,}={0,2}$", 0)
+        varied = F.size(F.array_distinct(F.split(value, ""))) >= 8
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & varied
     return F.lit(True)
 
 
 def _candidates(text: Column, kind: str) -> Column:
-    return F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike(_NEEDS_DIGITS[kind])
+    return F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike(_NEEDS_FORM[kind])
 
 
 def _hits(text: Column, kind: str) -> Column:
@@ -107,14 +143,11 @@ def _located(hits: Column, pieces: Column, steps: Column, sums: Column, kind: st
         start = before + F.length(piece)
         near = F.lower(F.concat_ws(" ", F.right(piece, F.lit(_NEAR)), F.left(F.element_at(pieces, i + 2), F.lit(_NEAR))))
         lift = F.when(near.rlike(CONTEXT[kind]), _LIFT).otherwise(0.0)
-        good = valid(kind, hit)
+        score = F.lit(_PRIOR[kind]) + lift
         return F.when(
-            good,
+            valid(kind, hit) & (score >= KEEP_SCORE),
             F.struct(
-                F.lit(kind).alias("kind"),
-                start.alias("start"),
-                (start + F.length(hit)).alias("end"),
-                (F.lit(_PRIOR[kind]) + lift).alias("score"),
+                F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), score.alias("score")
             ),
         )
 
@@ -127,9 +160,12 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
 
     A span is (kind, start, end, score): code points from 0, end exclusive. Spans come by kind in
     the order of ``KINDS`` and then by start. E-mail addresses, IP addresses, card numbers (Luhn)
-    and phone numbers are the base kinds; IBANs (mod 97) are found besides and may overlap them.
+    and phone numbers are the base kinds. Found besides, and free to overlap them: IBANs (mod 97), Spanish
+    identity numbers (mod 23), US social security numbers (ranges) and bank routing numbers (3-7-1),
+    and credentials given to their name (letters and digits, at least eight different characters).
     The score is a prior of the kind, raised when a context word stands within 40 code points
-    before or after the span, up to the neighbouring hit of the same kind.
+    before or after the span, up to the neighbouring hit of the same kind. Spans that score less
+    than ``KEEP_SCORE`` are dropped: social security and routing numbers without a context word.
 
     A null or empty text has an empty array. Repeated rows and extra columns pass through; a
     column already named ``out`` is replaced. Texts are scanned whole, whatever their length.
@@ -235,5 +271,10 @@ def span_digest(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def score_digest(spans: Column) -> Column:
+    """Scores of the spans in hundredths, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+
+
 def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -91,7 +92,7 @@ def test_spans_equal_plain_search(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string")
     rows = pii.find_pii(docs, text="t").orderBy("i").collect()
     for row, text in zip(rows, TEXTS):
-        base = [(s.kind, s.start, s.end) for s in row.pii if s.kind != "iban"]
+        base = [(s.kind, s.start, s.end) for s in row.pii if s.kind in pii.BASE_KINDS]
         assert base == brute(text or ""), text and text[:80]
         assert all(0 < s.score <= 1 for s in row.pii)
     ibans = [TEXTS[4][s.start : s.end] for s in rows[4].pii if s.kind == "iban"]
@@ -107,6 +108,63 @@ def test_cards_without_adjacent_digits(spark):
     assert [r.text for r in pii.mask_pii(docs).orderBy("i").collect()] == ["[CARD]", "[CARD]", "a [CARD] b", "4 1 1", "4.1.1"]
 
 
+def brute_added(text):
+    """The added kinds of one text by plain loops, scores left out."""
+    letters = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+    def good(kind, m, near):
+        has = lambda words: any(w in near for w in words.split("|"))
+        if kind == "dni":
+            return letters[int(m[:8]) % 23] == m[-1]
+        if kind == "ssn":
+            a, b, c = m.split("-")
+            return a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000" and has("ssn|social|security|taxpayer")
+        if kind == "routing":
+            first = int(m[:2])
+            total = sum(int(c) * w for c, w in zip(m, (3, 7, 1) * 3))
+            allowed = first <= 12 or 21 <= first <= 32 or 61 <= first <= 72 or first == 80
+            return allowed and total % 10 == 0 and has("routing|aba|bank|transfer|wire")
+        value = re.search("[A-Za-z0-9+/_.~-]{16,}={0,2}$", m)[0]
+        return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and len(set(value)) >= 8
+
+    edge = lambda body: rf"(?a:\b){body}(?a:\b)"
+    forms = {
+        "dni": edge("[0-9]{8}-?[A-Z]"), "ssn": edge("[0-9]{3}-[0-9]{2}-[0-9]{4}"), "routing": edge("[0-9]{9}"),
+        "secret": r"""(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)["']? {0,3}[:=] {0,3}["']?[A-Za-z0-9+/_.~-]{16,}={0,2}""",
+    }
+    found = []
+    for kind, form in forms.items():
+        hits = list(re.finditer(form, text))
+        for i, m in enumerate(hits):
+            left = text[hits[i - 1].end() if i else 0 : m.start()][-40:]
+            right = text[m.end() : hits[i + 1].start() if i + 1 < len(hits) else len(text)][:40]
+            if good(kind, m[0], f"{left} {right}".lower()):
+                found.append((kind, m.start(), m.end()))
+    return found
+
+
+def test_added_kinds_equal_plain_search(spark):
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = [
+        "DNI 12345678Z, 12345678-Z; not 12345678A or x12345678Z or 12345678Z9", "é SSN 123-45-6789 and 123-45-6789",
+        "order 123-45-6789 went out", "social 000-12-3456 666-12-3456 900-12-3456 123-00-4567 123-45-0000",
+        "routing 021000021, bank 021000022", "number 021000021 of ten", "wire 500000005", "ABA 011401533 é",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', "API_KEY: abcdefghijklmnop1", "password = aaaaaaaaaaaaaaaa1",
+        "secret: abcdefghijklmnopqrst", "my_password='Zm9vYmFyMTIzNDU2Nzg5MA=='", "token is 04dbebab91ab85687d33eeaaf9ac", "key = 1234567890abcdefgh",
+        "token=" + "a1b2c3d4e5" * 5_000, "token token: " * 3_000, "", None,
+    ]
+    texts += [f"bank {digits(9)} dni {digits(8)}{rng.choice('TRWAGMYF')} ssn {digits(3)}-{digits(2)}-{digits(4)}" for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    rows = pii.find_pii(docs).orderBy("i").collect()
+    got = [[(s.kind, s.start, s.end) for s in r.pii if s.kind in ("dni", "ssn", "routing", "secret")] for r in rows]
+    assert got == [brute_added(t or "") for t in texts]
+    assert {s.kind for r in rows for s in r.pii} >= {"dni", "ssn", "routing", "secret"}
+    assert all(s.score >= pii.KEEP_SCORE for r in rows for s in r.pii)
+    masked = [r.text for r in pii.mask_pii(docs.where("i IN (1, 2, 8)")).orderBy("i").collect()]
+    assert masked == ["é SSN [SSN] and 123-45-6789", "order 123-45-6789 went out", '[SECRET]" x']
+
+
 def test_context_moves_the_score(spark):
     docs = spark.createDataFrame([("phone: +49 30 12345678",), ("x +49 30 12345678",)], "text string")
     near, far = [r.pii[0].score for r in pii.find_pii(docs).collect()]

@@ -46,7 +46,7 @@ STAGES = [
     ("pieces", encode_texts),
 ]
 
-# Neither the classifier nor the segmentation can be put in SQL: see tests/llm/test_pipeline.py.
+# Neither the classifier nor the segmentation can be put in SQL: see tests/llm/test_pairs_and_pipeline.py.
 ORACLE_SQL = None
 
 

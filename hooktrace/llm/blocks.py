@@ -9,17 +9,30 @@ occur at most once per block, whatever their frequency, and lists are compressed
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK_BYTES = 12_000_000
 
 
+def give_back() -> None:
+    """Hand memory that was freed back to the system.
+
+    A Python worker lives on from task to task, and so would the room that its largest block took.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def pack_bytes(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 

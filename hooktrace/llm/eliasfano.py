@@ -27,9 +27,11 @@ class EliasFano:
         n = len(values)
         last = int(values[-1]) if n else 0
         width = max(0, (max(1, last) // max(1, n)).bit_length() - 1)
-        bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-        low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
-        low = np.concatenate([low, np.zeros(16, np.uint8)])
+        low = []
+        for at in range(0, n, _STEP):  # a step fills whole bytes, and a bit takes eight of them before it is packed
+            bits = (values[at : at + _STEP, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
+            low.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"))
+        low = np.concatenate([*low, np.zeros(16, np.uint8)])
         parts = (values >> np.uint64(width)).astype(np.int64)
         top = int(parts[-1]) if n else 0
         length = -(-(n + top + 1) // 64) * 64

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import mmap
 import tempfile
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +24,7 @@ HOT_SAMPLE = 4_000
 TRIPLE_BUCKETS = 2  # for one bucket of pairs
 SPREAD_SCALE = 1e12  # stands for the count of a spread context, which no bucket knows
 _SCALE = 4096
+_LOOKED_UP = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,8 +71,13 @@ class Trie:
         return np.where(same, place, -1)
 
     def lookup(self, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Codes of successors below given contexts; 0 where there is no such pair."""
-        out = np.zeros(len(ids), np.int64)
+        """Codes of successors below given contexts; 0 where there is no such pair. Some at a time, for the memory."""
+        steps = range(0, len(ids), _LOOKED_UP)
+        found = [self._lookup(places[at : at + _LOOKED_UP], ids[at : at + _LOOKED_UP]) for at in steps]
+        return np.concatenate([*found, np.zeros(0, "<u2")])
+
+    def _lookup(self, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids), "<u2")
         ask = np.flatnonzero(places >= 0)
         if not len(ask):
             return out
@@ -93,7 +98,7 @@ def quantised(probability: np.ndarray) -> np.ndarray:
 
 
 def restored(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, 10.0 ** (-(codes - 1) / _SCALE), 0.0)
+    return np.where(codes > 0, 10.0 ** ((1.0 - codes) / _SCALE), 0.0)
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -105,6 +110,17 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(30))
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the place of each key among them: ``np.unique`` in about half the memory."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], place
+
+
 class _Level:
     """The distinct contexts with successors of a block, dealt to the buckets from ``offset`` on.
 
@@ -113,17 +129,18 @@ class _Level:
 
     def __init__(self, names, before, tokens, taught, offset: int, buckets: int, hot: np.ndarray):
         self.hashes, self.before = names, before
-        pairs, self.pair = np.unique((before << 32) | tokens, return_inverse=True)
-        times = np.bincount(self.pair, taught, len(pairs)).astype(np.int64)
-        context, word = pairs >> 32, pairs & 0xFFFFFFFF
+        pairs, self.pair = numbered((before.astype(np.int64) << 32) | tokens)
+        times = np.bincount(self.pair[taught], minlength=len(pairs)).astype(np.int32)
+        context, word = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+        del pairs
         self.hot = np.isin(self.hashes, hot)
         # A frequent context is spread over all buckets by its successors.
         bucket = self.hashes[context]
         spread = self.hot[context]
         with np.errstate(over="ignore"):
             bucket[spread] += np.uint64(31) * self.hashes[word[spread]]
-        bucket = (bucket % np.uint64(buckets)).astype(np.int64) + offset
-        self.order = np.argsort(bucket, kind="stable")
+        bucket = (bucket % np.uint64(buckets)).astype(np.int32) + np.int32(offset)
+        self.order = np.argsort(bucket, kind="stable").astype(np.int32)
         self.bucket = bucket[self.order]
         self.context, self.word, self.count = context[self.order], word[self.order], times[self.order]
 
@@ -137,7 +154,7 @@ class _Level:
         """Counts by name and, by position, the discounted probabilities and what is left for the order below."""
         count = np.zeros(len(self.hashes), np.int64)
         kinds = np.zeros(len(self.hashes), np.int64)
-        codes = np.zeros(len(self.order), np.int64)
+        codes = np.zeros(len(self.order), "<u2")
         for bucket, part in self.lists():
             data = blocks.unpack_bytes(bytes(given[bucket]))
             n = int.from_bytes(data[:8], "little")
@@ -159,25 +176,28 @@ class _Block:
     """The tokens of a block of documents and its levels: contexts of one word and, at order 3, of two."""
 
     def __init__(self, frame: pd.DataFrame, buckets: int, hot: np.ndarray, order: int):
-        texts = [words(blocks.unpack_bytes(bytes(p))) for p in frame["packed"]]
-        for t in texts:
-            t.append(END)
-        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        known = list(set().union(*texts))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+        # Text by text, so that only the numbers of all words and the distinct words are held.
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        held = []
+        for data in frame["packed"]:
+            found = words(blocks.unpack_bytes(bytes(data)))
+            found.append(END)
+            held.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
+        self.lengths = np.fromiter(map(len, held), np.int64, len(held))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
         by_hash = np.argsort(hashes)
         hashes = hashes[by_hash]
-        rank = np.empty(len(known), np.int64)
-        rank[by_hash] = np.arange(len(known))
-        number = dict(zip(known, rank.tolist()))
-        count = int(self.lengths.sum())
-        self.tokens = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, count)
+        rank = np.empty(len(number), np.int32)
+        rank[by_hash] = np.arange(len(number), dtype=np.int32)
+        end = int(rank[number[END]])
+        del number
+        self.tokens = rank[np.concatenate(held)]
+        del held
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
-        before[0] = number[END]
+        before[0] = end
         taught = np.repeat(frame["k1"].to_numpy() == "true", self.lengths)
-        end = number[END]
-        del texts, known, number
         self.levels = self._levels(hashes, before, taught, end, buckets, hot, order)
 
     def _levels(self, hashes, before, taught, end: int, buckets: int, hot: np.ndarray, order: int) -> Iterator[_Level]:
@@ -188,7 +208,7 @@ class _Block:
             earlier[1:] = before[:-1]
             # Nothing of the document before: END stands twice before the first word.
             earlier[np.concatenate([[0], np.cumsum(self.lengths)[:-1]])] = end
-            pairs, place = np.unique((earlier << 32) | before, return_inverse=True)
+            pairs, place = numbered((earlier.astype(np.int64) << 32) | before)
             names = np.concatenate([hashes, pair_hash(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF])])
             del pairs, earlier
             yield _Level(names, place + len(hashes), self.tokens, taught, buckets, TRIPLE_BUCKETS * buckets, hot)
@@ -204,6 +224,7 @@ def _ask(buckets: int, hot: np.ndarray, order: int):
                 numbers = np.concatenate([place, level.count[part]]).astype("<u4")
                 data = len(used).to_bytes(8, "little") + level.hashes[used].tobytes() + numbers.tobytes()
                 rows.append((bucket, blocks.pack_bytes(data)))
+        blocks.give_back()
         out = pd.DataFrame(rows, columns=["bucket", "pairs"])
         out.insert(0, "block", frame["block"].iloc[0])
         return out.astype({"block": "int32", "bucket": "int32"})
@@ -218,19 +239,21 @@ def _answer(hot: np.ndarray):
             data = blocks.unpack_bytes(bytes(packed))
             n = int.from_bytes(data[:8], "little")
             used.append(np.frombuffer(data, "<u8", n, 8))
-            numbers.append(np.frombuffer(data, "<u4", -1, 8 + 8 * n).astype(np.int64))
-        vocabulary, ids = np.unique(np.concatenate(used), return_inverse=True)
+            numbers.append(np.frombuffer(data, "<u4", -1, 8 + 8 * n))
+        vocabulary, ids = numbered(np.concatenate(used))
         keys, counts, at = [], [], 0
         for own, n in zip(used, numbers):
             number = ids[at : at + len(own)]
             at += len(own)
             context, word, count = np.split(n, 3)
-            keys.append((number[context] << 32) | number[word])
+            keys.append((number[context].astype(np.int64) << 32) | number[word])
             counts.append(count)
         asked = [len(k) for k in keys]
-        pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys, used, numbers, ids
+        del used, numbers, ids, n, number, context, word, count, data
+        pairs, place = numbered(np.concatenate(keys))
+        del keys
         total = np.bincount(place, np.concatenate(counts), len(pairs)).astype(np.int64)
+        del counts
         # The model: pairs seen in training.
         seen = total > 0
         taught, times = pairs[seen], total[seen]
@@ -244,7 +267,7 @@ def _answer(hot: np.ndarray):
         # The answers: every distinct pair is looked up once.
         first = np.flatnonzero(np.diff(pairs >> 32, prepend=-1))
         places = np.repeat(trie.context(pairs[first] >> 32), np.diff(np.append(first, len(pairs))))
-        codes = trie.lookup(places, pairs & 0xFFFFFFFF).astype("<u2")
+        codes = trie.lookup(places, pairs & 0xFFFFFFFF)
         answers, at = [], 0
         for n in asked:
             rows = place[at : at + n]
@@ -262,6 +285,8 @@ def _answer(hot: np.ndarray):
         told = zip(vocabulary[contexts[spread]].astype(np.int64).tolist(), sums[spread].tolist(), kinds[spread].tolist())
         shares = [{"word": w, "n": n, "kinds": k} for w, n, k in told]
         out["spread"] = [shares] + [[] for _ in range(len(out) - 1)]
+        del trie, pairs, place, places, codes, taught, times, total
+        blocks.give_back()
         return out
 
     return run
@@ -288,6 +313,8 @@ def _score(buckets: int, hot: dict[int, tuple[int, int]], tokens: int, distinct:
         out["n_known"] = np.add.reduceat((count[block.tokens] > 0).astype(np.int64), first)
         out["base_score"] = np.add.reduceat(np.log10(single), first)
         out["score"] = np.add.reduceat(np.log10(joint), first)
+        del block, given, joint, left, single
+        blocks.give_back()
         return out
 
     return run

@@ -1,7 +1,7 @@
 """Readers for landed feed files, and the mapping of their records to raw tables.
 
 The readers take files, folders or globs. Gzip and bzip2 are chosen by file
-suffix. A JSON array or envelope is one record per file for Spark, so land a
+suffix. A JSON array or envelope is one record per file for Spark, of at most 2 GB, so land a
 feed as many files (one per download) rather than one ever-growing file.
 """
 
@@ -36,7 +36,9 @@ def read_line_feed(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def _json(spark: SparkSession, schema, path: str | list[str], lines: bool) -> DataFrame:
     # A file that is cut off or not JSON ends the read with an error instead of losing its records.
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
-    return reader.option("multiLine", not lines).json(path)
+    # A whole file is one record up to a byte that JSON cannot hold. With multiLine Spark would go back to the
+    # file, by at least a buffer, for the text of every list or number that is wanted as a string.
+    return (reader if lines else reader.option("lineSep", "\0")).json(path)
 
 
 def read_phish_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:

@@ -129,3 +129,19 @@ def test_json_lines(spark, tmp_path):
     path.write_text("\n".join(json.dumps(r) for r in RECORDS))
     rows = feeds.map_phish_records(feeds.read_phish_json(spark, str(path), lines=True)).collect()
     assert sorted(r.url for r in rows) == sorted(r["url"] for r in RECORDS)
+
+
+def test_an_envelope_is_read_once(spark, tmp_path):
+    """Lists and numbers that become text are cut from what was read, and are the same from a compressed file."""
+    entries = [{"url": f"http://a.b/{i}", "tags": ["x",  i], "asn": i, "file_size": 1e5} for i in range(2000)]
+    text = json.dumps({"query_status": "ok", "urls": entries}, indent=1)
+    plain, packed = tmp_path / "plain.json", tmp_path / "packed.json.gz"
+    plain.write_text(text)
+    packed.write_bytes(gzip.compress(text.encode()))
+    statistics = spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics
+    read = lambda: sum(s.getBytesRead() for s in statistics())
+    before = read()
+    rows = feeds.read_malware_json(spark, str(plain)).select("url", "tags", "asn", "file_size").collect()
+    assert len(rows) == 2000 and read() - before < 2 * len(text)
+    assert rows == feeds.read_malware_json(spark, str(packed)).select("url", "tags", "asn", "file_size").collect()
+    assert json.loads(rows[7].tags) == ["x", 7] and rows[7].asn == "7" and rows[7].file_size == "100000.0"

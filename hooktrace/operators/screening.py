@@ -176,6 +176,7 @@ def campaign_members(threats: DataFrame, by: tuple[str, ...] = tuple(_LINKS), **
     if not by or set(by) - set(_LINKS):
         raise ValueError(f"links are {', '.join(_LINKS)}")
     linked = _link_names(threats.where(F.col("url").isNotNull()), tuple(by))
+    linked = staged(linked.select("url", "__links"), "linked")  # read twice
     first = F.col("__links")[0]
     # A row ties its first name to each of its names, itself among them, so every name is a node.
     edges = linked.select(first.alias("a"), F.explode("__links").alias("b")).distinct()
@@ -190,8 +191,12 @@ def campaign_components(threats: DataFrame, by: tuple[str, ...] = tuple(_LINKS),
     Rows are summed up by URL and address before they meet their campaign; members are counted,
     never collected.
     """
-    members = campaign_members(threats, by, **options)
-    keyed = _with_keys(threats.where(F.col("url").isNotNull())).groupBy("url", "base_domain", "ip_address").agg(
+    keyed = _with_keys(threats.where(F.col("url").isNotNull()))
+    used = ("url", "domain", "base_domain", "ip_address", "asn", "target_brand", "first_seen", "last_seen", "risk_score")
+    # Threats may be costly to compute, so they are computed once, in one pass.
+    keyed = staged(keyed.select(*[c for c in used if c in keyed.columns]), "threats")
+    members = campaign_members(keyed, by, **options)
+    keyed = keyed.groupBy("url", "base_domain", "ip_address").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),

@@ -121,3 +121,13 @@ def test_a_hub_of_a_third_of_all_rows_is_cut_up(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_threats_are_computed_once(spark, tmp_path):
+    """What is summed up comes from the staged rows and not from the threats again."""
+    rows = threats_of(5)
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/threats")
+    threats = spark.read.parquet(f"{tmp_path}/threats")
+    for made in (campaign_components(threats), campaign_members(threats)):
+        assert made.inputFiles() and not [f for f in made.inputFiles() if str(tmp_path) in f]
+    assert sum(r.sightings for r in campaign_components(threats).collect()) == sum(r[0] is not None for r in rows)

@@ -130,15 +130,17 @@ def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         for frame in batches:
-            sets = [shingler((t or "").encode()) for t in frame["text"]]
+            # One set at a time is held.
+            named = [(class_of(s) if len(s) else None, len(s)) for s in (shingler((t or "").encode()) for t in frame["text"])]
             yield pd.DataFrame(
                 {
                     "key": frame["key"],
                     "ref": frame["ref"],
-                    "set_id": pd.array([class_of(s) if len(s) else None for s in sets], dtype="Int64"),
-                    "size": np.array([len(s) for s in sets], np.int64),
+                    "set_id": pd.array([n for n, _ in named], dtype="Int64"),
+                    "size": np.array([n for _, n in named], np.int64),
                 }
             )
+        blocks.give_back()
 
     return run
 
@@ -165,6 +167,7 @@ def _parts(words: int, percent: int):
                     found, owners, held = [], [], 0
             if found:
                 yield pd.DataFrame({"signature": np.concatenate(found), "set_id": np.concatenate(owners)})
+        blocks.give_back()
 
     return run
 
@@ -290,6 +293,8 @@ def _compare(words: int, percent: int):
         a, b = np.concatenate([ids[i[kept]], ids[some]]), np.concatenate([ids[j[kept]], np.zeros(len(some), np.int64)])
         out = pd.DataFrame({"a": a, "b": pd.array(b, dtype="Int64"), "n": np.concatenate([np.zeros(len(kept), np.int64), linked[some]])})
         out.loc[len(kept) :, "b"] = pd.NA
+        del sets, i, j, forest
+        blocks.give_back()
         return out
 
     return run

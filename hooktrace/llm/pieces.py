@@ -91,6 +91,8 @@ def _ask(buckets: int):
         for data in frame["packed"]:
             found.update(words(blocks.unpacked_text(data)))
         rows = [(b, blocks.pack_strings(asked)) for b, asked in blocks.dealt(found, buckets)]
+        del found
+        blocks.give_back()
         out = pd.DataFrame(rows, columns=["bucket", "words"])
         out.insert(0, "block", frame["block"].iloc[0])
         return out.astype({"block": "int32", "bucket": "int32"})
@@ -110,6 +112,8 @@ def _answer(model_file: str):
             counts = np.fromiter(map(len, ids), "<u4", len(ids))
             flat = np.fromiter(chain.from_iterable(ids), "<u4", int(counts.sum()))
             answers.append(blocks.pack_bytes(counts.tobytes() + flat.tobytes()))
+        del table, distinct, lists
+        blocks.give_back()
         return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "ids": answers})
 
     return run
@@ -121,13 +125,13 @@ def _join_back(model_file: str, buckets: int, keys: int):
         number: defaultdict[str, int] = defaultdict()
         number.default_factory = number.__len__
         held = []
-        for data in docs["packed"].to_pylist():
-            found = words(blocks.unpacked_text(data))
-            held.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
-        given = dict(zip(answers["bucket"].to_pylist(), answers["ids"].to_pylist()))
+        for data in docs["packed"]:
+            found = words(blocks.unpacked_text(data.as_py()))
+            held.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
+        given = dict(zip(answers["bucket"].to_pylist(), answers["ids"]))
         counts, places, parts, taken = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [], 0
         for bucket, asked in blocks.dealt(number, buckets):
-            numbers = np.frombuffer(blocks.unpack_bytes(given[bucket]), "<u4")
+            numbers = np.frombuffer(blocks.unpack_bytes(given[bucket].as_py()), "<u4")
             own = numbers[: len(asked)].astype(np.int64)
             if len(numbers) != len(asked) + int(own.sum()):
                 raise RuntimeError("a block and its answers do not belong together")
@@ -135,22 +139,28 @@ def _join_back(model_file: str, buckets: int, keys: int):
             counts[at], places[at] = own, taken + np.cumsum(own) - own
             parts.append(numbers[len(asked) :])
             taken += int(own.sum())
+        words_known = len(number)
+        del number, given
         flat = np.concatenate([*parts, np.zeros(0, "<u4")]).astype(np.int32)
+        del parts
         decode = decoder(model_file)
         ids_of = lambda w: flat[places[w] : places[w] + counts[w]].tolist()
-        inside = [decode.inside(ids_of(w)) for w in range(len(number))]
-        texts, ids, ends = [], [], [0]
-        for at in held:
+        inside = [decode.inside(ids_of(w)) for w in range(words_known)]
+        ends = np.zeros(len(held) + 1, np.int32)
+        np.cumsum([int(counts[at].sum()) for at in held], out=ends[1:])
+        ids, texts = np.empty(ends[-1], np.int32), []
+        for i, at in enumerate(held):
             own = counts[at]
             stops = np.cumsum(own)
-            total = int(stops[-1]) if len(at) else 0
-            ids.append(flat[np.repeat(places[at] - stops + own, own) + np.arange(total)])
-            ends.append(ends[-1] + total)
+            of_text = ids[ends[i] : ends[i + 1]]
+            of_text[:] = flat[np.repeat(places[at] - stops + own, own) + np.arange(len(of_text))]
             order = at.tolist()
-            texts.append(decode.text([inside[w] for w in order], ids_of(order[0]), ids[-1]) if order else "")
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
+            texts.append(decode.text([inside[w] for w in order], ids_of(order[0]), of_text) if order else "")
+        del held, inside, flat
+        lists, texts = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(texts, pa.string())
+        blocks.give_back()
         names = [f"k{i}" for i in range(keys)]
-        return pa.table([*(docs[n] for n in names), lists, pa.array(texts, pa.string())], names=[*names, "ids", "decoded"])
+        return pa.table([*(docs[n] for n in names), lists, texts], names=[*names, "ids", "decoded"])
 
     return run
 

@@ -41,3 +41,21 @@ def test_distinct_keys_and_their_places():
     for k in (keys, keys[:0], keys[:1]):
         distinct, place = trie.numbered(k)
         assert (distinct == np.unique(k)).all() and (distinct[place] == k).all()
+
+
+def test_pieces_come_back_without_a_second_copy():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from hooktrace.llm import pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    draw = np.random.default_rng(4)
+    texts = [" ".join(f"w{n}" for n in draw.integers(0, 500, 500)) for _ in range(600)] + [""]
+    frame = pd.DataFrame({"k0": range(601), "block": 0, "packed": [blocks.pack_bytes(t.encode()) for t in texts]})
+    answers = pieces._answer(model)(pieces._ask(4)(frame))
+    docs, given = (pa.Table.from_pandas(f, preserve_index=False) for f in (frame[["k0", "packed"]], answers))
+    joined, peak = peak_of(lambda: pieces._join_back(model, 4, 1)(docs, given))
+    own = pieces.processor(model)
+    assert joined["ids"].to_pylist() == own.encode(texts) and joined["decoded"].to_pylist() == texts
+    assert peak < 2.7 * joined["ids"].combine_chunks().values.nbytes

@@ -106,14 +106,15 @@ def current(
     reset_first_seen: bool = False,
     through: int | None = None,
     buckets: Sequence[int] | None = None,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """The table as of the last load: one row per URL, the one written last.
 
     Buckets without open loads are read as they are, without a shuffle. The time of first sighting survives later loads, unless ``reset_first_seen``. ``through``
     leaves out loads of a higher number, as long as they are not merged into the base. With ``buckets`` only
-    these are read.
+    these are read, and with ``keys``, hashes of URLs in a column ``key``, only rows of these URLs are merged.
     """
-    merged = _merged(spark, root, _newest(spark, root), reset_first_seen, through)
+    merged = _merged(spark, root, _newest(spark, root), reset_first_seen, through, keys)
     if buckets is not None:
         merged = merged.where(F.col("bucket").isin(list(buckets)))
     return merged.select(*ENRICHED.names)
@@ -167,18 +168,29 @@ def compact(spark: SparkSession, root: str, reset_first_seen: bool = False) -> i
     return version + 1
 
 
-def _merged(spark: SparkSession, root: str, version: int, reset_first_seen: bool, through: int | None) -> DataFrame:
+def _merged(
+    spark: SparkSession, root: str, version: int, reset_first_seen: bool, through: int | None, keys: DataFrame | None = None
+) -> DataFrame:
     """Rows of the base and the loads after it, one per URL."""
     if through is not None and any(n > through for _, n in _held(spark, root, version)):
         raise ValueError("the base holds later loads")
     wanted = [x for x in _open_loads(spark, root, version) if through is None or x[1] <= through]
-    merged, calm = _merge(spark, root, version, wanted, reset_first_seen)
-    rest = _base(spark, root, calm)
+    merged, calm = _merge(spark, root, version, wanted, reset_first_seen, keys)
+    rest = _of_keys(_base(spark, root, calm), keys)
     return rest if merged is None else merged.unionByName(rest) if calm else merged
 
 
+def _of_keys(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
+    return rows if keys is None else rows.join(keys, F.xxhash64("url") == F.col("key"), "left_semi")
+
+
 def _merge(
-    spark: SparkSession, root: str, version: int, loads: list[tuple[str, int]], reset_first_seen: bool
+    spark: SparkSession,
+    root: str,
+    version: int,
+    loads: list[tuple[str, int]],
+    reset_first_seen: bool,
+    keys: DataFrame | None = None,
 ) -> tuple[DataFrame | None, dict[int, int]]:
     """The buckets that loads have rows in, merged with the base by one pass over both, and where the others are."""
     placed = _placed(spark, root, version)
@@ -187,7 +199,8 @@ def _merge(
         return None, placed
     touched = {int(b) for w, n in loads for b in folder_names(spark, load_folder(root, w, n), "bucket=")}
     base = _base(spark, root, {b: v for b, v in placed.items() if b in touched})
-    both = base.unionByName(log).where(F.col("url").isNotNull())
+    # All versions of a URL have its key.
+    both = _of_keys(base.unionByName(log).where(F.col("url").isNotNull()), keys)
     # By bucket and URL, so that a filter on the bucket goes down to the scans.
     same = Window.partitionBy("bucket", "url")
     latest = same.orderBy(

@@ -112,3 +112,15 @@ def test_search_kinds_and_an_empty_load(spark, tmp_path):
     assert _ids(textindex.search(spark, root, "domain", ".bank")) == list(range(10))
     assert _ids(textindex.search(spark, root, "id", "12")) == [12]
     assert _ids(textindex.search(spark, root, "ip", "10.")) == []
+
+
+def test_only_rows_that_the_index_finds_are_merged(spark, root):
+    plan = textindex.matching(spark, root, "needle")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("Window [") < plan.index("LeftSemi")
+
+
+@pytest.mark.parametrize("text", ["", "ab", "abcabd", "a\nb\r\nc", "x\U0001f600y\U0001f601z", "\U0001f600\U0001f600\U0001f600", "éßǅ abc", None])
+def test_runs_of_three_code_points(spark, text):
+    row = spark.createDataFrame([(text,)], "t string").select(textindex.grams(F.col("t")).alias("g"), F.lower("t").alias("t")).first()
+    want = None if text is None else {row.t[i : i + 3] for i in range(len(row.t) - 2)}
+    assert (row.g and set(row.g)) == (want or row.g) and len(row.g or ()) == len(want or ())

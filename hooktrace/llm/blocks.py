@@ -41,6 +41,26 @@ def unpack_bytes(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def pack_numbers(lists: Iterable[np.ndarray]) -> bytes:
+    """Lists of numbers from 0 on, in as few bytes a number as the largest needs, equal bytes of all numbers side by side."""
+    out = []
+    for x in lists:
+        kind = np.min_scalar_type(x.max(initial=0)).newbyteorder("<") if len(x) else np.dtype("u1")
+        plain = np.ascontiguousarray(x, kind).view("u1").reshape(-1, kind.itemsize)
+        out += [len(x).to_bytes(4, "little"), kind.itemsize.to_bytes(1, "little"), np.ascontiguousarray(plain.T).tobytes()]
+    return pack_bytes(b"".join(out))
+
+
+def unpack_numbers(data: bytes) -> list[np.ndarray]:
+    plain, at, out = unpack_bytes(data), 0, []
+    while at < len(plain):
+        n, size = int.from_bytes(plain[at : at + 4], "little"), plain[at + 4]
+        at += 5 + n * size
+        bytes_ = np.frombuffer(plain, "u1", n * size, at - n * size).reshape(size, n)
+        out.append(np.ascontiguousarray(bytes_.T).view(f"<u{size}").ravel())
+    return out
+
+
 def pack_strings(items: list[str]) -> bytes:
     raw = [x.encode() for x in items]
     lengths = np.fromiter(map(len, raw), dtype="<u4", count=len(raw))

@@ -6,8 +6,8 @@ import numpy as np
 
 _STEP = 50_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-_ONES = _BITS.sum(axis=1).astype(np.uint8)  # ones in a byte
 _PLACE = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.int64)  # place of its k-th one
+_U = {x: np.uint64(x) for x in (1, 2, 4, 8, 255, *(k * 0x0101010101010101 for k in (0x55, 0x33, 0x0F, 1)))}
 
 
 class EliasFano:
@@ -60,19 +60,21 @@ class EliasFano:
     def _select(self, index: np.ndarray, ones: bool) -> np.ndarray:
         """Positions of the index-th one or zero of the high part."""
         counts = self.ones if ones else 64 * np.arange(len(self.ones)) - self.ones
+        words = self.high.view("<u8")
         out = np.empty(len(index), np.int64)
         for at in range(0, len(index), _STEP):
             i = index[at : at + _STEP]
             word = np.searchsorted(counts, i, side="right") - 1
-            octets = self.high.reshape(-1, 8)[word]
-            if not ones:
-                octets = ~octets
-            seen = np.cumsum(_ONES[octets], axis=1, dtype=np.int64)
-            rest = i - counts[word]
-            octet = (seen <= rest[:, None]).sum(axis=1)
-            row = np.arange(len(i))
-            rest = rest - np.where(octet > 0, seen[row, octet - 1], 0)
-            out[at : at + _STEP] = word * 64 + octet * 8 + _PLACE[octets[row, octet], rest]
+            bits = words[word] if ones else ~words[word]
+            rest = (i - counts[word]).astype(np.uint64)
+            # Each byte of ``seen`` counts the ones in the bytes up to it.
+            seen = bits - ((bits >> _U[1]) & _U[0x5555555555555555])
+            seen = (seen & _U[0x3333333333333333]) + ((seen >> _U[2]) & _U[0x3333333333333333])
+            seen = ((seen + (seen >> _U[4])) & _U[0x0F0F0F0F0F0F0F0F]) * _U[0x0101010101010101]
+            octet = (seen.view(np.uint8).reshape(-1, 8) <= rest.astype(np.uint8)[:, None]).sum(axis=1, dtype=np.uint64)
+            shift = octet * _U[8]
+            rest -= ((seen << _U[8]) >> shift) & _U[255]
+            out[at : at + _STEP] = word * 64 + shift.astype(np.int64) + _PLACE[(bits >> shift) & _U[255], rest]
         return out
 
     def _low(self, index: np.ndarray) -> np.ndarray:
@@ -97,11 +99,11 @@ class EliasFano:
         end = self._select(part, False) - part
         start = np.where(part > 0, self._select(np.maximum(part - 1, 0), False) - (part - 1), 0)
         rest = targets & ((1 << self.width) - 1)
-        span = int((end - start).max(initial=0))
-        for _ in range(span.bit_length()):
-            middle = (start + end) >> 1
-            open_ = start < end
-            below = open_ & (self._low(np.minimum(middle, max(self.size - 1, 0))) < rest) if self.size else open_
-            start = np.where(below, middle + 1, start)
-            end = np.where(open_ & ~below, middle, end)
+        open_ = np.flatnonzero(start < end)
+        while len(open_):
+            middle = (start[open_] + end[open_]) >> 1
+            below = self._low(middle) < rest[open_]
+            start[open_[below]] = middle[below] + 1
+            end[open_[~below]] = middle[~below]
+            open_ = open_[start[open_] < end[open_]]
         return np.where(beyond, self.size, start)
